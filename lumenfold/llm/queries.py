@@ -1,12 +1,16 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from lumenfold.llm import exact_dedup, mixing, packing, secrets
+from lumenfold.llm import exact_dedup, fingerprints, html_text, mixing, packing, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_secrets": secrets.op6_secrets,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_fingerprint": fingerprints.op8_fingerprint,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {**exact_dedup.ORACLE}
