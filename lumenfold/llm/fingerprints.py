@@ -25,7 +25,7 @@ def canonical(text) -> F.Column:
     nfkc = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
     folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfkc, F.lit(True))
     again = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(True))  # folding can undo composition
-    return F.trim(F.regexp_replace(again, r"[\s\u0085   -     　]+", " "))
+    return F.trim(F.regexp_replace(again, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def wide_hash(canon) -> F.Column:

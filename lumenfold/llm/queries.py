@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from lumenfold.llm import exact_dedup, fingerprints, html_text, mixing, packing, secrets, toxicity, url_filter
+from lumenfold.llm import exact_dedup, fingerprints, html_text, mixing, packing, secrets, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_secrets": secrets.op6_secrets,
     "op7_html_text": html_text.op7_html_text,
