@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from lumenfold.llm import exact_dedup, fingerprints, html_text, mixing, packing, secrets, suffix_dedup, toxicity, url_filter
+from lumenfold.llm import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, secrets, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_html_text": html_text.op7_html_text,
     "op8_fingerprint": fingerprints.op8_fingerprint,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
