@@ -78,3 +78,10 @@ def ranked(rows: DataFrame, key: list[str], order: list, parts: int, name: str =
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python process (code sent by value has no lasting globals)."""
     return sys.__dict__.setdefault("_lumenfold_cache", {})
+
+
+def chosen(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that decisions(id, text_hash) names, each once though it be repeated; one shuffle of docs."""
+    keys = decisions.select(F.xxhash64(id_col).alias("_id"), F.col("text_hash").alias("_text"))
+    rows = docs.withColumns({"_id": F.xxhash64(id_col), "_text": F.xxhash64(text_col)})
+    return rows.join(keys, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).drop("_id", "_text")

@@ -36,12 +36,13 @@ class DigestIndex:
 
         Returns one row per input row: the id, keep_id (id of the row that stays: from the index if the text was
         there, else the smallest id of the batch, null ids last), group_size (rows of the batch with this text),
-        kept, text_sha256. Repeated rows with one id: exactly one of them is kept. Empty input: no rows. Other
+        kept, text_sha256, text_hash (xxhash64 of the text as it is, to find the row again). Repeated rows with one id: exactly one of them is kept. Empty input: no rows. Other
         columns are ignored, whatever their names.
         """
         rows = docs.select(
             F.col(id_col).alias("doc_id"),
             F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
+            F.xxhash64(text_col).alias("text_hash"),
         ).withColumn("_row", F.monotonically_increasing_id())
         rows = written(rows, "digests")
         best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
@@ -68,6 +69,7 @@ class DigestIndex:
             F.col("n").alias("group_size"),
             F.coalesce(F.col("_row") == F.col("keep_row"), F.lit(False)).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
+            "text_hash",
         )
 
     def _append(self, groups: DataFrame, mode: str) -> None:
@@ -85,7 +87,7 @@ class DigestIndex:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against an index that starts empty."""
     index = DigestIndex(spark, f"lumenfold_digests_{uuid.uuid4().hex}")
-    return index.absorb(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return index.absorb(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 ORACLE = {

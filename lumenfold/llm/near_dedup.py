@@ -205,14 +205,14 @@ def _family_links(batches, threshold: float, weighted: bool):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, band_rows: int = 5, weighted: bool = False, block: int = 2_000_000) -> DataFrame:
     """One row per input row: id, class_id (least id of its class), class_size (rows), representative (exactly one row
-    of each class, one with the least id).
+    of each class, one with the least id), text_hash (xxhash64 of the text, to find the row again).
 
     A class is a connected component of links of similarity >= threshold. Null counts as empty; texts without words
     are one class; repeated rows are one class. Null ids come last. `block` bounds the shingles that a task of the
     exact search gathers for one side. Empty input: no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("r"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("r"), text.alias("text"))
 
     def sign(batches):
         for batch in batches:
@@ -267,9 +267,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes.select("component", F.col("first.id").alias("class_id"), F.col("first.v").alias("head"), "class_size", "c"), "class-heads")
     named = attach(named.drop("id"), classes, "component", "c", total).withColumn("set", F.struct("d1", "d2", "n"))
     facts = written(named.select("set", "class_id", "class_size", "head", "copies"), "class-facts")
-    out = attach(signed.select("id", "row", F.struct("d1", "d2", "n").alias("set")), facts, "set", "copies", total)
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("head")).alias("representative"))
+    out = attach(signed.select("id", "r", "row", F.struct("d1", "d2", "n").alias("set")), facts, "set", "copies", total)
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("head")).alias("representative"), F.col("r").alias("text_hash"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

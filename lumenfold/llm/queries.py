@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
+import corpus_pipeline
 from lumenfold.llm import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, secrets, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_fingerprint": fingerprints.op8_fingerprint,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {**exact_dedup.ORACLE}
+ORACLE = {**exact_dedup.ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
