@@ -10,8 +10,8 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    common bytes occur once are settled, too. The suffixes at the others are sorted in two stages: those smaller than
    their successors directly, the rest induced by one scan over the buckets of their first bytes. Neighbours with a
    common prefix of `length` bytes are the repeated strings.
-3. An anchor with over `most` different contexts is not gathered: its runs and then its single windows are counted by
-   hash, which combines before any shuffle and needs no group in one place.
+3. An anchor with over `most` different contexts is not gathered: its runs, finer runs and at last single windows are
+   counted by hash, which combines before any shuffle and needs no group in one place.
 """
 
 from __future__ import annotations
@@ -245,32 +245,75 @@ def repeated_ranges(rows: DataFrame, length: int, most: int = 500) -> DataFrame:
     few = looked.where(F.col("m") <= most).drop("m").repartition("h").sortWithinPartitions("h")
     few = few.select("k", "r", "h", "lo", "a", "single", "data").mapInArrow(sort, f"{ROW}, s long, e long")
 
+    many = looked.where(F.col("m") > most).select("k", "r", "h", "lo", "a", "single", "data")
+    settled = _hot_ranges(many, length)
+    out = whole.unionByName(written(few, "sorted"))
+    return out if settled is None else out.unionByName(settled)
+
+
+#: Starts of runs within runs, for anchors with many contexts.
+FINE = 11
+_FINE_RUN = "core bigint, whole bigint, at bigint, to bigint"
+_RUN = f"{_FINE_RUN}, subs array<struct<core:bigint,whole:bigint,at:bigint,to:bigint,windows:array<bigint>>>"
+
+
+def _runs(prefix: Prefix, salt: np.uint64, lo: int, hi: int, a: int, width: int, length: int):
+    """(core, whole or None, first start, last start) of the runs of starts lo..hi in cells of `width` distances to the
+    anchor a; positions count from the context's beginning. The core is what all windows of the cell share; the whole,
+    known if the run fills its cell, is what they cover."""
+    out = []
+    for cell in range((a - hi) // width, (a - lo) // width + 1):
+        near, far = a - cell * width, a - cell * width - width + 1
+        p1, p2 = max(lo, far), min(hi, near)
+        mark = mix(np.array([salt + np.uint64(cell * 64 + width)], dtype=np.uint64))[0]
+        one = lambda x, y: int((prefix.hash(np.array([x]), np.array([y]))[0] ^ mark).view(np.int64))
+        out.append((one(near, far + length), one(far, near + length) if (p1, p2) == (far, near) else None, p1, p2))
+    return out
+
+
+def _hot_ranges(many: DataFrame, length: int) -> DataFrame | None:
+    """Repeated ranges among contexts of anchors that have too many to gather: by counting runs, finer runs, windows.
+
+    A run whose core occurs once has no repeated window; one whose whole occurs twice has only such. What is open goes
+    on to finer runs, one of each settled whole with it as a partner. Counts combine before they are shuffled.
+    """
+
     def deal(batches):
+        names = ["k", "r", "single", "core", "whole", "at", "to", "subs"]
+        sub = pa.struct([("core", pa.int64()), ("whole", pa.int64()), ("at", pa.int64()), ("to", pa.int64()), ("windows", pa.list_(pa.int64()))])
         for batch in batches:
-            names = ["k", "r", "single", "core", "at", "windows"]
             rows = []
             for k, r, h, lo, a, single, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 raw = np.frombuffer(data, dtype=np.uint8)
                 prefix = Prefix(raw)
                 starts = np.arange(len(raw) - length + 1)
-                one = lambda x: np.array([x], dtype=np.int64)
-                _, cell, p1, p2 = cells(one(lo), one(lo + len(raw) - length), one(a))
-                salt = mix(one(h).view(np.uint64))[0]
-                hashes = (prefix.hash(starts, starts + length) ^ mix(salt + (a - lo - starts).astype(np.uint64))).view(np.int64)
-                near = a - lo - cell * CELL
-                core = (prefix.hash(near, near - CELL + 1 + length) ^ mix(salt + cell.astype(np.uint64))).view(np.int64)
-                rows += [(k, r, single, int(c), int(x), hashes[x - lo : y - lo + 1].tolist()) for c, x, y in zip(core, p1, p2, strict=True)]
-            yield _batch(rows, names, [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
-
-    many = looked.where(F.col("m") > most).select("k", "r", "h", "lo", "a", "single", "data")
-    many = written(many.mapInArrow(deal, f"{ROW}, single boolean, core long, at long, windows array<long>"), "dealt")
-    cores = many.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    n_many = many.count()
-    windows = attach(many, written(cores, "cores"), "core", "n", n_many).select("k", "r", "single", "at", F.posexplode("windows").alias("i", "w"))
+                salt = mix(np.array([h], dtype=np.int64).view(np.uint64))[0]
+                own = (prefix.hash(starts, starts + length) ^ mix(salt + (a - lo - starts).astype(np.uint64))).view(np.int64)
+                for core, full, p1, p2 in _runs(prefix, salt, 0, len(starts) - 1, a - lo, CELL, length):
+                    subs = [{"core": c, "whole": w, "at": lo + x, "to": lo + y, "windows": own[x : y + 1].tolist()} for c, w, x, y in _runs(prefix, salt, p1, p2, a - lo, FINE, length)]
+                    rows.append((k, r, single, core, full, lo + p1, lo + p2, subs))
+            yield _batch(rows, names, [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.list_(sub)])
+
+    runs = written(many.mapInArrow(deal, f"{ROW}, single boolean, {_RUN}"), "runs")
+    if runs.isEmpty():
+        return None
+    ranges = []
+    for below in ("subs", "windows"):
+        n = runs.count()
+        cores = written(runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cores")
+        open_ = written(attach(runs, cores, "core", "n", n).drop("n", "core"), "open")
+        wholes = written(open_.where("whole IS NOT NULL").groupBy("whole").agg(F.count(F.lit(1)).alias("n")), "wholes")
+        known = written(attach(open_.where("whole IS NOT NULL"), wholes, "whole", "n", n), "known-runs")
+        ranges.append(known.where("n > 1 AND single").select("k", "r", F.col("at").alias("s"), (F.col("to") + length).alias("e")))
+        partner = known.where("n > 1").dropDuplicates(["whole"]).withColumn("single", F.lit(False))
+        rest = open_.where("whole IS NULL").unionByName(known.where("n = 1").drop("n")).unionByName(partner.drop("n"))
+        if below == "subs":
+            runs = written(rest.select("k", "r", "single", F.explode("subs").alias("x")).select("k", "r", "single", "x.*"), "fine-runs")
+    windows = rest.select("k", "r", "single", "at", F.posexplode("windows").alias("i", "w"))
     windows = written(windows.select("k", "r", "single", (F.col("at") + F.col("i")).alias("s"), "w"), "windows")
     again = written(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "windows-again")
-    hot = attach(windows.where("single"), again, "w", "n", windows.count()).select("k", "r", "s", (F.col("s") + length).alias("e"))
-    return whole.unionByName(written(few, "sorted")).unionByName(hot)
+    ranges.append(attach(windows.where("single"), again, "w", "n", windows.count()).select("k", "r", "s", (F.col("s") + length).alias("e")))
+    return ranges[0].unionByName(ranges[1]).unionByName(ranges[2])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
