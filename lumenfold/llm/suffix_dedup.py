@@ -29,7 +29,7 @@ from lumenfold.llm._common import attach, written
 #: Bytes of an anchor; starts in a run.
 K, CELL = 48, 44
 #: Starts handled at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 ROW = "k long, r long"
 
 
