@@ -2,3 +2,18 @@
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under name, with its SQL."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if oracle:
+            ORACLE[name] = oracle
+        return fn
+
+    return add
+
+
+from lumenfold.plans import stat_queries, unmix_queries  # noqa: E402, F401
