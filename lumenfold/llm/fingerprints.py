@@ -65,7 +65,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and the row each range borrows from the next one travel in the same shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim = written(rows.select("id", wide_hash(canonical(F.col("text"))).alias("h")), "hashes")
+    slim = rows.select("id", canonical(F.col("text")).alias("c")).select("id", wide_hash(F.col("c")).alias("h"))
+    slim = written(slim, "hashes")
     n = slim.count()
     cuts = bounds(slim.where("id IS NOT NULL"), "id", max(1, n // rows_per_range))
     # ranges count from the top: 0 holds the largest ids, the last one the null ids too
