@@ -85,3 +85,27 @@ def chosen(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_c
     keys = decisions.select(F.xxhash64(id_col).alias("_id"), F.col("text_hash").alias("_text"))
     rows = docs.withColumns({"_id": F.xxhash64(id_col), "_text": F.xxhash64(text_col)})
     return rows.join(keys, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).drop("_id", "_text")
+
+
+def lean(batches, rows: int = 1_000):
+    """Arrow batches in slices of some rows, so that few texts are Python objects at a time; freed memory goes back to the system."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            yield batch
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        give_back()
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._bytes import Prefix, mix
-from lumenfold.llm._common import attach, written
+from lumenfold.llm._common import attach, lean, written
 from lumenfold.llm.components import components
 
 WORDS = 5
@@ -189,7 +189,7 @@ def _family_links(batches, threshold: float, weighted: bool):
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["u", "v"])
 
     out = []
-    for b in batches:
+    for b in lean(batches):
         for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if held and held[-1][0] != row[0]:
                 out += flush()
@@ -203,7 +203,7 @@ def _family_links(batches, threshold: float, weighted: bool):
     yield batch(out)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, band_rows: int = 5, weighted: bool = False, block: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, band_rows: int = 5, weighted: bool = False, block: int = 400_000) -> DataFrame:
     """One row per input row: id, class_id (least id of its class), class_size (rows), representative (exactly one row
     of each class, one with the least id), text_hash (xxhash64 of the text, to find the row again).
 
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("r"), text.alias("text"))
 
     def sign(batches):
-        for batch in batches:
+        for batch in lean(batches):
             ids, r = batch.column(0), batch.column(1)
             out = ([], [], [], [])
             for e, c in shingle_sets(batch.column(2).to_pylist()):

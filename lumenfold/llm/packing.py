@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._common import process_cache, ranked, salts, written
+from lumenfold.llm._common import lean, process_cache, ranked, salts, written
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     def run(batches):
         encode = tokenizer(tokenizer_path)
         end = np.array([end_id], dtype="<u4")
-        for batch in batches:
+        for batch in lean(batches):
             out = []
             for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = np.concatenate([encode(text or ""), end]).astype("<u4", copy=False)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._bytes import Prefix, mix
-from lumenfold.llm._common import attach, written
+from lumenfold.llm._common import attach, lean, written
 
 #: Bytes of an anchor; starts in a run.
 K, CELL = 48, 44
@@ -192,7 +192,7 @@ def repeated_ranges(rows: DataFrame, length: int, most: int = 500) -> DataFrame:
     """rows(k, r, text) -> (k, r, s, e): byte ranges, perhaps overlapping, that together are all repeated bytes."""
 
     def find(batches):
-        for batch in batches:
+        for batch in lean(batches):
             k, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t.encode("utf-8") for t in batch.column(2).to_pylist()]
             for i, lo, hi, a, h, c in anchors(texts, length):
@@ -214,7 +214,7 @@ def repeated_ranges(rows: DataFrame, length: int, most: int = 500) -> DataFrame:
     spots = one.groupBy("k", "r").agg(F.collect_list(F.struct("h", "lo", "hi", "a", F.col("n").alias("n"), "m")).alias("spots"))
 
     def fetch(batches):
-        for batch in batches:
+        for batch in lean(batches, 500):
             out = []
             for k, r, text, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = text.encode("utf-8")
@@ -281,7 +281,7 @@ def _hot_ranges(many: DataFrame, length: int) -> DataFrame | None:
     def deal(batches):
         names = ["k", "r", "single", "core", "whole", "at", "to", "subs"]
         sub = pa.struct([("core", pa.int64()), ("whole", pa.int64()), ("at", pa.int64()), ("to", pa.int64()), ("windows", pa.list_(pa.int64()))])
-        for batch in batches:
+        for batch in lean(batches, 200):
             rows = []
             for k, r, h, lo, a, single, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 raw = np.frombuffer(data, dtype=np.uint8)
@@ -330,7 +330,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = rows.schema["id"].dataType.simpleString()
 
     def cut(batches):
-        for batch in batches:
+        for batch in lean(batches):
             out = []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode("utf-8")

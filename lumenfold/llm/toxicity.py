@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.llm._common import lean
+
 # Common insults, second-person words in the four languages of the corpus, and letters that digits and signs stand for.
 INSULTS = frozenset("idiot moron loser stupid scum trash clown worthless pathetic disgusting dumb fool hate kill ugly shut crap damn imbecile idiota tonto asqueroso basura dummkopf abschaum blöd imbécile stupide ordure".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tus usted ustedes vosotros".split())
@@ -217,7 +219,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text", sco
 
     def run(batches):
         m = handle.value
-        for batch in batches:
+        for batch in lean(batches):
             p = m.score([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, score_col])
 
