@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Consistency constant of the median absolute deviation.
 MAD_SCALE = 1.4826
@@ -14,12 +15,56 @@ def quantile(c, q: float):
     return F.percentile(c, F.lit(q))
 
 
-def with_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+#: From this estimated size on, quantiles are found by bracketing.
+LARGE = 2 << 30
+
+
+def is_large(df: DataFrame) -> bool:
+    """By the optimiser's estimate: no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, q: float, name: str, bracketed: bool | None = None) -> DataFrame:
+    """(keys, name): the exact quantile of each key, nulls left out.
+
+    Small tables: one aggregate over value frequencies. Large ones, where a key's distinct values would fill a task:
+    a sketch brackets the quantile, one pass counts what lies below the bracket, and only the rows inside it (a few
+    in ten thousand) are ranked. Both are exact.
+    """
+    if not (is_large(df) if bracketed is None else bracketed):
+        return df.groupBy(*keys).agg(quantile(F.col(value), q).alias(name))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    accuracy, slack = 10_000, 5e-4
+    ends = [max(0.0, q - slack), min(1.0, q + slack)]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy))
+    bracket = rows.groupBy(*keys).agg(sketch.alias("_b"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    few = F.col("_n") < 100_000  # then all rows are inside
+    lo = F.when(few | (ends[0] <= 0), F.col("_lo")).otherwise(F.element_at("_b", 1))
+    hi = F.when(few | (ends[1] >= 1), F.col("_hi")).otherwise(F.element_at("_b", 2))
+    bracket = bracket.select(*keys, lo.alias("_lo"), hi.alias("_hi"), "_n")
+    if not keys:
+        bracket, rows, keys = bracket.withColumn("_k", F.lit(1)), rows.withColumn("_k", F.lit(1)), ["_k"]
+    near = rows.join(bracket, keys)
+    below = near.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+    # equal values inside the bracket count together, so ties take no room
+    inside = near.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.join(below, keys).withColumn("_to", F.col("_below") + F.sum("_c").over(w))
+    at = (F.col("_n") - 1) * F.lit(q)
+    first, second = F.floor(at), F.ceil(at)
+    holds = lambda r: F.min(F.when(F.col("_to") > r, F.col("_v")))
+    out = ranked.groupBy(*keys).agg(holds(first).alias("_x"), holds(second).alias("_y"), F.first("_n").alias("_n"))
+    frac = at - F.floor(at)
+    out = out.withColumn(name, F.col("_x") + (F.col("_y") - F.col("_x")) * frac)
+    return out.select(*[k for k in keys if k != "_k"], name)
+
+
+def with_mad(df: DataFrame, keys: list[str], value: str, bracketed: bool | None = None) -> DataFrame:
     """One row per key: median and scaled MAD of value (two passes, joined on the key)."""
-    med = df.groupBy(*keys).agg(quantile(F.col(value), 0.5).alias("median"))
+    med = quantiles(df, keys, value, 0.5, "median", bracketed)
     dev = df.join(med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    mad = dev.groupBy(*keys).agg((F.lit(MAD_SCALE) * quantile(F.col("_dev"), 0.5)).alias("mad"))
-    return med.join(mad, keys)
+    mad = quantiles(dev, keys, "_dev", 0.5, "mad", bracketed)
+    return med.join(mad.withColumn("mad", F.lit(MAD_SCALE) * F.col("mad")), keys)
 
 
 def histogram(df: DataFrame, keys: list[str], value, lo: float, hi: float, bins: int) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.functions.arrays import EPS, dot_literal
+from lumenfold.functions.arrays import EPS
+from lumenfold.functions.stats import quantiles
+from lumenfold.operators.unmix import apply_kernel
 
 
 def unsaturated(df: DataFrame, array_col: str, limit: float) -> DataFrame:
@@ -23,7 +26,7 @@ def below_ceiling(df: DataFrame, x: str, y: str, max_x: float | None, max_y: flo
 def ratio_filter(df: DataFrame, keys: list[str], area: str, height: str, q: float) -> DataFrame:
     """Events whose area/height ratio is strictly below its exact quantile in the sample."""
     df = df.withColumn("_ratio", F.col(area) / (F.col(height) + EPS))
-    limits = df.groupBy(*keys).agg(F.percentile("_ratio", F.lit(q)).alias("_limit"))
+    limits = quantiles(df, keys, "_ratio", q, "_limit")
     return df.join(limits, keys).where("_ratio < _limit").drop("_ratio", "_limit")
 
 
@@ -36,15 +39,14 @@ def singlets(df: DataFrame, keys: list[str], pairs: list[tuple[str, str, float]]
 
 def not_like(df: DataFrame, array_col: str, spectra, threshold: float = 0.99) -> DataFrame:
     """Events whose cosine with every spectrum, after taking off the event's own mean, is below the threshold."""
-    import numpy as np
+    S = np.asarray(spectra, dtype=float)
 
-    a = F.col(array_col)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    df = df.withColumn("_c", F.transform(a, lambda x: x - mean))
-    size = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x))
-    for s in np.asarray(spectra):
-        df = df.where(dot_literal(F.col("_c"), s) / (size * float(np.linalg.norm(s)) + EPS) < threshold)
-    return df.drop("_c")
+    def greatest(X):
+        C = X - X.mean(1, keepdims=True)
+        return [((C @ S.T) / (np.linalg.norm(C, axis=1)[:, None] * np.linalg.norm(S, axis=1) + EPS)).max(1)]
+
+    scored = apply_kernel(df, array_col, S.shape[1], greatest, [("_like", "double")], drop=False)
+    return scored.where(F.col("_like") < threshold).drop("_like")
 
 
 def positives(df: DataFrame, value: str, negatives: DataFrame, q: float = 0.99, most: int | None = None, id_col: str = "event_id") -> DataFrame:
@@ -82,7 +84,6 @@ def nearest(queries: DataFrame, reference, k: int, q_id: str, axes: list[str], i
     reference: a NumPy matrix of a control's points, bounded by what a control keeps (ids: their ids); it is sent to
     every executor. Distances are taken in blocks of queries.
     """
-    import numpy as np
     import pyarrow as pa
 
     R, ids = np.asarray(reference, dtype=float), np.asarray(ids)

@@ -180,7 +180,7 @@ def peak_by_projection(spark, sf):
     s = class_spectra(events(spark, sf))
     af = np.array(s.where("label = 0").first()["spectrum"])
     unit = af / np.linalg.norm(af)
-    along = A.dot_literal(F.col("spectrum"), unit)
+    along = A.dot(F.col("spectrum"), A.lit_array(unit))
     o = F.zip_with("spectrum", A.lit_array(unit), lambda x, u: x - along * u)
     return s.where("label > 0").select("label", A.peak(o).alias("peak"))
 
