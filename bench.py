@@ -39,7 +39,7 @@ def main():
     queries = {n: registry.QUERIES[n] for n in HEADLINE} | {
         "ols_many_literal": throughput(lambda m, e: unmix.unmix_ols(m, all_classes(e), "x", names, "literal")),
         "ols_many_kernel": throughput(lambda m, e: unmix.unmix_ols(m, all_classes(e), "x", names, "kernel")),
-        "af_many": throughput(lambda m, e: unmix.unmix_autospectral(m, *dyes_and_background(e), "x")),
+        "af_many": throughput(lambda m, e: unmix.unmix_per_cell_af(m, *dyes_and_background(e), "x")),
     }
 
     def run(name):

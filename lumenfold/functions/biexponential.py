@@ -1,39 +1,40 @@
-"""Biexponential display scale: a numerically inverted sum of two exponentials, tabulated once and interpolated.
-
-value(y) = a e^(b y) - c e^(-d y) + f on a channel axis: linear near zero (width), logarithmic far from it.
-"""
+"""Biexponential display scale: a sum of two exponentials, linear around zero and logarithmic far from it, tabulated once
+and interpolated in both directions. The published parameters: channels, top value, decades above and below zero, width."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
+def _second_rate(b: float, w: float) -> float:
+    """d in (0, b] with 2 (ln d - ln b) + w (b + d) = 0."""
+    if w <= 0:
+        return b
+    lo, hi = 1e-12, b
+    for _ in range(200):
+        d = (lo + hi) / 2
+        lo, hi = (d, hi) if 2 * np.log(d / b) + w * (b + d) < 0 else (lo, d)
+    return (lo + hi) / 2
+
+
 class Biexponential:
-    def __init__(self, channels: int = 4096, top: float = 262144.0, positive: float = 4.5, negative: float = 0.0, width: float = -10.0, points: int = 8192):
-        """positive: decades above zero; negative: decades below; width: extent of the linear part, given as a negative number."""
-        self.channels, self.top = channels, top
-        decades = positive + negative
-        low = np.log10(-width) / 2 if width < -1 else 0.5
-        w = min(low / max(decades, 1e-9), 0.5)  # share of the axis around zero
-        neg = negative / max(decades, 1e-9)
-        b = (positive + low) * np.log(10)
-        if w == 0:
-            d = b
-        else:  # 2 (ln d - ln b) + w (b + d) = 0 by bisection
-            lo, hi = 1e-12, b
-            for _ in range(200):
-                d = (lo + hi) / 2
-                if 2 * (np.log(d) - np.log(b)) + w * (b + d) < 0:
-                    lo = d
-                else:
-                    hi = d
-        x0 = w + neg  # the axis position of zero before the share of negatives
-        c_a = np.exp(x0 * (b + d))
-        f_a = np.exp(b * x0) - c_a / np.exp(d * x0)
-        a = top / (np.exp(b) - f_a - c_a / np.exp(d))
-        y = np.linspace(0, 1, points)
-        self.axis = y * channels
-        self.values = a * np.exp(b * y) - a * c_a * np.exp(-d * y) - a * f_a
+    """f(y) = m (e^(b y) - s e^(-d y) - c) on 0..1 above its zero, mirrored below it; the axis has `channels` steps."""
+
+    def __init__(self, channels: int = 4096, top: float = 262144.0, positive: float = 4.5, negative: float = 0.0, width: float = -10.0):
+        decades = np.log10(-width) if width < -1 else 0.5  # extent of the linear part
+        extra = max(negative, 0.0) + decades / 2
+        above = max(positive - decades / 2, 0.1)
+        zero = min(extra / (extra + above), 0.5)
+        span = extra / zero  # decades of the whole axis
+        w = decades / (2 * span)
+        b = np.log(10) * span
+        d = _second_rate(b, w)
+        y = np.linspace(0, 1, channels + 1)
+        at = round(zero * channels)
+        up, down = np.exp(b * y), np.exp(-d * y) * np.exp((b + d) * (w + extra / span))
+        values = top / np.exp(b) * (up - down - (up[at] - down[at]))
+        values[:at] = -values[2 * at : at : -1]
+        self.axis, self.values, self.channels, self.top = y * channels, values, channels, top
 
     def __call__(self, x):
         """Channel of values; beyond the table's ends, its ends."""

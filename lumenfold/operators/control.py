@@ -237,3 +237,31 @@ def ordered_channels(found: list[str], database: list[str]) -> list[str]:
 def spectral_channels(columns: list[str], exclude: str, include: str | None = None) -> list[str]:
     """Detectors by name: what no exclusion pattern matches, and an inclusion pattern (if given) does."""
     return [c for c in columns if not re.search(exclude, c) and (include is None or re.search(include, c))]
+
+
+def unstained_sources(values: list[str | None]) -> list[tuple[str, str | None]]:
+    """Where each control's negative comes from: blank is internal, TRUE the experiment's unstained, else a file."""
+    out = []
+    for v in values:
+        v = (v or "").strip()
+        out.append(("internal", None) if not v else ("global", None) if v.upper() == "TRUE" else ("file", v))
+    return out
+
+
+def scatter_parameters(p, path: str | None = None) -> list[str]:
+    """Scatter channels from a one-column file if there is one, else the cytometer's."""
+    import os
+
+    if path and os.path.exists(path):
+        with open(path) as f:
+            return [line.strip().strip('"') for line in f if line.strip()][1:]
+    return list(p.scatter)
+
+
+def sample_scatter(events: DataFrame, scatter: list[str], n: int, id_col: str = "event_id", seed: int = 1) -> DataFrame:
+    """A uniform sample of the scatter columns; files of at most 500 events are refused."""
+    from lumenfold.operators.clean import sample_rows
+
+    if events.limit(501).count() <= 500:
+        raise ValueError("at most 500 events")
+    return sample_rows(events, n, id_col, seed).select(id_col, *[F.col(f"`{c}`") for c in scatter])

@@ -150,6 +150,26 @@ def find_gate(df: DataFrame, x: str, y: str, lo, hi, n: int = 100, share: float
     return gate if large is None else stretched(gate, large, hi[0], hi[1])
 
 
+def landmark_gate(stained: DataFrame, value: str, x: str, y: str, lo, hi, n_events: int = 2000, share: float = 0.7, n: int = 100, sample: str = "sample", id_col: str = "event_id") -> list[tuple[float, float]]:
+    """Where the brightest stained events lie: the hull of the density region with `share` of the mass of the n_events
+    brightest of every control."""
+    from lumenfold.operators.clean import top
+
+    bright = top(stained, value, n_events, [sample], id_col)
+    z = np.zeros((n, n))
+    for r in kde(bright, x, y, lo, hi, n, ((hi[0] - lo[0]) / 30, (hi[1] - lo[1]) / 30)).collect():
+        z[r["i"], r["j"]] = r["density"]
+    if z.sum() <= 0:
+        raise ValueError("no event in range")
+    return density_hull(z, np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n), share)
+
+
+def palette(density, low: float, high: float, colours: int = 12) -> Column:
+    """Index (from 0) of a density in a palette of equal steps."""
+    step = (high - low) / colours
+    return F.greatest(F.lit(0), F.least(F.lit(colours - 1), F.floor((density - low) / step).cast("int")))
+
+
 def voronoi(df: DataFrame, x: str, y: str, peaks: list[tuple[float, float]]) -> DataFrame:
     """Each event with its nearest peak (index from 0, lowest of equals): expressions over a handful of constants."""
     d = [F.struct(((F.col(x) - float(px)) ** 2 + (F.col(y) - float(py)) ** 2).alias("d"), F.lit(i).alias("i")) for i, (px, py) in enumerate(peaks)]

@@ -38,11 +38,12 @@ def wls_each(X: np.ndarray, S: np.ndarray, W: np.ndarray) -> np.ndarray:
     return np.linalg.solve(gram, ((X * W) @ S.T)[..., None])[..., 0]
 
 
-def poisson(X: np.ndarray, S: np.ndarray, start: np.ndarray, iterations: int = 100, tol: float = 1e-6, floor: float = 1e-6) -> np.ndarray:
+def poisson(X: np.ndarray, S: np.ndarray, start: np.ndarray, iterations: int = 100, tol: float = 1e-6, floor: float = 1e-6, divergence: float | None = None, handling: str = "Keep", balance: float = 0.5) -> np.ndarray:
     """Poisson regression with identity link by iteratively reweighted least squares, all events at once.
 
     Data and start are clamped to `floor`, spectra to absolute values. Events that do not converge keep their start;
-    a step that raises the deviance is halved.
+    a step that raises the deviance is halved. With `divergence`, events whose fit left the start by more than that
+    factor of its size are handled: Keep the start, or Balance (our definition: `balance` of the fit, the rest start).
     """
     X, S = np.maximum(X, floor), np.abs(S)
     first = np.maximum(start, floor)
@@ -76,7 +77,11 @@ def poisson(X: np.ndarray, S: np.ndarray, start: np.ndarray, iterations: int = 1
         u[live], dev[live] = new, now
         done[live[ok]] = True
         live = live[~ok]
-    return np.where(done[:, None], u, first)
+    out = np.where(done[:, None], u, first)
+    if divergence is not None:
+        off = np.abs(out - first).max(1) > divergence * np.maximum(np.abs(first).max(1), floor)
+        out[off] = first[off] if handling == "Keep" else balance * out[off] + (1 - balance) * first[off]
+    return out
 
 
 def af_by_residual(X: np.ndarray, S: np.ndarray, A: np.ndarray) -> np.ndarray:

@@ -108,13 +108,13 @@ def unmix_wls_per_cell(df, panel: Panel, array_col="spectral", floor=1e-6, names
     return apply_kernel(df, array_col, S.shape[1], lambda X: list(kernels.wls_each(X, S, 1 / np.maximum(np.abs(X), floor)).T), fields)
 
 
-def unmix_poisson(df, panel: Panel, array_col="spectral", weights=None, names=None, iterations=100):
-    """Poisson fit started from weighted least squares; events that do not converge keep the start."""
+def unmix_poisson(df, panel: Panel, array_col="spectral", weights=None, names=None, iterations=100, **options):
+    """Poisson fit started from weighted least squares; events that do not converge keep the start. options: see the kernel."""
     S = panel.S
     w = kernels.weights(column_mean(df, array_col, S.shape[1])) if weights is None else np.asarray(weights)
     P = kernels.wls(S, w)
     fields = [(str(n), "double") for n in names or panel.names]
-    return apply_kernel(df, array_col, S.shape[1], lambda X: list(kernels.poisson(X, S, X @ P.T, iterations).T), fields)
+    return apply_kernel(df, array_col, S.shape[1], lambda X: list(kernels.poisson(X, S, X @ P.T, iterations, **options).T), fields)
 
 
 #: Rules that assign a background row to each event, by name.
@@ -137,7 +137,7 @@ def assign_variants(df, panel: Panel, dye, variants: np.ndarray, array_col="spec
     return apply_kernel(df, array_col, S.shape[1], lambda X: [kernels.variants(X, S, f, variants, by_cosine) + 1], [(name, "int")])
 
 
-def unmix_autospectral(df, panel: Panel, af: Panel, array_col="spectral", rule="fluorophores", library=None, thresholds=None, tries=10, names=None):
+def unmix_per_cell_af(df, panel: Panel, af: Panel, array_col="spectral", rule="fluorophores", library=None, thresholds=None, tries=10, names=None):
     """Per-event background: assigned row, then least squares with it; optionally variants on what is left."""
     if len(af.S) < 2:
         raise ValueError("at least two background spectra are needed")
@@ -173,7 +173,12 @@ def unmix_joint(df, panel: Panel, af: Panel, library, thresholds, array_col="spe
     return apply_kernel(df, array_col, S.shape[1], run, [*[(n, "double") for n in names], ("AF", "double"), ("AF Index", "int")])
 
 
-METHODS = {"OLS": unmix_ols, "WLS": unmix_wls, "WLSPerCell": unmix_wls_per_cell, "Poisson": unmix_poisson, "AutoSpectral": unmix_autospectral, "Joint": unmix_joint}
+def unmix_fast_poisson(df, panel: Panel, array_col="spectral", **options):
+    """The same kernel with a guard against divergence, as the accelerated variant has."""
+    return unmix_poisson(df, panel, array_col, **{"divergence": 1e4, "handling": "Balance", "balance": 0.5} | options)
+
+
+METHODS = {"FastPoisson": unmix_fast_poisson, "OLS": unmix_ols, "WLS": unmix_wls, "WLSPerCell": unmix_wls_per_cell, "Poisson": unmix_poisson, "PerCellAF": unmix_per_cell_af, "Joint": unmix_joint}
 
 
 def unmix(df: DataFrame, method: str, panel: Panel, **options) -> DataFrame:

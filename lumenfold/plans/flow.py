@@ -158,7 +158,7 @@ def automated_spectra(events: DataFrame, p: Parameters, library: Panel | None =
 
 def unmix_events(events: DataFrame, p: Panel, method: str = "OLS", af: Panel | None = None, **options) -> DataFrame:
     """Events unmixed by a named method; dye columns get the suffix -A, the background index does not."""
-    if method in ("AutoSpectral", "Joint"):
+    if method in ("PerCellAF", "Joint"):
         if af is None or len(af.S) < 2:
             raise ValueError(f"{method} needs at least two background spectra")
         p, options = p.without("AF"), {**options, "af": af}

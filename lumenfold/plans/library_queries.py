@@ -261,3 +261,78 @@ def fcs_round_trip(spark, sf):
     wide.coalesce(1).write.format("fcs").mode("overwrite").save(path)
     back = spark.read.format("fcs").option("rows", 200).load(path)
     return back.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("D0"), 5).alias("d0"))
+
+
+@query("worst_channels", f"{BASE} SELECT label, pos::INT AS pos, round(sd, 6) + 0.0 AS sd FROM (SELECT label, pos, stddev_samp(v) AS sd, row_number() OVER (PARTITION BY label ORDER BY round(stddev_samp(v), 9) DESC, pos) AS r FROM lg GROUP BY label, pos) WHERE r <= 2")
+def worst_channels(spark, sf):
+    """The two detectors with the largest deviation in each class."""
+    from lumenfold.operators import clean
+
+    s = class_spectra(events(spark, sf), how=F.stddev_samp).select("label", F.posexplode("spectrum").alias("pos", "sd"))
+    return clean.top(s.withColumn("k", F.round("sd", 9)), "k", 2, ["label"], "pos").select("label", "pos", r6(F.col("sd")).alias("sd"))
+
+
+@query("bootstrap_sample", "WITH n AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT vec_id AS i, (vec_id * 7919 + 104729) % n AS place FROM embeddings, n), r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) SELECT i, vec_id FROM d JOIN r USING (place)")
+def bootstrap_sample(spark, sf):
+    """A sample with replacement of the same size: draw i takes the row at a position that a multiplicative hash gives."""
+    from pyspark.sql.window import Window
+
+    e = events(spark, sf).select("vec_id")
+    n = e.count()
+    rows = e.withColumn("at", F.row_number().over(Window.orderBy("vec_id")) - 1)  # one control's events
+    return e.select(F.col("vec_id").alias("i"), ((F.col("vec_id") * 7919 + 104729) % n).alias("at")).join(rows, "at").select("i", "vec_id")
+
+
+@query("scatter_match_benchmark")
+def scatter_match_benchmark(spark, sf):
+    """Background by scatter, with and without a library, against the rules on spectra: mean cosine of unstained events."""
+    ev = events(spark, sf)
+    dyes, af = dyes_and_background(ev)
+    ref = ev.where("label = 0 AND vec_id % 2 = 0").orderBy("vec_id").select("x").collect()  # half of one control is the reference
+    R = np.array([r["x"] for r in ref])
+    test = ev.where("label = 0 AND vec_id % 2 = 1")
+    two = test.select("vec_id", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"), "x")
+    out = evaluate.background_accuracy(test, dyes, af, ["residuals", "fluorophores"]).select("rule", "mean_cosine")
+    for name, lib in (("scatter", None), ("scatter_library", af)):
+        one = evaluate.scatter_match(two, R, R[:, :2], dyes, lib, ["a", "b"], "x").agg(F.avg("cosine").alias("mean_cosine"))
+        out = out.unionByName(one.select(F.lit(name).alias("rule"), "mean_cosine"))
+    return out.select("rule", r6(F.col("mean_cosine")).alias("mean_cosine"))
+
+
+@query("remove_background")
+def remove_background(spark, sf):
+    """Events of each control that stay once its background events are removed."""
+    from lumenfold.operators.af_removal import remove_background as run
+
+    ev = events(spark, sf)
+    peaks = {f"dye{r['label']}": r["peak"] for r in class_spectra(ev.where("label > 0")).select("label", A.peak(F.col("spectrum")).alias("peak")).collect()}
+    neg = np.array([r["x"] for r in ev.where("label = 0").orderBy("vec_id").select("x").collect()])
+    rows = ev.where("label > 0").select(F.concat(F.lit("dye"), F.col("label")).alias("sample"), "vec_id", F.col("x").alias("spectral"))
+    return run(rows, neg, peaks).groupBy("sample").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("landmark_gate")
+def landmark_gate(spark, sf):
+    from lumenfold.operators import gate
+    from lumenfold.operators.events import lineitem
+
+    li = lineitem(spark, sf, "l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    g = gate.landmark_gate(li, "l_extendedprice", "l_quantity", "l_extendedprice", (0.0, 0.0), (51.0, 110000.0), sample="l_returnflag", id_col="l_orderkey", n=40)
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(g)], "ord int, x double, y double")
+
+
+@query("density_palette", "SELECT event_type, greatest(0, least(11, floor(value / (500.0::DOUBLE / 12))::INT))::INT AS colour, count(*) AS n FROM events GROUP BY ALL")
+def density_palette(spark, sf):
+    from lumenfold.operators.events import table
+    from lumenfold.operators.gate import palette
+
+    return table(spark, sf, "events").groupBy("event_type", palette(F.col("value"), 0.0, 500.0).alias("colour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("unmix_fast_poisson")
+def unmix_fast_poisson(spark, sf):
+    ev = events(spark, sf)
+    counts = ev.select("vec_id", F.transform("x", lambda v: F.round((v + 1) * 1000)).alias("x"))
+    panel = Panel.collect(class_spectra(ev), "label", "spectrum")
+    out = unmix.unmix_fast_poisson(counts, panel, "x", names=[f"u{i}" for i in range(10)])
+    return out.select("vec_id", *[r6(F.col(f"u{i}"), 4).alias(f"u{i}") for i in range(10)])

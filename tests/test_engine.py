@@ -85,10 +85,10 @@ def test_unmixed_files(spark, tmp_path, scene):
         keys = fcs.header(made[0])
         assert keys["UNMIXINGMETHOD"] == method and keys["SPECTRA"].startswith("3,5,d1,d2,d3,V1-A") and ("WEIGHTS" in keys) == (method != "OLS")
     af = Panel(["AF1", "AF2"], np.array([[0.4, 1, 0.2, 0.1, 0.1], [0.1, 0.3, 0.3, 1, 0.6]]), DETECTORS)
-    made = flow.unmix_file(spark, str(src / "a.fcs"), str(tmp_path), panel, p, "AutoSpectral", af)
+    made = flow.unmix_file(spark, str(src / "a.fcs"), str(tmp_path), panel, p, "PerCellAF", af)
     assert fcs.read_rows(made)[0][-2:] == ["AF-A", "AF Index"]
     with pytest.raises(ValueError):
-        flow.unmix_file(spark, str(src / "a.fcs"), str(tmp_path), panel, p, "AutoSpectral", Panel(["AF1"], af.S[:1], DETECTORS))
+        flow.unmix_file(spark, str(src / "a.fcs"), str(tmp_path), panel, p, "PerCellAF", Panel(["AF1"], af.S[:1], DETECTORS))
     with pytest.raises(ValueError):
         flow.unmix_file(spark, str(src / "a.fcs"), str(tmp_path), Panel(["x"], np.ones((1, 1)), ["none"]), p)
     with pytest.raises(ValueError):
@@ -314,3 +314,15 @@ def test_bracketed_quantiles_are_exact(spark, q):
     if q == 0.5:
         a, b = (sorted(map(tuple, with_mad(df.where("v IS NOT NULL"), ["k"], "v", x).collect())) for x in (False, True))
         assert [r[0] for r in a] == [r[0] for r in b] and np.allclose([r[1:] for r in a], [r[1:] for r in b])
+
+
+def test_small_helpers(spark, tmp_path):
+    assert control.unstained_sources([None, " ", "true", "x.fcs"]) == [("internal", None), ("internal", None), ("global", None), ("file", "x.fcs")]
+    p = params.parameters("opteon")
+    assert control.scatter_parameters(p) == ["FSC-A", "VSSC-A"]
+    (tmp_path / "s.csv").write_text("parameter\nA-A\nB-A\n")
+    assert control.scatter_parameters(p, str(tmp_path / "s.csv")) == ["A-A", "B-A"]
+    df = spark.range(600).select(F.col("id").alias("event_id"), F.rand(1).alias("FSC-A"))
+    assert control.sample_scatter(df, ["FSC-A"], 100).count() == 100
+    with pytest.raises(ValueError):
+        control.sample_scatter(df.limit(500), ["FSC-A"], 100)

@@ -131,3 +131,29 @@ def test_gate_geometry():
     for bad in ({"x": [1]}, {"x": [1, 2], "y": [1, 2]}, {"x": [1, 2, 9], "y": [1, 2, 3]}):
         with pytest.raises(ValueError):
             gate.check_polygon("g", bad, 5, 5)
+
+
+def test_background_removal():
+    from lumenfold.operators import af_removal
+
+    rng = np.random.default_rng(8)
+    af = np.array([0.1, 0.2, 1.0, 0.7, 0.2, 0.1])
+    dye = np.array([1.0, 0.4, 0.1, 0.0, 0.0, 0.0])
+    N = rng.normal(0, 5, (3000, 6))
+    N[2000:] += rng.lognormal(6.5, 0.4, 1000)[:, None] * af
+    X = rng.normal(0, 5, (3000, 6))
+    X[1000:2000] += rng.lognormal(7, 0.5, 1000)[:, None] * dye
+    X[2000:] += rng.lognormal(6.5, 0.4, 1000)[:, None] * af
+    keep = af_removal.keep_mask(X, N, 0)
+    assert keep[:1000].mean() > 0.95 and keep[1000:2000].mean() > 0.9 and keep[2000:].mean() < 0.3
+    assert af_removal.keep_mask(X[:5], N, 0).all()
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    assert af_removal.inside(np.array([(2, 2), (0, 2), (4, 4), (5, 1)], float), square).tolist() == [True, True, True, False]
+
+
+def test_divergent_fits_are_balanced():
+    Y = RNG.poisson(X).astype(float)
+    start = np.full((len(X), 3), 1e-3)
+    fit = kernels.poisson(Y, S, start)
+    half = kernels.poisson(Y, S, start, divergence=10.0, handling="Balance", balance=0.5)
+    assert np.allclose(half, (fit + start) / 2) and np.allclose(kernels.poisson(Y, S, start, divergence=10.0), start)
