@@ -51,18 +51,20 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int)
     return many.unionByName(few)
 
 
-def salts(total: int, rows_per_part: int = 50_000, least: int = 64) -> int:
-    """How many parts to deal a possibly hot key into."""
-    return max(least, -(-total // rows_per_part))
+def parts_for(count: int, rows_per_part: int = 50_000) -> int:
+    """How many parts to deal a key with so many rows into: a few hundred rows each while small, 50,000 when large."""
+    return max(1, min(64, count // 500), -(-count // rows_per_part))
 
 
-def ranked(rows: DataFrame, key: list[str], order: list, parts: int, name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, key: list[str], order: list, parts, name: str = "rank") -> DataFrame:
     """rows with a rank from 0 within key, dense and total, without gathering a key in one task.
 
-    A key's rows are dealt into `parts` salted parts by a hash of the order columns; ranks run through the parts in turn.
-    rows should be a written table: it is read twice. At most parts * keys count rows pass through the offset window.
+    A key's rows are dealt into `parts` salted parts (a number, or a column that is constant in a key) by a hash of the
+    order columns; ranks run through the parts in turn. rows should be a written table: it is read twice. One row a key
+    and part passes the offset window.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    parts = F.lit(parts) if isinstance(parts, int) else parts
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), parts.cast("long")).cast("int"))
     sums = salted.groupBy(*key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

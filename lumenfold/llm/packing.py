@@ -11,6 +11,7 @@ tie pieces to places are computed by the executors.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._common import lean, process_cache, ranked, salts, written
+from lumenfold.llm._common import lean, parts_for, process_cache, ranked, written
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,15 +33,11 @@ def tokenizer(path: str):
     cache = process_cache()
     if path in cache:
         return cache[path]
-    import json
     import re
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -48,16 +45,25 @@ def tokenizer(path: str):
     byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
     special = {t["content"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    del spec
     fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     long_run = re.compile(r"\S{5000}|\s{5000}")
 
+    def slow(text: str) -> list[int]:
+        if "slow" not in cache:  # seldom needed
+            from tokenizers import Tokenizer
+
+            cache["slow"] = Tokenizer.from_file(path)
+            cache["slow"].encode_special_tokens = True
+        return cache["slow"].encode(text, add_special_tokens=False).ids
+
     def encode(text: str) -> np.ndarray:
         if len(text) < 5000 or not long_run.search(text):
             try:
                 return fast.encode_to_numpy(text, disallowed_special=())
             except (ValueError, RuntimeError):
                 pass
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(slow(text), dtype="<u4")
 
     cache[path] = encode
     return encode
@@ -140,7 +146,9 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
     by_length = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = place(by_length, capacity)
     total = sum(by_length.values())
-    ordered = ranked(parts, ["length"], ["doc_id", "row", "piece"], salts(total))
+    # lengths with many pieces are ranked in many parts
+    deal = F.get(F.from_json(F.lit(json.dumps([parts_for(by_length.get(n, 0)) for n in range(capacity + 1)])), "array<int>"), F.col("length").cast("int"))
+    ordered = ranked(parts, ["length"], ["doc_id", "row", "piece"], deal)
     stride = max(total, 1) + 1
     keys = runs["length"] * stride + runs["rank"]  # ascending
 
