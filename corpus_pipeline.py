@@ -6,13 +6,11 @@ stage's docs. All but the last return the columns of documents. Stages read all
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._common import chosen, written
-from lumenfold.llm.exact_dedup import DigestIndex
+from lumenfold.llm.exact_dedup import fresh_index
 from lumenfold.llm.mixing import mix
 from lumenfold.llm.near_dedup import near_duplicates
 from lumenfold.llm.packing import default_tokenizer, pack_documents
@@ -31,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays, by an index that starts empty."""
     docs = docs.select(COLUMNS)
-    decided = DigestIndex(spark, f"lumenfold_digests_{uuid.uuid4().hex}").absorb(docs)
+    decided = fresh_index(docs).absorb(docs)
     return chosen(docs, decided.where("kept"))
 
 

@@ -84,10 +84,15 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def fresh_index(docs: DataFrame) -> DigestIndex:
+    """An empty index of its own name, with a bucket for every two million rows of docs, 32 at least."""
+    return DigestIndex(docs.sparkSession, f"lumenfold_digests_{uuid.uuid4().hex}", max(32, docs.count() // 2_000_000))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against an index that starts empty."""
-    index = DigestIndex(spark, f"lumenfold_digests_{uuid.uuid4().hex}")
-    return index.absorb(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return fresh_index(docs).absorb(docs).drop("text_hash")
 
 
 ORACLE = {
