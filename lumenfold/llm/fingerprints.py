@@ -48,11 +48,11 @@ def bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
     if parts < 2:
         return []
     cuts = [k / parts for k in range(1, parts)]
-    found = docs.agg(F.percentile_approx(id_col, cuts, 20 * parts).alias("b")).first()["b"] or []
+    found = docs.agg(F.percentile_approx(id_col, cuts, min(20 * parts, max(20_000, 2 * parts))).alias("b")).first()["b"] or []
     return sorted(set(found))
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: bool = False, rows_per_range: int = 2_000) -> DataFrame:
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: bool = False, range_chars: int | None = None) -> DataFrame:
     """One row per input row: id, n_chars (code points), fingerprint; null text counts as empty. Empty input: no rows.
 
     With edits, also what the fingerprint is worth under an edit: edited_sha256 and edited_fingerprint of the text
@@ -65,10 +65,12 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and the row each range borrows from the next one travel in the same shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim = rows.select("id", canonical(F.col("text")).alias("c")).select("id", wide_hash(F.col("c")).alias("h"))
+    slim = rows.select("id", F.length("text").alias("size"), canonical(F.col("text")).alias("c")).select("id", "size", wide_hash(F.col("c")).alias("h"))
     slim = written(slim, "hashes")
-    n = slim.count()
-    cuts = bounds(slim.where("id IS NOT NULL"), "id", max(1, n // rows_per_range))
+    n, chars = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # ranges of six million characters, and of up to a hundred million where there would be over a hundred thousand of them
+    size = range_chars or min(100_000_000, max(6_000_000, chars // 100_000))
+    cuts = bounds(slim.where("id IS NOT NULL"), "id", max(1, min(n, -(-chars // size))))
     # ranges count from the top: 0 holds the largest ids, the last one the null ids too
     place = _range_of(F.col("id"), cuts) if cuts else F.lit(0)
     twice = slim.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
