@@ -11,7 +11,7 @@ EPS = 1e-9
 
 
 def as_doubles(a: str | Column) -> Column:
-    return F.transform(F.col(a) if isinstance(a, str) else a, lambda x: x.cast("double"))
+    return (F.col(a) if isinstance(a, str) else a).cast("array<double>")
 
 
 def lit_array(values) -> Column:

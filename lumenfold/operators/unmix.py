@@ -85,10 +85,11 @@ def column_mean(df: DataFrame, array_col: str, width: int) -> np.ndarray:
 
 
 def project(df: DataFrame, array_col: str, P: np.ndarray, names: list[str], how: str = "auto") -> DataFrame:
-    """u = P x as columns: literals while the matrix is small, else a kernel."""
+    """u = P x as columns in place of the array (which need not travel back from a kernel): literals while the matrix is
+    small, else a kernel."""
     if how == "literal" or how == "auto" and P.size <= MOST_LITERALS:
-        return df.withColumns({n: dot_literal(F.col(array_col), p) for n, p in zip(names, P, strict=True)})
-    return apply_kernel(df, array_col, P.shape[1], lambda X: list((X @ P.T).T), [(n, "double") for n in names], drop=False)
+        return df.withColumns({n: dot_literal(F.col(array_col), p) for n, p in zip(names, P, strict=True)}).drop(array_col)
+    return apply_kernel(df, array_col, P.shape[1], lambda X: list((X @ P.T).T), [(n, "double") for n in names])
 
 
 def unmix_ols(df, panel: Panel, array_col="spectral", names=None, how="auto"):

@@ -115,7 +115,7 @@ def rlm_spectra(spark, sf):
 @query("unmix_ols", f"{BASE}, {DYES}, {pinv(10)} SELECT vec_id, {wide(10, 'list_dot_product(x, (SELECT p FROM pp WHERE i = {i}))')} FROM ev")
 def unmix_ols(spark, sf):
     ev = events(spark, sf)
-    out = unmix.unmix_ols(ev, all_classes(ev), "x", U10)
+    out = unmix.unmix_ols(ev.select("vec_id", "x"), all_classes(ev), "x", U10)
     return out.select("vec_id", *[A.rounded(F.col(u)).alias(u) for u in U10])
 
 
@@ -131,7 +131,7 @@ def unmix_weights(spark, sf):
 def unmix_wls(spark, sf):
     ev = events(spark, sf)
     w = kernels.weights(unmix.column_mean(ev, "x", WIDTH), 1e-3)
-    out = unmix.unmix_wls(ev, all_classes(ev), "x", w, U10)
+    out = unmix.unmix_wls(ev.select("vec_id", "x"), all_classes(ev), "x", w, U10)
     return out.select("vec_id", *[A.rounded(F.col(u)).alias(u) for u in U10])
 
 
