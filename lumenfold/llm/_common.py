@@ -34,7 +34,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -76,7 +76,7 @@ class DigestIndex:
         (
             groups.select("digest", "keep_id", "n")
             .repartition(self.buckets, "digest")
-            .write.mode(mode).format("parquet").option("compression", "zstd")
+            .write.mode(mode).format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
         )
 
