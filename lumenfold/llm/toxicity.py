@@ -213,14 +213,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score in [0, 1]. Null and empty texts get the score of an empty text; other columns pass through."""
-    handle = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees: bounded by their parameters
+    """docs with a score in [0, 1]. Null and empty texts get the score of an empty text; other columns pass through.
+
+    The model travels with the plan: lexicon and trees are bounded by their parameters.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
-        m = handle.value
         for batch in lean(batches):
-            p = m.score([t or "" for t in batch.column(at).to_pylist()])
+            p = model.score([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
