@@ -37,8 +37,7 @@ def main():
 
     names = [f"u{i}" for i in range(10)]
     queries = {n: registry.QUERIES[n] for n in HEADLINE} | {
-        "ols_many_literal": throughput(lambda m, e: unmix.unmix_ols(m, all_classes(e), "x", names, "literal")),
-        "ols_many_kernel": throughput(lambda m, e: unmix.unmix_ols(m, all_classes(e), "x", names, "kernel")),
+        "ols_many": throughput(lambda m, e: unmix.unmix_ols(m, all_classes(e), "x", names)),
         "af_many": throughput(lambda m, e: unmix.unmix_per_cell_af(m, *dyes_and_background(e), "x")),
     }
 

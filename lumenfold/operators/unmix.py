@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from lumenfold.functions.arrays import dot_literal
 from lumenfold.operators import kernels
 
-#: Up to so many constants a matrix is inlined as literals; beyond, it goes to a kernel (640 constants: six times faster there).
+#: Up to so many constants a matrix is inlined as literals; beyond, it goes to a kernel (640 constants: twelve times faster there).
 MOST_LITERALS = 100
 
 
