@@ -28,7 +28,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# Runs of %xx that are UTF-8; other bytes between them stay as they are.
+_X, _MORE = "[0-9A-Fa-f]", "%[89ABab][0-9A-Fa-f]"
+PERCENT = re.compile(
+    rf"(?:%[0-7]{_X}|%(?:[Cc][2-9A-Fa-f]|[Dd]{_X}){_MORE}|%[Ee]0%[ABab]{_X}{_MORE}|%[Ee][1-9A-CEFa-cef]{_MORE}{_MORE}|%[Ee][Dd]%[89]{_X}{_MORE}"
+    rf"|%[Ff]0%[9ABab]{_X}{_MORE}{_MORE}|%[Ff][1-3]{_MORE}{_MORE}{_MORE}|%[Ff]4%8{_X}{_MORE}{_MORE})+"
+)
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_MASK = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -65,29 +70,33 @@ def _inflate(data: bytes) -> bytes | None:
     return None
 
 
-def _readable(data: bytes) -> str | None:
+def _readings(data: bytes) -> list[str]:
+    """The texts that bytes may be. All secrets are ASCII, so for bytes that are not UTF-8 one character a byte will do;
+    where there are zero bytes, UTF-16 of either order from either offset as well."""
     try:
-        text = data.decode("utf-8")
+        found = [data.decode("utf-8")]
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and odd == 0 else None
+        found = [data.decode("latin-1")]
+    if b"\0" in data:
+        found += [part.decode(order, "replace") for part in (data, data[1:]) for order in ("utf-16-le", "utf-16-be")]
+    return [t for t in found if t]
 
 
-def _decode64(token: str) -> str | None:
-    """The readable text in a base64 token, through compression if there is some."""
+def _decode64(token: str) -> list[str]:
+    """The texts in a base64 token, and in what is compressed there."""
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return []
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    seen = set()
+        return []
+    found, seen = _readings(data), set()
     while (more := _inflate(data)) is not None and more not in seen:
         seen.add(data)
         data = more
-    return _readable(data)
+        found += _readings(data)
+    return found
 
 
 def _unescape(pattern: re.Pattern, decode, text: str, spans: list | None):
@@ -114,11 +123,8 @@ def _unescape(pattern: re.Pattern, decode, text: str, spans: list | None):
     return "".join(out), where
 
 
-def _percent(s: str) -> str | None:
-    try:
-        return bytes.fromhex(s.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(s: str) -> str:
+    return bytes.fromhex(s.replace("%", "")).decode("utf-8")
 
 
 def _escape(s: str) -> str | None:
@@ -127,8 +133,8 @@ def _escape(s: str) -> str | None:
             return chr(int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1]))
         if s[1] == "x" or s[2] == "{":
             return chr(int(s[2:].strip("{}"), 16))
-        return bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be")
-    except (ValueError, OverflowError, UnicodeDecodeError):
+        return bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be", "replace")
+    except (ValueError, OverflowError):
         return None
 
 
@@ -151,10 +157,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             layers.append(_unescape(ESCAPE, _escape, layer, spans))
         if b"b" * 16 in layer.encode("latin-1", "replace").translate(_B64_MASK):
             for m in BASE64.finditer(layer):
-                inner = _decode64(m[0])
-                if inner is not None:
-                    at = (m.start(), m.end()) if spans is None else (spans[m.start()][0], spans[m.end() - 1][1])
-                    layers.append((inner, [at] * len(inner)))
+                at = (m.start(), m.end()) if spans is None else (spans[m.start()][0], spans[m.end() - 1][1])
+                layers += [(inner, [at] * len(inner)) for inner in _decode64(m[0])]
         for one in layers:
             if one is not None:
                 mark = hashlib.blake2b(repr((one[0], one[1][0] if one[1] else None)).encode("utf-8", "replace"), digest_size=16).digest()

@@ -64,6 +64,25 @@ def test_secrets_nested():
     assert spans("%25" * 50) == [] and spans("A" * 64) == [] and spans("QUJD" * 8) == []
 
 
+def test_secrets_in_layers_of_any_text():
+    secret = "password=hunter2secret"
+    for layer in [
+        *(f"{odd} texte{odd} {secret}" for odd in "\u00a0\u202f\u3000\ufeff\u200b\u00ad\0\f"),
+        f"\ufeff{base64.b64encode(f'{secret} é\u00a0!'.encode()).decode()}",
+    ]:
+        for data in (layer.encode(), gzip.compress(layer.encode())):
+            wrapped = base64.b64encode(data).decode()
+            assert ("assign", wrapped) in spans(f"see {wrapped} there"), layer
+    for data in (f"déjà {secret}".encode("latin-1"), b"\xff\xfe\x80 " + secret.encode(), *(f"{p}{secret}".encode(c) for p in ("", "é") for c in ("utf-16", "utf-16-be"))):
+        wrapped = base64.b64encode(data).decode()
+        assert ("assign", wrapped) in spans(f"see {wrapped} there"), data
+    every = "".join(f"%{b:02X}" for b in b"token=abcdef99")
+    for bad in ("%FF", "%C3", "%ED%A0%80", "%E2%82"):
+        assert spans(f"go {bad}{every}{bad} on") == [("assign", every)]
+    assert ("assign", "\\ud800\\u0070\\u0061sswd=qwerty77") in spans("a \\ud800\\u0070\\u0061sswd=qwerty77 b")
+    assert spans("/usr/share/lib/python/modules " * 20 + "Z" * 400) == []
+
+
 # --- html
 
 
