@@ -1,13 +1,15 @@
-"""Main text of HTML pages: structure first, then boilerplate found by a suffix array per host.
+"""Main text of HTML pages: structure first, then boilerplate found as repeated runs of words per host.
 
 1. A page is read into blocks (paragraphs, headings, list items ...), each known to lie inside or outside an article
    container, with its share of link text. Elements that are boilerplate by tag, role, class or id are left out.
-2. The block stream of each page is a token stream of block digests. The suffixes of all streams of a host are sorted
-   (range partitioned, so a large host takes many tasks); neighbours that share a prefix are the repeated runs, counted
-   over distinct pages: pages with equal streams count once.
-3. Blocks covered by runs repeated over enough distinct pages of the host go. Inside an article container that takes
-   half of the host's distinct pages (a site-wide notice), so that articles that quote or copy each other stay whole;
-   elsewhere a few pages are enough.
+2. The words of a page's blocks are one stream. A repeated run is a whole block, or any LONG words or more across or
+   inside blocks, on enough distinct pages of the host: pages with equal streams count once. A run of any length above LONG
+   is the union of its windows of LONG words, which are as repeated as the run; so windows are counted by hash, and no
+   suffix needs sorting. Only windows whose minimizer (the least hash of their GRAM-word grams) is repeated as often can
+   be, so minimizers are counted first.
+3. Words in such runs go. Inside an article container a run must take half of the host's distinct pages (a site-wide
+   notice), so that articles that quote each other stay whole; elsewhere a few pages are enough.
+4. Near copies stay: where runs cover most of a page, and most pages that have a run are such pages, the run is text.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import html
 import re
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,69 +167,134 @@ def digest(s: str) -> int:
     return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-#: Blocks a suffix is compared by.
-WIDTH = 4
+#: Words of a run that counts without being a whole block, and of the grams whose least hash stands for such a window.
+LONG, GRAM = 24, 8
+#: More row numbers than this go by a shuffled join.
+MANY = 200_000
 
 
-def repeated_blocks(pages: DataFrame, least_pages: int = 3) -> DataFrame:
-    """pages(host, html) -> (host, block digest, pages, run, host_pages): blocks that start a run shared by at least
-    `least_pages` distinct pages of the host, from the host's sorted suffixes; run: blocks of the longest one (WIDTH at most)."""
+class Ids(dict):
+    """Hashes of words, kept."""
 
-    def streams(batches):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = n = digest(word)
+        return n
+
+
+def _rolled(x: np.ndarray, n: int, step: int = 1) -> np.ndarray:
+    """Hash of every n elements that lie `step` apart."""
+    m = len(x) - (n - 1) * step
+    out = x[:m].copy()
+    for j in range(1, n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + x[j * step : j * step + m]
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def windows(blocks: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words by block, hash of every window of LONG words, its minimizer)."""
+    words = [s.split(" ") for s in blocks]
+    counts = np.array([len(w) for w in words], np.int64)
+    if counts.sum() < LONG:
+        return counts, np.empty(0, np.int64), np.empty(0, np.int64)
+    x = np.fromiter((ids[w] for ws in words for w in ws), np.int64, counts.sum()).view(np.uint64)
+    gram = _rolled(x, GRAM)
+    whole = _rolled(gram, LONG // GRAM, GRAM)
+    least = np.lib.stride_tricks.sliding_window_view(gram.view(np.int64), LONG - GRAM + 1).min(1)
+    return counts, whole.view(np.int64), least
+
+
+def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of x are in sorted keys?"""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
+def covered(blocks: list[str], keys: np.ndarray, ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words by block, which words lie in runs of the sorted keys, the keys met)."""
+    counts, whole, _ = windows(blocks, ids)
+    own = np.array([digest(s) for s in blocks], np.int64)
+    block, hit = _among(own, keys), _among(whole, keys)
+    edges = np.zeros(counts.sum() + 1, np.int64)
+    at = np.flatnonzero(hit)
+    edges[at] += 1
+    edges[at + LONG] -= 1
+    return counts, np.repeat(block, counts) | (np.cumsum(edges)[:-1] > 0), np.unique(np.concatenate([own[block], whole[hit]]))
+
+
+def by_host(rows: DataFrame, found: DataFrame, small: int) -> DataFrame:
+    """rows with the found keys of their host, sorted, and the strong ones of these. Keys go by broadcast while they are at
+    most `small`, else by a join. A host has at most ten times a page's keys, as each is on a tenth of its pages."""
+    per_host = found.groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.sort_array(F.collect_list(F.when(F.col("strong"), F.col("key")))).alias("strong"))
+    return rows.join(F.broadcast(per_host) if found.count() <= small else per_host, "h", "left")
+
+
+def _arrays(column) -> list[np.ndarray]:
+    return [v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.empty(0, np.int64) for v in column]
+
+
+def _batch(rows: list[tuple[int, np.ndarray]], *more: bool):
+    keys = np.concatenate([k for _, k in rows]) if rows else np.empty(0, np.int64)
+    hosts = np.repeat(np.array([h for h, _ in rows], np.int64), [len(k) for _, k in rows])
+    return [pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(np.full(len(keys), m)) for m in more)]
+
+
+def repeated_runs(parsed: DataFrame, least_pages: int, article_share: float, article_pages: int, small: int) -> DataFrame:
+    """parsed(row, h, page, blocks) -> (h, key, strong): blocks and windows of LONG words that are boilerplate of their host."""
+    some = parsed.where(F.size("blocks") > 0)
+    # equal streams are one page
+    first = some.groupBy("h", "page").agg(F.min("row").alias("row"))
+    hosts = written(first.groupBy("h").agg(F.count(F.lit(1)).alias("host_pages")), "hosts")
+    again = written(some.select("row").join(first.select("row"), "row", "left_anti"), "again")
+    pages = some.join(F.broadcast(again) if again.count() <= MANY else again, "row", "left_anti").select("h", "blocks")
+
+    def often(keys: DataFrame, *kinds: str) -> DataFrame:
+        n = keys.groupBy("h", *kinds, "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages).join(hosts, "h")
+        strong = (F.col("pages") >= F.col("host_pages") * article_share) & (F.col("pages") >= article_pages)
+        # outside containers a run on a few pages goes, but not where the host has hardly more pages than that
+        weak = F.col("pages") * 10 >= F.col("host_pages")
+        return written(n.where(strong | weak).select("h", *kinds, "key", "pages", strong.alias("strong")), "often")
+
+    def coarse(batches):
+        ids = Ids()
         for batch in lean(batches):
-            cols = ([], [], [])
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stream = [digest(s) for s, _ in candidates(page or "")]
-                if stream:
-                    cols[0].append(host)
-                    cols[1].append(stream)
-                    cols[2].append(digest(repr(stream)))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.int64())], ["host", "stream", "page"])
-
-    s = pages.select("host", "html").mapInArrow(streams, "host string, stream array<long>, page long")
-    # equal streams are one page: only the digest of a stream decides, so one of each is enough
-    s = written(s, "streams").dropDuplicates(["host", "page"])
-    s = written(s, "streams-distinct")
-    counts = s.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    starts = s.select("host", "page", "stream", F.posexplode("stream").alias("i", "k0"))
-    suffix = F.slice("stream", F.col("i") + 1, WIDTH)
-    starts = starts.groupBy("host", "k0", "page").agg(F.min(suffix).alias("suffix"))  # a page counts once for a block
-    ordered = starts.repartitionByRange("host", "k0", "suffix", "page").sortWithinPartitions("host", "k0", "suffix", "page")
-
-    def neighbours(batches):
-        # adjacent common prefixes: a run of neighbours sharing their first block at least is one group
-        now, n, longest, before = None, 0, 0, None
-        rows: list[tuple] = []
-
-        def flush():
-            t = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            rows.clear()
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(t, kinds, strict=True)], ["host", "block", "pages", "lcp"])
-
-        for batch in batches:
-            for host, k0, suffix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if now == (host, k0):
-                    n += 1
-                    shared = 0
-                    while shared < min(len(suffix), len(before)) and suffix[shared] == before[shared]:
-                        shared += 1
-                    longest = max(longest, shared)
-                else:
-                    if now:
-                        rows.append((*now, n, longest))
-                    now, n, longest = (host, k0), 1, 0
-                before = suffix
-            if len(rows) > 50_000:
-                yield flush()
-        if now:
-            rows.append((*now, n, longest))
-        yield flush()
-
-    runs = ordered.select("host", "k0", "suffix").mapInArrow(neighbours, "host string, block long, pages long, lcp int")
-    # runs cut by a partition border meet here
-    runs = runs.groupBy("host", "block").agg(F.sum("pages").alias("pages"), F.max("lcp").alias("run")).where(F.col("pages") >= least_pages)
-    return runs.join(counts, "host")
+            own, least = [], []
+            for h, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own.append((h, np.unique(np.array([digest(s) for s in blocks], np.int64))))
+                least.append((h, np.unique(windows(blocks, ids)[2])))
+            for rows, kind in ((own, True), (least, False)):
+                yield pa.RecordBatch.from_arrays(_batch(rows, kind), ["h", "key", "block"])
+
+    def fine(batches):
+        ids = Ids()
+        for batch in lean(batches):
+            rows = []
+            for h, blocks, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+                if len(keys):
+                    _, whole, least = windows(blocks, ids)
+                    rows.append((h, np.unique(whole[_among(least, keys)])))
+            yield pa.RecordBatch.from_arrays(_batch(rows), ["h", "key"])
+
+    def mostly(batches):
+        ids = Ids()
+        for batch in lean(batches):
+            rows = []
+            for h, blocks, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+                if len(keys):
+                    _, inside, met = covered(blocks, keys, ids)
+                    if 2 * inside.sum() > len(inside):
+                        rows.append((h, met))
+            yield pa.RecordBatch.from_arrays(_batch(rows), ["h", "key"])
+
+    coarsely = often(pages.mapInArrow(coarse, "h long, key long, block boolean"), "block")
+    wide = by_host(pages, coarsely.where("NOT block"), small).select("h", "blocks", "keys")
+    found = written(coarsely.where("block").drop("block").unionByName(often(wide.mapInArrow(fine, "h long, key long"))), "runs")
+    copies = by_host(pages, found, small).select("h", "blocks", "keys").mapInArrow(mostly, "h long, key long").groupBy("h", "key").agg(F.count(F.lit(1)).alias("copies"))
+    kept = F.coalesce(F.col("copies"), F.lit(0)) * 2 > F.col("pages")
+    return written(found.join(copies, ["h", "key"], "left").where(~kept).select("h", "key", "strong"), "boilerplate")
 
 
 def host_of(url) -> F.Column:
@@ -236,33 +304,42 @@ def host_of(url) -> F.Column:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, article_share: float = 0.5, article_pages: int = 5, small: int = 20_000) -> DataFrame:
     """One row per page: id, url, text. Null or empty html: empty text. Null url: host "". Repeated rows: each its row.
 
-    The boilerplate digests go by broadcast while they are at most `small` rows, else by a join on host.
+    The boilerplate keys go by broadcast while they are at most `small` rows, else by a join on host.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    found = repeated_blocks(p, least_pages)
-    by_share = F.col("pages") >= F.col("host_pages") * article_share
-    strong = by_share & (F.col("pages") >= article_pages)
-    # outside containers a block repeated on a few pages goes, but not where the host has hardly more pages than that
-    weak = F.col("pages") * 10 >= F.col("host_pages")
-    found = written(found.select("host", "block", strong.alias("strong")).where(strong | weak), "boilerplate")
-    per_host = found.groupBy("host").agg(F.collect_list(F.struct("block", "strong")).alias("boiler"))  # at most ten times a page's blocks, as each is on a tenth of the pages
-    per_host = F.broadcast(per_host) if found.count() <= small else per_host
     key = p.schema["page_id"].dataType.simpleString()
 
+    def parse(batches):
+        for batch in lean(batches):
+            hosts, streams, inside, found = [], [], [], []
+            for host, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                c = candidates(page or "")
+                found.append([s for s, _ in c])
+                inside.append(any(i for _, i in c))
+                hosts.append(digest(host))
+                streams.append(digest("\n".join(found[-1])))
+            arrays = [pa.array(hosts, pa.int64()), pa.array(streams, pa.int64()), pa.array(inside, pa.bool_()), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["page_id", "url", "h", "page", "inside", "blocks"])
+
+    parsed = p.mapInArrow(parse, f"page_id {key}, url string, h long, page long, inside boolean, blocks array<string>")
+    parsed = written(parsed.withColumn("row", F.monotonically_increasing_id()), "blocks")
+    found = repeated_runs(parsed, least_pages, article_share, article_pages, small)
+
     def texts(batches):
+        ids = Ids()
         for batch in lean(batches):
             out = []
-            for page, boiler in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = candidates(page or "")
-                if boiler:
-                    level = {b["block"]: b["strong"] for b in boiler}
-                    left = [s for s, inside in found if not ((at := level.get(digest(s))) or at is not None and not inside)]
-                else:
-                    left = [s for s, _ in found]
-                out.append("\n\n".join(left))
+            for inside, blocks, keys, strong in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _arrays(batch.column(4)), _arrays(batch.column(5)), strict=True):
+                keys = strong if inside else keys
+                if len(keys) and blocks:
+                    counts, gone, met = covered(blocks, keys, ids)
+                    if len(met):
+                        parts = np.split(~gone, np.cumsum(counts)[:-1])
+                        blocks = [s if stay.all() else " ".join(w for w, k in zip(s.split(" "), stay, strict=True) if k) for s, stay in zip(blocks, parts, strict=True) if stay.any()]
+                out.append("\n\n".join(blocks))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    joined = p.join(per_host, "host", "left").select("page_id", "url", "html", "boiler")
+    joined = by_host(parsed, found, small).select("page_id", "url", "inside", "blocks", "keys", "strong")
     out = joined.mapInArrow(texts, f"page_id {key}, url string, text string")
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text")
 

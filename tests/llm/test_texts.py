@@ -120,6 +120,27 @@ def test_html_boilerplate_and_cases(spark, words):
     assert html_text.extract(df).count() == df.count() and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_near_copies_and_long_runs(spark, words):
+    body = [words(30, 600 + k) for k in range(6)]
+    changed = [[*body[:2], words(30, 700 + i), *body[3:]] for i in range(6)]
+    other = [words(150, 800 + i) for i in range(14)]
+    end, notice = "All rights reserved by us", words(30, 900)
+    page = lambda parts, tag="div": f"<{tag}>" + "".join(f"<p>{t}</p>" for t in parts) + f"</{tag}>"
+    rows = [(i, "http://c.example/x", page([*c, end])) for i, c in enumerate(changed)]  # six near copies among twenty pages
+    rows += [(100 + i, "http://c.example/x", page([o, end])) for i, o in enumerate(other)]
+    rows += [(200 + i, "http://d.example/x", page(c, "article")) for i, c in enumerate(changed)]  # near copies are half of the pages
+    rows += [(300 + i, "http://d.example/x", page([o], "article")) for i, o in enumerate(other[:5])]
+    rows += [(400 + i, "http://e.example/x", page([o, f"Seen on day{i} {notice} page{i}"])) for i, o in enumerate(other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for small in (20_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df, small=small).collect()}
+        assert len(got) == len(rows)
+        assert [got[i] for i in range(6)] == ["\n\n".join(c) for c in changed]  # near copies stay, the line on all pages goes
+        assert [got[100 + i] for i in range(14)] == other
+        assert [got[200 + i] for i in range(6)] == ["\n\n".join(c) for c in changed] and [got[300 + i] for i in range(5)] == other[:5]
+        assert [got[400 + i] for i in range(14)] == [f"{o}\n\nSeen on day{i} page{i}" for i, o in enumerate(other)]  # a run inside blocks that differ
+
+
 # --- urls
 
 
