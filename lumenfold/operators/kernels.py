@@ -319,22 +319,32 @@ def huber_line(x: np.ndarray, y: np.ndarray, iterations: int = 100, k: float = 1
 
 def som(X: np.ndarray, dim: int, epochs: int = 20, seed: int = 1) -> np.ndarray:
     """Batch self-organising map: dim x dim codebook, Gaussian neighbourhood that shrinks to one node."""
-    n = len(X)
-    if n < 500:
-        dim = min(dim, max(2, int(np.sqrt(n / 3))))
-    rng = np.random.default_rng(seed)
+    n, dim = len(X), som_size(len(X), dim)
+    code = X[np.random.default_rng(seed).choice(n, dim * dim, replace=n < dim * dim)].astype(float)
+
+    def sums(code):
+        node, out = nearest(X, code), np.zeros_like(code)
+        np.add.at(out, node, X)
+        return out, np.bincount(node, minlength=len(code)).astype(float)
+
+    return som_epochs(code, sums, dim, epochs)
+
+
+def som_size(n: int, dim: int) -> int:
+    """Nodes a side of the map of n events: few events, a smaller map."""
+    return min(dim, max(2, int(np.sqrt(n / 3)))) if n < 500 else dim
+
+
+def som_epochs(code: np.ndarray, sums, dim: int, epochs: int) -> np.ndarray:
+    """The codebook after so many passes; sums: sum and count of the events nearest to each node of a codebook."""
     grid = np.stack(np.meshgrid(np.arange(dim), np.arange(dim), indexing="ij"), -1).reshape(-1, 2).astype(float)
     apart = ((grid[:, None] - grid[None]) ** 2).sum(-1)
-    code = X[rng.choice(n, dim * dim, replace=n < dim * dim)].astype(float)
     for e in range(epochs):
         sigma = max(dim / 2 * (1 - e / epochs), 0.3)
-        node = nearest(X, code)
-        sums = np.zeros_like(code)
-        np.add.at(sums, node, X)
-        count = np.bincount(node, minlength=len(code)).astype(float)
+        added, count = sums(code)
         h = np.exp(-apart / (2 * sigma**2))
         total = h @ count
-        code = np.where(total[:, None] > 1e-12, (h @ sums) / np.maximum(total, 1e-12)[:, None], code)
+        code = np.where(total[:, None] > 1e-12, (h @ added) / np.maximum(total, 1e-12)[:, None], code)
     return code
 
 

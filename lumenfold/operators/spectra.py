@@ -96,10 +96,7 @@ def background_library(X: np.ndarray, dyes: np.ndarray, dim: int = 10, dedup: bo
         raise ValueError("fewer than 100 background events")
     P = kernels.ols(dyes)
     code = kernels.som(np.hstack([X, X @ P.T]), dim, seed=seed)[:, : X.shape[1]]
-    af = np.vstack([scale_abs(X.mean(0, keepdims=True)), scale_abs(code)])
-    af, _, _ = qc_background(af, dyes)
-    if dedup and len(af):
-        af = af[deduplicate(af)]
+    af = first_background(X.mean(0), code, dyes, dedup)
     if refine and len(af) >= 2:
         index = kernels.af_by_spill(X, dyes, af)
         u = kernels.with_af(X, dyes, af, index)
@@ -119,13 +116,23 @@ def background_library(X: np.ndarray, dyes: np.ndarray, dim: int = 10, dedup: bo
         for k in np.unique(of):
             base = af[np.bincount(index[bad][of == k]).argmax()]
             more.append(base + np.median(ratio[of == k], axis=0))
-        more = scale_abs(np.array(more))
-        more, _, _ = qc_background(more, dyes)
-        novel = [i for i in range(len(more)) if cosine_cross(more[i : i + 1], af).max() < 0.99]  # one decision a new row
-        af = np.vstack([af, more[novel]]) if novel else af
+        af = with_novel(af, np.array(more), dyes)
     return af
 
 
+def first_background(mean: np.ndarray, code: np.ndarray, dyes: np.ndarray, dedup: bool) -> np.ndarray:
+    """Mean and codebook scaled, without what looks like a dye or repeats a row."""
+    af, _, _ = qc_background(np.vstack([scale_abs(mean[None]), scale_abs(code)]), dyes)
+    return af[deduplicate(af)] if dedup and len(af) else af
+
+
+def with_novel(af: np.ndarray, more: np.ndarray, dyes: np.ndarray) -> np.ndarray:
+    """af and those of more, scaled, that look like neither a dye nor a row of af."""
+    more, _, _ = qc_background(scale_abs(more), dyes)
+    novel = [i for i in range(len(more)) if cosine_cross(more[i : i + 1], af).max() < 0.99]  # one decision a new row
+    return np.vstack([af, more[novel]]) if novel else af
+
+
 def variant_library(X: np.ndarray, negatives: np.ndarray, dye: np.ndarray, dim: int = 5, least_cosine: float = 0.985, least: int = 20, cells: int = 1000, seed: int = 1) -> np.ndarray:
     """Variants of a dye from its control: bright events less the background's directions, like the dye, mapped and scaled.
 
@@ -135,13 +142,20 @@ def variant_library(X: np.ndarray, negatives: np.ndarray, dye: np.ndarray, dim:
     threshold = np.quantile(negatives[:, peak], 0.995) if len(negatives) else -np.inf
     bright = X[X[:, peak] > threshold]
     bright = bright[np.argsort(-bright[:, peak], kind="stable")[: 2 * cells]]
-    if len(bright) < least:
-        return dye[None]
+    mean, V = negatives.mean(0) if len(negatives) else 0.0, np.zeros((0, len(dye)))
     if len(negatives) >= 4:
-        _, _, vt = np.linalg.svd(negatives - negatives.mean(0), full_matrices=False)
+        _, _, vt = np.linalg.svd(negatives - mean, full_matrices=False)
         V = vt[:4]
+    return variants_of_bright(bright, mean, V, dye, dim, least_cosine, least, seed)
+
+
+def variants_of_bright(bright: np.ndarray, mean, V: np.ndarray, dye: np.ndarray, dim: int = 5, least_cosine: float = 0.985, least: int = 20, seed: int = 1) -> np.ndarray:
+    """Variants from bright events, given the background's mean and directions."""
+    if len(bright) < least:
+        return dye[None]
+    if len(V):
         away = dye - (dye @ V.T) @ V
-        amount = ((bright - negatives.mean(0)) @ away) / max(away @ away, EPS)
+        amount = ((bright - mean) @ away) / max(away @ away, EPS)
         back = (bright - amount[:, None] * dye) @ V.T @ V
         bright = bright - back
     bright = bright[np.abs(bright).max(1) > EPS]

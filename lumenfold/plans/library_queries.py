@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenfold.functions import arrays as A
-from lumenfold.operators import evaluate, kernels, spectra, unmix
+from lumenfold.operators import evaluate, kernels, library, spectra, unmix
 from lumenfold.operators.events import WIDTH, class_spectra, dyes_and_background, events
 from lumenfold.operators.simulate import simulate
 from lumenfold.operators.unmix import Panel
@@ -21,12 +21,6 @@ def _rows(spark, S, first="row"):
     return spark.createDataFrame([(i, j, round(float(v), 6) + 0.0) for i, s in enumerate(S) for j, v in enumerate(s)], f"{first} int, pos int, v double")
 
 
-def _control(ev, label: int, most: int = 50_000) -> np.ndarray:
-    """Events of one control as a matrix: at most so many (a control's documented bound), by a hash of their ids."""
-    rows = ev.where(F.col("label") == label).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("x").collect()
-    return np.array([r["x"] for r in rows])
-
-
 @query("dedup_spectra", None)
 def dedup_spectra(spark, sf):
     """Class means kept in order while unlike all kept before (cosine below 0.15: these classes are far apart)."""
@@ -56,7 +50,7 @@ def cosine_cross(spark, sf):
 @query("som_codebook")
 def som_codebook(spark, sf):
     """A 4 x 4 map of one control's events."""
-    return _rows(spark, kernels.som(_control(events(spark, sf), 1), 4), "node")
+    return _rows(spark, library.som(events(spark, sf).where("label = 1"), "x", WIDTH, 4, "vec_id"), "node")
 
 
 @query("af_library")
@@ -64,27 +58,25 @@ def af_library(spark, sf):
     """Background spectra of the unstained events, mean first. The unstained class alone is small, so all classes serve."""
     ev = events(spark, sf)
     dyes, _ = dyes_and_background(ev)
-    X = np.vstack([_control(ev, k) for k in range(10)])
-    return _rows(spark, spectra.background_library(X, dyes.S, dim=4, contaminant=2.0, refine=False))
+    return _rows(spark, library.background_library(ev, "x", dyes.S, "vec_id", dim=4, contaminant=2.0, refine=False))
 
 
 @query("af_library_refined")
 def af_library_refined(spark, sf):
     ev = events(spark, sf)
     dyes, _ = dyes_and_background(ev)
-    X = np.vstack([_control(ev, k) for k in range(10)])
-    return _rows(spark, spectra.background_library(X, dyes.S, dim=3, contaminant=2.0, refine=True))
+    return _rows(spark, library.background_library(ev, "x", dyes.S, "vec_id", dim=3, contaminant=2.0, refine=True))
 
 
 @query("variant_library")
 def variant_library(spark, sf):
-    """Variants of each dye from its own events against the unstained ones."""
+    """Variants of each dye from its own events against all unstained ones, dimmed to a tenth: all classes are equally bright."""
     ev = events(spark, sf)
     dyes, _ = dyes_and_background(ev)
-    neg, out = _control(ev, 0), []
-    for n, s in zip(dyes.names, dyes.S, strict=True):
-        lib = spectra.variant_library(_control(ev, n), neg[:20] * 0.1, s / s.max(), dim=2, least_cosine=0.1, least=2)
-        out += [(int(n), i, float(np.linalg.norm(v - lib[0]).round(6))) for i, v in enumerate(lib)]
+    neg, out = ev.where("label = 0").withColumn("x", F.transform("x", lambda v: v * 0.1)), []
+    scaled = {int(n): s / s.max() for n, s in zip(dyes.names, dyes.S, strict=True)}
+    for n, lib in library.variant_libraries(ev, neg, scaled, "label", "x", "vec_id", dim=2, least_cosine=0.1, least=2).items():
+        out += [(n, i, float(np.linalg.norm(v - lib[0]).round(6))) for i, v in enumerate(lib)]
     return spark.createDataFrame(out, "label int, variant int, delta_norm double")
 
 

@@ -326,3 +326,52 @@ def test_small_helpers(spark, tmp_path):
     assert control.sample_scatter(df, ["FSC-A"], 100).count() == 100
     with pytest.raises(ValueError):
         control.sample_scatter(df.limit(500), ["FSC-A"], 100)
+
+
+# --- libraries of controls of any size
+
+
+def embeddings(tmp_path, X, labels):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"vec_id": pa.array(np.arange(len(X)), pa.int64()), "embedding": pa.array(list(X.astype(np.float32)), pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_libraries_use_all_events(spark, tmp_path):
+    from lumenfold.operators import library, spectra
+    from lumenfold.operators.events import dyes_and_background, events
+    from lumenfold.plans import library_queries as q
+
+    rng = np.random.default_rng(4)
+    # one control of 50,400 events: those last in hash order are unlike the others
+    order = [r["id"] for r in spark.range(50_400).orderBy(F.xxhash64("id"), "id").collect()]
+    X = rng.normal(0, 0.01, (50_400, 64)) + 0.1
+    X[order[50_000:], 7] += 5
+    sf = embeddings(tmp_path, X, np.ones(len(X)))
+    got = {r["node"]: r["v"] for r in q.som_codebook(spark, sf).where("pos = 7").collect()}
+    assert len(got) == 16 and max(got.values()) > 4
+    # variants against all unstained events, as from one matrix
+    labels = np.arange(2000) % 10
+    X = rng.normal(0, 0.02, (2000, 64)) + np.eye(64)[labels] + 0.3 * np.eye(64)[labels + 20] * rng.random((2000, 1))
+    sf = embeddings(tmp_path, X, labels)
+    ev = events(spark, sf)
+    E = np.array([r["x"] for r in ev.orderBy("vec_id").collect()])
+    dyes, _ = dyes_and_background(ev)
+    got = {(r["label"], r["variant"]): r["delta_norm"] for r in q.variant_library(spark, sf).collect()}
+    for n, s in zip(dyes.names, dyes.S, strict=True):
+        lib = spectra.variant_library(E[labels == n], E[labels == 0] * 0.1, s / s.max(), dim=2, least_cosine=0.1, least=2)
+        assert np.allclose([got[n, i] for i in range(len(lib))], np.linalg.norm(lib - lib[0], axis=1), atol=1e-5)
+    # the map of sums by partition is that of one matrix from the same first nodes; libraries start with the mean
+    first = np.array([r["x"] for r in ev.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(16).collect()])
+
+    def sums(code):
+        own = np.eye(16)[kernels.nearest(E, code)]
+        return own.T @ E, own.sum(0)
+
+    assert np.allclose(library.som(ev.repartition(5), "x", 64, 4, "vec_id"), kernels.som_epochs(first, sums, 4, 20), atol=1e-6)
+    plain = library.background_library(ev, "x", dyes.S, "vec_id", dim=3, contaminant=2.0, refine=False)
+    more = library.background_library(ev, "x", dyes.S, "vec_id", dim=3, contaminant=2.0)
+    assert np.allclose(plain[0], spectra.scale_abs(E.mean(0, keepdims=True))[0]) and np.allclose(more[: len(plain)], plain)
