@@ -1,11 +1,9 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-Documents become pieces of at most `capacity` tokens. Packing is bulk-synchronous best fit: pieces are sorted by
-length, gaps (free room of open sequences) by size; a superstep takes the longest unplaced pieces, sweeps the gaps
-upwards from their length (the successor is the smallest gap that fits), resolves who gets which gap by rank, updates
-the gaps and goes on. Pieces of one length are interchangeable, so sweeps run over runs of equal lengths and equal
-gaps: at most `capacity` runs of pieces, whatever the corpus size. Only these counts reach the driver; the ranks that
-tie pieces to places are computed by the executors.
+Documents become pieces of at most `capacity` tokens. Pieces of one length are interchangeable, so only the counts of
+pieces by length reach the driver, at most `capacity` of them whatever the corpus size. There a loop places them by best
+fit, longest first, over runs of equal lengths and equal gaps (free room of open sequences; the smallest gap that fits).
+The executors compute the ranks that tie pieces to places. No sweeps are distributed: none would have more to decide.
 """
 
 from __future__ import annotations
