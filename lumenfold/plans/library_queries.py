@@ -216,7 +216,7 @@ def automated_spectra(spark, sf):
     ev = events(spark, sf)
     name = F.when(F.col("label") == 0, "AF").otherwise(F.concat(F.lit("dye"), F.col("label")))
     e = ev.select(F.col("vec_id").alias("event_id"), name.alias("fluorophore"), F.get("x", F.lit(0)).alias("FSC-A"), F.get("x", F.lit(1)).alias("SSC-A"), F.transform("x", lambda v: v + 1).alias("spectral"))
-    panel, log = run(e, Parameters(), candidates=40, keep=30)
+    panel, log = run(e, Parameters())
     status = {n: s for n, s, _ in log}
     return spark.createDataFrame([(n, int(s.argmax()), status[n]) for n, s in zip(panel.names, panel.S, strict=True)], "fluorophore string, peak int, status string")
 

@@ -285,7 +285,7 @@ def _library(ev):
 def unmix_greedy(spark, sf):
     ev = events(spark, sf)
     dyes, af, library, thresholds = _library(ev)
-    out = unmix.unmix_per_cell_af(ev.select("vec_id", "x"), dyes, af, "x", library=library, thresholds=thresholds, tries=3, names=U9)
+    out = unmix.unmix_per_cell_af(ev.select("vec_id", "x"), dyes, af, "x", library=library, thresholds=thresholds, names=U9)
     return out.select("vec_id", *[A.rounded(F.col(u)).alias(u) for u in U9], A.rounded(F.col("AF")).alias("af"), F.col("AF Index").alias("af_index"))
 
 

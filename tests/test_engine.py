@@ -375,3 +375,15 @@ def test_libraries_use_all_events(spark, tmp_path):
     plain = library.background_library(ev, "x", dyes.S, "vec_id", dim=3, contaminant=2.0, refine=False)
     more = library.background_library(ev, "x", dyes.S, "vec_id", dim=3, contaminant=2.0)
     assert np.allclose(plain[0], spectra.scale_abs(E.mean(0, keepdims=True))[0]) and np.allclose(more[: len(plain)], plain)
+
+
+def test_queries_take_the_operators_own_parameters(spark, sf, monkeypatch):
+    from lumenfold.plans import library_queries, unmix_queries
+
+    seen, tried = {}, set()
+    run, greedy = flow.automated_spectra, kernels.greedy
+    monkeypatch.setattr(flow, "automated_spectra", lambda *a, **k: seen.update(k) or run(*a, **k))
+    assert library_queries.automated_spectra(spark, sf).count() == 9 and not {"candidates", "keep", "k"} & set(seen)
+    own = unmix.unmix_per_cell_af
+    monkeypatch.setattr(unmix, "unmix_per_cell_af", lambda *a, **k: tried.update(k) or own(*a, **k))
+    assert unmix_queries.unmix_greedy(spark, sf).count() > 0 and "tries" not in tried and greedy.__defaults__ == (10,)
