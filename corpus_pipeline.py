@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm._common import chosen, written
-from lumenfold.llm.exact_dedup import fresh_index
+from lumenfold.llm.exact_dedup import dedup_exact
 from lumenfold.llm.mixing import mix
 from lumenfold.llm.near_dedup import near_duplicates
 from lumenfold.llm.packing import default_tokenizer, pack_documents
@@ -27,9 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays, by an index that starts empty."""
+    """Of equal texts the one with the smallest doc_id stays, by a digest index fed in batches of rising ids."""
     docs = docs.select(COLUMNS)
-    decided = fresh_index(docs).absorb(docs)
+    decided = dedup_exact(docs)
     return chosen(docs, decided.where("kept"))
 
 
