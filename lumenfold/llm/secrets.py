@@ -38,8 +38,18 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_MASK = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _B64_MASK = bytes(98 if (chr(b).isalnum() and b < 128) or chr(b) in "+/_-" else 32 for b in range(256))
-#: A decompressed layer beyond this many bytes is cut off there: a guard against decompression bombs, not met by text.
-MOST_BYTES = 1 << 26
+#: Lines of one length and a last one: base64 as mail and command line tools wrap it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+LINE_END = re.compile(r"\r?\n[ \t]*")
+SEPARATOR = re.compile(r"[/_-]+")
+#: First bytes of compressed streams.
+MAGIC = (b"\x1f", b"\x78", b"B", b"\xfd")
+#: Decompressed data are scanned in parts of about this size, cut where no secret and no encoding can run on.
+PART = 1 << 24
+#: Bytes that end whatever a secret or an encoding is made of (a zero byte may be half a character).
+_BREAK = re.compile(rb"[^\x00A-Za-z0-9+/_.=:\"'\x20\t\r\n%\\&#;{}-]")
+#: Where a part has no such byte, neighbours share this many bytes.
+OVERLAP = 1 << 20
 
 
 def base_matches(text: str) -> list[tuple[int, int, int]]:
@@ -55,19 +65,41 @@ def base_matches(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _inflate(data: bytes) -> bytes | None:
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MOST_BYTES)
-        if data[:1] == b"\x78" and len(data) > 5 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MOST_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_BYTES)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MOST_BYTES)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return None
+def _members(data: bytes):
+    """The decompressed members of a gzip, zlib, bz2 or xz stream, one after the other, in chunks; none if it is no such stream."""
+    while data:
+        if data[:3] == b"\x1f\x8b\x08":
+            tool, pull = zlib.decompressobj(31), lambda t, d: (t.decompress(d, PART), t.unconsumed_tail)
+        elif data[:1] == b"\x78" and len(data) > 5 and int.from_bytes(data[:2], "big") % 31 == 0:
+            tool, pull = zlib.decompressobj(), lambda t, d: (t.decompress(d, PART), t.unconsumed_tail)
+        elif data[:3] == b"BZh":
+            tool, pull = bz2.BZ2Decompressor(), lambda t, d: (t.decompress(d, PART), b"")
+        elif data[:6] == b"\xfd7zXZ\x00":
+            tool, pull = lzma.LZMADecompressor(), lambda t, d: (t.decompress(d, PART), b"")
+        else:
+            return
+        try:
+            while not tool.eof:
+                out, data = pull(tool, data)
+                if not out:
+                    break
+                yield out
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        data = tool.unused_data if tool.eof else b""
+
+
+def _inflated(data: bytes):
+    """Parts of what a compressed stream holds, all members together, of PART bytes or somewhat more."""
+    held = b""
+    for chunk in _members(data):
+        held += chunk
+        while len(held) >= 2 * PART:
+            end = next((m.end() for m in _BREAK.finditer(held, PART)), None)
+            yield held[: end or 2 * PART]
+            held = held[end or 2 * PART - OVERLAP :]
+    if held:
+        yield held
 
 
 def _readings(data: bytes) -> list[str]:
@@ -82,20 +114,47 @@ def _readings(data: bytes) -> list[str]:
     return [t for t in found if t]
 
 
+def _unpacked(data: bytes) -> list[str]:
+    """The texts in what is compressed in data, in any depth; a layer that holds itself ends the search."""
+    found, work, seen = [], [data], set()
+    while work:
+        data = work.pop()
+        mark = hashlib.blake2b(data, digest_size=16).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        for part in _inflated(data):
+            found += _readings(part)
+            work.append(part)
+    return found
+
+
 def _decode64(token: str) -> list[str]:
-    """The texts in a base64 token, and in what is compressed there."""
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return []
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return []
-    found, seen = _readings(data), set()
-    while (more := _inflate(data)) is not None and more not in seen:
-        seen.add(data)
-        data = more
+    """The texts in a base64 token, and in what is compressed there. As / - and _ may also separate words, the token is
+    read from every start modulo 4 that follows one of them, and compressed data may begin after any."""
+    body = token.rstrip("=")
+    starts: dict[int, list[int]] = {0: [0]}
+    for m in SEPARATOR.finditer(body):
+        starts.setdefault(m.end() % 4, []).append(m.end())
+    body = body.replace("-", "+").replace("_", "/")
+    found = []
+    for first in (starts[k][0] for k in sorted(starts)):
+        part = body[first:]
+        if len(part) < 16:
+            continue
+        if len(part) % 4 == 1:
+            if first == 0 and len(starts) == 1:
+                continue
+            part = part[:-1]
+        try:
+            data = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            continue
         found += _readings(data)
+        for at in starts[first % 4]:
+            offset = (at - first) // 4 * 3
+            if data[offset : offset + 1] in MAGIC:
+                found += _unpacked(data[offset:])
     return found
 
 
@@ -159,6 +218,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             for m in BASE64.finditer(layer):
                 at = (m.start(), m.end()) if spans is None else (spans[m.start()][0], spans[m.end() - 1][1])
                 layers += [(inner, [at] * len(inner)) for inner in _decode64(m[0])]
+            for m in WRAPPED.finditer(layer) if "\n" in layer else ():
+                lines = LINE_END.split(m[0])
+                if len({len(x) for x in lines[:-1]}) == 1 and len(lines[-1].rstrip("=")) <= len(lines[0]):
+                    at = (m.start(), m.end()) if spans is None else (spans[m.start()][0], spans[m.end() - 1][1])
+                    layers += [(inner, [at] * len(inner)) for inner in _decode64("".join(lines))]
         for one in layers:
             if one is not None:
                 mark = hashlib.blake2b(repr((one[0], one[1][0] if one[1] else None)).encode("utf-8", "replace"), digest_size=16).digest()

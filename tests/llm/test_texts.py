@@ -1,11 +1,14 @@
 """Secrets, html, urls, fingerprints, toxicity."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import unicodedata
 import urllib.parse
+import zlib
 
 import numpy as np
 
@@ -83,6 +86,48 @@ def test_secrets_in_layers_of_any_text():
     assert spans("/usr/share/lib/python/modules " * 20 + "Z" * 400) == []
 
 
+def test_secrets_wrapped_joined_and_long(monkeypatch):
+    secret = b"password=hunter2secret"
+    rng = np.random.default_rng(9)
+    noise = bytes(rng.integers(32, 127, 400, dtype=np.uint8)).replace(b"%", b" ").replace(b"\\", b" ").replace(b"&", b" ")
+    for data in (noise + b"\n" + secret + b"\n" + noise, gzip.compress(noise + b" " + secret), gzip.compress(noise) + gzip.compress(b" " + secret), bz2.compress(noise) + bz2.compress(secret)):
+        plain = base64.b64encode(data).decode()
+        for width, end in ((76, "\n"), (64, "\r\n")):
+            wrapped = end.join(plain[i : i + width] for i in range(0, len(plain), width))
+            assert ("assign", wrapped) in spans(f"see\n{wrapped}\n\nthere")
+        for before in ("foo/", "a/bc/", "key_", "x-y-z-/"):
+            assert [k for k, _ in spans(f"see {before}{plain} there")] == ["assign"], before
+    # more than a part of decompressed text: found wherever it lies, across the cuts, and with nothing to cut at
+    monkeypatch.setattr(secrets, "PART", 1 << 18)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12)
+    for fill in (b"lorem ipsum, ", b"z"):
+        for at in (10, secrets.PART - 5, 2 * secrets.PART - 9, 2 * secrets.PART + 77):
+            body = (fill * (3 * secrets.PART // len(fill)))[: 3 * secrets.PART]
+            wrapped = base64.b64encode(gzip.compress(body[:at] + b" " + secret + b" " + body[at:], 1)).decode()
+            assert ("assign", wrapped) in spans(wrapped), (fill, at)
+
+
+def test_secrets_generated_nestings():
+    """Any nesting of the encodings is undone; a plain text of the same shape has nothing."""
+    rng = np.random.default_rng(12)
+    coats = [
+        lambda t: base64.b64encode(t.encode()).decode(),
+        lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+        lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+        lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+        lambda t: base64.b64encode(lzma.compress(t.encode())).decode(),
+        lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: "".join(f"&#{ord(c)};" for c in t),
+    ]
+    for k in range(60):
+        text, clear = "token: qwerty12345", "there is nothing in here"
+        for c in rng.integers(0, len(coats), 1 + k % 4):
+            text, clear = (f"pre {coats[c](x)} post" for x in (text, clear))
+        assert [kind for kind, _ in spans(text)][:1] == ["assign"], (k, text[:80])
+        assert not spans(clear)
+
+
 # --- html
 
 
@@ -280,8 +325,8 @@ def test_toxicity_cases(spark, texts):
     docs = make(spark, texts)
     labels = spark.createDataFrame([(0, 1), (4, 0), (14, None), (17, 0)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, labels)
-    got = toxicity.score_toxicity(docs, model, score_col="toxicity").collect()
-    assert len(got) == docs.count() and all(0 <= r["toxicity"] <= 1 for r in got)
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     none = toxicity.fit_toxicity(docs, labels.limit(0))
     assert {round(r["toxicity"], 3) for r in toxicity.score_toxicity(docs, none, score_col="toxicity").collect()} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), model, score_col="toxicity").count() == 0
