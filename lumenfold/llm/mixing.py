@@ -155,9 +155,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def shuffled(mixed: DataFrame, parts_per_shard: int = 1) -> DataFrame:
-    """One row per drawn copy, dealt to its shard's partitions and in hash order there."""
-    rows = mixed.withColumn("shard", F.explode("shards")).drop("shards")
-    rows = rows.withColumn("_part", F.pmod("shuffle_key", F.lit(parts_per_shard)))
+    """One row per drawn copy (`copy` counts from 1, `shard` is where it goes), dealt to its shard's partitions and in hash
+    order there."""
+    rows = mixed.select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards").withColumn("copy", F.col("copy") + 1)
+    rows = rows.withColumn("shuffle_key", F.xxhash64("shuffle_key", "copy")).withColumn("_part", F.pmod("shuffle_key", F.lit(parts_per_shard)))
     return rows.repartition("shard", "_part").sortWithinPartitions("shard", "shuffle_key").drop("_part")
 
 

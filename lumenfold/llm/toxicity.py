@@ -203,7 +203,8 @@ class Toxicity:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000) -> Toxicity:
-    """Fit on at most max_rows labelled rows, those with the smallest hash of the id. No labelled row: scores are 0."""
+    """Fit on at most max_rows labelled rows, those with the smallest hash of the id. No labelled row: scores are 0.
+    Under 16 labelled rows no folds are made: features are zero in fitting, and all scores are the calibrated base rate."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # at most max_rows ids: bounded
@@ -213,10 +214,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score in [0, 1]. Null and empty texts get the score of an empty text; other columns pass through.
+    """docs with a score in [0, 1]. Null and empty texts get the score of an empty text; other columns pass through, but for
+    one already named `score_col` (in any case), which the new one replaces.
 
     The model travels with the plan: lexicon and trees are bounded by their parameters.
     """
+    docs = docs.select(*[c for c in docs.columns if c.lower() != score_col.lower()])
     at = docs.columns.index(text_col)
 
     def run(batches):
