@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm._common import chosen, written
 from lumenfold.llm.exact_dedup import dedup_exact
-from lumenfold.llm.mixing import mix
+from lumenfold.llm.mixing import mix, shuffled
 from lumenfold.llm.near_dedup import near_duplicates
 from lumenfold.llm.packing import default_tokenizer, pack_documents
 from lumenfold.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -40,16 +40,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix draws; a source's last draw holds just the words that its target still has room for."""
+    """A row for each copy that the mix draws, dealt to the mix's shards and in their local order. A source's last draw holds
+    just the words that its target still has room for, joined by single spaces (that one copy loses its line ends)."""
     rest = [c for c in COLUMNS if c != "doc_id"]
-    mixed = mix(docs.select(COLUMNS), keep=tuple(rest))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    rows = shuffled(mix(docs.select(COLUMNS), keep=tuple(rest)).where("taken > 0"), parts)
     whole = F.col("taken") - F.floor(F.col("taken") / F.col("size")) * F.col("size")  # words of a copy drawn in part
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    rows = mixed.where("taken > 0").withColumns({"part": whole, "copy": F.explode(copies)})
-    torn = (F.col("part") > 0) & (F.col("copy") * F.col("size") > F.col("taken"))
+    torn = (whole > 0) & (F.col("copy") * F.col("size") > F.col("taken"))
     space = r"[\x20\x09-\x0D]+"
     words = F.split(F.regexp_replace("text", f"^{space}", ""), space)
-    rows = rows.withColumn("text", F.when(torn, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(torn, F.array_join(F.slice(words, F.lit(1), whole.cast("int")), " ")).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.when(torn, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
