@@ -1,15 +1,15 @@
-"""Main text of HTML pages: structure first, then boilerplate found as repeated runs of words per host.
+"""Main text of HTML pages: structure first, then boilerplate found by suffix arrays of each host's pages.
 
 1. A page is read into blocks (paragraphs, headings, list items ...), each known to lie inside or outside an article
    container, with its share of link text. Elements that are boilerplate by tag, role, class or id are left out.
-2. The words of a page's blocks are one stream. A repeated run is a whole block, or any LONG words or more across or
-   inside blocks, on enough distinct pages of the host: pages with equal streams count once. A run of any length above LONG
-   is the union of its windows of LONG words, which are as repeated as the run; so windows are counted by hash, and no
-   suffix needs sorting. Only windows whose minimizer (the least hash of their GRAM-word grams) is repeated as often can
-   be, so minimizers are counted first.
-3. Words in such runs go. Inside an article container a run must take half of the host's distinct pages (a site-wide
-   notice), so that articles that quote each other stay whole; elsewhere a few pages are enough.
+2. The words of a host's distinct pages (pages with equal streams count once) are concatenated, page ends apart, and their
+   suffixes sorted by prefix doubling. Neighbours that share LONG words or more are repeated runs; whole blocks are, of any
+   length. A run goes if enough distinct pages of its host have it; inside article containers that is half of the host's
+   pages (a site-wide notice), so that articles that quote each other stay whole; elsewhere a few pages are enough.
+3. A host of many words is dealt into groups of pages, each with its suffix array. A run on a tenth of the host's pages is
+   on a tenth of some group's, so the groups' findings hold all that counts; they are then counted over the whole host.
 4. Near copies stay: where runs cover most of a page, and most pages that have a run are such pages, the run is text.
+5. Covered words go, the unique runs between them stay.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._common import lean, written
+from lumenfold.llm._common import attach, lean, written
 
 # Fixed values of HTML and of common page templates.
 RAW = "script style noscript template textarea svg math iframe object canvas select option xmp noembed noframes".split()
@@ -31,11 +31,21 @@ DROPPED = {"nav", "footer", "aside", "form", "dialog", "button", "head", "title"
 BLOCKS = set("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html legend li main ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
-NOISE = set(
-    "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion "
-    "recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
+#: Words that mark boilerplate as a whole class, id or role; the first line also as any word of one.
+ALWAYS = set("ads advert adverts advertisement advertising adsense adslot breadcrumb breadcrumbs commentlist cookie cookies disqus gdpr navbar newsletter pagination popup sponsor sponsored".split())
+NOISE = ALWAYS | set(
+    "ad banner comment comments consent footer header masthead menu menubar modal nav navigation notice overlay pager promo promoted promotion recommended related "
+    "replies reply search share sharing sidebar signup skip social subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: Words that say nothing of a class's content: with only these beside it, a word above marks boilerplate.
+GENERIC = set(
+    "a area article articles bar block bottom box btn button buttons col column container content cta desktop fixed form global group home icon icons inner item items js left link links list "
+    "main mobile module outer page panel post posts primary reader right row secondary section site slot small sticky stories top unit user wrap wrapper".split()
+)
+#: Words that turn a class into its opposite, or into a name of a layout.
+LAYOUT = set("with without no not non has less layout hide hidden".split())
+#: With these words a header is that of the text itself.
+OWN_HEADER = set("post posts article articles entry story content".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(hidden)\b""")
@@ -43,14 +53,27 @@ RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def _noisy(attributes: str) -> bool:
+def _marks(name: str) -> bool:
+    """Does one class or id name boilerplate? Compounds do if their other words say nothing."""
+    words = {w.lower() for w in WORDS.findall(name)}
+    hit = words & NOISE
+    if not hit or words & LAYOUT:
+        return False
+    if words & ALWAYS or hit == words:
+        return True
+    if "content" in words and hit <= {"sidebar"} or hit == {"header"} and words & OWN_HEADER:
+        return False
+    return words <= NOISE | GENERIC or all(w in NOISE or w in GENERIC or w.isdigit() for w in words)
+
+
+def _noisy(attributes: str, classes: bool = True) -> bool:
     """Does a tag's class, id, role or state mark boilerplate?"""
     if "=" not in attributes and "hidden" not in attributes:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if any(w.lower() in NOISE for w in WORDS.findall(value)):
+            if classes and any(_marks(c) for c in value.split()):
                 return True
         elif name == "role":
             if value.lower() in ROLES:
@@ -62,7 +85,7 @@ def _noisy(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, float]]:
+def blocks(page: str, classes: bool = True) -> list[tuple[str, bool, float]]:
     """(text, inside an article container, share of link text) of a page's blocks, in page order."""
     out: list[tuple[str, bool, float]] = []
     text: list[str] = []
@@ -110,7 +133,7 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
             elif name in ("article", "main"):
                 nested += -1 if end else 1
             # what was never closed ends with its container, or where the page's first article begins
-            if nested < 0 or nested == 1 and not end and name in ("article", "main") and not containers and not _noisy(attributes):
+            if nested < 0 or nested == 1 and not end and name in ("article", "main") and not containers and not _noisy(attributes, classes):
                 skip, depth = "", 0
             elif depth == 0:
                 skip = ""
@@ -134,11 +157,11 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
         if name in VOID or name == "br":
             continue
         if name in ("html", "body", "article", "main"):
-            noisy = name == "article" and _noisy(attributes)
+            noisy = name == "article" and _noisy(attributes, classes)
         elif name == "header" and inside:
             header, noisy = header + 1, False
         else:
-            noisy = name in DROPPED or name == "header" or _noisy(attributes)
+            noisy = name in DROPPED or name == "header" or _noisy(attributes, classes)
         if noisy:
             if not attributes.endswith("/"):
                 close()
@@ -155,11 +178,18 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
     return out
 
 
+#: Article containers that hold under this share of a page's running text are teasers.
+CONTAINED = 0.2
+
+
 def candidates(page: str) -> list[tuple[str, bool]]:
-    """Blocks that may be main text: those of article containers if the page has any, else those that are not mostly links."""
-    found = blocks(page)
-    if any(inside for _, inside, _ in found):
-        return [(s, True) for s, inside, _ in found if inside]
+    """Blocks that may be main text: those of article containers, if they hold a fair share of the page's running text, else
+    those that are not mostly links. Where classes leave nothing, they are not looked at."""
+    found = blocks(page) or blocks(page, classes=False)
+    inside = sum(len(s) for s, article, _ in found if article)
+    running = sum(len(s) for s, article, links in found if not article and links <= 0.3 and len(s) >= 80)
+    if inside and inside >= CONTAINED * (inside + running):
+        return [(s, True) for s, article, _ in found if article]
     return [(s, False) for s, _, links in found if links <= 0.6]
 
 
@@ -167,7 +197,7 @@ def digest(s: str) -> int:
     return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-#: Words of a run that counts without being a whole block, and of the grams whose least hash stands for such a window.
+#: Words of a run that counts without being a whole block, and of the grams its hash is made of.
 LONG, GRAM = 24, 8
 #: More row numbers than this go by a shuffled join.
 MANY = 200_000
@@ -193,17 +223,69 @@ def _rolled(x: np.ndarray, n: int, step: int = 1) -> np.ndarray:
     return out
 
 
-def windows(blocks: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words by block, hash of every window of LONG words, its minimizer)."""
+def windows(blocks: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
+    """(words by block, hash of every window of LONG words)."""
     words = [s.split(" ") for s in blocks]
     counts = np.array([len(w) for w in words], np.int64)
     if counts.sum() < LONG:
-        return counts, np.empty(0, np.int64), np.empty(0, np.int64)
+        return counts, np.empty(0, np.int64)
     x = np.fromiter((ids[w] for ws in words for w in ws), np.int64, counts.sum()).view(np.uint64)
-    gram = _rolled(x, GRAM)
-    whole = _rolled(gram, LONG // GRAM, GRAM)
-    least = np.lib.stride_tricks.sliding_window_view(gram.view(np.int64), LONG - GRAM + 1).min(1)
-    return counts, whole.view(np.int64), least
+    return counts, _rolled(_rolled(x, GRAM), LONG // GRAM, GRAM).view(np.int64)
+
+
+def suffix_runs(x: np.ndarray, depth: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix positions in sorted order, number of each one's interval) of all suffixes of x that share their first `depth`
+    elements with another. Prefix doubling; suffixes that differ from all others leave the sort at once.
+
+    An element that occurs once, such as the mark at a page's end, is in no interval.
+    """
+    n = len(x)
+    rank = np.arange(n, 2 * n + 1)  # suffixes apart from all others keep a name of their own
+    live, key, width = np.arange(n), x, 1
+    while True:
+        order = np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        last = np.append(new[1:], True)
+        name = np.cumsum(new) - 1
+        rank[live] = np.where(new & last, n + live, name)
+        again = ~(new & last)
+        live, name = live[again], name[again]
+        if width >= depth or not len(live):
+            return live, name
+        step = min(width, depth - width)
+        key = rank[live] * (2 * n + 1) + rank[np.minimum(live + step, n)]
+        width += step
+
+
+def group_keys(pages: list[list[str]], ids: Ids, least) -> list[tuple[int, int]]:
+    """(key, pages) of the blocks and windows of LONG words that `least` or more of the group's pages have. Where one page is
+    enough, that is all of them."""
+    own = np.concatenate([np.unique(np.array([digest(s) for s in blocks], np.int64)) for blocks in pages])
+    keys, n = np.unique(own, return_counts=True)
+    found = list(zip(keys[n >= least].tolist(), n[n >= least].tolist(), strict=True))
+    if least <= 1:
+        own = np.concatenate([np.unique(windows(blocks, ids)[1]) for blocks in pages])
+        return [*found, *zip(*(v.tolist() for v in np.unique(own, return_counts=True)), strict=True)]
+    streams = [np.fromiter((ids[w] for s in blocks for w in s.split(" ")), np.int64) for blocks in pages]
+    words = np.concatenate(streams)
+    sizes = np.array([len(v) for v in streams])
+    _, word = np.unique(words, return_inverse=True)
+    page = np.repeat(np.arange(len(pages)), sizes + 1)
+    at = np.arange(len(words)) + np.repeat(np.arange(len(pages)), sizes)
+    x = np.empty(len(page), np.int64)
+    x[np.cumsum(sizes + 1) - 1] = len(words) + np.arange(len(pages))  # page ends, each its own
+    x[at] = word
+    suffix, interval = suffix_runs(x)
+    if len(suffix):
+        pair = np.unique(interval * len(pages) + page[suffix])
+        held, n = np.unique(pair // len(pages), return_counts=True)
+        first = suffix[np.searchsorted(interval, held[n >= least])]
+        run = words[(first - page[first])[:, None] + np.arange(LONG)].view(np.uint64)
+        whole = np.array([_rolled(_rolled(r, GRAM), LONG // GRAM, GRAM)[0] for r in run], np.uint64).view(np.int64)
+        found += zip(whole.tolist(), n[n >= least].tolist(), strict=True)
+    return found
 
 
 def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -215,7 +297,7 @@ def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def covered(blocks: list[str], keys: np.ndarray, ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words by block, which words lie in runs of the sorted keys, the keys met)."""
-    counts, whole, _ = windows(blocks, ids)
+    counts, whole = windows(blocks, ids)
     own = np.array([digest(s) for s in blocks], np.int64)
     block, hit = _among(own, keys), _among(whole, keys)
     edges = np.zeros(counts.sum() + 1, np.int64)
@@ -242,40 +324,56 @@ def _batch(rows: list[tuple[int, np.ndarray]], *more: bool):
     return [pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(np.full(len(keys), m)) for m in more)]
 
 
-def repeated_runs(parsed: DataFrame, least_pages: int, article_share: float, article_pages: int, small: int) -> DataFrame:
-    """parsed(row, h, page, blocks) -> (h, key, strong): blocks and windows of LONG words that are boilerplate of their host."""
+def repeated_runs(parsed: DataFrame, least_pages: int, article_share: float, article_pages: int, small: int, group_words: int) -> DataFrame:
+    """parsed(row, h, page, words, blocks) -> (h, key, strong): blocks and windows of LONG words that are boilerplate of their host."""
     some = parsed.where(F.size("blocks") > 0)
     # equal streams are one page
-    first = some.groupBy("h", "page").agg(F.min("row").alias("row"))
-    hosts = written(first.groupBy("h").agg(F.count(F.lit(1)).alias("host_pages")), "hosts")
+    first = some.groupBy("h", "page").agg(F.min("row").alias("row"), F.first("words").alias("words"))
+    hosts = first.groupBy("h").agg(F.count(F.lit(1)).alias("host_pages"), F.sum("words").alias("host_words"))
+    hosts = written(hosts.select("h", "host_pages", F.ceil(F.col("host_words") / group_words).cast("int").alias("groups")), "hosts")
     again = written(some.select("row").join(first.select("row"), "row", "left_anti"), "again")
-    pages = some.join(F.broadcast(again) if again.count() <= MANY else again, "row", "left_anti").select("h", "blocks")
-
-    def often(keys: DataFrame, *kinds: str) -> DataFrame:
-        n = keys.groupBy("h", *kinds, "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages).join(hosts, "h")
-        strong = (F.col("pages") >= F.col("host_pages") * article_share) & (F.col("pages") >= article_pages)
-        # outside containers a run on a few pages goes, but not where the host has hardly more pages than that
-        weak = F.col("pages") * 10 >= F.col("host_pages")
-        return written(n.where(strong | weak).select("h", *kinds, "key", "pages", strong.alias("strong")), "often")
+    pages = some.join(F.broadcast(again) if again.count() <= MANY else again, "row", "left_anti").select("h", "page", "blocks")
+    # a third of all pages may be one host's: such meet their numbers by broadcast
+    placed = attach(pages, hosts, "h", "host_pages", parsed.count())
+    spot = F.pmod(F.xxhash64("page"), F.col("groups")).cast("int")
+    dealt = placed.select("h", spot.alias("g"), "host_pages", "groups", "blocks").repartition("h", "g").sortWithinPartitions("h", "g")
 
-    def coarse(batches):
+    def grouped(batches):
         ids = Ids()
-        for batch in lean(batches):
-            own, least = [], []
-            for h, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own.append((h, np.unique(np.array([digest(s) for s in blocks], np.int64))))
-                least.append((h, np.unique(windows(blocks, ids)[2])))
-            for rows, kind in ((own, True), (least, False)):
-                yield pa.RecordBatch.from_arrays(_batch(rows, kind), ["h", "key", "block"])
-
-    def fine(batches):
+        held: list[tuple] = []
+
+        def flush() -> list[tuple]:
+            h, _, host_pages, groups, _ = held[0]
+            # what a tenth of the host's pages have, a tenth of some group's pages have
+            least = max(least_pages, -(-host_pages // 10)) if groups == 1 else -(-len(held) // 10)
+            return [(h, key, n, host_pages, groups > 1) for key, n in group_keys([r[4] for r in held], ids, least)]
+
+        def batch(rows):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["h", "key", "pages", "host_pages", "open"])
+
+        out = []
+        for part in lean(batches):
+            for row in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and held[-1][:2] != row[:2]:
+                    out += flush()
+                    held = []
+                    if len(out) > 50_000:
+                        yield batch(out)
+                        out = []
+                held.append(row)
+        if held:
+            out += flush()
+        yield batch(out)
+
+    def met(batches):
         ids = Ids()
         for batch in lean(batches):
             rows = []
             for h, blocks, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
                 if len(keys):
-                    _, whole, least = windows(blocks, ids)
-                    rows.append((h, np.unique(whole[_among(least, keys)])))
+                    rows.append((h, covered(blocks, keys, ids)[2]))
             yield pa.RecordBatch.from_arrays(_batch(rows), ["h", "key"])
 
     def mostly(batches):
@@ -284,14 +382,23 @@ def repeated_runs(parsed: DataFrame, least_pages: int, article_share: float, art
             rows = []
             for h, blocks, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
                 if len(keys):
-                    _, inside, met = covered(blocks, keys, ids)
+                    _, inside, own = covered(blocks, keys, ids)
                     if 2 * inside.sum() > len(inside):
-                        rows.append((h, met))
+                        rows.append((h, own))
             yield pa.RecordBatch.from_arrays(_batch(rows), ["h", "key"])
 
-    coarsely = often(pages.mapInArrow(coarse, "h long, key long, block boolean"), "block")
-    wide = by_host(pages, coarsely.where("NOT block"), small).select("h", "blocks", "keys")
-    found = written(coarsely.where("block").drop("block").unionByName(often(wide.mapInArrow(fine, "h long, key long"))), "runs")
+    groups = written(dealt.mapInArrow(grouped, "h long, key long, pages long, host_pages long, open boolean"), "group-runs")
+    found = groups.where("NOT open").select("h", "key", "pages", "host_pages")
+    opened = groups.where("open").select("h", "key", "host_pages", F.lit(False).alias("strong")).distinct()
+    if not opened.isEmpty():
+        opened = written(opened, "open-runs")
+        wide = by_host(pages.join(F.broadcast(hosts.where("groups > 1").select("h")), "h", "left_semi"), opened, small).select("h", "blocks", "keys")
+        counted = wide.mapInArrow(met, "h long, key long").groupBy("h", "key").agg(F.count(F.lit(1)).alias("pages"))
+        found = found.unionByName(counted.join(opened.drop("strong"), ["h", "key"]))
+    strong = (F.col("pages") >= F.col("host_pages") * article_share) & (F.col("pages") >= article_pages)
+    # outside containers a run on a few pages goes, but not where the host has hardly more pages than that
+    found = found.where((F.col("pages") >= least_pages) & (F.col("pages") * 10 >= F.col("host_pages")))
+    found = written(found.select("h", "key", "pages", strong.alias("strong")), "runs")
     copies = by_host(pages, found, small).select("h", "blocks", "keys").mapInArrow(mostly, "h long, key long").groupBy("h", "key").agg(F.count(F.lit(1)).alias("copies"))
     kept = F.coalesce(F.col("copies"), F.lit(0)) * 2 > F.col("pages")
     return written(found.join(copies, ["h", "key"], "left").where(~kept).select("h", "key", "strong"), "boilerplate")
@@ -301,29 +408,31 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://([^/?#]*)", 1))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, article_share: float = 0.5, article_pages: int = 5, small: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, article_share: float = 0.5, article_pages: int = 5, small: int = 20_000, group_words: int = 500_000) -> DataFrame:
     """One row per page: id, url, text. Null or empty html: empty text. Null url: host "". Repeated rows: each its row.
 
-    The boilerplate keys go by broadcast while they are at most `small` rows, else by a join on host.
+    The boilerplate keys go by broadcast while they are at most `small` rows, else by a join on host. A suffix array is over
+    about `group_words` words, at least a page's.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     key = p.schema["page_id"].dataType.simpleString()
 
     def parse(batches):
         for batch in lean(batches):
-            hosts, streams, inside, found = [], [], [], []
+            hosts, streams, inside, found, words = [], [], [], [], []
             for host, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 c = candidates(page or "")
                 found.append([s for s, _ in c])
                 inside.append(any(i for _, i in c))
+                words.append(sum(s.count(" ") + 1 for s in found[-1]))
                 hosts.append(digest(host))
                 streams.append(digest("\n".join(found[-1])))
-            arrays = [pa.array(hosts, pa.int64()), pa.array(streams, pa.int64()), pa.array(inside, pa.bool_()), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["page_id", "url", "h", "page", "inside", "blocks"])
+            arrays = [pa.array(hosts, pa.int64()), pa.array(streams, pa.int64()), pa.array(words, pa.int64()), pa.array(inside, pa.bool_()), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["page_id", "url", "h", "page", "words", "inside", "blocks"])
 
-    parsed = p.mapInArrow(parse, f"page_id {key}, url string, h long, page long, inside boolean, blocks array<string>")
+    parsed = p.mapInArrow(parse, f"page_id {key}, url string, h long, page long, words long, inside boolean, blocks array<string>")
     parsed = written(parsed.withColumn("row", F.monotonically_increasing_id()), "blocks")
-    found = repeated_runs(parsed, least_pages, article_share, article_pages, small)
+    found = repeated_runs(parsed, least_pages, article_share, article_pages, small, group_words)
 
     def texts(batches):
         ids = Ids()

@@ -150,6 +150,76 @@ def test_html_blocks():
     assert text_of("<nav>x<p>y</nav><p>body text</p>") == "body text"
 
 
+def test_html_classes_and_containers():
+    story = "<p>" + "the main story of this page, told at some length, " * 4 + "</p>"
+    for wrap in ('<div class="page with-sidebar">%s</div>', '<div id="header-less">%s</div>', '<article class="no-comments">%s</article>', '<div class="content-sidebar-wrap">%s</div>', '<div class="sidebar">%s</div>'):
+        assert "main story" in text_of(wrap % story), wrap
+    assert text_of(f'<div class="post-header"><h1>Title</h1></div>{story}').startswith("Title\n\nthe main story")
+    assert "was told" in text_of(f'<article>{story}<p class="social-history">It was told.</p></article>')
+    assert "main story" in text_of(f"<article>teaser</article><div>{story * 3}</div>")
+    for gone in ("ad", "ad-slot", "site-header", "cookie-notice", "cookieBanner", "related-posts", "share-buttons", "user-comments", "mainNav", "left-sidebar", "newsletter-signup", "top-banner-2", "social links"):
+        assert "noise" not in text_of(f'<div class="{gone}"><p>noise</p></div><article>{story}</article>'), gone
+        assert "noise" not in text_of(f'<div id="{gone}"><p>noise</p></div>{story}'), gone
+
+
+def test_suffix_runs():
+    """Sorted suffixes that share `depth` elements, against plain comparison."""
+    rng = np.random.default_rng(3)
+    for n, kinds, depth in ((300, 3, 4), (500, 2, 24), (200, 50, 2), (1, 1, 3), (400, 2, 1)):
+        x = rng.integers(0, kinds, n)
+        x[n // 2 : n // 2 + n // 4] = x[: n // 4]
+        x[[n // 3, n - 1]] = [kinds, kinds + 1]
+        by = {}
+        for i in range(n):
+            if i + depth <= n:
+                by.setdefault(tuple(x[i : i + depth].tolist()), []).append(i)
+        want = sorted(sorted(v) for v in by.values() if len(v) > 1)
+        suffix, interval = html_text.suffix_runs(x, depth)
+        got = [sorted(suffix[interval == k].tolist()) for k in np.unique(interval)]
+        assert sorted(got) == want
+        heads = [tuple(x[suffix[interval == k][0] :][:depth].tolist()) for k in np.unique(interval)]
+        assert heads == sorted(heads) and (np.diff(interval) >= 0).all()
+
+
+def test_html_repeated_runs_by_brute_force(spark, words):
+    """The keys that go, against counting every block and window; with hosts whole and dealt into groups."""
+    ids = html_text.Ids()
+    note, line = words(40, 950), words(5, 951)
+    pages = []
+    for i in range(60):
+        h = i % 3 if i < 45 else 3
+        parts = [words(50, 1000 + i)]
+        if i % 2:
+            parts.append(line)
+        if i % 4 < 2:
+            parts.append(f"at{i} {note} of{i}")
+        if i > 50:
+            parts = [note, line, words(20, 7)]
+        pages.append((i, h, i if i < 55 else 99, sum(p.count(" ") + 1 for p in parts), parts))
+    parsed = spark.createDataFrame([(*p, True) for p in pages], "row long, h long, page long, words long, blocks array<string>, inside boolean")
+    distinct = {}
+    for _, h, page, _, blocks in pages:
+        distinct.setdefault((h, page), blocks)
+    per_host, having, most = {}, {}, {}
+    for (h, _), blocks in distinct.items():
+        per_host[h] = per_host.get(h, 0) + 1
+        for key in {html_text.digest(b) for b in blocks} | set(html_text.windows(blocks, ids)[1].tolist()):
+            having.setdefault((h, key), []).append(blocks)
+    found = {k: v for k, v in having.items() if len(v) >= 3 and 10 * len(v) >= per_host[k[0]]}
+    for (h, _), blocks in distinct.items():
+        keys = np.array(sorted(k for g, k in found if g == h), np.int64)
+        _, gone, own = html_text.covered(blocks, keys, ids)
+        if 2 * gone.sum() > len(gone):
+            for k in own.tolist():
+                most[h, k] = most.get((h, k), 0) + 1
+    want = {(h, k, 2 * len(v) >= per_host[h] and len(v) >= 5) for (h, k), v in found.items() if 2 * most.get((h, k), 0) <= len(v)}
+    assert want and any(most.values())
+    for group_words in (500_000, 300, 1):
+        for small in (20_000, 0):
+            got = {tuple(r) for r in html_text.repeated_runs(parsed, 3, 0.5, 5, small, group_words).select("h", "key", "strong").collect()}
+            assert got == want, group_words
+
+
 def test_html_boilerplate_and_cases(spark, words):
     art = [words(60, 300 + i) for i in range(8)]
     plain = [(i, "http://h.example/x", f"<body><p>Follow us on everything</p><p>{a}</p><p>All rights reserved by us</p></body>") for i, a in enumerate(art)]
