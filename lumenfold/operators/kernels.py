@@ -32,52 +32,73 @@ def wls_normal(S: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.linalg.solve((S * w) @ S.T, S * w)
 
 
+def gram_each(S: np.ndarray, W: np.ndarray) -> np.ndarray:
+    """S diag(w) S' of every event's weights w: one matrix product with the pairwise products of spectra."""
+    f, g = np.triu_indices(len(S))
+    half = W @ (S[f] * S[g]).T
+    out = np.empty((len(W), len(S), len(S)))
+    out[:, f, g] = half
+    out[:, g, f] = half
+    return out
+
+
 def wls_each(X: np.ndarray, S: np.ndarray, W: np.ndarray) -> np.ndarray:
     """Every event with its own detector weights W (events x D)."""
-    gram = np.einsum("fd,nd,gd->nfg", S, W, S, optimize=True)
-    return np.linalg.solve(gram, ((X * W) @ S.T)[..., None])[..., 0]
+    return np.linalg.solve(gram_each(S, W), ((X * W) @ S.T)[..., None])[..., 0]
+
+
+#: Events whose matrices are held at a time.
+CHUNK = 1000
 
 
-def poisson(X: np.ndarray, S: np.ndarray, start: np.ndarray, iterations: int = 100, tol: float = 1e-6, floor: float = 1e-6, divergence: float | None = None, handling: str = "Keep", balance: float = 0.5) -> np.ndarray:
+def _chunked(fn, n: int):
+    """Results of fn(slice) for all events, chunk by chunk."""
+    parts = [fn(slice(at, min(at + CHUNK, n))) for at in range(0, max(n, 1), CHUNK)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def poisson(X: np.ndarray, S: np.ndarray, start: np.ndarray, iterations: int = 100, tol: float = 1e-8, floor: float = 1e-6, divergence: float | None = None, handling: str = "Keep", balance: float = 0.5) -> np.ndarray:
     """Poisson regression with identity link by iteratively reweighted least squares, all events at once.
 
-    Data and start are clamped to `floor`, spectra to absolute values. Events that do not converge keep their start;
-    a step that raises the deviance is halved. With `divergence`, events whose fit left the start by more than that
+    Data and start at or below zero become `floor`, spectra absolute values. A step after which an expected value is not
+    positive is halved until all are; coefficients may be negative. Events whose relative change of the deviance does not
+    fall below `tol` keep their start. With `divergence`, events whose fit left the start by more than that
     factor of its size are handled: Keep the start, or Balance (our definition: `balance` of the fit, the rest start).
     """
-    X, S = np.maximum(X, floor), np.abs(S)
-    first = np.maximum(start, floor)
-    u, done = first.copy(), np.zeros(len(X), dtype=bool)
-
-    def deviance(y, m):
-        m = np.maximum(m, floor)
-        return 2 * (y * np.log(y / m) - (y - m)).sum(1)
-
-    dev = deviance(X, u @ S)
-    live = np.arange(len(X))
-    for _ in range(iterations):
-        if not len(live):
-            break
-        mu = np.maximum(u[live] @ S, floor)
-        try:
-            step = wls_each(X[live], S, 1.0 / mu) - u[live]
-        except np.linalg.LinAlgError:
-            break
-        size = np.ones(len(live))
-        new = np.maximum(u[live] + step, floor)
-        now = deviance(X[live], new @ S)
-        for _ in range(8):
-            worse = now > dev[live] + 1e-12
-            if not worse.any():
+    X, S = np.where(X <= 0, floor, X), np.abs(S)
+    first = np.where(start <= 0, floor, start)
+
+    def fit(part):
+        x, u = X[part], first[part].copy()
+        out, live = u.copy(), np.arange(len(u))
+        log_x = x * np.log(x) - x
+        deviance = lambda at, mu: 2 * (log_x[at] - x[at] * np.log(mu) + mu).sum(1)
+        mu = u @ S
+        old = deviance(live, np.maximum(mu, 1e-300))
+        for _ in range(iterations):
+            if not len(live):
+                break
+            try:
+                new = wls_each(x[live], S, 1.0 / mu)
+            except np.linalg.LinAlgError:
                 break
-            size[worse] /= 2
-            new[worse] = np.maximum(u[live[worse]] + size[worse, None] * step[worse], floor)
-            now[worse] = deviance(X[live[worse]], new[worse] @ S)
-        ok = np.abs(now - dev[live]) <= tol * (np.abs(now) + 0.1)
-        u[live], dev[live] = new, now
-        done[live[ok]] = True
-        live = live[~ok]
-    out = np.where(done[:, None], u, first)
+            mean = new @ S
+            for _ in range(iterations):
+                bad = ~(mean > 0).all(1)
+                if not bad.any():
+                    break
+                new[bad] = (new[bad] + u[live[bad]]) / 2
+                mean[bad] = new[bad] @ S
+            valid = (mean > 0).all(1) & np.isfinite(new).all(1)
+            live, new, mean, old = live[valid], new[valid], mean[valid], old[valid]
+            now = deviance(live, mean)
+            u[live] = new
+            ok = np.abs(now - old) < tol * (np.abs(now) + 0.1)
+            out[live[ok]] = new[ok]
+            live, mu, old = live[~ok], mean[~ok], now[~ok]
+        return out
+
+    out = _chunked(fit, len(X))
     if divergence is not None:
         off = np.abs(out - first).max(1) > divergence * np.maximum(np.abs(first).max(1), floor)
         out[off] = first[off] if handling == "Keep" else balance * out[off] + (1 - balance) * first[off]
@@ -145,145 +166,306 @@ def with_af(X: np.ndarray, S: np.ndarray, A: np.ndarray, index: np.ndarray) -> n
     return out
 
 
+class Fits:
+    """Least squares fits of many events, each with spectra of its own that change a row at a time.
+
+    S: events x F x D; H: inverses of S w S' over the dyes that are on (zero elsewhere); w: weights (events x D) or None.
+    Taking out a dye or putting in another row is a rank-one change of H.
+    """
+
+    def __init__(self, Y: np.ndarray, S: np.ndarray, H: np.ndarray, w: np.ndarray | None = None):
+        self.Y, self.w = Y, w
+        self.S = np.broadcast_to(S, (len(Y), *S.shape)).copy()
+        self.H = np.broadcast_to(H, (len(Y), *S.shape[:1] * 2)).copy() if H.ndim == 2 else H
+
+    def _weighed(self, at, v: np.ndarray) -> np.ndarray:
+        return v if self.w is None else v * (self.w[at] if v.ndim == 2 else self.w[at][:, None])
+
+    def without(self, at: np.ndarray, f: int) -> np.ndarray:
+        """H of the events `at` with dye f left out."""
+        h = self.H[at, f]
+        return self.H[at] - h[:, :, None] * (h / h[:, f : f + 1])[:, None, :]
+
+    def coefficients(self, at: np.ndarray) -> np.ndarray:
+        b = np.matmul(self.S[at], self._weighed(at, self.Y[at])[..., None])
+        return np.matmul(self.H[at], b)[..., 0]
+
+    def replaced(self, at: np.ndarray, f: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(new H, is it regular) if dye f of the events `at` had these spectra (events x D)."""
+        rest = self.without(at, f)
+        own = self._weighed(at, rows)
+        c = np.matmul(rest, np.matmul(self.S[at], own[..., None]))[..., 0]
+        g = np.matmul(self.S[at], own[..., None])[..., 0]
+        size = (rows * own).sum(1)
+        left = size - (g * c).sum(1)
+        c[:, f] = -1.0
+        ok = left > 1e-12 * size
+        return rest + c[:, :, None] * (c / np.where(ok, left, 1.0)[:, None])[:, None, :], ok
+
+
 def greedy(X: np.ndarray, S: np.ndarray, library: dict[int, np.ndarray], thresholds: np.ndarray, tries: int = 10) -> np.ndarray:
-    """Per event: for dyes above threshold, by falling abundance, take the first of the `tries` most promising variants
-    (cosine of its difference with the residual, times abundance) that lowers the L1 residual; final fit with all dyes."""
+    """Per event: for dyes above threshold, by falling abundance, the one of the `tries` most promising variants (cosine of
+    its difference with the residual) that lowers the L1 residual most, if any does; final fit with all dyes.
+
+    All events at once: a dye's variants are compared by what they leave beside the other dyes, one product for all of them.
+    """
     P = ols(S)
-    U = X @ P.T
-    out = U.copy()
-    for n in range(len(X)):
-        on = np.flatnonzero(U[n] >= thresholds)
-        if not len(on):
-            continue
-        now = S.copy()
-        u = np.linalg.lstsq(now[on].T, X[n], rcond=None)[0]
-        res = X[n] - u @ now[on]
-        err, changed = np.abs(res).sum(), False
-        for f in on[np.argsort(-u, kind="stable")]:
-            if f not in library:
-                continue
-            delta = library[f] - S[f]
-            size = np.linalg.norm(delta, axis=1)
-            score = np.where(size > 1e-12, (delta @ res) / (np.maximum(size, 1e-12) * (np.linalg.norm(res) + 1e-12)), -np.inf) * u[np.flatnonzero(on == f)[0]]
-            for v in np.argsort(-score, kind="stable")[:tries]:
-                trial = now.copy()
-                trial[f] = library[f][v]
-                ut = np.linalg.lstsq(trial[on].T, X[n], rcond=None)[0]
-                rt = X[n] - ut @ trial[on]
-                if np.abs(rt).sum() < err:
-                    now, u, res, err, changed = trial, ut, rt, np.abs(rt).sum(), True
-                    break
-        if changed:
-            out[n] = np.linalg.lstsq(now.T, X[n], rcond=None)[0]
-    return out
+    F = len(S)
+    outer = S @ S.T
+
+    def fit(part):
+        x = X[part]
+        U = x @ P.T
+        on = U >= thresholds
+        H = np.where(on[:, :, None] & on[:, None, :], outer, np.eye(F))
+        fits = Fits(x, S, np.linalg.inv(H) * (on[:, :, None] & on[:, None, :]))
+        every = np.arange(len(x))
+        u = fits.coefficients(every)
+        res = x - np.matmul(u[:, None], fits.S)[:, 0]
+        err = np.abs(res).sum(1)
+        changed = np.zeros(len(x), dtype=bool)
+        may = on & np.isin(np.arange(F), list(library))
+        rank = np.argsort(np.where(may, -u, np.inf), axis=1, kind="stable")
+        for turn in range(int(may.sum(1).max(initial=0))):
+            dye = np.where(may.sum(1) > turn, rank[:, turn], -1)
+            for f in np.unique(dye[dye >= 0]):
+                at = np.flatnonzero(dye == f)
+                V = library[f]
+                delta = V - S[f]
+                size = np.linalg.norm(delta, axis=1)
+                score = np.where(size > 1e-12, (res[at] @ delta.T) * u[at, f : f + 1] / np.maximum(size, 1e-12), -np.inf)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :tries]
+                rest = fits.without(at, f)
+                rows = fits.S[at]
+                pick = V[best]
+                both = np.concatenate([x[at][:, None], pick], axis=1)
+                left = both - np.matmul(np.matmul(np.matmul(both, rows.transpose(0, 2, 1)), rest), rows)
+                base, apart = left[:, 0], left[:, 1:]
+                k = np.matmul(apart, base[..., None])[..., 0] / np.maximum((apart**2).sum(2), 1e-300)
+                after = base[:, None] - k[..., None] * apart
+                trial = np.where(np.take_along_axis(size[None], best, 1) > 1e-12, np.abs(after).sum(2), np.inf)
+                v = trial.argmin(1)
+                better = trial[np.arange(len(at)), v] < err[at]
+                at, v, row = at[better], v[better], np.flatnonzero(better)
+                if len(at):
+                    new, ok = fits.replaced(at, f, pick[row, v])
+                    at, v, row, new = at[ok], v[ok], row[ok], new[ok]
+                    fits.H[at], fits.S[at, f] = new, pick[row, v]
+                    res[at], err[at], changed[at] = after[row, v], trial[row, v], True
+        at = np.flatnonzero(changed)
+        if len(at):
+            now = fits.S[at]
+            U[at] = np.linalg.solve(np.matmul(now, now.transpose(0, 2, 1)), np.matmul(now, x[at][..., None]))[..., 0]
+        return U
+
+    return _chunked(fit, len(X))
 
 
 def joint_background(X: np.ndarray, P: np.ndarray, S: np.ndarray, A: np.ndarray, w: np.ndarray):
-    """(index, amount >= 0, score) of the best background row: weighted residual ratio times weighted spill ratio."""
+    """(index, amount >= 0, score) of the best background row: residual ratio times weighted spill ratio. Weights act on the
+    amounts (squared on the data, once on the row's own size) and through P; the residuals are compared without them."""
     U, V = X @ P.T, A @ P.T
     R = A - V @ S
     wa = spill_weights(P, A) + 1e-8
     r0 = X - U @ S
-    base = (r0**2 * w).sum(1)
-    spill0 = (np.abs(U) * wa).sum(1) + 1e-6
+    base = np.maximum((r0**2).sum(1), 1e-16)
+    spill0 = np.maximum((np.abs(U) * wa).sum(1), 1e-8)
+    size, own = np.maximum((R**2 * w).sum(1), EPS), (R**2).sum(1)
+    K = np.maximum(X @ (R * w**2).T, 0) / size
+    left = np.sqrt(np.maximum(base[:, None] - 2 * K * (r0 @ R.T) + K**2 * own, 0) / base[:, None])
     best, score, amount = np.zeros(len(X), dtype=np.int64), np.full(len(X), np.inf), np.zeros(len(X))
     for j in range(len(A)):
-        rr = (R[j] ** 2 * w).sum() or EPS
-        c = (X * w) @ R[j]
-        k = np.maximum(c / rr, 0)
-        left = np.maximum(base - 2 * k * ((r0 * w) @ R[j]) + k * k * rr, 0)
-        s = np.sqrt(left / (base + 1e-12)) * ((np.abs(U - k[:, None] * V[j]) * wa).sum(1) / spill0)
+        s = left[:, j] * ((np.abs(U - K[:, j : j + 1] * V[j]) @ wa) / spill0)
         better = s < score
-        best[better], score[better], amount[better] = j, s[better], k[better]
+        best[better], score[better], amount[better] = j, s[better], K[better, j]
     return best, amount, score
 
 
-def joint(X, S, A, library, thresholds, recommended=None, w=None, passes=2, cell_weight=False, floor=125.0, alpha=0.5, collinear=0.5, again=None):
+class Changes:
+    """What the variants of the dyes do to a fit; all variants of all active dyes in one numbering, dye by dye."""
+
+    def __init__(self, S, P, library, active, observed, collinear):
+        self.active = active
+        self.dye = np.concatenate([np.full(len(library[f]), f) for f in active]) if active else np.zeros(0, np.int64)
+        self.rows = np.concatenate([library[f] for f in active]) if active else np.zeros((0, S.shape[1]))
+        delta = self.rows - S[self.dye]
+        self.across = delta - (delta @ P.T) @ S  # what no dye's abundance can follow
+        self.across2 = self.across**2
+        self.of, self.spread, self.leak = {}, {}, {}
+        for f in active:
+            self.of[f] = np.flatnonzero(self.dye == f)
+            rest = np.delete(S, f, axis=0)
+            U = np.linalg.solve(rest @ rest.T, rest)
+            d = observed.get(f, delta[self.of[f]])
+            cov = (np.cov(d, rowvar=False) if len(d) > 1 else 0.0) + 1e-4 * np.eye(S.shape[1])
+            self.spread[f] = delta[self.of[f]] @ U.T
+            self.leak[f] = np.sqrt(np.abs(np.einsum("fd,de,fe->f", U, cov, U))) + 1e-8
+        norms = np.linalg.norm(P, axis=1)
+        self.alike = np.abs((P @ P.T) / (np.outer(norms, norms) + 1e-12)) > collinear
+        self.inner = self.across @ self.across.T
+
+    def scores(self, f: int, u: np.ndarray, res: np.ndarray, rss: np.ndarray, weight, current: np.ndarray, alpha: float) -> np.ndarray:
+        """Joint score of each variant of dye f for events with that dye; infinite where the residual would grow too far.
+        current: the variant in place (in the common numbering), -1 for the dye's own spectrum."""
+        own = self.of[f]
+        R = self.across[own]
+        amount = u[:, f : f + 1]
+        other = np.delete(u, f, axis=1)
+        cross = (res if weight is None else res * weight) @ R.T
+        size = np.broadcast_to(self.inner[own, own], cross.shape) if weight is None else weight @ self.across2[own].T
+        spread = np.broadcast_to(self.spread[f], (len(u), *self.spread[f].shape))
+        moved = np.flatnonzero(current >= 0)
+        if len(moved):
+            c = current[moved] - own[0]
+            both = self.inner[own][:, current[moved]].T if weight is None else np.matmul(weight[moved] * R[c], R.T)
+            size, spread = size.copy(), spread.copy()
+            size[moved] += size[moved, c][:, None] - 2 * both
+            cross[moved] -= cross[moved, c][:, None]
+            spread[moved] -= self.spread[f][c][:, None]
+        new = rss[:, None] - 2 * amount * cross + amount**2 * size
+        leak = np.abs(other[:, None] - amount[..., None] * spread) @ self.leak[f]
+        leak /= np.maximum(np.abs(other) @ self.leak[f], 1e-8)[:, None]
+        ratio = np.sqrt(np.maximum(new, 0) / rss[:, None])
+        score = np.maximum(ratio, 1e-8) ** alpha * np.maximum(leak, 1e-8) ** (1 - alpha)
+        return np.where((new <= 1.1025 * rss[:, None]) & (score < 1), score, np.inf)
+
+    def chosen(self, score: np.ndarray, current: np.ndarray, retry: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Per event, from scores of all variants: the variants to commit, in order, and those to try again after them
+        (-1 fills). Of each dye the best one; none whose residual change resembles a better one's (cosine over 1/2), but if
+        the two dyes are alike it waits."""
+        n, m = score.shape
+        alive = score.copy()
+        took_at = np.full((n, len(self.alike)), np.inf)  # score at which a dye was committed
+        waits = np.zeros((n, m), dtype=bool)
+        commits = []
+        old = np.full((n, m), -1)
+        if (current >= 0).any():
+            for f in self.active:
+                old[:, self.of[f]] = current[:, f : f + 1]
+        at = np.flatnonzero(np.isfinite(alive).any(1))
+        inner = self.inner
+        while len(at):
+            a = alive[at].argmin(1)
+            s = alive[at, a]
+            turn = np.full(n, -1)
+            turn[at] = a
+            commits.append(turn)
+            took_at[at, self.dye[a]] = s
+            # cosine of the changes of the residual: differences to the variants in place
+            both = inner[a].copy()
+            na, nb = np.diag(inner)[a], np.broadcast_to(np.diag(inner), both.shape).copy()
+            cb, ca = old[at], old[at, a]
+            if (cb >= 0).any():
+                i, j = np.nonzero(cb >= 0)
+                both[i, j] -= inner[a[i], cb[i, j]]
+                nb[i, j] += inner[cb[i, j], cb[i, j]] - 2 * inner[j, cb[i, j]]
+                i = np.flatnonzero(ca >= 0)
+                c = ca[i]
+                both[i] -= inner[c]
+                k, j = np.nonzero(cb[i] >= 0)
+                both[i[k], j] += inner[c[k], cb[i[k], j]]
+                na = na.copy()
+                na[i] += inner[c, c] - 2 * inner[a[i], c]
+            near = np.abs(both) > 0.5 * np.sqrt(np.maximum(nb, 0)) * np.sqrt(np.maximum(na, 0))[:, None]
+            near &= np.isfinite(alive[at]) & (self.dye[None] != self.dye[a][:, None])
+            if retry:
+                waits[at] |= near & self.alike[self.dye[a]][:, self.dye]
+            alive[at] = np.where(near | (self.dye[None] == self.dye[a][:, None]), np.inf, alive[at])
+            at = at[np.isfinite(alive[at]).any(1)]
+        waits &= score < took_at[:, self.dye]  # what comes after its dye's commit is not looked at
+        order = np.argsort(np.where(waits, score, np.inf), axis=1, kind="stable")[:, : int(waits.sum(1).max(initial=0))]
+        again = np.where(np.take_along_axis(waits, order, 1), order, -1)
+        return np.array(commits).reshape(len(commits), n).T, again
+
+
+def joint(X, S, A, library, thresholds, recommended=None, w=None, passes=1, cell_weight=False, floor=125.0, alpha=0.5, collinear=0.5, again=None, af_passes=2, observed=None, retry=True):
     """Background, then variants chosen jointly. Returns (events x F abundances, amount of background, its index from 0).
 
-    again: amounts at or above this (a quantile over the whole sample, computed before) get a second background pass.
+    again: events with at least that amount (a quantile over the whole sample, computed before) get up to af_passes - 1
+    further background passes; the index stays the first one. observed: differences from which the leakage weights of a dye
+    are taken; its variants' own, if there are none. w: the sample's detector weights; with cell_weight, the final fit has
+    weights of each event's own prediction, background included. retry: variants that only clash with a dye alike to theirs
+    are tried again after it.
     """
     D = S.shape[1]
-    w = np.ones(D) if w is None else w
-    P = wls_normal(S, w)
-    index, amount, _ = joint_background(X, P, S, A, w)
+    ones = np.ones(D) if w is None else w
+    P = wls_normal(S, ones)
+    index, amount, _ = joint_background(X, P, S, A, ones)
+    amount = amount.copy()
     Y = X - amount[:, None] * A[index]
     if again is not None:
         at = np.flatnonzero(amount >= again)
-        if len(at):
-            j, k, score = joint_background(Y[at], P, S, A, w)
+        for _ in range(af_passes - 1):
+            if not len(at):
+                break
+            j, k, score = joint_background(Y[at], P, S, A, ones)
             good = score < 1
             Y[at[good]] -= k[good, None] * A[j[good]]
             amount[at[good]] += k[good]
-    U = Y @ P.T
-    allowed = [f for f in library if recommended is None or recommended[f]]
-    norms = np.linalg.norm(P, axis=1)
-    alike = np.abs((P @ P.T) / (np.outer(norms, norms) + 1e-12)) > collinear
-    for n in range(len(X)):
-        weight = w
+            at = at[good]
+    active = [f for f in sorted(library) if len(library[f]) and (recommended is None or recommended[f])]
+    changes = Changes(S, P, library, active, observed or {}, collinear)
+    level = np.array([thresholds[f] for f in range(len(S))], dtype=float)
+    fixed = np.linalg.inv(S @ S.T)
+
+    def fit(part):
+        y = Y[part]
+        n = len(y)
+        weight = None
+        H = fixed
         if cell_weight:
-            weight = w / np.maximum(np.abs(U[n] @ S), floor)
-        now = S.copy()
-        u = U[n] if not cell_weight else wls_normal(now, weight) @ Y[n]
-        if not allowed:
-            U[n] = u
-            continue
-        signal = (Y[n] ** 2 * weight).sum()
-        chosen: dict[int, int] = {}
+            weight = 1 / np.maximum(np.abs((y @ P.T) @ S + (X[part] - y)), floor)
+            H = np.linalg.inv(gram_each(S, weight))
+        if not active:
+            return ((y if weight is None else y * weight) @ S.T)[:, None] @ H if H.ndim == 2 else np.matmul(((y * weight) @ S.T)[:, None], H)
+        fits = Fits(y, S, H, weight)
+        heavy = lambda r, at: (r**2 if weight is None else r**2 * weight[at]).sum(1)
+        every = np.arange(n)
+        u = fits.coefficients(every)
+        res = y - np.matmul(np.maximum(u, 0)[:, None], fits.S)[:, 0]
+        accepted = heavy(res, every)
+        signal = (y**2).sum(1)
+        current = np.full((n, len(S)), -1)
+        live = every
+
+        def commit(at, v):
+            f = changes.dye[v]
+            for g in np.unique(f):
+                mine = f == g
+                i, row = at[mine], changes.rows[v[mine]]
+                new, ok = fits.replaced(i, g, row)
+                before_S, before_H = fits.S[i, g].copy(), fits.H[i]
+                fits.S[i, g], fits.H[i] = row, new
+                c = fits.coefficients(i)
+                r = y[i] - np.matmul(np.maximum(c, 0)[:, None], fits.S[i])[:, 0]
+                rss = heavy(r, i)
+                good = ok & (rss < accepted[i])
+                back = i[~good]
+                fits.S[back, g], fits.H[back] = before_S[~good], before_H[~good]
+                i, v_ = i[good], v[mine][good]
+                u[i], res[i], accepted[i], current[i, g] = c[good], r[good], rss[good], v_
+
         for _ in range(passes):
-            Pn = wls_normal(now, weight)
-            res = Y[n] - np.maximum(u, 0) @ now
-            rss = (res**2 * weight).sum()
-            if rss < 1e-16 * signal:
-                break
-            found = []
-            for f in allowed:
-                if u[f] < thresholds[f]:
-                    continue
-                delta = library[f] - now[f]
-                spread = delta @ Pn.T
-                across = delta - spread @ now
-                c, q = across @ (res * weight), (across**2 * weight).sum(1)
-                new = np.maximum(rss - 2 * u[f] * c + u[f] ** 2 * q, 0)
-                ratio = new / max(rss, 1e-300)
-                leak0 = np.abs(np.delete(u, f)).sum() + 1e-8
-                leak = (np.abs(np.delete(u - u[f] * spread, f, axis=-1)).sum(1) + 1e-8) / leak0
-                score = np.maximum(np.sqrt(ratio), 1e-8) ** alpha * np.maximum(leak, 1e-8) ** (1 - alpha)
-                for v in np.flatnonzero((ratio <= 1.1025) & (score < 1) & (q > 1e-20)):
-                    found.append((score[v], f, v, across[v]))
-            if not found:
-                break
-            found.sort(key=lambda t: t[:3])
-            taken, waiting, committed = [], [], False
-            for _, f, v, d in found:
-                if any(f == g for g, _ in taken):
-                    continue
-                clash = [g for g, e in taken if abs(d @ e) > 0.5 * np.linalg.norm(d) * np.linalg.norm(e)]
-                if clash:
-                    if any(alike[f, g] for g in clash):
-                        waiting.append((f, v, d))
-                    continue
-                trial = now.copy()
-                trial[f] = library[f][v]
-                ut = wls_normal(trial, weight) @ Y[n]
-                rt = ((Y[n] - np.maximum(ut, 0) @ trial) ** 2 * weight).sum()
-                if rt < rss:
-                    now, u, rss, committed = trial, ut, rt, True
-                    taken.append((f, d))
-                    chosen[f] = int(v)
-            for f, v, _ in waiting:  # collinear pairs get another try after the rest
-                if any(f == g for g, _ in taken):
-                    continue
-                trial = now.copy()
-                trial[f] = library[f][v]
-                ut = wls_normal(trial, weight) @ Y[n]
-                rt = ((Y[n] - np.maximum(ut, 0) @ trial) ** 2 * weight).sum()
-                if rt < rss:
-                    now, u, rss, committed = trial, ut, rt, True
-                    taken.append((f, library[f][v]))
-            if not committed:
+            if not len(live):
                 break
-        U[n] = u
+            rss = np.maximum(accepted[live], 1e-12)
+            score = np.full((len(live), len(changes.dye)), np.inf)
+            for f in active:
+                at = np.flatnonzero(u[live, f] >= level[f])
+                if len(at):
+                    i = live[at]
+                    score[np.ix_(at, changes.of[f])] = changes.scores(f, u[i], res[i], rss[at], None if weight is None else weight[i], current[i, f], alpha)
+            some = np.isfinite(score).any(1)
+            live, score = live[some], score[some]
+            commits, waiting = changes.chosen(score, current[live], retry)
+            for turns in (commits, waiting):
+                for t in range(turns.shape[1]):
+                    at = np.flatnonzero(turns[:, t] >= 0)
+                    commit(live[at], turns[at, t])
+            live = live[(res[live] ** 2).sum(1) >= 1e-16 * signal[live]]
+        return u
+
+    U = _chunked(lambda part: fit(part).reshape(-1, len(S)), len(X))
     return U, amount, index
 
 

@@ -168,7 +168,7 @@ def unmix_joint(df, panel: Panel, af: Panel, library, thresholds, array_col="spe
         again = amounts.agg(F.percentile("amount", F.lit(af_quantile))).first()[0]
 
     def run(X):
-        u, amount, index = kernels.joint(X, S, A, library, np.asarray(thresholds), recommended, w, cell_weight=cell_weight, floor=floor, again=again, **options)
+        u, amount, index = kernels.joint(X, S, A, library, np.asarray(thresholds), recommended, w, cell_weight=cell_weight, floor=floor, again=again, af_passes=af_passes, **options)
         return [*u.T, amount, index + 1]
 
     return apply_kernel(df, array_col, S.shape[1], run, [*[(n, "double") for n in names], ("AF", "double"), ("AF Index", "int")])

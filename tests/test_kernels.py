@@ -157,3 +157,172 @@ def test_divergent_fits_are_balanced():
     fit = kernels.poisson(Y, S, start)
     half = kernels.poisson(Y, S, start, divergence=10.0, handling="Balance", balance=0.5)
     assert np.allclose(half, (fit + start) / 2) and np.allclose(kernels.poisson(Y, S, start, divergence=10.0), start)
+
+
+def plain_greedy(x, S, library, thresholds, tries):
+    """One event, straight from the rules."""
+    u = np.linalg.lstsq(S.T, x, rcond=None)[0]
+    on = [f for f in range(len(S)) if u[f] >= thresholds[f]]
+    if not on:
+        return u
+    now = S.copy()
+    solve = lambda M: np.linalg.lstsq(M[on].T, x, rcond=None)[0]
+    start = dict(zip(on, solve(now), strict=True))
+    res = x - solve(now) @ now[on]
+    error = np.abs(res).sum()
+    for f in sorted((f for f in on if f in library), key=lambda f: (-start[f], f)):
+        delta = library[f] - S[f]
+        score = delta @ res * start[f] / np.linalg.norm(delta, axis=1)
+        for v in np.argsort(-score, kind="stable")[:tries]:
+            trial = now.copy()
+            trial[f] = library[f][v]
+            left = x - solve(trial) @ trial[on]
+            if np.abs(left).sum() < error:
+                now, res, error = trial, left, np.abs(left).sum()
+    return np.linalg.lstsq(now.T, x, rcond=None)[0]
+
+
+def plain_joint(x, y, S, P, library, thresholds, observed, passes, alpha, collinear, weights, floor):
+    """One event after its background is gone (x before, y after): the rules of variants chosen jointly, step by step."""
+    F, D = S.shape
+    w = np.ones(D) if weights is None else 1 / np.maximum(np.abs((P @ y) @ S + (x - y)), floor)
+    now = S.copy()
+    fit = lambda M: np.linalg.solve((M * w) @ M.T, (M * w) @ y)
+    u = fit(now)
+    res = y - np.maximum(u, 0) @ now
+    current = dict.fromkeys(library, -1)
+    pre = {}
+    for f, V in library.items():
+        rest = np.delete(S, f, axis=0)
+        U = np.linalg.solve(rest @ rest.T, rest)
+        delta = V - S[f]
+        cov = np.cov(observed.get(f, delta), rowvar=False) + 1e-4 * np.eye(D)
+        pre[f] = (delta - (delta @ P.T) @ S, (U @ delta.T).T, np.sqrt(np.abs(np.diag(U @ cov @ U.T))) + 1e-8)
+    for _ in range(passes):
+        accepted = (res**2 * w).sum()
+        rss = max(accepted, 1e-12)
+        candidates = []
+        for f in sorted(library):
+            if u[f] < thresholds[f]:
+                continue
+            across, spread, leak = pre[f]
+            other = np.delete(u, f)
+            for v in range(len(across)):
+                c = current[f]
+                d = across[v] - (across[c] if c >= 0 else 0)
+                s = spread[v] - (spread[c] if c >= 0 else 0)
+                new = rss - 2 * u[f] * (d * res * w).sum() + u[f] ** 2 * (d * d * w).sum()
+                if new > 1.1025 * rss:
+                    continue
+                ratio = (leak * np.abs(other - u[f] * s)).sum() / max((leak * np.abs(other)).sum(), 1e-8)
+                score = max(np.sqrt(max(new, 0) / rss), 1e-8) ** alpha * max(ratio, 1e-8) ** (1 - alpha)
+                if score < 1:
+                    candidates.append((score, f, v))
+        if not candidates:
+            break
+        candidates.sort()
+        taken, waits = [], []
+        for _, f, v in candidates:
+            if any(f == g for g, _, _ in taken):
+                continue
+            c = current[f]
+            d = (pre[f][0][v] - (pre[f][0][c] if c >= 0 else 0)) * u[f]
+            clash = [g for g, _, e in taken if abs(d @ e) / (max(np.linalg.norm(d), 1e-12) * max(np.linalg.norm(e), 1e-12)) > 0.5]
+            if clash:
+                g = clash[0]
+                if abs(P[f] @ P[g]) / (np.linalg.norm(P[f]) * np.linalg.norm(P[g]) + 1e-12) > collinear:
+                    waits.append((f, v))
+                continue
+            taken.append((f, v, d))
+        for f, v in [t[:2] for t in taken] + waits:
+            trial = now.copy()
+            trial[f] = library[f][v]
+            ut = fit(trial)
+            rt = y - np.maximum(ut, 0) @ trial
+            if (rt**2 * w).sum() < accepted:
+                now, u, res, accepted = trial, ut, rt, (rt**2 * w).sum()
+                current[f] = v
+        if (res**2).sum() < 1e-16 * (y**2).sum():
+            break
+    return u
+
+
+def random_mix(seed, n=150, F=6, D=24, kinds=5, collinear=False):
+    rng = np.random.default_rng(seed)
+    spectra_ = rng.random((F, D)) + 0.05
+    if collinear:
+        spectra_[1] = spectra_[0] + 0.15 * rng.random(D)
+        spectra_[3] = spectra_[2] + 0.1 * rng.random(D)
+    library = {f: spectra_[f] + 0.15 * rng.normal(size=(kinds, D)) * spectra_[f] for f in range(F) if f != 4}
+    amounts = rng.lognormal(4, 1, (n, F)) * (rng.random((n, F)) < 0.6)
+    X = np.zeros((n, D))
+    for f in range(F):
+        rows = library[f][rng.integers(0, kinds, n)] if f in library else np.broadcast_to(spectra_[f], (n, D))
+        X += amounts[:, f : f + 1] * rows
+    return X + rng.normal(0, 2, X.shape), spectra_, library, rng.random((5, D)), rng
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_greedy_equals_the_plain_rules(seed):
+    Z, spectra_, library, _, rng = random_mix(seed, collinear=bool(seed))
+    levels = np.full(len(spectra_), 15.0)
+    for tries in (10, 2):
+        want = np.array([plain_greedy(x, spectra_, library, levels, tries) for x in Z])
+        assert np.allclose(kernels.greedy(Z, spectra_, library, levels, tries), want, rtol=1e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize("passes", [1, 3])
+def test_joint_equals_the_plain_rules(weighted, passes):
+    for seed in (2, 3):
+        Z, spectra_, library, background, rng = random_mix(seed, collinear=True)
+        Z = Z + 30 * background[rng.integers(0, 5, len(Z))]
+        levels = np.full(len(spectra_), 10.0)
+        w = 1 / np.maximum(Z.mean(0), 125.0) if weighted else None
+        P = kernels.wls_normal(spectra_, np.ones(Z.shape[1]) if w is None else w)
+        observed = {0: 0.3 * rng.normal(size=(7, Z.shape[1]))}
+        for retry_level in (0.5, 0.1):
+            u, amount, index = kernels.joint(Z, spectra_, background, library, levels, w=w, passes=passes, cell_weight=weighted, observed=observed, collinear=retry_level)
+            Y = Z - amount[:, None] * background[index]
+            want = np.array([plain_joint(x, y, spectra_, P, library, levels, observed, passes, 0.5, retry_level, w, 125.0) for x, y in zip(Z, Y, strict=True)])
+            assert np.allclose(u, want, rtol=1e-6, atol=1e-6)
+            assert not np.allclose(u, Y @ P.T)
+
+
+def test_joint_background_passes():
+    """Further passes add amounts of events at or above the cutoff while they help; the index stays."""
+    Z, spectra_, library, background, rng = random_mix(5)
+    Z = Z + 60 * background[rng.integers(0, 5, len(Z))]
+    _, one, index = kernels.joint(Z, spectra_, background, {}, np.zeros(6))
+    cutoff = float(np.quantile(one, 0.5))
+    _, two, again = kernels.joint(Z, spectra_, background, {}, np.zeros(6), again=cutoff, af_passes=3)
+    assert (index == again).all() and (two >= one).all() and (two[one < cutoff] == one[one < cutoff]).all() and (two > one).any()
+
+
+def plain_poisson(y, spectra_, start, iterations=100):
+    """One event by the textbook's rules for generalised linear models: identity link, steps halved until all means are positive."""
+    y, M = np.where(y <= 0, 1e-6, y), np.abs(spectra_).T
+    c = first = np.where(start <= 0, 1e-6, start)
+    dev = lambda m: 2 * (y * np.log(y / m) - (y - m)).sum()
+    mu, old = M @ c, dev(M @ c)
+    for _ in range(iterations):
+        r = 1 / np.sqrt(mu)
+        new = np.linalg.lstsq(M * r[:, None], y * r, rcond=None)[0]
+        for _ in range(iterations):
+            if (M @ new > 0).all():
+                break
+            new = (new + c) / 2
+        c, mu = new, M @ new
+        if abs(dev(mu) - old) / (abs(dev(mu)) + 0.1) < 1e-8:
+            return c
+        old = dev(mu)
+    return first
+
+
+def test_poisson_equals_the_plain_rules():
+    rng = np.random.default_rng(11)
+    amounts = rng.lognormal(2, 1.5, (80, 3)) * (rng.random((80, 3)) < 0.6)
+    Y = rng.poisson(amounts @ S).astype(float)
+    start = Y @ kernels.ols(S).T
+    assert np.allclose(kernels.poisson(Y, S, start), [plain_poisson(y, S, b) for y, b in zip(Y, start, strict=True)], rtol=1e-5, atol=1e-6)
+    assert (kernels.poisson(Y, S, start) < 0).any()  # as the model has it
