@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.functions.arrays import dot_literal
+from lumenfold.functions.stats import quantiles
 from lumenfold.operators import kernels
 
 #: Up to so many constants a matrix is inlined as literals; beyond, it goes to a kernel (640 constants: twelve times faster there).
@@ -102,20 +103,27 @@ def unmix_wls(df, panel: Panel, array_col="spectral", weights=None, names=None,
     return project(df, array_col, kernels.wls(panel.S, w), names or [str(n) for n in panel.names], how)
 
 
-def unmix_wls_per_cell(df, panel: Panel, array_col="spectral", floor=1e-6, names=None):
+def wls_per_cell_kernel(panel: Panel, floor=1e-6, names=None):
+    """(kernel, fields) of the method, for apply_kernel or for rows from anywhere else; so are the others below."""
+    S = panel.S
+    return lambda X: list(kernels.wls_each(X, S, 1 / np.maximum(np.abs(X), floor)).T), [(str(n), "double") for n in names or panel.names]
+
+
+def unmix_wls_per_cell(df, panel: Panel, array_col="spectral", **options):
     """Each event weighted by its own values."""
+    return apply_kernel(df, array_col, panel.S.shape[1], *wls_per_cell_kernel(panel, **options))
+
+
+def poisson_kernel(panel: Panel, weights, names=None, iterations=100, **options):
     S = panel.S
-    fields = [(str(n), "double") for n in names or panel.names]
-    return apply_kernel(df, array_col, S.shape[1], lambda X: list(kernels.wls_each(X, S, 1 / np.maximum(np.abs(X), floor)).T), fields)
+    P = kernels.wls(S, np.asarray(weights))
+    return lambda X: list(kernels.poisson(X, S, X @ P.T, iterations, **options).T), [(str(n), "double") for n in names or panel.names]
 
 
-def unmix_poisson(df, panel: Panel, array_col="spectral", weights=None, names=None, iterations=100, **options):
+def unmix_poisson(df, panel: Panel, array_col="spectral", weights=None, **options):
     """Poisson fit started from weighted least squares; events that do not converge keep the start. options: see the kernel."""
-    S = panel.S
-    w = kernels.weights(column_mean(df, array_col, S.shape[1])) if weights is None else np.asarray(weights)
-    P = kernels.wls(S, w)
-    fields = [(str(n), "double") for n in names or panel.names]
-    return apply_kernel(df, array_col, S.shape[1], lambda X: list(kernels.poisson(X, S, X @ P.T, iterations, **options).T), fields)
+    w = kernels.weights(column_mean(df, array_col, panel.S.shape[1])) if weights is None else weights
+    return apply_kernel(df, array_col, panel.S.shape[1], *poisson_kernel(panel, w, **options))
 
 
 #: Rules that assign a background row to each event, by name.
@@ -138,8 +146,7 @@ def assign_variants(df, panel: Panel, dye, variants: np.ndarray, array_col="spec
     return apply_kernel(df, array_col, S.shape[1], lambda X: [kernels.variants(X, S, f, variants, by_cosine) + 1], [(name, "int")])
 
 
-def unmix_per_cell_af(df, panel: Panel, af: Panel, array_col="spectral", rule="fluorophores", library=None, thresholds=None, tries=10, names=None):
-    """Per-event background: assigned row, then least squares with it; optionally variants on what is left."""
+def per_cell_af_kernel(panel: Panel, af: Panel, rule="fluorophores", library=None, thresholds=None, tries=10, names=None):
     if len(af.S) < 2:
         raise ValueError("at least two background spectra are needed")
     S, A, fn = panel.S, af.S, ASSIGNMENTS[rule]
@@ -152,36 +159,68 @@ def unmix_per_cell_af(df, panel: Panel, af: Panel, array_col="spectral", rule="f
             u[:, :-1] = kernels.greedy(X - u[:, -1:] * A[index], S, library, np.asarray(thresholds), tries)
         return [*u.T, index + 1]
 
-    return apply_kernel(df, array_col, S.shape[1], run, [*[(n, "double") for n in names], ("AF", "double"), ("AF Index", "int")])
+    return run, [*[(n, "double") for n in names], ("AF", "double"), ("AF Index", "int")]
+
+
+def unmix_per_cell_af(df, panel: Panel, af: Panel, array_col="spectral", **options):
+    """Per-event background: assigned row, then least squares with it; optionally variants on what is left."""
+    return apply_kernel(df, array_col, panel.S.shape[1], *per_cell_af_kernel(panel, af, **options))
 
 
-def unmix_joint(df, panel: Panel, af: Panel, library, thresholds, array_col="spectral", recommended=None, cell_weight=False, floor=125.0, af_passes=1, af_quantile=0.5, names=None, **options):
-    """The joint pipeline. Weights and the quantile for a second background pass are taken once over all of df, not by batch."""
+def joint_statistics(df, panel: Panel, af: Panel, array_col="spectral", cell_weight=False, floor=125.0, af_passes=1, af_quantile=0.5) -> dict:
+    """What the joint pipeline takes from a whole sample: detector weights, and the amount of background from which further
+    passes are made. Options of the method that need no sample are not listed."""
     S, A = panel.S, af.S
-    names = [str(n) for n in names or panel.names]
     w = 1 / np.maximum(column_mean(df, array_col, S.shape[1]), floor) if cell_weight else None
     again = None
     if af_passes > 1:
-        P = kernels.wls_normal(S, np.ones(S.shape[1]) if w is None else w)
         ones = np.ones(S.shape[1]) if w is None else w
+        P = kernels.wls_normal(S, ones)
         amounts = apply_kernel(df.select(array_col), array_col, S.shape[1], lambda X: [kernels.joint_background(X, P, S, A, ones)[1]], [("amount", "double")])
-        again = amounts.agg(F.percentile("amount", F.lit(af_quantile))).first()[0]
+        again = quantiles(amounts, [], "amount", af_quantile, "q").first()["q"]
+    return {"w": w, "again": again, "cell_weight": cell_weight, "floor": floor, "af_passes": af_passes}
+
+
+def joint_kernel(panel: Panel, af: Panel, library=None, thresholds=None, recommended=None, names=None, **options):
+    S, A = panel.S, af.S
+    level = np.full(len(S), np.inf) if thresholds is None else np.asarray(thresholds)
 
     def run(X):
-        u, amount, index = kernels.joint(X, S, A, library, np.asarray(thresholds), recommended, w, cell_weight=cell_weight, floor=floor, again=again, af_passes=af_passes, **options)
+        u, amount, index = kernels.joint(X, S, A, library or {}, level, recommended, **options)
         return [*u.T, amount, index + 1]
 
-    return apply_kernel(df, array_col, S.shape[1], run, [*[(n, "double") for n in names], ("AF", "double"), ("AF Index", "int")])
+    return run, [*[(str(n), "double") for n in names or panel.names], ("AF", "double"), ("AF Index", "int")]
+
+
+def unmix_joint(df, panel: Panel, af: Panel, library=None, thresholds=None, array_col="spectral", cell_weight=False, floor=125.0, af_passes=1, af_quantile=0.5, **options):
+    """The joint pipeline. Weights and the quantile for further background passes are taken once over all of df, not by batch."""
+    known = joint_statistics(df, panel, af, array_col, cell_weight, floor, af_passes, af_quantile)
+    return apply_kernel(df, array_col, panel.S.shape[1], *joint_kernel(panel, af, library, thresholds, **known, **options))
+
+
+#: The fast Poisson method guards against divergence.
+GUARDED = {"divergence": 1e4, "handling": "Balance", "balance": 0.5}
 
 
 def unmix_fast_poisson(df, panel: Panel, array_col="spectral", **options):
     """The same kernel with a guard against divergence, as the accelerated variant has."""
-    return unmix_poisson(df, panel, array_col, **{"divergence": 1e4, "handling": "Balance", "balance": 0.5} | options)
+    return unmix_poisson(df, panel, array_col, **GUARDED | options)
 
 
 METHODS = {"FastPoisson": unmix_fast_poisson, "OLS": unmix_ols, "WLS": unmix_wls, "WLSPerCell": unmix_wls_per_cell, "Poisson": unmix_poisson, "PerCellAF": unmix_per_cell_af, "Joint": unmix_joint}
 
 
+def event_kernel(method: str, panel: Panel, weights=None, **options):
+    """(kernel, fields) of a method by name. WLS and the Poisson methods need a sample's weights, Joint what joint_statistics
+    gives."""
+    if method in ("OLS", "WLS"):
+        P = kernels.ols(panel.S) if method == "OLS" else kernels.wls(panel.S, np.asarray(weights))
+        return lambda X: list((X @ P.T).T), [(str(n), "double") for n in panel.names]
+    if method in ("Poisson", "FastPoisson"):
+        return poisson_kernel(panel, weights, **(GUARDED if method == "FastPoisson" else {}) | options)
+    return {"WLSPerCell": wls_per_cell_kernel, "PerCellAF": per_cell_af_kernel, "Joint": joint_kernel}[method](panel, **options)
+
+
 def unmix(df: DataFrame, method: str, panel: Panel, **options) -> DataFrame:
     """One entry for all methods; missing values of the results become 0."""
     if method not in METHODS:

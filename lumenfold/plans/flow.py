@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -156,52 +158,98 @@ def automated_spectra(events: DataFrame, p: Parameters, library: Panel | None =
     return panel, log
 
 
-def unmix_events(events: DataFrame, p: Panel, method: str = "OLS", af: Panel | None = None, **options) -> DataFrame:
-    """Events unmixed by a named method; dye columns get the suffix -A, the background index does not."""
+def checked(p: Panel, method: str, af: Panel | None) -> Panel:
+    """The dyes a method fits: without the background row, if it finds each event's own. Warns of an ill-conditioned panel."""
     if method in ("PerCellAF", "Joint"):
         if af is None or len(af.S) < 2:
             raise ValueError(f"{method} needs at least two background spectra")
-        p, options = p.without("AF"), {**options, "af": af}
+        p = p.without("AF")
     if p.condition() > len(p.names):
         import warnings
 
-        warnings.warn(f"condition number {p.condition()} exceeds the number of dyes", stacklevel=2)
+        warnings.warn(f"condition number {p.condition()} exceeds the number of dyes", stacklevel=3)
+    return p
+
+
+def unmix_events(events: DataFrame, p: Panel, method: str = "OLS", af: Panel | None = None, **options) -> DataFrame:
+    """Events unmixed by a named method; dye columns get the suffix -A, the background index does not."""
+    p = checked(p, method, af)
+    if method in ("PerCellAF", "Joint"):
+        options = {**options, "af": af}
     out = unmix.unmix(events, method, p, array_col="spectral", **options)
     names = {str(n): f"{n}-A" for n in p.names} | {"AF": "AF-A"}
     return out.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in out.columns if c != "spectral"])
 
 
-def unmix_file(spark: SparkSession, path: str, out: str, p: Panel, parameters: Parameters, method: str = "OLS", af: Panel | None = None, raw: bool = False, weight_events: int = 100_000, **options) -> str:
-    """One event file to one unmixed file with its keywords. Weights come from the first `weight_events` events."""
-    fcs.register(spark)
+#: Events of a file that a task handles, at most; its kernel takes a tenth at a time.
+TASK_EVENTS = 100_000
+
+
+def unmix_file(spark: SparkSession, path: str, out: str, p: Panel, parameters: Parameters, method: str = "OLS", af: Panel | None = None, raw: bool = False, weight_events: int | None = 100_000, **options) -> str:
+    """One event file to one unmixed file with its keywords; both on a file system that all executors see.
+
+    The rows are dealt to tasks by number: each reads its rows, unmixes them and writes them to their place in the new
+    file, whose header and size are made before. Weights come from the first `weight_events` events, or from all (None).
+    """
     keys = fcs.header(path)
-    df = spark.read.format("fcs").load(path)
-    lost = set(p.detectors or []) - set(df.columns)
+    lay = fcs.Layout.of(keys)
+    lost = set(p.detectors or []) - set(lay.channels)
     if lost:
         raise ValueError(f"{path}: channels missing: {sorted(lost)}")
-    detectors = p.detectors or control.spectral_channels(df.columns[2:], parameters.non_spectral, parameters.spectral)
-    carried = carried_channels(df.columns[2:], detectors, raw)
-    rows = df.withColumn("spectral", F.array(*[F.col(f"`{d}`") for d in detectors])).select("event_id", *[F.col(f"`{c}`") for c in carried], "spectral")
+    detectors = p.detectors or control.spectral_channels(lay.channels, parameters.non_spectral, parameters.spectral)
+    carried = carried_channels(lay.channels, detectors, raw)
+    q = checked(p, method, af)
     weights = None
-    if method in ("WLS", "Poisson"):
-        head = rows.where(F.col("event_id") < weight_events)
-        weights = kernels.weights(unmix.column_mean(head, "spectral", len(detectors)))
-        options["weights"] = weights
-    done = unmix_events(rows, p, method, af, **options).orderBy("event_id").drop("event_id")
-    columns = done.columns
+    if method in ("WLS", "Poisson", "FastPoisson"):
+        if weight_events is None:
+            weights = kernels.weights(unmix.column_mean(_spectral(spark, path, detectors), "spectral", len(detectors)))
+        else:
+            weights = kernels.weights(fcs.read_rows(path, 0, weight_events)[1][:, [lay.channels.index(d) for d in detectors]].mean(0))
+    if af is not None and method in ("PerCellAF", "Joint"):
+        options["af"] = af
+    if method == "Joint":
+        asked = {k: options.pop(k) for k in ("cell_weight", "floor", "af_passes", "af_quantile") if k in options}
+        whole = _spectral(spark, path, detectors) if asked.get("cell_weight") or asked.get("af_passes", 1) > 1 else None
+        options |= unmix.joint_statistics(whole, q, af, **asked) if whole is not None else {k: v for k, v in asked.items() if k != "af_quantile"}
+    kernel, fields = unmix.event_kernel(method, q, weights=weights, **options)
+    names = {str(n): f"{n}-A" for n in q.names} | {"AF": "AF-A"}
+    columns = [*carried, *[names.get(n, n) for n, _ in fields]]
     base = os.path.splitext(os.path.basename(path))[0]
     target = os.path.join(out, f"{base} {method}.fcs")
-    spark_rows = done.toLocalIterator(prefetchPartitions=True)  # one file is written in row order by one process, a partition at a time
-    data = np.array([[0.0 if v is None else float(v) for v in r] for r in spark_rows]).reshape(-1, len(columns))
-    meta = define_keywords(keys, columns, p, af, method, os.path.basename(target), carried, weights, top=parameters.saturation)
-    return fcs.write(target, columns, data, meta)
+    begin = fcs.prepare(target, columns, lay.total, define_keywords(keys, columns, p, af, method, os.path.basename(target), carried, weights, top=parameters.saturation))
+    x_at, carried_at = [lay.channels.index(d) for d in detectors], [lay.channels.index(c) for c in carried]
+    step = max(1, min(TASK_EVENTS, -(-lay.total // spark.sparkContext.defaultParallelism)))
+
+    def run(batches):
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                stop = min(start + step, lay.total)
+                for at in range(start, stop, max(1, TASK_EVENTS // 10)):
+                    data = fcs.read_rows(path, at, min(at + TASK_EVENTS // 10, stop))[1]
+                    done = np.column_stack([data[:, carried_at], *kernel(data[:, x_at])])
+                    fcs.place(target, begin, at, np.nan_to_num(done, nan=0.0, posinf=np.inf, neginf=-np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array([stop - start], pa.int64())], ["n"])
+
+    if lay.total:
+        starts = spark.range(0, lay.total, step, -(-lay.total // step))  # one range of rows a task
+        written = starts.mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+        if written != lay.total:
+            raise RuntimeError(f"{target}: {written} of {lay.total} events written")
+    return target
+
+
+def _spectral(spark: SparkSession, path: str, detectors: list[str]) -> DataFrame:
+    fcs.register(spark)
+    df = spark.read.format("fcs").option("columns", ",".join(detectors)).load(path)
+    return df.select(F.array(*[F.col(f"`{d}`") for d in detectors]).alias("spectral"))
 
 
-def unmix_folder(spark: SparkSession, folder: str, out: str, p: Panel, parameters: Parameters, **options) -> list[str]:
-    """Every event file of a folder (by its extension, in any case)."""
+def unmix_folder(spark: SparkSession, folder: str, out: str, p: Panel, parameters: Parameters, at_once: int = 8, **options) -> list[str]:
+    """Every event file of a folder (by its extension, in any case), some at once: their tasks share the cluster."""
     os.makedirs(out, exist_ok=True)
     names = sorted(f for f in os.listdir(folder) if re.search(r"\.fcs$", f, re.I))
-    return [unmix_file(spark, os.path.join(folder, f), out, p, parameters, **options) for f in names]
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return list(pool.map(lambda f: unmix_file(spark, os.path.join(folder, f), out, p, parameters, **options), names))
 
 
 def unmix_tables(events: DataFrame, path: str, p: Panel, **options) -> None:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import glob
 import os
 import re
+import shutil
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 
 def parse_text(raw: bytes) -> dict[str, str]:
@@ -70,15 +71,15 @@ def read_rows(path: str, start: int = 0, end: int | None = None) -> tuple[list[s
     return lay.channels, data.reshape(-1, width).astype(float)
 
 
-def encode(channels: list[str], data: np.ndarray, keys: dict[str, str]) -> bytes:
-    """A whole FCS 3.1 file: little-endian 32-bit floats; offsets found by repeating until their widths stop changing."""
+def head(channels: list[str], total: int, keys: dict[str, str]) -> bytes:
+    """All that comes before the data of an FCS 3.1 file with so many rows of little-endian 32-bit floats; offsets are found
+    by repeating until their widths stop changing."""
     keys = {k: v for k, v in keys.items() if k != "FCSversion" and k not in ("$BEGINDATA", "$ENDDATA", "$BEGINANALYSIS", "$ENDANALYSIS", "$BEGINSTEXT", "$ENDSTEXT", "$NEXTDATA")}
-    keys |= {"$TOT": str(len(data)), "$PAR": str(len(channels)), "$DATATYPE": "F", "$BYTEORD": "1,2,3,4", "$MODE": "L", "$NEXTDATA": "0", "$BEGINANALYSIS": "0", "$ENDANALYSIS": "0", "$BEGINSTEXT": "0", "$ENDSTEXT": "0"}
+    keys |= {"$TOT": str(total), "$PAR": str(len(channels)), "$DATATYPE": "F", "$BYTEORD": "1,2,3,4", "$MODE": "L", "$NEXTDATA": "0", "$BEGINANALYSIS": "0", "$ENDANALYSIS": "0", "$BEGINSTEXT": "0", "$ENDSTEXT": "0"}
     for i, c in enumerate(channels, 1):
         keys[f"$P{i}N"], keys[f"$P{i}B"] = c, "32"
         keys.setdefault(f"$P{i}E", "0,0")
         keys.setdefault(f"$P{i}R", "262144")
-    body = np.ascontiguousarray(data, dtype="<f4").tobytes()
     begin = end = 0
     while True:
         full = keys | {"$BEGINDATA": str(begin), "$ENDDATA": str(end)}
@@ -87,10 +88,18 @@ def encode(channels: list[str], data: np.ndarray, keys: dict[str, str]) -> bytes
         new = 58 + len(raw)
         if new == begin:
             break
-        begin, end = new, new + max(len(body), 1) - 1
+        begin, end = new, new + max(4 * total * len(channels), 1) - 1
     fit = lambda v: str(v if v < 10**8 else 0).rjust(8)  # noqa: E731  offsets beyond eight digits stand in the keywords only
-    head = "FCS3.1    " + fit(58) + fit(58 + len(raw) - 1) + fit(begin if end < 10**8 else 0) + fit(end) + fit(0) * 2
-    return head.encode() + raw + body + b"00000000"
+    return ("FCS3.1    " + fit(58) + fit(58 + len(raw) - 1) + fit(begin if end < 10**8 else 0) + fit(end) + fit(0) * 2).encode() + raw
+
+
+#: What stands for the checksum at the end of a file.
+TAIL = b"00000000"
+
+
+def encode(channels: list[str], data: np.ndarray, keys: dict[str, str]) -> bytes:
+    """A whole file."""
+    return head(channels, len(data), keys) + np.ascontiguousarray(data, dtype="<f4").tobytes() + TAIL
 
 
 def write(path: str, channels: list[str], data: np.ndarray, keys: dict[str, str] | None = None) -> str:
@@ -99,17 +108,37 @@ def write(path: str, channels: list[str], data: np.ndarray, keys: dict[str, str]
     return path
 
 
-def concatenate(paths: list[str], path: str) -> str:
-    """One file of all rows: equal ordered channels, or an error; keywords of the first file."""
-    first, parts = None, []
-    for p in paths:
-        channels, data = read_rows(p)
-        if first is None:
-            first = channels
-        elif channels != first:
+def prepare(path: str, channels: list[str], total: int, keys: dict[str, str]) -> int:
+    """A file of full size whose rows are still to come, by place(); returns where they begin."""
+    start = head(channels, total, keys)
+    with open(path, "wb") as f:
+        f.write(start)
+        f.seek(len(start) + 4 * total * len(channels))
+        f.write(TAIL)
+    return len(start)
+
+
+def place(path: str, begin: int, row: int, data: np.ndarray) -> None:
+    """Rows from number `row` on, into a prepared file. The same rows again leave the same file, so a task may be retried."""
+    with open(path, "r+b") as f:
+        f.seek(begin + 4 * row * data.shape[1])
+        f.write(np.ascontiguousarray(data, dtype="<f4").tobytes())
+
+
+def concatenate(paths: list[str], path: str, rows: int = 100_000) -> str:
+    """One file of all rows: equal ordered channels, or an error; keywords of the first file. Some rows at a time."""
+    layouts = [Layout.of(header(p)) for p in paths]
+    for p, lay in zip(paths, layouts, strict=True):
+        if lay.channels != layouts[0].channels:
             raise ValueError(f"{p}: channels differ from those of {paths[0]}")
-        parts.append(data)
-    return write(path, first or [], np.vstack(parts), header(paths[0]))
+    begin = prepare(path, layouts[0].channels, sum(lay.total for lay in layouts), header(paths[0]))
+    at = 0
+    for p, lay in zip(paths, layouts, strict=True):
+        for start in range(0, lay.total, rows):
+            data = read_rows(p, start, start + rows)[1]
+            place(path, begin, at, data)
+            at += len(data)
+    return path
 
 
 def _files(path: str) -> list[str]:
@@ -176,26 +205,34 @@ class Part(WriterCommitMessage):
     rows: int
 
 
-class _Writer(DataSourceWriter):
-    """Each task writes its rows; the commit puts them behind one header, in task order."""
+class _Writer(DataSourceArrowWriter):
+    """Each task writes its rows; the commit puts them behind one header, in task order, a buffer at a time."""
 
     def __init__(self, schema, options, overwrite):
         self.channels, self.target = [f.name for f in schema.fields], options["path"]
         if os.path.exists(self.target) and not overwrite:
             raise ValueError(f"{self.target} exists")
 
-    def write(self, rows):
+    def write(self, iterator):
         from pyspark import TaskContext
 
-        data = np.array([[np.nan if v is None else float(v) for v in r] for r in rows], dtype="<f4").reshape(-1, len(self.channels))
-        path = f"{self.target}.part{TaskContext.get().partitionId():06d}"
-        data.tofile(path)
-        return Part(path, len(data))
+        context = TaskContext.get()
+        path, n = f"{self.target}.part{context.partitionId():06d}-{context.taskAttemptId()}", 0
+        with open(path, "wb") as f:
+            for batch in iterator:
+                data = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, len(self.channels)))
+                f.write(np.nan_to_num(data).astype("<f4").tobytes())
+                n += len(data)
+        return Part(path, n)
 
     def commit(self, messages):
         parts = sorted((m for m in messages if m), key=lambda m: m.path)
-        data = [np.fromfile(m.path, dtype="<f4").reshape(-1, len(self.channels)) for m in parts]
-        write(self.target, self.channels, np.nan_to_num(np.vstack(data)) if data else np.zeros((0, len(self.channels))))
+        with open(self.target, "wb") as out:
+            out.write(head(self.channels, sum(m.rows for m in parts), {}))
+            for m in parts:
+                with open(m.path, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 24)
+            out.write(TAIL)
         for m in parts:
             os.remove(m.path)
 
@@ -260,4 +297,4 @@ def pack(df: DataFrame, detectors: list[str], out: str = "spectral") -> DataFram
     return df.select(*rest, F.array(*[F.col(f"`{d}`") for d in detectors]).alias(out))
 
 
-__all__ = ["FcsHeaderSource", "FcsSource", "concatenate", "encode", "header", "pack", "parse_text", "read_rows", "register", "write"]
+__all__ = ["FcsHeaderSource", "FcsSource", "concatenate", "encode", "header", "pack", "parse_text", "place", "prepare", "read_rows", "register", "write"]

@@ -387,3 +387,34 @@ def test_queries_take_the_operators_own_parameters(spark, sf, monkeypatch):
     own = unmix.unmix_per_cell_af
     monkeypatch.setattr(unmix, "unmix_per_cell_af", lambda *a, **k: tried.update(k) or own(*a, **k))
     assert unmix_queries.unmix_greedy(spark, sf).count() > 0 and "tries" not in tried and greedy.__defaults__ == (10,)
+
+
+def test_file_route_equals_the_table_route(spark, tmp_path, monkeypatch):
+    """Every method, file to file in several tasks, against unmixing the read table; and files joined or written in parts."""
+    rng = np.random.default_rng(21)
+    S = rng.random((3, 6)) + 0.1
+    S /= S.max(1, keepdims=True)
+    n = 1003
+    X = rng.random((n, 3)) * 900 @ S + rng.normal(0, 3, (n, 6)) + 40 * rng.random((n, 1))
+    detectors = [f"V{i}-A" for i in range(6)]
+    path = fcs.write(str(tmp_path / "s.fcs"), ["Time", "FSC-A", *detectors], np.hstack([np.arange(n)[:, None], rng.random((n, 1)), X]), {"$CYT": "x"})
+    panel, af = Panel(["a", "b", "c"], S, detectors), Panel(["AF1", "AF2"], rng.random((2, 6)), detectors)
+    variants = {"library": {0: S[:1] * (1 + 0.1 * rng.normal(size=(4, 6)))}, "thresholds": [10.0] * 3}
+    monkeypatch.setattr(flow, "TASK_EVENTS", 170)
+    fcs.register(spark)
+    table = fcs.pack(spark.read.format("fcs").load(path), detectors)
+    for method, options in (("OLS", {}), ("WLS", {}), ("WLSPerCell", {}), ("Poisson", {}), ("FastPoisson", {}), ("PerCellAF", {"af": af, **variants}), ("Joint", {"af": af, "cell_weight": True, "af_passes": 2, **variants})):
+        made = flow.unmix_file(spark, path, str(tmp_path), panel, params.Parameters(), method, weight_events=None, **options)
+        names, got = fcs.read_rows(made)
+        want = flow.unmix_events(table, panel, method, **options).orderBy("event_id").toPandas()
+        assert names[0] == "Time" and (got[:, 0] == np.arange(n)).all()
+        assert np.allclose(got, want[names].to_numpy(), rtol=1e-4, atol=1e-2), method
+        assert fcs.header(made)["UNMIXINGMETHOD"] == method
+    joined = fcs.concatenate([path, path], str(tmp_path / "two.fcs"), rows=300)
+    once = fcs.read_rows(path)[1]
+    assert (fcs.read_rows(joined)[1] == np.vstack([once, once])).all()
+    begin = fcs.prepare(str(tmp_path / "p.fcs"), ["a", "b"], 5, {})
+    for at in (3, 0, 3):  # in any order, and again
+        fcs.place(str(tmp_path / "p.fcs"), begin, at, np.arange(at * 2, at * 2 + (4 if at else 6)).reshape(-1, 2))
+    assert (fcs.read_rows(str(tmp_path / "p.fcs"))[1].ravel() == np.arange(10)).all()
+    assert open(tmp_path / "p.fcs", "rb").read().endswith(fcs.TAIL)
