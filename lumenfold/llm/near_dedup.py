@@ -6,8 +6,11 @@
    coordinates is the signature (a text that leaves a coordinate empty throws on, to twice the rank).
 2. Texts with equal sets are one node. Bands of coordinates link nodes that agree in one; connected nodes are a family.
 3. In a family the true similarity decides. A search over each family's sets finds the components of all links at or
-   above the threshold without listing pairs: each node in turn is compared with those not yet reached. Families too
-   large for one task are dealt into blocks, and every pair of blocks is searched.
+   above the threshold without listing pairs: each node in turn is compared with those not yet reached.
+4. A family too large for one task is dealt into blocks. Each block is searched with some pivots of the family beside it,
+   so near copies of one text become one class across all blocks. What is not in the family's largest class by then is
+   searched against all blocks: the rest of a large class is never compared with itself, so the work grows with the family
+   and what stands apart in it, not with its square; no link is lost.
 """
 
 from __future__ import annotations
@@ -167,22 +170,22 @@ def search(sets: list[np.ndarray], counts: list[np.ndarray], threshold: float, s
 
 
 def _family_links(batches, threshold: float, weighted: bool):
-    """Rows (block, side, v, text), sorted by block, to links (u, v)."""
+    """Rows (block, side, v, text), sorted by block, to links (u, v). In a block with sides 0 and 1, links between the two;
+    in one with side 0 alone, or side 2 (pivots) beside it, links among all."""
     held: list[tuple] = []
 
     def flush():
         seen, texts, ids, sides = set(), [], [], []
         for _, side, v, text in held:
-            if v not in seen:
-                seen.add(v)
+            if (v, side == 1) not in seen:
+                seen.add((v, side == 1))
                 ids.append(v)
                 texts.append(text)
-                sides.append(side)
+                sides.append(int(side == 1))
         pairs = list(shingle_sets(texts))
         counts = [c if weighted else np.ones_like(c) for _, c in pairs]
-        both = np.array(sides)
-        root = search([s for s, _ in pairs], counts, threshold, both if len(set(sides)) > 1 else None)
-        return [(ids[i], ids[r]) for i, r in enumerate(root.tolist()) if i != r]
+        root = search([s for s, _ in pairs], counts, threshold, np.array(sides) if len(set(sides)) > 1 else None)
+        return [(ids[i], ids[r]) for i, r in enumerate(root.tolist()) if ids[i] != ids[r]]
 
     def batch(rows):
         cols = list(zip(*rows, strict=True)) if rows else ([], [])
@@ -203,7 +206,45 @@ def _family_links(batches, threshold: float, weighted: bool):
     yield batch(out)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, band_rows: int = 5, weighted: bool = False, block: int = 400_000) -> DataFrame:
+def _small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table of few columns, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+#: Pivots of a large family; more of them leave less apart after the first round.
+PIVOTS = 16
+
+
+def _large_links(large: DataFrame, links, block: int) -> DataFrame:
+    """large(component, v, words, spot, blocks, text): written rows of families in more than one block -> links(u, v), in two
+    rounds. links: from rows (b, side, v, text)."""
+    # one pivot of each of some blocks: the node with the least hash there
+    pivot = large.where(F.col("spot") < PIVOTS).groupBy("component", "spot").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    pivots = large.join(_small(written(pivot.select("v"), "pivots")), "v", "left_semi").select("component", "v", "text", F.col("blocks").alias("n"))
+    spots = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("spot")
+    beside = pivots.select("component", spots, "v", "text").select(F.struct("component", "spot", F.lit(-1).alias("other")).alias("b"), F.lit(2).alias("side"), "v", "text")
+    own = large.select(F.struct("component", "spot", F.lit(-1).alias("other")).alias("b"), F.lit(0).alias("side"), "v", "text")
+    first = written(links(own.unionByName(beside)), "links")
+    found = written(components(first), "pivot-classes")
+    # the largest class of each family rests; what is apart meets all blocks
+    nodes = large.select("component", "v", "words").join(found.select(F.col("node").alias("v"), F.col("component").alias("class")), "v", "left")
+    nodes = written(nodes.withColumn("class", F.coalesce("class", "v")), "pivot-nodes")
+    sizes = nodes.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"))
+    rest = sizes.groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("class"))
+    apart = written(nodes.join(rest, ["component", "class"], "left_anti").select("component", "v", "words"), "apart")
+    dealt = apart.groupBy("component").agg(F.ceil(F.sum("words") / block).cast("int").alias("parts"))
+    dealt = written(dealt, "apart-parts")
+    marked = large.join(_small(dealt), "component")
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    every = marked.select("component", "spot", parts, "v", "text").select(F.struct("component", "spot", "other").alias("b"), F.lit(1).alias("side"), "v", "text")
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("spot")
+    part = F.pmod(F.xxhash64("v", F.lit(7)), F.col("parts")).cast("int").alias("other")
+    alone = marked.join(apart.select("v"), "v", "left_semi").select("component", blocks, part, "v", "text")
+    alone = alone.select(F.struct("component", "spot", "other").alias("b"), F.lit(0).alias("side"), "v", "text")
+    return first.unionByName(written(links(every.unionByName(alone)), "links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, band_rows: int = 5, weighted: bool = False, block: int = 50_000) -> DataFrame:
     """One row per input row: id, class_id (least id of its class), class_size (rows), representative (exactly one row
     of each class, one with the least id), text_hash (xxhash64 of the text, to find the row again).
 
@@ -247,17 +288,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(members, "members")
     sizes = members.groupBy("component").agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("c"))
     sizes = written(sizes.withColumn("blocks", F.when(F.col("words") <= 2 * block, 1).otherwise(F.ceil(F.col("words") / block)).cast("int")), "sizes")
-    placed = attach(members, sizes, "component", "c", max(1, total))
+    placed = attach(members, sizes.drop("words"), "component", "c", max(1, total))
     spot = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = placed.select("k", "r", F.col("node").alias("v"), "component", "blocks", spot.alias("spot"))
+    placed = placed.select("k", "r", F.col("node").alias("v"), "component", F.col("n").alias("words"), "blocks", spot.alias("spot"))
     texts = rows.select(F.coalesce("id", F.lit(-(1 << 62))).alias("k"), "r", "text").join(placed, ["k", "r"])
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("spot")).alias("i"), F.greatest(o, F.col("spot")).alias("j"), (o < F.col("spot")).cast("int").alias("side")))
-    dealt = texts.select("v", "text", "component", F.explode(others).alias("at"))
-    dealt = dealt.select(F.struct("component", "at.i", "at.j").alias("b"), "at.side", "v", "text")
-    dealt = dealt.repartition("b").sortWithinPartitions("b").select(F.to_json("b").alias("block"), F.col("side").cast("int").alias("side"), "v", "text")
-    links = written(dealt.mapInArrow(lambda it: _family_links(it, threshold, weighted), "u long, v long"), "links")
-    split = sizes.where("blocks > 1").limit(1).count()
-    found = components(links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    texts = written(texts.select("component", "v", "words", "spot", "blocks", "text"), "family-texts")
+
+    def links(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.repartition("b").sortWithinPartitions("b").select(F.to_json("b").alias("block"), "side", "v", "text")
+        return dealt.mapInArrow(lambda it: _family_links(it, threshold, weighted), "u long, v long")
+
+    small = texts.where("blocks = 1").select(F.struct("component").alias("b"), F.lit(0).alias("side"), "v", "text")
+    stars = written(links(small), "links")
+    found = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    if not sizes.where("blocks > 1").isEmpty():
+        found = found.unionByName(components(_large_links(texts.where("blocks > 1"), links, block)))
     found = written(found, "classes")
     # classes over nodes, then over rows
     named = nodes.join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))

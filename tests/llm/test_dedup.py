@@ -92,7 +92,13 @@ def test_near(spark, texts, words, block):
     for i in range(12):
         chain = [*chain[: 15 * i], f"new{i}", *chain[15 * i + 1 :]]
         steps.append(" ".join(chain))
-    df = make(spark, [*texts, *[(200 + i, t) for i, t in enumerate(steps)]])
+    copies = []
+    for i in range(60):  # near copies of one text, some so far from it that only others of them link them
+        w = words(150, 51).split()
+        for j in range(1 + i % 5):
+            w[(17 * i + 31 * j) % 150] = f"c{i}x{j}"
+        copies.append(" ".join(w))
+    df = make(spark, [*texts, *[(200 + i, t) for i, t in enumerate(steps)], *[(300 + i, t) for i, t in enumerate(copies)]])
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     got = near_dedup.near_duplicates(df, block=block).collect()
     assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in got), key=repr) == brute_near(rows)
@@ -163,6 +169,31 @@ def test_substrings(spark, texts, words, most, monkeypatch):
         assert (g["n_bytes"], g["n_removed"], [(s["start"], s["end"]) for s in g["spans"]], bytes(g["kept"])) == (n, removed, spans, kept)
 
 
+def test_substrings_of_a_whole_table(spark):
+    """Every document of sf0.01 against sorted windows: what is removed, and what stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup_substrings(docs).collect()}
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    places = [(i, p) for i, (_, b) in enumerate(rows) for p in range(len(b) - 399)]
+    hashed = np.array([hash(rows[i][1][p : p + 400]) for i, p in places])  # 64 bits, then the bytes themselves
+    order = np.argsort(hashed, kind="stable")
+    same = np.flatnonzero(hashed[order][1:] == hashed[order][:-1])
+    found = defaultdict(set)
+    for k in same.tolist():
+        (i, p), (j, q) = places[order[k]], places[order[k + 1]]
+        assert rows[i][1][p : p + 400] == rows[j][1][q : q + 400]
+        found[i].add(p)
+        found[j].add(q)
+    assert sum(map(bool, found.values())) > 100
+    for i, (doc, b) in enumerate(rows):
+        gone = np.zeros(len(b), dtype=bool)
+        for p in found[i]:
+            gone[p : p + 400] = True
+        g = got[doc]
+        assert (g["n_bytes"], g["n_removed"], len(g["spans"])) == (len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()))
+        assert bytes(g["kept"]) == np.frombuffer(b, np.uint8)[~gone].tobytes()
+
+
 def test_substrings_repeated_rows_and_empty(spark, texts):
     same = [(1, texts[8]), (1, texts[8]), (None, None)]
     got = suffix_dedup.dedup_substrings(make(spark, same)).collect()
