@@ -52,7 +52,7 @@ def _pieces(texts: list[bytes], length: int):
 
 
 def anchors(texts: list[bytes], length: int):
-    """Arrays (text index, first start, last start, anchor position, anchor hash, context hash) of all intervals of starts."""
+    """Arrays (text index, first start, last start, anchor position, anchor hash) and 128-bit context hashes (bytes) of all intervals of starts."""
     width = length - K + 1
     for owners, parts in _pieces(texts, length):
         raw = b"".join(parts)
@@ -83,10 +83,9 @@ def anchors(texts: list[bytes], length: int):
         cut = np.flatnonzero((at[1:] != at[:-1]) | (own[1:] != own[:-1])) + 1
         lo, hi = p[np.concatenate([[0], cut])], p[np.concatenate([cut - 1, [len(p) - 1]])]
         a, own = at[np.concatenate([[0], cut])], own[np.concatenate([[0], cut])]
-        context = np.array([int.from_bytes(blake2b(raw[x : y + length], digest_size=8).digest(), "little") for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], dtype=np.uint64)
-        context = mix(context ^ (a - lo).astype(np.uint64))
+        context = [blake2b(raw[x : y + length], digest_size=16, salt=d.to_bytes(8, "little")).digest() for x, y, d in zip(lo.tolist(), hi.tolist(), (a - lo).tolist(), strict=True)]
         shift = np.array([off for _, off in owners])[own] - first[own]
-        yield np.array([i for i, _ in owners])[own], lo + shift, hi + shift, a + shift, g[a].view(np.int64), context.view(np.int64)
+        yield np.array([i for i, _ in owners])[own], lo + shift, hi + shift, a + shift, g[a].view(np.int64), context
 
 
 def cells(lo: np.ndarray, hi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -196,9 +195,9 @@ def repeated_ranges(rows: DataFrame, length: int, most: int = 500) -> DataFrame:
             k, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t.encode("utf-8") for t in batch.column(2).to_pylist()]
             for i, lo, hi, a, h, c in anchors(texts, length):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[i], r[i], h, c, lo, hi, a)], ["k", "r", "h", "c", "lo", "hi", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(r[i]), pa.array(h), pa.array(c, pa.binary()), *(pa.array(x) for x in (lo, hi, a))], ["k", "r", "h", "c", "lo", "hi", "a"])
 
-    marks = written(rows.mapInArrow(find, f"{ROW}, h long, c long, lo long, hi long, a long"), "anchors")
+    marks = written(rows.mapInArrow(find, f"{ROW}, h long, c binary, lo long, hi long, a long"), "anchors")
     total = marks.count()
     counts = written(marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "contexts")
     per_h = counts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n_h"), F.count_if(F.col("n") == 1).alias("single")).where("n_h > 1")
@@ -274,12 +273,13 @@ def _runs(prefix: Prefix, salt: np.uint64, lo: int, hi: int, a: int, width: int,
 def _hot_ranges(many: DataFrame, length: int) -> DataFrame | None:
     """Repeated ranges among contexts of anchors that have too many to gather: by counting runs, finer runs, windows.
 
-    A run whose core occurs once has no repeated window; one whose whole occurs twice has only such. What is open goes
+    A run whose core occurs once has no repeated window; one whose whole occurs twice has only such. Wholes and windows count
+    by anchor and hash, 128 bits together. What is open goes
     on to finer runs, one of each settled whole with it as a partner. Counts combine before they are shuffled.
     """
 
     def deal(batches):
-        names = ["k", "r", "single", "core", "whole", "at", "to", "subs"]
+        names = ["k", "r", "h", "single", "core", "whole", "at", "to", "subs"]
         sub = pa.struct([("core", pa.int64()), ("whole", pa.int64()), ("at", pa.int64()), ("to", pa.int64()), ("windows", pa.list_(pa.int64()))])
         for batch in lean(batches, 200):
             rows = []
@@ -291,26 +291,26 @@ def _hot_ranges(many: DataFrame, length: int) -> DataFrame | None:
                 own = (prefix.hash(starts, starts + length) ^ mix(salt + (a - lo - starts).astype(np.uint64))).view(np.int64)
                 for core, full, p1, p2 in _runs(prefix, salt, 0, len(starts) - 1, a - lo, CELL, length):
                     subs = [{"core": c, "whole": w, "at": lo + x, "to": lo + y, "windows": own[x : y + 1].tolist()} for c, w, x, y in _runs(prefix, salt, p1, p2, a - lo, FINE, length)]
-                    rows.append((k, r, single, core, full, lo + p1, lo + p2, subs))
-            yield _batch(rows, names, [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.list_(sub)])
+                    rows.append((k, r, h, single, core, full, lo + p1, lo + p2, subs))
+            yield _batch(rows, names, [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.list_(sub)])
 
-    runs = written(many.mapInArrow(deal, f"{ROW}, single boolean, {_RUN}"), "runs")
+    runs = written(many.mapInArrow(deal, f"{ROW}, h long, single boolean, {_RUN}"), "runs")
     if runs.isEmpty():
         return None
     ranges = []
     for below in ("subs", "windows"):
         n = runs.count()
         cores = written(runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cores")
-        open_ = written(attach(runs, cores, "core", "n", n).drop("n", "core"), "open")
-        wholes = written(open_.where("whole IS NOT NULL").groupBy("whole").agg(F.count(F.lit(1)).alias("n")), "wholes")
-        known = written(attach(open_.where("whole IS NOT NULL"), wholes, "whole", "n", n), "known-runs")
+        open_ = written(attach(runs, cores, "core", "n", n).drop("n", "core").withColumn("hw", F.struct("h", "whole")), "open")
+        wholes = written(open_.where("whole IS NOT NULL").groupBy("hw").agg(F.count(F.lit(1)).alias("n")), "wholes")
+        known = written(attach(open_.where("whole IS NOT NULL"), wholes, "hw", "n", n), "known-runs")
         ranges.append(known.where("n > 1 AND single").select("k", "r", F.col("at").alias("s"), (F.col("to") + length).alias("e")))
-        partner = known.where("n > 1").dropDuplicates(["whole"]).withColumn("single", F.lit(False))
+        partner = known.where("n > 1").dropDuplicates(["h", "whole"]).withColumn("single", F.lit(False))
         rest = open_.where("whole IS NULL").unionByName(known.where("n = 1").drop("n")).unionByName(partner.drop("n"))
         if below == "subs":
-            runs = written(rest.select("k", "r", "single", F.explode("subs").alias("x")).select("k", "r", "single", "x.*"), "fine-runs")
-    windows = rest.select("k", "r", "single", "at", F.posexplode("windows").alias("i", "w"))
-    windows = written(windows.select("k", "r", "single", (F.col("at") + F.col("i")).alias("s"), "w"), "windows")
+            runs = written(rest.select("k", "r", "h", "single", F.explode("subs").alias("x")).select("k", "r", "h", "single", "x.*"), "fine-runs")
+    windows = rest.select("k", "r", "h", "single", "at", F.posexplode("windows").alias("i", "w"))
+    windows = written(windows.select("k", "r", "single", (F.col("at") + F.col("i")).alias("s"), F.struct("h", "w").alias("w")), "windows")
     again = written(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "windows-again")
     ranges.append(attach(windows.where("single"), again, "w", "n", windows.count()).select("k", "r", "s", (F.col("s") + length).alias("e")))
     return ranges[0].unionByName(ranges[1]).unionByName(ranges[2])
