@@ -59,6 +59,25 @@ def quantiles(df: DataFrame, keys: list[str], value: str, q: float, name: str, b
     return out.select(*[k for k in keys if k != "_k"], name)
 
 
+def positions(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df(key) with each row's place in the order of a numeric key, from 0: ranges of keys are ranked apart and shifted by the
+    rows before them, so no task holds all rows. Equal keys take neighbouring places."""
+    parts = max(1, df.rdd.getNumPartitions())
+    cuts = sorted(set(df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []))
+    part = sum((F.when(F.col(key) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    rows = df.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return rows.withColumn("_own", inner).join(F.broadcast(sums), "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
+def pct_above(df: DataFrame, keys: list[str], value: str, threshold: float) -> DataFrame:
+    """(keys, pct): the share of values above a threshold, in per cent; nulls left out."""
+    rows = df.where(F.col(value).isNotNull())
+    return rows.groupBy(*keys).agg((100 * F.avg((F.col(value) > threshold).cast("double"))).alias("pct"))
+
+
 def with_mad(df: DataFrame, keys: list[str], value: str, bracketed: bool | None = None) -> DataFrame:
     """One row per key: median and scaled MAD of value (two passes, joined on the key)."""
     med = quantiles(df, keys, value, 0.5, "median", bracketed)

@@ -1,18 +1,19 @@
 """Removal of background (autofluorescent) events from stained controls.
 
-All functions work on one control's events as a matrix, which controls keep to a bounded number; `remove_background`
-runs them by sample as a grouped operation.
+The region of the background is found on the driver from one unstained control, which keeps to a bounded number of events;
+the stained controls' events are filtered where they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.biexponential import Biexponential
 from lumenfold.operators import gate, kernels
+from lumenfold.operators.unmix import matrix_of
 
 MAD = 1.4826
 
@@ -76,10 +77,11 @@ def inside(points: np.ndarray, polygon: list[tuple[float, float]]) -> np.ndarray
     return odd | edge
 
 
-def keep_mask(X: np.ndarray, N: np.ndarray, peak: int) -> np.ndarray:
-    """Which events of a stained control are not background: N are its negatives, peak its dye's detector."""
-    if len(N) < 20 or len(X) < 20:
-        return np.ones(len(X), dtype=bool)
+def background_gate(N: np.ndarray, peak: int) -> tuple[int, list[tuple[float, float]]] | None:
+    """(detector, polygon over that detector and the peak's) of the background, from the negatives alone; None if they show
+    no background apart from their core. peak: the stained dye's detector."""
+    if len(N) < 20:
+        return None
     P = kernels.ols(components(N))
     u = N @ P.T
     # a linear part as wide as the noise, or the scale would split the main peak
@@ -89,7 +91,7 @@ def keep_mask(X: np.ndarray, N: np.ndarray, peak: int) -> np.ndarray:
     box = background_box(u)
     core = (u[:, 0] >= box[0]) & (u[:, 0] <= box[1]) & (u[:, 1] >= box[2]) & (u[:, 1] <= box[3])
     if (~core).sum() < 10:
-        return np.ones(len(X), dtype=bool)
+        return None
     spectrum = np.median(N[~core], axis=0) - np.median(N[core], axis=0)
     channel = int(np.abs(spectrum).argmax())
     if channel == peak:  # the detector that separates best, by median difference over deviation
@@ -97,16 +99,32 @@ def keep_mask(X: np.ndarray, N: np.ndarray, peak: int) -> np.ndarray:
         index = np.abs(spectrum) / np.where(spread < 1e-9, 1.0, spread)
         index[peak] = -np.inf
         channel = int(index.argmax())
-    hull = background_region(N[~core][:, channel], N[~core][:, peak], N[core][:, channel])
-    return ~inside(X[:, [channel, peak]], hull)
+    return channel, background_region(N[~core][:, channel], N[~core][:, peak], N[core][:, channel])
 
 
-def remove_background(events: DataFrame, negatives: np.ndarray, peaks: dict[str, int], sample: str = "sample", array_col: str = "spectral") -> DataFrame:
-    """Stained controls without their background events; peaks: the dye's detector by sample."""
+def keep_mask(X: np.ndarray, N: np.ndarray, peak: int) -> np.ndarray:
+    """Which events of a stained control are not background: N are its negatives, peak its dye's detector."""
+    found = background_gate(N, peak) if len(X) >= 20 else None
+    return np.ones(len(X), dtype=bool) if found is None else ~inside(X[:, [found[0], peak]], found[1])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.array(pdf[array_col].tolist(), dtype=float)
-        return pdf[keep_mask(X, negatives, peaks[pdf[sample].iloc[0]])]
 
+def remove_background(events: DataFrame, negatives: np.ndarray, peaks: dict[str, int], sample: str = "sample", array_col: str = "spectral") -> DataFrame:
+    """Stained controls without their background events; peaks: the dye's detector by sample. Samples of under 20 events stay
+    whole. The polygons come from the negatives (one bounded control) on the driver; events are only filtered, wherever they are."""
     rows = events.where(F.col(sample).isin(list(peaks)))
-    return rows.groupBy(sample).applyInPandas(run, rows.schema)
+    few = {r[0] for r in rows.groupBy(sample).count().where("count < 20").collect()}
+    gates = {name: None if name in few else background_gate(negatives, at) for name, at in peaks.items()}
+    at_sample, at_array = rows.columns.index(sample), rows.columns.index(array_col)
+
+    def run(batches):
+        for batch in batches:
+            X, names = matrix_of(batch.column(at_array), width), batch.column(at_sample).to_numpy(zero_copy_only=False)
+            keep = np.ones(len(X), dtype=bool)
+            for name in set(names.tolist()):
+                if gates[name] is not None:
+                    mine = np.flatnonzero(names == name)
+                    keep[mine] = ~inside(X[mine][:, [gates[name][0], peaks[name]]], gates[name][1])
+            yield batch.filter(pa.array(keep))
+
+    width = negatives.shape[1]
+    return rows.mapInArrow(run, rows.schema)

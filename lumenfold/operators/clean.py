@@ -51,7 +51,7 @@ def not_like(df: DataFrame, array_col: str, spectra, threshold: float = 0.99) ->
 
 def positives(df: DataFrame, value: str, negatives: DataFrame, q: float = 0.99, most: int | None = None, id_col: str = "event_id") -> DataFrame:
     """Events above the negatives' quantile; the brightest `most` of them if given."""
-    limit = negatives.agg(F.percentile(value, F.lit(q)).alias("_limit"))
+    limit = quantiles(negatives, [], value, q, "_limit")
     df = df.where(F.col(value) > limit.first()["_limit"])
     return df if most is None else df.orderBy(F.col(value).desc(), id_col).limit(most)
 

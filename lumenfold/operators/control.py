@@ -34,11 +34,13 @@ def match_longest(df: DataFrame, text: str, names: DataFrame, default: str, out:
     return df.withColumn(out, found)
 
 
-def draft(files: DataFrame, dyes: DataFrame, markers: DataFrame, database: DataFrame, channels: list[str]) -> DataFrame:
-    """A draft control table from file names: dye and marker by name, channel from the database (kept only if the data
-    have it), type from the name, in laser and wavelength order; unstained cells become AF, unstained beads Negative.
+def draft(files: DataFrame, dyes: DataFrame, markers: DataFrame, database: DataFrame, channels: list[str], library: dict[str, list[float]] | None = None, detectors: list[str] | None = None) -> DataFrame:
+    """A draft control table from file names: dye and marker by name, channel from the database, type from the name, in laser
+    and wavelength order; unstained cells become AF, unstained beads Negative.
 
-    database(fluorophore, channel, laser_rank, wavelength) is a small table: one row a dye.
+    A dye whose channel the data do not have gets the detector at which its spectrum in the library peaks, among those the
+    data have; without a spectrum of its own, the peak of the mean spectrum of the dyes with the same nominal channel; else
+    "No match". database(fluorophore, channel, laser_rank, wavelength): one row a dye; library: spectra over `detectors`.
     """
     t = match_longest(match_longest(files, "filename", dyes, "No match", "fluorophore"), "filename", markers, "", "marker")
     low = F.lower("filename")
@@ -46,11 +48,31 @@ def draft(files: DataFrame, dyes: DataFrame, markers: DataFrame, database: DataF
     t = t.withColumn("control_type", kind)
     bare = low.rlike("unstained")
     t = t.withColumn("fluorophore", F.when(bare & (F.col("control_type") == "beads"), "Negative").when(bare, "AF").otherwise(F.col("fluorophore")))
+    known = {r["fluorophore"]: r["channel"] for r in database.select("fluorophore", "channel").collect() if r["channel"]}  # a dictionary of some hundred dyes
+    moved = reassigned(known, channels, library or {}, detectors or [])
     t = t.join(F.broadcast(database), "fluorophore", "left")
-    t = t.withColumn("channel", F.when(F.col("channel").isin(list(channels)), F.col("channel")))
+    if moved:
+        new = F.create_map(*[F.lit(v) for kv in moved.items() for v in kv])
+        t = t.withColumn("channel", F.when(F.col("channel").isNotNull(), F.coalesce(F.element_at(new, F.col("fluorophore")), F.col("channel"))))
     return t.orderBy(F.col("laser_rank").asc_nulls_last(), F.col("wavelength").asc_nulls_last(), "filename").select("filename", "fluorophore", "marker", "channel", "control_type")
 
 
+def reassigned(nominal: dict[str, str], channels: list[str], library: dict[str, list[float]], detectors: list[str]) -> dict[str, str]:
+    """New channels of the dyes whose nominal channel was not acquired: see draft()."""
+    have = [i for i, d in enumerate(detectors) if d in set(channels)]
+    out = {}
+    for dye, channel in nominal.items():
+        if channel in channels or dye in ("AF", "Negative", "No match"):
+            continue
+        rows = [library[dye]] if dye in library else [library[d] for d, c in nominal.items() if c == channel and d in library]
+        if rows and have:
+            mean = [sum(r[i] for r in rows) / len(rows) for i in have]
+            out[dye] = detectors[have[max(range(len(have)), key=lambda k: (mean[k], -k))]]
+        else:
+            out[dye] = "No match"
+    return out
+
+
 def _issue(severity, rule, filename=None, column=None, message=""):
     text = lambda v: F.lit(v).cast("string") if v is None or isinstance(v, str) else v
     return F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), text(filename).alias("filename"), text(column).alias("column"), text(message).alias("message"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.arrays import peak
-from lumenfold.functions.stats import MAD_SCALE, quantile
+from lumenfold.functions.stats import MAD_SCALE, quantiles
 from lumenfold.operators import kernels, unmix
 from lumenfold.operators.clean import top
 from lumenfold.operators.events import WIDTH, class_spectra
@@ -18,13 +18,15 @@ def secondary_spill(ev: DataFrame, q: float = 0.99, most: int = 500, width: int
     """(label, pos, spill, ssi) of every dye: positives are strictly above the unstained quantile at the dye's peak, the
     brightest `most`; spill is the median shift relative to the peak's, ssi relative to twice the unstained MAD (0 at the peak)."""
     long0 = ev.where("label = 0").select(F.posexplode("x").alias("pos", "v"))
-    neg = long0.groupBy("pos").agg(quantile(F.col("v"), q).alias("limit"), quantile(F.col("v"), 0.5).alias("med0"))
-    mad = long0.join(F.broadcast(neg), "pos").groupBy("pos").agg((F.lit(MAD_SCALE) * quantile(F.abs(F.col("v") - F.col("med0")), 0.5)).alias("mad0"))
+    neg = quantiles(long0, ["pos"], "v", q, "limit").join(quantiles(long0, ["pos"], "v", 0.5, "med0"), "pos")
+    off = long0.join(F.broadcast(neg), "pos").withColumn("off", F.abs(F.col("v") - F.col("med0")))
+    mad = quantiles(off, ["pos"], "off", 0.5, "mad").select("pos", (F.lit(MAD_SCALE) * F.col("mad")).alias("mad0"))
     neg = F.broadcast(neg.join(mad, "pos"))  # a row a detector
     peaks = class_spectra(ev.where("label > 0"), width=width).select("label", peak(F.col("spectrum")).alias("peak"))
     at = ev.join(F.broadcast(peaks.join(neg.select(F.col("pos").alias("peak"), "limit"), "peak")), "label").withColumn("at_peak", F.get("x", F.col("peak")))
     pos = top(at.where("at_peak > limit"), "at_peak", most, ["label"], "vec_id")
-    shift = pos.select("label", "peak", F.posexplode("x").alias("pos", "v")).groupBy("label", "peak", "pos").agg(quantile(F.col("v"), 0.5).alias("med"))
+    shift = pos.select("label", "peak", F.posexplode("x").alias("pos", "v"))
+    shift = quantiles(shift, ["label", "peak", "pos"], "v", 0.5, "med")
     shift = shift.join(neg, "pos").withColumn("d", F.col("med") - F.col("med0"))
     target = shift.where("pos = peak").select("label", F.col("d").alias("d_peak"))
     own = F.when(F.col("pos") == F.col("peak"), 0.0).otherwise(F.col("d") / (2 * F.col("mad0")))
@@ -77,8 +79,9 @@ def compare_backgrounds(ev: DataFrame, dyes: Panel, libraries: dict[str, Panel],
             return [(X * a).sum(1) / (np.linalg.norm(X, axis=1) * np.linalg.norm(a, axis=1) + 1e-9)]
 
         c = apply_kernel(ev.select(array_col), array_col, S.shape[1], run, [("c", "double")])
-        med = c.agg(quantile(F.col("c"), 0.5)).first()[0]
-        one = c.agg(F.avg("c").alias("mean"), (F.lit(MAD_SCALE) * quantile(F.abs(F.col("c") - F.lit(med)), 0.5)).alias("mad")).select(F.lit(name).alias("library"), "*")
+        med = quantiles(c, [], "c", 0.5, "m").first()["m"]
+        mad = quantiles(c.select(F.abs(F.col("c") - F.lit(med)).alias("c")), [], "c", 0.5, "m").first()["m"]
+        one = c.agg(F.avg("c").alias("mean")).select(F.lit(name).alias("library"), "mean", F.lit(None if mad is None else MAD_SCALE * mad).cast("double").alias("mad"))
         out = one if out is None else out.unionByName(one)
     return out
 

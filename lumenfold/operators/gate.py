@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from lumenfold.functions.stats import quantiles
+
 
 def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
     """Inside, on an edge or on a vertex: ray casting with an exact test of the edges."""
@@ -142,8 +144,9 @@ def find_gate(df: DataFrame, x: str, y: str, lo, hi, n: int = 100, share: float
         raise ValueError("no density peak in range")
     aim = kept[min(target, len(kept) - 1)]
     near = voronoi(inside, x, y, peaks).where(F.col("peak") == peaks.index(aim))
-    q = near.agg(*[F.percentile(c, F.lit(0.5)) for c in (x, y)]).first()
-    mad = near.agg(*[F.percentile(F.abs(F.col(c) - q[a]), F.lit(0.5)) for a, c in enumerate((x, y))]).first()
+    middle = lambda c: quantiles(near.select(c.alias("_c")), [], "_c", 0.5, "_m").first()["_m"]
+    q = [middle(F.col(c)) for c in (x, y)]
+    mad = [middle(F.abs(F.col(c) - q[a])) for a, c in enumerate((x, y))]
     box = [(max(lo[a], q[a] - f_mad * 1.4826 * mad[a] * (0.67 if viability and a == 0 else 1)), min(hi[a], q[a] + f_mad * 1.4826 * mad[a])) for a in (0, 1)]
     boxed = near.where(in_rectangle(F.col(x), F.col(y), *box[0], *box[1]))
     gate = density_hull(grid(boxed, lo, hi), gx, gy, share)

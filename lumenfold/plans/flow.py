@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.functions.arrays import cosine_rows, lit_array, peak
-from lumenfold.operators import clean, control, gate, kernels, spectra, unmix
+from lumenfold.functions.stats import quantiles
+from lumenfold.operators import af_removal, clean, control, gate, kernels, spectra, unmix
 from lumenfold.operators.events import class_spectra
 from lumenfold.operators.unmix import Panel
 from lumenfold.params import Parameters
@@ -50,8 +52,11 @@ def gated_events(events: DataFrame, gates: dict[str, list[tuple[float, float]]],
     return clean.unsaturated(events, "spectral", p.saturation).where(inside)
 
 
-def define_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: Parameters, strict: bool = True, find: bool = True) -> FlowControl:
-    """Validate, assign gates, find them on the samples that define them, and read and gate every control."""
+def define_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: Parameters, strict: bool = True, find: bool = True, failing: str = "raise") -> FlowControl:
+    """Validate, assign gates, find them on the samples that define them, and read and gate every control.
+
+    A gate that cannot be found is an error that names its samples; with failing="keep", a warning, and they keep all events.
+    """
     table = control.blank_to_null(table)
     control.check(table, strict=strict)
     events, detectors = read_events(spark, folder, p)
@@ -65,15 +70,16 @@ def define_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: P
             part = events.where(F.col("gate_name") == name)
             try:
                 gates[name] = gate.find_gate(part, *[f"`{c}`" for c in p.scatter], (0.0, 0.0), (p.scatter_max, p.scatter_max), share=p.gate_share, exclude=p.gate_exclude)
-            except ValueError:
-                continue  # too few events for a density: the sample keeps all
+            except ValueError as e:
+                samples = sorted(r[0] for r in part.select("sample").distinct().collect())
+                if failing == "raise":
+                    raise ValueError(f"gate {name} cannot be found ({e}); samples: {', '.join(samples)}") from e
+                warnings.warn(f"gate {name} cannot be found ({e}): {', '.join(samples)} keep all events", stacklevel=2)
     return FlowControl(grouped, detectors, p, gates, gated_events(events, gates, p))
 
 
 def reload_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: Parameters) -> FlowControl:
     """Metadata alone, for unmixing with saved spectra; a warning where detector voltages differ between files."""
-    import warnings
-
     fcs.register(spark)
     files = spark.read.format("fcs_header").load(folder).collect()
     keys = {r["path"]: r["keywords"] for r in files}
@@ -88,18 +94,41 @@ def reload_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: P
     return FlowControl(table, detectors, p)
 
 
-def clean_controls(events: DataFrame, p: Parameters, unstained: str = "AF", universal: bool = True, seed: int = 1) -> DataFrame:
-    """Positive events of each dye at its peak, beside unstained events near them in scatter (role positive/negative);
-    without a universal negative, the brightest and dimmest events of each sample instead."""
+#: Unstained events that represent the background, as the method has it: a hash sample of one control.
+BACKGROUND_EVENTS = 10_000
+
+
+def without_background(events: DataFrame, unstained: str = "AF", seed: int = 1) -> DataFrame:
+    """Stained cell samples without the events that lie in the unstained control's background region; the others (beads, the
+    unstained control itself) as they are. control_type tells cells; without that column all samples are."""
+    stained = F.col("fluorophore") != unstained
+    if "control_type" in events.columns:
+        stained = stained & F.coalesce(F.col("control_type") == "cells", F.lit(False))
+    neg = clean.sample_rows(events.where(F.col("fluorophore") == unstained), BACKGROUND_EVENTS, "event_id", seed).select("spectral").collect()
+    if not neg:
+        warnings.warn("no unstained cells: background events stay", stacklevel=2)
+        return events
+    means = class_spectra(events.where(stained), "sample", "spectral", width=len(neg[0][0]))
+    peaks = {r["sample"]: r["peak"] for r in means.select("sample", peak(F.col("spectrum")).alias("peak")).collect()}  # a row a sample
+    kept = af_removal.remove_background(events.where(stained), np.array([r[0] for r in neg], dtype=float), peaks)
+    return events.where(~stained).unionByName(kept)
+
+
+def clean_controls(events: DataFrame, p: Parameters, unstained: str = "AF", universal: bool = True, seed: int = 1, remove_af: bool = True) -> DataFrame:
+    """Stained cells without background events first; then the positive events of each dye at its peak, beside unstained
+    events near them in scatter (role positive/negative); without a universal negative, the brightest and dimmest events of
+    each sample instead."""
+    if remove_af and universal:
+        events = without_background(events, unstained, seed)
     peaks = class_spectra(events.where(F.col("fluorophore") != unstained), "fluorophore", "spectral", width=_width(events)).select("fluorophore", peak(F.col("spectrum")).alias("peak"))
     at = events.join(F.broadcast(peaks), "fluorophore").withColumn("at_peak", F.get("spectral", F.col("peak")))
     if not universal:
         return clean.top_and_bottom(at, "at_peak", p.positive_n, p.negative_n, ["sample"])
     neg = events.where(F.col("fluorophore") == unstained)
-    limits = neg.select(F.posexplode("spectral").alias("peak", "v")).groupBy("peak").agg(F.percentile("v", F.lit(p.positivity)).alias("limit"))
+    limits = quantiles(neg.select(F.posexplode("spectral").alias("peak", "v")), ["peak"], "v", p.positivity, "limit")
     bright = clean.top(at.join(F.broadcast(limits), "peak").where("at_peak > limit"), "at_peak", p.positive_n, ["sample"])
     axes = [f"`{c}`" for c in p.scatter]
-    sample = clean.sample_rows(neg, 10_000, "event_id", seed)  # a documented bound on one control's background
+    sample = clean.sample_rows(neg, BACKGROUND_EVENTS, "event_id", seed)
     rows = sample.select("event_id", *[F.col(a) for a in axes]).collect()
     R, ids = np.array([(r[1], r[2]) for r in rows], dtype=float).reshape(-1, 2), [r[0] for r in rows]
     q = bright.select(F.monotonically_increasing_id().alias("q"), "fluorophore", *[F.col(a).alias(f"a{i}") for i, a in enumerate(axes)])
@@ -128,7 +157,8 @@ def automated_spectra(events: DataFrame, p: Parameters, library: Panel | None =
     negative. Also (dye, status, similarity to the library): dyes below the threshold are marked for the gated route."""
     width = _width(events)
     neg = events.where(F.col("fluorophore") == unstained)
-    background = np.array([r for r in neg.agg(*[F.percentile(F.get("spectral", F.lit(i)), F.lit(0.5)) for i in range(width)]).first()])
+    middle = quantiles(neg.select(F.posexplode("spectral").alias("pos", "v")), ["pos"], "v", 0.5, "m")
+    background = np.array([r["m"] for r in middle.orderBy("pos").collect()])
     unit = background / max(np.linalg.norm(background), 1e-12)
     means = Panel.collect(class_spectra(events.where(F.col("fluorophore") != unstained), "fluorophore", "spectral", width), "fluorophore", "spectrum")
     peaks = {n: int((s - (s @ unit) * unit).argmax()) for n, s in zip(means.names, means.S, strict=True)}
@@ -138,7 +168,7 @@ def automated_spectra(events: DataFrame, p: Parameters, library: Panel | None =
     rows = rows.withColumn("unlike", -cosine_rows(F.col("spectral"), lit_array(background)))
     rows = clean.top(rows, "unlike", keep, ["fluorophore"])
     axes = [f"`{c}`" for c in p.scatter]
-    ref = clean.sample_rows(neg, 10_000, "event_id").select("event_id", *[F.col(a).alias(f"a{i}") for i, a in enumerate(axes)], "spectral").collect()
+    ref = clean.sample_rows(neg, BACKGROUND_EVENTS, "event_id").select("event_id", *[F.col(a).alias(f"a{i}") for i, a in enumerate(axes)], "spectral").collect()
     R, T = np.array([r["spectral"] for r in ref]), np.array([(r["a0"], r["a1"]) for r in ref], dtype=float)
 
     def subtract(M):
@@ -165,8 +195,6 @@ def checked(p: Panel, method: str, af: Panel | None) -> Panel:
             raise ValueError(f"{method} needs at least two background spectra")
         p = p.without("AF")
     if p.condition() > len(p.names):
-        import warnings
-
         warnings.warn(f"condition number {p.condition()} exceeds the number of dyes", stacklevel=3)
     return p
 

@@ -21,7 +21,12 @@ def _rows(spark, S, first="row"):
     return spark.createDataFrame([(i, j, round(float(v), 6) + 0.0) for i, s in enumerate(S) for j, v in enumerate(s)], f"{first} int, pos int, v double")
 
 
-@query("dedup_spectra", None)
+@query(
+    "dedup_spectra",
+    f"""{BASE}, cm AS (SELECT list(r ORDER BY a) AS m FROM (SELECT x.label AS a, list(list_dot_product(x.s, y.s) / (sqrt(list_dot_product(x.s, x.s) + 1e-9) * sqrt(list_dot_product(y.s, y.s) + 1e-9)) ORDER BY y.label) AS r FROM sp x, sp y GROUP BY x.label)),
+    st AS (SELECT 0 AS k, []::INT[] AS kept UNION ALL SELECT k + 1, CASE WHEN len(list_filter(kept, lambda q: m[k + 1][q + 1] >= 0.15)) = 0 THEN list_append(kept, k) ELSE kept END FROM st, cm WHERE k < 10)
+    SELECT unnest(kept)::INT AS label FROM st WHERE k = 10""",
+)
 def dedup_spectra(spark, sf):
     """Class means kept in order while unlike all kept before (cosine below 0.15: these classes are far apart)."""
     s = Panel.collect(class_spectra(events(spark, sf)), "label", "spectrum")
@@ -221,40 +226,6 @@ def automated_spectra(spark, sf):
     return spark.createDataFrame([(n, int(s.argmax()), status[n]) for n, s in zip(panel.names, panel.S, strict=True)], "fluorophore string, peak int, status string")
 
 
-@query("clean_controls")
-def clean_controls(spark, sf):
-    """Positives and their matched negatives of every control, counted."""
-    from lumenfold.params import Parameters
-    from lumenfold.plans.flow import clean_controls as run
-
-    ev = events(spark, sf)
-    name = F.when(F.col("label") == 0, "AF").otherwise(F.concat(F.lit("dye"), F.col("label")))
-    e = ev.select(F.col("vec_id").alias("event_id"), name.alias("sample"), name.alias("fluorophore"), F.get("x", F.lit(0)).alias("FSC-A"), F.get("x", F.lit(1)).alias("SSC-A"), F.col("x").alias("spectral"))
-    return run(e, Parameters(positivity=0.9)).groupBy("fluorophore", "role").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("fcs_round_trip", f"{BASE} SELECT label, count(*) AS n, round(avg(x[1]), 5) + 0.0 AS d0 FROM ev GROUP BY label")
-def fcs_round_trip(spark, sf):
-    """Events written as an FCS file and read back through the source. The file lies in the shared checkpoint folder, if that is a local path, else in a temporary one (then for local sessions)."""
-    import tempfile
-    import uuid
-
-    from lumenfold.sources import fcs
-
-    fcs.register(spark)
-    ev = events(spark, sf)
-    base = spark.conf.get("spark.checkpoint.dir", None) or ""
-    base = base.removeprefix("file://") if base.startswith(("file:", "/")) else tempfile.mkdtemp()
-    path = f"{base}/{uuid.uuid4().hex}.fcs"
-    wide = ev.select(F.col("label").cast("double").alias("label"), *[F.get("x", F.lit(i)).alias(f"D{i}") for i in range(4)])
-    import os
-
-    os.makedirs(base, exist_ok=True)
-    wide.coalesce(1).write.format("fcs").mode("overwrite").save(path)
-    back = spark.read.format("fcs").option("rows", 200).load(path)
-    return back.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("D0"), 5).alias("d0"))
-
-
 @query("worst_channels", f"{BASE} SELECT label, pos::INT AS pos, round(sd, 6) + 0.0 AS sd FROM (SELECT label, pos, stddev_samp(v) AS sd, row_number() OVER (PARTITION BY label ORDER BY round(stddev_samp(v), 9) DESC, pos) AS r FROM lg GROUP BY label, pos) WHERE r <= 2")
 def worst_channels(spark, sf):
     """The two detectors with the largest deviation in each class."""
@@ -267,11 +238,11 @@ def worst_channels(spark, sf):
 @query("bootstrap_sample", "WITH n AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT vec_id AS i, (vec_id * 7919 + 104729) % n AS place FROM embeddings, n), r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) SELECT i, vec_id FROM d JOIN r USING (place)")
 def bootstrap_sample(spark, sf):
     """A sample with replacement of the same size: draw i takes the row at a position that a multiplicative hash gives."""
-    from pyspark.sql.window import Window
+    from lumenfold.functions.stats import positions
 
     e = events(spark, sf).select("vec_id")
     n = e.count()
-    rows = e.withColumn("at", F.row_number().over(Window.orderBy("vec_id")) - 1)  # one control's events
+    rows = positions(e, "vec_id", "at")
     return e.select(F.col("vec_id").alias("i"), ((F.col("vec_id") * 7919 + 104729) % n).alias("at")).join(rows, "at").select("i", "vec_id")
 
 

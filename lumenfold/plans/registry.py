@@ -16,4 +16,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from lumenfold.plans import control_queries, library_queries, stat_queries, unmix_queries  # noqa: E402, F401
+from lumenfold.plans import control_queries, library_queries, source_queries, stat_queries, unmix_queries  # noqa: E402, F401

@@ -69,12 +69,30 @@ def similar_pairs(spark, sf):
     return _pairs(class_spectra(events(spark, sf)), A.cosine_guarded).where("c > 0.2").select("a", "b", A.rounded(F.col("c")).alias("cosine"))
 
 
-@query("condition_number")
+def _largest(of: str, rows: str) -> str:
+    """CTEs up to top_{of}(l): the largest eigenvalue of a symmetric matrix given as rows(i, v) of vectors, entries their inner
+    products: 24 squarings, scaled."""
+    return f"""m_{of} AS (SELECT list(r ORDER BY i) AS m FROM (SELECT a.i, list(list_dot_product(a.v, b.v) ORDER BY b.i) AS r FROM {rows} a, {rows} b GROUP BY a.i)),
+    q_{of} AS (SELECT 0 AS k, m, 0.0::DOUBLE AS lg FROM m_{of} UNION ALL
+      SELECT k + 1, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / z)), 2 * lg + ln(z)
+      FROM (SELECT *, list_max(list_transform(m, lambda r: list_dot_product(r, r))) AS z FROM q_{of} WHERE k < 24)),
+    top_{of} AS (SELECT exp((lg + ln(list_max(list_transform(m, lambda r: list_max(r))))) / pow(2, 24)) AS l FROM q_{of} WHERE k = 24)"""
+
+
+@query(
+    "condition_number",
+    f"""{BASE}, {DYES}, {pinv(10)}, va AS (SELECT i, s AS v FROM dy), vb AS (SELECT i, p AS v FROM pp), {_largest("a", "va")}, {_largest("b", "vb")}
+    SELECT round(sqrt(top_a.l * top_b.l), 2) AS condition FROM top_a, top_b""",
+)
 def condition_number(spark, sf):
     return spark.createDataFrame([(all_classes(events(spark, sf)).condition(),)], "condition double")
 
 
-@query("hotspot")
+@query(
+    "hotspot",
+    f"""{BASE}, {DYES}, dn AS (SELECT i, list_transform(s, lambda z: z / sqrt(list_dot_product(s, s) + 1e-9)) AS s FROM dy), {pinv(10, "dn")}
+    SELECT a.i::INT AS a, b.i::INT AS b, round(sqrt(abs(list_dot_product(a.p, b.p))), 6) AS hotspot FROM pp a, pp b""",
+)
 def hotspot(spark, sf):
     """sqrt(|pseudo-inverse of the cosine matrix|)."""
     S = all_classes(events(spark, sf)).S
@@ -153,13 +171,107 @@ def _counts(ev):
     return ev.select("vec_id", "label", F.transform("x", lambda v: F.round((v + 1) * 1000)).alias("x"))
 
 
-@query("unmix_wls_per_cell")
+COUNTS = "cx AS (SELECT vec_id, label, list_transform(x, lambda z: round((z + 1) * 1000)) AS x FROM ev)"
+
+
+@query(
+    "unmix_ols_fast",
+    f"{BASE}, {DYES}, {pinv(10)} SELECT vec_id, {wide(10, 'list_dot_product(x, (SELECT p FROM pp WHERE i = {i}))')} FROM ev",
+)
+def unmix_ols_fast(spark, sf):
+    """By the normal equations."""
+    ev = events(spark, sf)
+    out = unmix.project(ev.select("vec_id", "x"), "x", kernels.ols_normal(all_classes(ev).S), U10)
+    return out.select("vec_id", *[A.rounded(F.col(u)).alias(u) for u in U10])
+
+
+@query(
+    "unmix_wls_fast",
+    f"{BASE}, {DYES}, {WEIGHTS}, {pinv(10, weights='ww')} SELECT vec_id, {wide(10, 'list_dot_product(x, (SELECT p FROM pp WHERE i = {i}))')} FROM ev",
+)
+def unmix_wls_fast(spark, sf):
+    ev = events(spark, sf)
+    w = kernels.weights(unmix.column_mean(ev, "x", WIDTH), 1e-3)
+    out = unmix.project(ev.select("vec_id", "x"), "x", kernels.wls_normal(all_classes(ev).S, w), U10)
+    return out.select("vec_id", *[A.rounded(F.col(u)).alias(u) for u in U10])
+
+
+@query(
+    "unmixing_matrix",
+    f"""{BASE}, {DYES}, {WEIGHTS}, {pinv(10)}, {pinv(10, out='pw', weights='ww')}, b AS (SELECT 'OLS' AS method, i, p FROM pp UNION ALL SELECT 'WLS', i, p FROM pw)
+    SELECT method, i::INT AS label, unnest(range(64))::INT AS pos, round(unnest(p), 5) + 0.0 AS v FROM b""",
+)
+def unmixing_matrix(spark, sf):
+    """What is saved beside unmixed files: (A'A)^-1 A' and, with weights, (A'WA)^-1 A'W."""
+    from lumenfold.sources.spectra_files import unmixing_matrix as run
+
+    ev = events(spark, sf)
+    panel, w = all_classes(ev), kernels.weights(unmix.column_mean(ev, "x", WIDTH), 1e-3)
+    rows = [(m, int(n), d, round(float(v), 5) + 0.0) for m, q in (("OLS", run(panel)), ("WLS", run(panel, w))) for n, s in zip(q.names, q.S, strict=True) for d, v in enumerate(s)]
+    return spark.createDataFrame(rows, "method string, label int, pos int, v double")
+
+
+@query(
+    "unmix_wls_per_cell",
+    f"""{BASE}, {COUNTS}, dy AS (SELECT label AS i, list(v ORDER BY pos) AS s FROM (SELECT label, pos, avg(v) AS v FROM (SELECT label, unnest(range(64)) AS pos, unnest(x) AS v FROM cx) GROUP BY ALL) GROUP BY label),
+    sw AS (SELECT vec_id, i, x, list_transform(list_zip(s, x), lambda z: z[1] / greatest(abs(z[2]), 1e-6)) AS sw FROM cx, dy),
+    e AS (SELECT 0 AS k, vec_id, sw.i AS i, list_append(list(list_dot_product(sw, b.s) ORDER BY b.i), any_value(list_dot_product(sw, x))) AS r FROM sw, dy b GROUP BY vec_id, sw.i
+      UNION ALL SELECT e.k + 1, e.vec_id, e.i, CASE WHEN e.i = q.i THEN list_transform(q.r, lambda z: z / q.r[q.i + 1])
+        ELSE list_transform(list_zip(e.r, q.r), lambda z: z[1] - z[2] * e.r[q.i + 1] / q.r[q.i + 1]) END
+      FROM e JOIN e q ON q.k = e.k AND q.vec_id = e.vec_id AND q.i = e.k WHERE e.k < 10),
+    u AS (SELECT vec_id, list(r[11] ORDER BY i) AS u FROM e WHERE k = 10 GROUP BY vec_id) SELECT vec_id, {wide(10, 'u[{i} + 1]', digits=4)} FROM u""",
+)
 def unmix_wls_per_cell(spark, sf):
     ev = _counts(events(spark, sf))
     out = unmix.unmix_wls_per_cell(ev.select("vec_id", "x"), all_classes(ev), "x", names=U10)
     return out.select("vec_id", *[A.rounded(F.col(u), 4).alias(u) for u in U10])
 
 
+def _cramer(weights: str) -> str:
+    """The normal equations of y against a1, a2, a3 with weights 1 / (a list)."""
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}, {weights}), lambda z: z[1] * z[2] / z[3]))"
+    g = {(i, j): dot(f"a{i}", f"a{j}") for i in (1, 2, 3) for j in (1, 2, 3) if i <= j}
+    fields = ", ".join([*[f"m{i}{j} := {v}" for (i, j), v in g.items()], *[f"r{i} := {dot(f'a{i}', 'y')}" for i in (1, 2, 3)]])
+    return f"struct_pack({fields})"
+
+
+def _det(columns) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = zip(*columns, strict=True)
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _solved(n: str) -> str:
+    cols = [[f"{n}.m11", f"{n}.m12", f"{n}.m13"], [f"{n}.m12", f"{n}.m22", f"{n}.m23"], [f"{n}.m13", f"{n}.m23", f"{n}.m33"]]
+    r = [f"{n}.r1", f"{n}.r2", f"{n}.r3"]
+    whole = _det(cols)
+    return "[" + ", ".join(f"{_det([r if k == j else cols[k] for k in range(3)])} / {whole}" for j in range(3)) + "]"
+
+
+MEAN3 = "list_transform(list_zip(a1, a2, a3), lambda z: z[1] * {c}[1] + z[2] * {c}[2] + z[3] * {c}[3])"
+DEVIANCE = "2 * list_sum(list_transform(list_zip(y, {m}), lambda z: z[1] * ln(z[1] / z[2]) - (z[1] - z[2])))"
+
+
+@query(
+    "poisson_three_dyes",
+    f"""{BASE}, {COUNTS}, ab AS (SELECT label, list_transform(s, lambda z: abs(z)) AS a FROM sp), vw AS (SELECT list(v ORDER BY pos) AS w FROM (SELECT pos, greatest(avg(v), 1e-6) AS v FROM (SELECT unnest(range(64)) AS pos, unnest(x) AS v FROM cx) GROUP BY pos)),
+    b0 AS (SELECT vec_id, x AS y, (SELECT a FROM ab WHERE label = 1) AS a1, (SELECT a FROM ab WHERE label = 2) AS a2, (SELECT a FROM ab WHERE label = 3) AS a3, (SELECT w FROM vw) AS w FROM cx),
+    b1 AS (SELECT *, {_cramer("w")} AS n FROM b0), b2 AS (SELECT * EXCLUDE n, list_transform({_solved("n")}, lambda z: CASE WHEN z <= 0 THEN 1e-6 ELSE z END) AS c FROM b1),
+    b3 AS (SELECT *, {MEAN3.format(c="c")} AS m FROM b2), b4 AS (SELECT *, {DEVIANCE.format(m="m")} AS old, {_cramer("m")} AS n FROM b3),
+    st AS (SELECT 0 AS k, vec_id, y, a1, a2, a3, c, {_solved("n")} AS d, old, false AS done FROM b4
+      UNION ALL SELECT k + 1, vec_id, y, a1, a2, a3, CASE WHEN ok THEN d ELSE c END, CASE WHEN NOT ok THEN list_transform(list_zip(c, d), lambda z: (z[1] + z[2]) / 2) WHEN ends THEN d ELSE {_solved("n")} END,
+        CASE WHEN ok THEN dev ELSE old END, ends
+      FROM (SELECT *, ok AND abs(dev - old) < 1e-8 * (abs(dev) + 0.1) AS ends FROM (SELECT *, CASE WHEN ok THEN {DEVIANCE.format(m="m")} END AS dev, CASE WHEN ok THEN {_cramer("m")} END AS n
+        FROM (SELECT *, list_min(m) > 0 AS ok FROM (SELECT *, {MEAN3.format(c="d")} AS m FROM st WHERE NOT done AND k < 200)))))
+    SELECT vec_id, round(d[1], 4) + 0.0 AS u0, round(d[2], 4) + 0.0 AS u1, round(d[3], 4) + 0.0 AS u2 FROM st WHERE done""",
+)
+def poisson_three_dyes(spark, sf):
+    """Poisson fits of counts with three dyes (few enough for SQL to solve event by event)."""
+    ev = _counts(events(spark, sf))
+    S = np.abs(all_classes(events(spark, sf)).S[1:4])
+    out = unmix.unmix_poisson(ev.select("vec_id", "x"), unmix.Panel([1, 2, 3], S), "x", names=U9[:3])
+    return out.select("vec_id", *[A.rounded(F.col(u), 4).alias(u) for u in U9[:3]])
+
+
 @query("unmix_poisson")
 def unmix_poisson(spark, sf):
     ev = _counts(events(spark, sf))
@@ -297,7 +409,16 @@ def unmix_joint(spark, sf):
     return out.select("vec_id", *[A.rounded(F.col(u)).alias(u) for u in U9], A.rounded(F.col("AF")).alias("af"), F.col("AF Index").alias("af_index"))
 
 
-@query("optimize_necessity")
+@query(
+    "optimize_necessity",
+    f"""{BASE}, {DYES9}, {pinv(9)}, h AS (SELECT a.i, b.i AS j, list_dot_product(a.p, b.p) AS h FROM pp a, pp b),
+    vv AS (SELECT f, j, list(v ORDER BY pos) AS v FROM (SELECT label - 1 AS f, vec_id % 4 AS j, pos, avg(v) AS v FROM lg WHERE label > 0 GROUP BY ALL) GROUP BY f, j),
+    pd AS (SELECT f, j, pp.i AS g, list_dot_product(p, v) - list_dot_product(p, s) AS c FROM vv JOIN dy ON dy.i = f, pp),
+    cc AS (SELECT x.f, x.g, x.j, x.c - hg.h / hf.h * y.c AS c, hh.h - hg.h ** 2 / hf.h AS n FROM pd x JOIN pd y ON y.f = x.f AND y.j = x.j AND y.g = x.f
+      JOIN h hg ON hg.i = x.g AND hg.j = x.f JOIN h hf ON hf.i = x.f AND hf.j = x.f JOIN h hh ON hh.i = x.g AND hh.j = x.g WHERE x.g <> x.f),
+    sc AS (SELECT f, sum(w) AS w FROM (SELECT f, g, sqrt(abs(var_samp(c) + 1e-4 * any_value(n))) AS w FROM cc GROUP BY f, g) GROUP BY f)
+    SELECT (f + 1)::INT AS label, round(w / max(w) OVER (), 6) AS score, w / max(w) OVER () >= 0.01 AS recommended FROM sc""",
+)
 def optimize_necessity(spark, sf):
     """How much each dye's variation disturbs the other dyes, and whether optimising it is worth while."""
     dyes, _, library, _ = _library(events(spark, sf))

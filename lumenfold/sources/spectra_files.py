@@ -59,11 +59,13 @@ def read_embedded(path: str) -> Panel:
 
 
 def clean_url(url: str) -> str:
-    """The dye's name in a control's address: last part, without extension, type and plate words."""
-    s = re.sub(r"^.*[/\\]", "", url)
-    s = re.sub(r"\.fcs$", "", s, flags=re.I)
-    s = re.sub(r"(?i)\s*\((cells|beads)\)", "", s)
-    return re.sub(r"^Reference Group[_ ]*|^[A-H]\d{1,2}[_ ]+", "", s).strip()
+    """The dye's name in a control's address: what stands after the last backslash and before _Controls.fcs, without a leading
+    plate position, what is in brackets, and all from the first underscore on."""
+    s = re.sub(r"_Controls\.fcs.*", "", url, flags=re.S)
+    s = s.rpartition("\\")[2]
+    s = re.sub(r"^[A-Z]\d+\s+", "", s)
+    s = re.sub(r" \(.*\)", "", s)
+    return s.partition("_")[0]
 
 
 def read_experiment(path: str, detectors: list[str] | None = None) -> Panel:
@@ -77,7 +79,7 @@ def read_experiment(path: str, detectors: list[str] | None = None) -> Panel:
         values = [float(e.text) for e in vector.iter() if e is not vector and e.text and e.text.strip()] or [float(v) for v in re.split(r"[,;\s]+", (vector.text or "").strip()) if v]
         if values and max(values) > 0:
             name = clean_url(url.text if url is not None and url.text else f"Dye {len(names) + 1}")
-            names.append("AF" if re.search("unstained", name, re.I) else name)
+            names.append("AF" if name == "Unstained" else name)
             rows.append(values)
     S = np.array(rows)
     return Panel(names, S / S.max(1, keepdims=True), detectors)

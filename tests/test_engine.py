@@ -203,10 +203,60 @@ def test_draft_and_matching(spark):
     markers = spark.createDataFrame([("CD4", "CD4"), ("CD45", "CD45")], "name string, term string")
     data = spark.createDataFrame([("BV421", "V1-A", 2, 421), ("PE", "YG1-A", 4, 575), ("PE-Cy7", "YG9-A", 4, 775)], "fluorophore string, channel string, laser_rank int, wavelength int")
     got = {r["filename"]: tuple(r)[1:] for r in control.draft(files, dyes, markers, data, ["V1-A", "YG1-A"]).collect()}
-    assert got["CD4 bv421 cells.fcs"] == ("BV421", "CD4", "V1-A", "cells") and got["PE-Cy7 beads.fcs"] == ("PE-Cy7", "", None, "beads")
+    assert got["CD4 bv421 cells.fcs"] == ("BV421", "CD4", "V1-A", "cells") and got["PE-Cy7 beads.fcs"] == ("PE-Cy7", "", "No match", "beads")
     assert got["xPE.fcs"][0] == "No match" and got["Unstained cells.fcs"][0] == "AF" and got["unstained beads.fcs"][0] == "Negative" and got["CD45 PE (cells).fcs"][1] == "CD45"
 
 
+def test_channels_that_were_not_acquired():
+    nominal = {"A": "V1-A", "B": "YG1-A", "C": "YG1-A", "D": "YG9-A", "E": "YG1-A"}
+    library = {"A": [1, 0, 0, 0], "B": [0.1, 0.9, 1, 0.3], "C": [0.8, 0.1, 1, 0.2]}
+    detectors = ["V1-A", "B1-A", "YG1-A", "R1-A"]
+    got = control.reassigned(nominal, ["V1-A", "B1-A", "R1-A"], library, detectors)
+    assert got == {"B": "B1-A", "C": "V1-A", "D": "No match", "E": "B1-A"}  # E: the mean of B and C, [0.45, 0.5, 0.25]
+    assert control.reassigned(nominal, ["V1-A"], {}, []) == {"B": "No match", "C": "No match", "D": "No match", "E": "No match"}
+
+
+def test_experiment_names():
+    for url, name in (
+        (r"..\B3 BV421 (Cells)_Controls.fcs", "BV421"), (r"x\BV421_CD4 (Cells)_Controls.fcs", "BV421"), (r"C:\run 1\Unstained (Cells)_Controls.fcs", "Unstained"),
+        (r"PE-Cy7 (Beads)_Controls.fcs.xml", "PE-Cy7"), (r"a\H12 APC_Controls.fcs", "APC"), ("plain", "plain"),
+    ):
+        assert spectra_files.clean_url(url) == name
+
+
+def test_a_gate_that_cannot_be_found_is_an_error(spark, tmp_path, monkeypatch):
+    rows = [{"filename": "AF.fcs", "fluorophore": "AF", "control_type": "cells"}, {"filename": "a.fcs", "fluorophore": "DyeA", "marker": "m", "control_type": "cells", "channel": "V1-A", "universal_negative": "AF.fcs"}]
+    for r in rows:
+        fcs.write(str(tmp_path / r["filename"]), CHANNELS, np.random.default_rng(1).random((30, len(CHANNELS))) * 1000, {})
+    table = control_rows(spark, *[{"gate_name": "g", "gate_define": "TRUE", **r} for r in rows])
+
+    def none(*_, **__):
+        raise ValueError("no density peak in range")
+
+    monkeypatch.setattr(gate, "find_gate", none)
+    with pytest.raises(ValueError, match="gate g cannot be found .* samples: AF, a"):
+        flow.define_flow_control(spark, str(tmp_path), table, params.Parameters(), strict=False)
+    with pytest.warns(UserWarning, match="keep all events"):
+        assert flow.define_flow_control(spark, str(tmp_path), table, params.Parameters(), strict=False, failing="keep").gates == {}
+
+
+def test_cleaning_removes_background_first(spark):
+    rng = np.random.default_rng(8)
+    af = np.array([0.1, 0.2, 1.0, 0.7, 0.2, 0.1])
+    dye = np.array([1.0, 0.4, 0.1, 0.0, 0.0, 0.0])
+    N = rng.normal(0, 5, (1500, 6))
+    N[1000:] += rng.lognormal(6.5, 0.4, 500)[:, None] * af
+    X = rng.normal(0, 5, (1500, 6))
+    X[500:1000] += rng.lognormal(7, 0.5, 500)[:, None] * dye
+    X[1000:] += rng.lognormal(6.5, 0.4, 500)[:, None] * af
+    rows = [(i, "AF", "AF", "cells", v.tolist()) for i, v in enumerate(N)] + [(2000 + i, "s", "D", "cells", v.tolist()) for i, v in enumerate(X)] + [(4000 + i, "b", "D", "beads", v.tolist()) for i, v in enumerate(X)]
+    ev = spark.createDataFrame(rows, "event_id long, sample string, fluorophore string, control_type string, spectral array<double>")
+    left = {r["sample"]: r["ids"] for r in flow.without_background(ev).groupBy("sample").agg(F.collect_set("event_id").alias("ids")).collect()}
+    assert len(left["AF"]) == 1500 and len(left["b"]) == 1500  # the unstained control and beads stay whole
+    kept = np.isin(np.arange(2000, 3500), left["s"])
+    assert kept[:500].mean() > 0.95 and kept[500:1000].mean() > 0.9 and kept[1000:].mean() < 0.3
+
+
 def test_gate_groups(spark):
     rows = [dict(r, gate_name=None) for r in GOOD]
     rows[2]["large_gate"] = False
