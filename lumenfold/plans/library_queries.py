@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lumenfold.operators.unmix import Panel
 from lumenfold.plans import sql
 from lumenfold.plans.registry import query
 from lumenfold.plans.sql import AF, BASE, DYES9
+from lumenfold.plans.unmix_queries import JOINT_COV, RESIDUALS, SCENE, SPILL
 
 r6 = A.rounded
 
@@ -107,7 +110,31 @@ def af_scatter_match(spark, sf):
     return out.select("vec_id", r6(F.col("cosine")).alias("cosine"), r6(F.col("AF")).alias("af"), r6(F.col("u0")).alias("u0"))
 
 
-@query("af_accuracy")
+def _named(ctes: str, names: str, mark: str) -> str:
+    """CTEs with the given names marked, so that two versions stand side by side."""
+    return re.sub(rf"\b({names})\b(?!\()", rf"\1{mark}", ctes)
+
+
+def _accuracy(rules: list[str], test: str = "label = 0", more: str = "") -> str:
+    """CTEs up to ac(rule, vec_id, cosine, left): each test event with the background that a rule assigns, and the mean one."""
+    pieces = {"residuals": RESIDUALS, "fluorophores": SPILL, "joint_cov": JOINT_COV}
+    parts = [_named(pieces[r], "sc|back|res|ks|up", f"_{r}") for r in rules]
+    picks = " UNION ALL ".join(f"SELECT '{r}' AS rule, vec_id, j FROM (SELECT vec_id, j, row_number() OVER (PARTITION BY vec_id ORDER BY score, j) AS rn FROM sc_{r}) WHERE rn = 1" for r in rules)
+    return f"""{SCENE}, {", ".join(parts)}, pk AS ({picks}),
+    ma AS (SELECT list(v ORDER BY pos) AS a FROM (SELECT pos, avg(v) AS v FROM (SELECT unnest(range(64)) AS pos, unnest(a) AS v FROM af) GROUP BY pos)),
+    mv AS (SELECT a, list(list_dot_product(a, p) ORDER BY i) AS v FROM ma, pp GROUP BY a),
+    mr AS (SELECT any_value(a) AS a, any_value(v) AS v, list(r ORDER BY pos) AS r FROM (SELECT pos, any_value(a) AS a, any_value(v) AS v, any_value(a[pos + 1]) - sum(v[i + 1] * s[pos + 1]) AS r FROM mv, dy, (SELECT unnest(range(64)) AS pos) GROUP BY pos)),
+    bg AS (SELECT rule, vec_id, a, v, r FROM pk JOIN av USING (j) JOIN ar USING (j) UNION ALL SELECT 'baseline', vec_id, a, v, r FROM ev, mr),
+    ac AS (SELECT rule, vec_id, list_dot_product(x, a) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(a, a)) + 1e-9) AS cosine,
+      list_avg(list_transform(list_zip(u, v), lambda z: abs(z[1] - list_dot_product(x, r) / list_dot_product(r, r) * z[2]))) AS "left"
+      FROM bg JOIN eu USING (vec_id) JOIN (SELECT vec_id, label FROM ev) USING (vec_id) WHERE {test}){more}"""
+
+
+@query(
+    "af_accuracy",
+    f"""{_accuracy(["residuals", "fluorophores", "joint_cov"])}
+    SELECT rule, round(avg(cosine), 6) + 0.0 AS mean_cosine, round(stddev_samp(cosine), 6) + 0.0 AS sd_cosine, round(avg("left"), 6) + 0.0 AS mean_abs, count(*) AS n FROM ac GROUP BY rule""",
+)
 def af_accuracy(spark, sf):
     ev = events(spark, sf)
     dyes, af = dyes_and_background(ev)
@@ -124,7 +151,14 @@ def af_benchmark(spark, sf):
     return runs.groupBy("n_dyes", "rule").agg(r6(F.avg("mean_cosine")).alias("mean"), r6(F.stddev_samp("mean_cosine")).alias("sd"))
 
 
-@query("compare_af")
+@query(
+    "compare_af",
+    f"""{SCENE}, {SPILL}, pk AS (SELECT 'five' AS library, vec_id, j FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, j) AS rn FROM sc) WHERE rn = 1
+      UNION ALL SELECT 'two', vec_id, j FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, j) AS rn FROM sc WHERE j < 2) WHERE rn = 1),
+    c AS (SELECT library, list_dot_product(x, a) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(a, a)) + 1e-9) AS c FROM pk JOIN ev USING (vec_id) JOIN af USING (j) WHERE label = 0),
+    m AS (SELECT library, c, median(c) OVER (PARTITION BY library) AS md FROM c)
+    SELECT library, round(avg(c), 6) + 0.0 AS mean, round(1.4826 * median(abs(c - md)), 6) + 0.0 AS mad FROM m GROUP BY library""",
+)
 def compare_af(spark, sf):
     ev = events(spark, sf)
     dyes, af = dyes_and_background(ev)
@@ -132,7 +166,22 @@ def compare_af(spark, sf):
     return evaluate.compare_backgrounds(ev.where("label = 0"), dyes, libraries).select("library", r6(F.col("mean")).alias("mean"), r6(F.col("mad")).alias("mad"))
 
 
-@query("compare_unmix")
+def _spill(panel: str, dyes: str) -> str:
+    """CTEs up to out_{panel}: spill and index of the events unmixed with a panel; its dyes are the detectors."""
+    n = panel
+    return f"""{dyes}, {sql.pinv(10, f"dy_{n}", f"pp_{n}")}, l_{n} AS (SELECT vec_id, label, i AS pos, list_dot_product(x, p) AS v FROM ev, pp_{n}),
+    m_{n} AS (SELECT label, pos, avg(v) AS v FROM l_{n} GROUP BY ALL), k_{n} AS (SELECT label, arg_max(pos, v) AS peak FROM m_{n} GROUP BY label),
+    t_{n} AS (SELECT pos, quantile_cont(v, 0.95) AS q, median(v) AS mn0, 1.4826 * mad(v) AS md0 FROM l_{n} WHERE label = 0 GROUP BY pos),
+    p_{n} AS (SELECT l.label, l.vec_id, k.peak FROM l_{n} l JOIN k_{n} k ON l.label = k.label AND l.pos = k.peak JOIN t_{n} t ON t.pos = k.peak WHERE l.label > 0 AND v > q QUALIFY row_number() OVER (PARTITION BY l.label ORDER BY v DESC, vec_id) <= 500),
+    d_{n} AS (SELECT l.label, l.pos, any_value(peak) AS peak, median(v) - any_value(mn0) AS dm, any_value(md0) AS md0 FROM l_{n} l JOIN p_{n} USING (label, vec_id) JOIN t_{n} USING (pos) GROUP BY l.label, l.pos),
+    o_{n} AS (SELECT '{n}' AS panel, label, pos::INT AS pos, round(dm / df, 6) + 0.0 AS spill, CASE WHEN pos = peak THEN 0.0 ELSE round(dm / (2 * md0), 6) + 0.0 END AS ssi FROM d_{n} JOIN (SELECT label, dm AS df FROM d_{n} WHERE pos = peak) USING (label))"""
+
+
+@query(
+    "compare_unmix",
+    f"""{BASE}, {_spill("mean", "dy_mean AS (SELECT label AS i, s FROM sp)")},
+    {_spill("median", "dy_median AS (SELECT label AS i, list(v ORDER BY pos) AS s FROM (SELECT label, pos, median(v) AS v FROM lg GROUP BY ALL) GROUP BY label)")} FROM o_mean UNION ALL FROM o_median""",
+)
 def compare_unmix(spark, sf):
     """Spill and stain index of means against medians as the mixing matrix."""
     from lumenfold.operators.events import median_of
@@ -212,7 +261,19 @@ def unmix_poisson_counts(spark, sf):
     return pairs.groupBy("dye").agg(F.round(F.percentile(F.abs(F.col("z.u") - F.col("z.a")) / F.col("z.a"), F.lit(0.5)), 4).alias("error"))
 
 
-@query("automated_spectra")
+@query(
+    "automated_spectra",
+    f"""{BASE}, nb AS (SELECT list(m ORDER BY pos) AS b FROM (SELECT pos, median(v + 1) AS m FROM lg WHERE label = 0 GROUP BY pos)),
+    s1 AS (SELECT label, list_transform(s, lambda z: z + 1) AS s FROM sp WHERE label > 0),
+    pj AS (SELECT label, list_transform(list_zip(s, b), lambda z: z[1] - z[2] * list_dot_product(s, b) / list_dot_product(b, b)) AS o FROM s1, nb),
+    pk AS (SELECT label, list_position(o, list_max(o)) AS peak FROM pj),
+    ca AS (SELECT label, vec_id, x, list_transform(x, lambda z: z + 1) AS y FROM ev JOIN pk USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY x[peak] + 1 DESC, vec_id) <= 1000),
+    cb AS (SELECT label, vec_id, x FROM ca, nb QUALIFY row_number() OVER (PARTITION BY label ORDER BY list_dot_product(y, b) / (sqrt(list_dot_product(y, y)) * sqrt(list_dot_product(b, b)) + 1e-9), vec_id) <= 200),
+    kn AS (SELECT cb.vec_id, r.vec_id AS ref, row_number() OVER (PARTITION BY cb.vec_id ORDER BY (cb.x[1] - r.x[1]) ** 2 + (cb.x[2] - r.x[2]) ** 2) AS rank FROM cb, ev r WHERE r.label = 0),
+    bk AS (SELECT kn.vec_id, pos, avg(v) AS b FROM kn JOIN lg ON lg.vec_id = ref WHERE rank <= 2 GROUP BY kn.vec_id, pos),
+    md AS (SELECT cb.label, bk.pos, median(x[bk.pos + 1] - b) AS m FROM cb JOIN bk USING (vec_id) GROUP BY cb.label, bk.pos)
+    SELECT 'dye' || label AS fluorophore, arg_max(pos, m)::INT AS peak, 'OK' AS status FROM md GROUP BY label""",
+)
 def automated_spectra(spark, sf):
     """Spectra straight from controls, with the first two detectors as scatter."""
     from lumenfold.params import Parameters
@@ -246,7 +307,17 @@ def bootstrap_sample(spark, sf):
     return e.select(F.col("vec_id").alias("i"), ((F.col("vec_id") * 7919 + 104729) % n).alias("at")).join(rows, "at").select("i", "vec_id")
 
 
-@query("scatter_match_benchmark")
+@query(
+    "scatter_match_benchmark",
+    f"""{_accuracy(["residuals", "fluorophores"], "label = 0 AND vec_id % 2 = 1")},
+    rf AS (SELECT vec_id, x FROM ev WHERE label = 0 AND vec_id % 2 = 0), ce AS (SELECT avg(x[1]) AS c1, avg(x[2]) AS c2, 1.4826 * mad(x[1]) AS s1, 1.4826 * mad(x[2]) AS s2 FROM rf),
+    kn AS (SELECT q.vec_id, rf.vec_id AS ref, row_number() OVER (PARTITION BY q.vec_id ORDER BY ((q.x[1] - rf.x[1]) / s1) ** 2 + ((q.x[2] - rf.x[2]) / s2) ** 2) AS rank FROM ev q, rf, ce WHERE q.label = 0 AND q.vec_id % 2 = 1),
+    mb AS (SELECT vec_id, list(b ORDER BY pos) AS b FROM (SELECT kn.vec_id, pos, avg(v) AS b FROM kn JOIN lg ON lg.vec_id = ref WHERE rank <= 5 GROUP BY kn.vec_id, pos) GROUP BY vec_id),
+    lb AS (SELECT vec_id, a AS b FROM mb, af QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(b, a) / (sqrt(list_dot_product(a, a)) + 1e-9) DESC, j) = 1),
+    sm AS (SELECT 'scatter' AS rule, * FROM mb UNION ALL SELECT 'scatter_library', * FROM lb)
+    SELECT rule, round(avg(cosine), 6) + 0.0 AS mean_cosine FROM ac GROUP BY rule UNION ALL
+    SELECT rule, round(avg(greatest(0.0, least(1.0, list_dot_product(x, b) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(b, b)) + 1e-9)))), 6) + 0.0 FROM sm JOIN ev USING (vec_id) GROUP BY rule""",
+)
 def scatter_match_benchmark(spark, sf):
     """Background by scatter, with and without a library, against the rules on spectra: mean cosine of unstained events."""
     ev = events(spark, sf)

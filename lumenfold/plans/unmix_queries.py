@@ -289,12 +289,12 @@ ar AS (SELECT j, list(r ORDER BY pos) AS r FROM arl GROUP BY j)"""
 PICK = "row_number() OVER (PARTITION BY vec_id ORDER BY score, j) = 1"
 
 
-@query(
-    "af_residuals",
-    f"""{SCENE}, back AS (SELECT vec_id, pos, sum(u[i + 1] * s[pos + 1]) AS y FROM eu, dy, (SELECT unnest(range(64)) AS pos) GROUP BY vec_id, pos),
+RESIDUALS = """back AS (SELECT vec_id, pos, sum(u[i + 1] * s[pos + 1]) AS y FROM eu, dy, (SELECT unnest(range(64)) AS pos) GROUP BY vec_id, pos),
     res AS (SELECT vec_id, list(v - y ORDER BY pos) AS e FROM lg JOIN back USING (vec_id, pos) GROUP BY vec_id),
-    sc AS (SELECT vec_id, j, -list_dot_product(e, a) AS score FROM res, af) SELECT vec_id, (j + 1)::INT AS af_index FROM sc QUALIFY {PICK}""",
-)
+    sc AS (SELECT vec_id, j, -list_dot_product(e, a) AS score FROM res, af)"""
+
+
+@query("af_residuals", f"{SCENE}, {RESIDUALS} SELECT vec_id, (j + 1)::INT AS af_index FROM sc QUALIFY {PICK}")
 def af_residuals(spark, sf):
     ev = events(spark, sf)
     dyes, af = dyes_and_background(ev)
@@ -312,10 +312,7 @@ def af_fluorophores(spark, sf):
     return unmix.assign_af(ev.select("vec_id", "x"), dyes, af, "x", "fluorophores")
 
 
-@query(
-    "af_joint_cov",
-    f"""{SCENE},
-    al AS (SELECT j, unnest(range(64)) AS pos, unnest(a) AS v FROM af),
+JOINT_COV = """al AS (SELECT j, unnest(range(64)) AS pos, unnest(a) AS v FROM af),
     cv AS (SELECT x.pos AS p1, y.pos AS p2, covar_samp(x.v, y.v) AS c FROM al x JOIN al y USING (j) GROUP BY x.pos, y.pos),
     wt AS (SELECT list(w ORDER BY i) AS w FROM (SELECT i, sqrt(abs(sum(p[p1 + 1] * c * p[p2 + 1]))) AS w FROM pp, cv GROUP BY i)),
     up AS (SELECT vec_id, x, u, list_transform(u, lambda z: greatest(z, 0.0)) AS uc FROM eu),
@@ -324,9 +321,10 @@ def af_fluorophores(spark, sf):
     ks AS (SELECT vec_id, u, e, v, r, j, greatest(list_dot_product(x, r) / list_dot_product(r, r), 0.0) AS k FROM up JOIN res USING (vec_id), av JOIN ar USING (j)),
     sc AS (SELECT vec_id, j,
       list_sum(list_transform(list_zip(u, v, w), lambda z: abs(z[1] - k * z[2]) * z[3])) / (list_sum(list_transform(list_zip(u, w), lambda z: abs(z[1]) * z[2])) + 1e-6)
-      * (sqrt(list_sum(list_transform(list_zip(e, r), lambda z: (z[1] - k * z[2]) ** 2))) / (sqrt(list_dot_product(e, e)) + 1e-6)) AS score FROM ks, wt)
-    SELECT vec_id, (j + 1)::INT AS af_index FROM sc QUALIFY {PICK}""",
-)
+      * (sqrt(list_sum(list_transform(list_zip(e, r), lambda z: (z[1] - k * z[2]) ** 2))) / (sqrt(list_dot_product(e, e)) + 1e-6)) AS score FROM ks, wt)"""
+
+
+@query("af_joint_cov", f"{SCENE}, {JOINT_COV} SELECT vec_id, (j + 1)::INT AS af_index FROM sc QUALIFY {PICK}")
 def af_joint_cov(spark, sf):
     ev = events(spark, sf)
     dyes, af = dyes_and_background(ev)
