@@ -20,8 +20,10 @@ LARGE = 2 << 30
 
 
 def is_large(df: DataFrame) -> bool:
-    """By the optimiser's estimate: no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE
+    """By the optimiser's estimate, without a job. Event files, whose source gives none, are not large: they hold controls and
+    single samples; a pool of very many is better read from Parquet, or `bracketed` asked for."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return LARGE < size < 1 << 60
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, q: float, name: str, bracketed: bool | None = None) -> DataFrame:

@@ -316,7 +316,7 @@ def test_spectra_files(spark, tmp_path):
     got = spectra_files.read_embedded(f)
     assert got.names == ["DyeX"] and got.S.tolist() == [[1.0, 0.1]]
     xml = tmp_path / "e.expt"
-    xml.write_text("<E><C><_Url>c:\\x\\A1 BV421 (Cells).fcs</_Url><_SpilloverVectorArea><float>1</float><float>2</float></_SpilloverVectorArea></C><C><_Url>Unstained (Cells).fcs</_Url><_SpilloverVectorArea><float>4</float><float>2</float></_SpilloverVectorArea></C></E>")
+    xml.write_text("<E><C><_Url>c:\\x\\A1 BV421 (Cells)_Controls.fcs</_Url><_SpilloverVectorArea><float>1</float><float>2</float></_SpilloverVectorArea></C><C><_Url>Unstained (Cells)_Controls.fcs</_Url><_SpilloverVectorArea><float>4</float><float>2</float></_SpilloverVectorArea></C></E>")
     got = spectra_files.read_experiment(str(xml))
     assert got.names == ["BV421", "AF"] and got.S.tolist() == [[0.5, 1.0], [1.0, 0.5]]
     assert spectra_files.read_channels(["a,b", "c"]) == [("a,b", "a_b"), ("c", "c")]
