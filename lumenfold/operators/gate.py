@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
+from pyspark.sql.window import Window
 
 from lumenfold.functions.stats import quantiles
 
@@ -167,6 +168,25 @@ def landmark_gate(stained: DataFrame, value: str, x: str, y: str, lo, hi, n_even
     return density_hull(z, np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n), share)
 
 
+def tune_gate(df: DataFrame, value: str, x: str, y: str, lo, hi, n_events=(100, 500, 2000), shares=(0.3, 0.5, 0.7), n: int = 100, bandwidth: tuple[float, float] | None = None, ties: list[str] = (), sample: str | None = None) -> list[tuple[int, float, list[tuple[float, float]]]]:
+    """(n_events, share, gate) for a grid of settings: the hull of the region that holds `share` of the density of the n_events
+    brightest events (of every sample, if one is named)."""
+    width = bandwidth or tuple((hi[a] - lo[a]) / 30 for a in (0, 1))
+    out = []
+    for m in n_events:
+        order = [F.col(value).desc(), *ties]
+        if sample:
+            w = Window.partitionBy(sample).orderBy(*order)
+            part = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= m)
+        else:
+            part = df.orderBy(*order).limit(m)
+        z = np.zeros((n, n))
+        for r in kde(part, x, y, lo, hi, n, width).collect():
+            z[r["i"], r["j"]] = r["density"]
+        out += [(m, s, density_hull(z, np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n), s)) for s in shares]
+    return out
+
+
 def palette(density, low: float, high: float, colours: int = 12) -> Column:
     """Index (from 0) of a density in a palette of equal steps."""
     step = (high - low) / colours

@@ -6,22 +6,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-# Detector noise (gain noise, readout noise, offset) of some instruments; others use the first.
-NOISE = {"": (1.0, 125.0, 0.0), "aurora": (1.0, 125.0, 0.0), "id7000": (1.0, 60.0, 0.0), "a8": (1.0, 400.0, 0.0), "xenith": (1.0, 20.0, 0.0)}
+# Detector noise of the instruments (counts per unit, deviation of the readout noise, dark offset); others use
+# the first.
+NOISE = {
+    "": (6e-3, 80.0, 50.0),
+    "aurora": (5e-3, 80.0, 50.0),
+    "auroraNL": (5e-3, 80.0, 50.0),
+    "id7000": (8e-3, 60.0, 40.0),
+    "s8": (2e-3, 200.0, 120.0),
+    "a8": (2e-3, 200.0, 120.0),
+    "opteon": (8e-3, 50.0, 30.0),
+    "mosaic": (6e-3, 70.0, 45.0),
+    "xenith": (6e-3, 70.0, 45.0),
+    "a5se": (7e-3, 65.0, 40.0),
+}
 #: Share of the top signal, by layer.
 LAYERS = (0.5, 0.05, 0.005)
 
 
-def simulate(spark: SparkSession, S: np.ndarray, n: int = 10_000, complexity: float = 1 / 3, af: np.ndarray | None = None, variants: dict[int, np.ndarray] | None = None, top: float = 4194304.0, cytometer: str = "", seed: int = 1, partitions: int = 8) -> DataFrame:
+def simulate(spark: SparkSession, S: np.ndarray, n: int = 10_000, complexity: float = 1 / 3, af: np.ndarray | None = None, variants: dict[int, np.ndarray] | None = None, top: float = 4194304.0, cytometer: str = "", seed: int = 1, partitions: int = 8, counts_per_unit: float | None = 0.5) -> DataFrame:
     """(event_id, fsc, ssc, spectral, abundance, layer, variant, af_row, af_amount): max(1, round(complexity F)) dyes of each
-    event are on, at a high, middle or low layer (log-normal about it); background scales with scatter; shot and readout noise.
+    event are on, at a high, middle or low layer (log-normal about it); background scales with scatter; shot noise of
+    signal x counts_per_unit counts (None: the instrument's own), readout noise, less the dark offset.
 
     Event i depends on (seed, i // 1024) alone, so results do not change with partitions.
     """
     S = np.asarray(S, dtype=float)
     F, D = S.shape
     on = max(1, round(complexity * F))
-    gain, readout, offset = NOISE.get(cytometer, NOISE[""])
+    own, readout, offset = NOISE.get(cytometer, NOISE[""])
+    gain = 1 / (counts_per_unit or own)
     variants = variants or {}
 
     def block(b: int, ids: np.ndarray):

@@ -151,6 +151,20 @@ def reference_spectra(cleaned: DataFrame, unstained: str = "AF") -> Panel:
     return Panel.collect(s, "fluorophore", "spectrum")
 
 
+def whole_single_events(events: DataFrame, p: Parameters, singlets: tuple[float, float] = (0.85, 0.975)) -> DataFrame:
+    """Events of files as they come, without saturated ones, those beyond the scatter ceilings, and doublets: by sample, area
+    to height must be below its quantile in forward scatter, then among the rest in side scatter. Steps whose channels are
+    missing are left out."""
+    x, y = p.scatter
+    rows = clean.below_ceiling(clean.unsaturated(events, "spectral", p.saturation), f"`{x}`", f"`{y}`", p.scatter_max, p.scatter_max)
+    for c, q in zip((x, y), singlets, strict=True):
+        height = re.sub("-A$", "-H", c)
+        if height == c or height not in rows.columns:
+            break
+        rows = clean.ratio_filter(rows.withColumns({"_area": F.col(f"`{c}`"), "_height": F.col(f"`{height}`")}), ["sample"], "_area", "_height", q).drop("_area", "_height")
+    return rows
+
+
 def automated_spectra(events: DataFrame, p: Parameters, library: Panel | None = None, unstained: str = "AF", candidates: int = 1000, keep: int = 200, k: int = 2) -> tuple[Panel, list[tuple[str, str, float]]]:
     """Spectra without gates: peak once the background direction is projected out, brightest candidates at it, of those the
     least background-like, less the mean of their nearest unstained events in scatter; column medians, scaled, not

@@ -317,20 +317,10 @@ def find_gate(spark, sf):
 def tune_gate(spark, sf):
     """Events inside the density hull for a grid of event numbers and mass shares."""
     li = lineitem(spark, sf, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    rows = []
-    for n in (500, 2000):
-        part = li.orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber").limit(n)
-        z = np.zeros((20, 20))
-        for r in gate.kde(part, "l_quantity", "l_extendedprice", (0.0, 0.0), (51.0, 110000.0), 20, (3.0, 5000.0)).collect():
-            z[r["i"], r["j"]] = r["density"]
-        for share in (0.5, 0.7, 0.9):
-            g = gate.density_hull(z, np.linspace(0, 51, 20), np.linspace(0, 110000, 20), share)
-            inside = gate.in_polygon(F.col("l_quantity"), F.col("l_extendedprice"), g) if len(g) > 2 else F.lit(False)
-            rows.append(li.agg(F.lit(n).alias("n_events"), F.lit(share).alias("share"), F.count_if(inside).alias("inside")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    tuned = gate.tune_gate(li, "l_extendedprice", "l_quantity", "l_extendedprice", (0.0, 0.0), (51.0, 110000.0), (500, 2000), (0.5, 0.7, 0.9), 20, (3.0, 5000.0), ["l_orderkey", "l_linenumber"])
+    within = lambda g: gate.in_polygon(F.col("l_quantity"), F.col("l_extendedprice"), g) if len(g) > 2 else F.lit(False)
+    counts = li.agg(*[F.count_if(within(g)).alias(f"c{i}") for i, (_, _, g) in enumerate(tuned)]).first()
+    return spark.createDataFrame([(n, share, counts[i]) for i, (n, share, _) in enumerate(tuned)], "n_events int, share double, inside long")
 
 
 # --- statistics -------------------------------------------------------------------------------------------

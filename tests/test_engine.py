@@ -257,6 +257,26 @@ def test_cleaning_removes_background_first(spark):
     assert kept[:500].mean() > 0.95 and kept[500:1000].mean() > 0.9 and kept[1000:].mean() < 0.3
 
 
+def test_whole_single_events(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    area = rng.random((n, 2)) * 1e5 + 1e4
+    height = area / (1 + rng.random((n, 2)))
+    rows = [(f"s{i % 2}", i, *map(float, (*area[i], *height[i])), [1.0, 9e9 if i % 50 == 7 else 2.0]) for i in range(n)]
+    rows[3] = (*rows[3][:2], 9e9, *rows[3][3:])
+    ev = spark.createDataFrame(rows, "sample string, event_id long, `FSC-A` double, `SSC-A` double, `FSC-H` double, `SSC-H` double, spectral array<double>")
+    p = params.Parameters()
+    want = set()
+    for s in ("s0", "s1"):
+        left = [r for r in rows if r[0] == s and r[6][1] < p.saturation and max(r[2:4]) < p.scatter_max]
+        for a, h, q in ((2, 4, 0.85), (3, 5, 0.975)):
+            ratio = np.array([r[a] / (r[h] + 1e-9) for r in left])
+            left = [r for r, v in zip(left, ratio, strict=True) if v < np.quantile(ratio, q)]
+        want |= {r[1] for r in left}
+    assert {r["event_id"] for r in flow.whole_single_events(ev, p).collect()} == want
+    assert flow.whole_single_events(ev.drop("FSC-H", "SSC-H"), p).count() == n - 8 - 1
+
+
 def test_gate_groups(spark):
     rows = [dict(r, gate_name=None) for r in GOOD]
     rows[2]["large_gate"] = False
