@@ -59,19 +59,19 @@ def ratio_model(labelled: DataFrame) -> str:
     diff = F.lit(0.0)
     for k, n in enumerate(both):
         uni = n.groupBy("c").agg(F.sum("n").alias("x0"))
+        whole = Window.partitionBy()  # V symbols, and V^3 numbers below
+        uni = uni.withColumns({"t0": F.sum("x0").over(whole), "d0": F.count(F.lit(1)).over(whole)})
         bi = n.groupBy("b", "c").agg(F.sum("n").alias("x1"))
-        one = uni.agg(F.sum("x0").alias("t0"), F.count(F.lit(1)).alias("d0")).withColumn("one", F.lit(0).cast("long"))
         ctx1 = bi.groupBy("b").agg(F.sum("x1").alias("t1"), F.count(F.lit(1)).alias("d1"))
         ctx2 = n.groupBy("a", "b").agg(F.sum("n").alias("t2"), F.count(F.lit(1)).alias("d2"))
-        every = every.withColumn("one", F.pmod("id", F.lit(1)))
         every = every.join(uni, "c", "left").join(bi, ["b", "c"], "left").join(n.select("a", "b", "c", F.col("n").alias("x2")), ["a", "b", "c"], "left")
-        every = every.join(ctx1, "b", "left").join(ctx2, ["a", "b"], "left").join(one, "one", "left")
+        every = every.join(ctx1, "b", "left").join(ctx2, ["a", "b"], "left").withColumns({"t0": F.max("t0").over(whole), "d0": F.max("d0").over(whole)})
         p = F.lit(1.0 / V)
         for o in (0, 1, 2):  # with nothing counted in a context, the shorter one decides
             x, t, d = (F.coalesce(F.col(f"{name}{o}"), F.lit(0)) for name in "xtd")
             p = F.when(t + d > 0, (x + d * p) / (t + d)).otherwise(p)
         name = f"lp{k}"
-        every = every.withColumn(name, F.log(p)).drop("one", *[f"{m}{o}" for m in "xtd" for o in (0, 1, 2)])
+        every = every.withColumn(name, F.log(p)).drop(*[f"{m}{o}" for m in "xtd" for o in (0, 1, 2)])
     diff = F.round(F.col("lp0") - F.col("lp1"), 6)
     # V^3 numbers, whatever the corpus
     return every.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("id", diff.alias("d")))), lambda s: s["d"])).alias("m")).first()["m"]
@@ -89,30 +89,38 @@ def log_ratio(model: str, codes_col: str = "codes") -> F.Column:
     return F.aggregate(tail, start, step, lambda st: st["s"]) / F.greatest(F.size(codes_col) - 2, F.lit(1))
 
 
-def best_threshold(scored: DataFrame) -> float:
-    """scored(score, accepted): the bin edge with the least balanced error, nearest zero among equals; 0 without both classes."""
+def best_threshold(scored: DataFrame) -> float | None:
+    """scored(score, accepted): the bin edge with the least balanced error, nearest zero among equals; None without both classes."""
     bins = scored.groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(F.count_if("accepted").alias("good"), F.count_if(~F.col("accepted")).alias("bad"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.partitionBy()
     bins = bins.withColumns({"lost": F.coalesce(F.sum("good").over(below), F.lit(0)), "stopped": F.coalesce(F.sum("bad").over(below), F.lit(0)), "n_good": F.sum("good").over(all_rows), "n_bad": F.sum("bad").over(all_rows)})
     error = F.col("lost") / F.col("n_good") + 1 - F.col("stopped") / F.col("n_bad")
-    row = bins.where("n_good > 0 AND n_bad > 0").orderBy(error, F.abs("bin")).select("bin").first()
-    return row["bin"] * BIN if row else 0.0
+    # all edges above the bin before, up to this one, part the scores alike
+    nearest = F.least(F.col("bin"), F.lit(0))
+    edge = F.greatest(F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, nearest), nearest)
+    bins = bins.withColumns({"edge": edge, "error": error})
+    row = bins.where("n_good > 0 AND n_bad > 0").orderBy("error", F.abs("edge")).select("edge").first()
+    return row["edge"] * BIN if row else None
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row per input row: id, host, path, rule (null if none fits), verdict, score, threshold.
 
-    Null or odd URLs have empty host and path, fit no rule and are scored as what they are. Without URLs of both
-    verdicts the score decides at 0, and equal models give 0: allow. Empty input: no rows.
+    The models are counted on four fifths of the URLs that a rule decides (by a hash, so equal URLs stay together), the
+    threshold is calibrated on the last fifth; on all of them, if that lacks a verdict. Null or odd URLs have empty host and
+    path, fit no rule and are scored as what they are. Without URLs of both verdicts the score decides at 0, and equal models
+    give 0: allow. Empty input: no rows.
     """
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), codes(F.col(url_col)).alias("codes"))
-    rows = written(rows.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules)), "urls")
-    labelled = rows.where("ruled IS NOT NULL").select("codes", (F.col("ruled.verdict") == "allow").alias("accepted"))
-    rows = rows.withColumn("score", log_ratio(ratio_model(labelled)))
+    rows = rows.withColumns({"ruled": rule_of(F.col("host"), F.col("path"), rules), "held": F.pmod(F.xxhash64("codes"), F.lit(5)) == 0})
+    rows = written(rows, "urls")
+    labelled = rows.where("ruled IS NOT NULL").select("codes", "held", (F.col("ruled.verdict") == "allow").alias("accepted"))
+    rows = rows.withColumn("score", log_ratio(ratio_model(labelled.where("NOT held"))))
     rows = written(rows.drop("codes"), "scored")
-    threshold = best_threshold(rows.where("ruled IS NOT NULL").select("score", (F.col("ruled.verdict") == "allow").alias("accepted")))
+    known = rows.where("ruled IS NOT NULL").select("score", "held", (F.col("ruled.verdict") == "allow").alias("accepted"))
+    threshold = next((t for t in (best_threshold(known.where("held")), best_threshold(known)) if t is not None), 0.0)
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return rows.select(F.col("page_id").alias(id_col), "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", own).alias("verdict"), "score", F.lit(threshold).alias("threshold"))
 

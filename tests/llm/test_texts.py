@@ -327,6 +327,27 @@ def test_url_model_is_witten_bell(spark):
     assert abs(got - want) < 1e-5
 
 
+def test_url_threshold_is_calibrated_on_urls_the_models_have_not_seen(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    word = lambda letters: "".join(rng.choice(list(letters), 6))
+    urls = [f"http://{word('abcde')}.org/fr/{word('abcde')}" for _ in range(150)] + [f"http://{word('vwxyz')}.net/{word('vwxyz')}" for _ in range(150)]
+    urls += [f"http://{word(l)}.com/{word(l)}" for l in ("abcde", "vwxyz") for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
+    assert {got[i]["verdict"] for i in range(300, 320)} == {"allow"} and {got[i]["verdict"] for i in range(320, 340)} == {"block"}
+    # the same by hand: counted on what is not held, the least balanced error on what is
+    rows = df.select("page_id", url_filter.codes(F.col("url")).alias("codes")).withColumns({"held": F.pmod(F.xxhash64("codes"), F.lit(5)) == 0, "accepted": F.col("page_id") < 150}).where("page_id < 300")
+    scored = rows.withColumn("s", url_filter.log_ratio(url_filter.ratio_model(rows.where("NOT held")))).collect()
+    assert all(abs(got[r["page_id"]]["score"] - r["s"]) < 1e-9 for r in scored)
+    held = [(r["s"], r["accepted"]) for r in scored if r["held"]]
+    good, bad = sum(a for _, a in held), sum(not a for _, a in held)
+    error = lambda t: sum(a and s < t for s, a in held) / good + sum(not a and s >= t for s, a in held) / bad
+    t = got[0]["threshold"]
+    assert good and bad and error(t) == min(error(k * url_filter.BIN) for k in range(-2000, 2000))
+
+
 # --- fingerprints
 
 
