@@ -85,7 +85,7 @@ def main():
     took = {n: round(min(run(n), run(n)), 3) for n in queries}
     took |= {n: round(run(n) if "variants" in n else min(run(n), run(n)), 3) for n in files}
     events_n = events(spark, SF).count() * COPIES
-    print(json.dumps({"metric": "total of headline queries, best of two warm runs", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "events_per_sec": {n: round((FILE_EVENTS if n in files else events_n) / took[n]) for n in took if "_many" in n or n in files}, "sf": SF.rstrip("/").rpartition("/sf")[2]}))
+    print(json.dumps({"metric": "total of headline queries, best of two warm runs", "value": round(sum(t for n, t in took.items() if n not in files), 3), "unit": "sec", "queries": took, "files_value": round(sum(took[n] for n in files), 3), "events_per_sec": {n: round((FILE_EVENTS if n in files else events_n) / took[n]) for n in took if "_many" in n or n in files}, "sf": SF.rstrip("/").rpartition("/sf")[2]}))
     spark.stop()
 
 

@@ -170,27 +170,28 @@ class Fits:
     """Least squares fits of many events, each with spectra of its own that change a row at a time.
 
     S: events x F x D; H: inverses of S w S' over the dyes that are on (zero elsewhere); w: weights (events x D) or None.
-    Taking out a dye or putting in another row is a rank-one change of H.
+    Taking out a dye or putting in another row is a rank-one change of H. A dye's place f may differ from event to event.
     """
 
     def __init__(self, Y: np.ndarray, S: np.ndarray, H: np.ndarray, w: np.ndarray | None = None):
         self.Y, self.w = Y, w
-        self.S = np.broadcast_to(S, (len(Y), *S.shape)).copy()
-        self.H = np.broadcast_to(H, (len(Y), *S.shape[:1] * 2)).copy() if H.ndim == 2 else H
+        self.S = np.broadcast_to(S, (len(Y), *S.shape[-2:])).copy()
+        self.H = np.broadcast_to(H, (len(Y), *H.shape[-2:])).copy() if H.ndim == 2 else H
 
     def _weighed(self, at, v: np.ndarray) -> np.ndarray:
         return v if self.w is None else v * (self.w[at] if v.ndim == 2 else self.w[at][:, None])
 
-    def without(self, at: np.ndarray, f: int) -> np.ndarray:
+    def without(self, at: np.ndarray, f) -> np.ndarray:
         """H of the events `at` with dye f left out."""
         h = self.H[at, f]
-        return self.H[at] - h[:, :, None] * (h / h[:, f : f + 1])[:, None, :]
+        own = h[np.arange(len(at)), f]
+        return self.H[at] - h[:, :, None] * (h / own[:, None])[:, None, :]
 
     def coefficients(self, at: np.ndarray) -> np.ndarray:
         b = np.matmul(self.S[at], self._weighed(at, self.Y[at])[..., None])
         return np.matmul(self.H[at], b)[..., 0]
 
-    def replaced(self, at: np.ndarray, f: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def replaced(self, at: np.ndarray, f, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(new H, is it regular) if dye f of the events `at` had these spectra (events x D)."""
         rest = self.without(at, f)
         own = self._weighed(at, rows)
@@ -198,7 +199,7 @@ class Fits:
         g = np.matmul(self.S[at], own[..., None])[..., 0]
         size = (rows * own).sum(1)
         left = size - (g * c).sum(1)
-        c[:, f] = -1.0
+        c[np.arange(len(at)), f] = -1.0
         ok = left > 1e-12 * size
         return rest + c[:, :, None] * (c / np.where(ok, left, 1.0)[:, None])[:, None, :], ok
 
@@ -217,25 +218,31 @@ def greedy(X: np.ndarray, S: np.ndarray, library: dict[int, np.ndarray], thresho
         x = X[part]
         U = x @ P.T
         on = U >= thresholds
-        H = np.where(on[:, :, None] & on[:, None, :], outer, np.eye(F))
-        fits = Fits(x, S, np.linalg.inv(H) * (on[:, :, None] & on[:, None, :]))
+        m = max(1, int(on.sum(1).max(initial=0)))
+        # each event's dyes that are on, in order; the places of those it lacks stay empty
+        dyes = np.argsort(~on, axis=1, kind="stable")[:, :m]
+        valid = np.take_along_axis(on, dyes, 1)
+        both_on = valid[:, :, None] & valid[:, None, :]
+        H = np.linalg.inv(np.where(both_on, outer[dyes[:, :, None], dyes[:, None, :]], np.eye(m))) * both_on
+        fits = Fits(x, S[dyes] * valid[..., None], H)
         every = np.arange(len(x))
         u = fits.coefficients(every)
         res = x - np.matmul(u[:, None], fits.S)[:, 0]
         err = np.abs(res).sum(1)
         changed = np.zeros(len(x), dtype=bool)
-        may = on & np.isin(np.arange(F), list(library))
+        may = valid & np.isin(dyes, list(library))
         rank = np.argsort(np.where(may, -u, np.inf), axis=1, kind="stable")
         for turn in range(int(may.sum(1).max(initial=0))):
-            dye = np.where(may.sum(1) > turn, rank[:, turn], -1)
+            dye = np.where(may.sum(1) > turn, dyes[every, rank[:, turn]], -1)
             for f in np.unique(dye[dye >= 0]):
                 at = np.flatnonzero(dye == f)
+                p = rank[at, turn]
                 V = library[f]
                 delta = V - S[f]
                 size = np.linalg.norm(delta, axis=1)
-                score = np.where(size > 1e-12, (res[at] @ delta.T) * u[at, f : f + 1] / np.maximum(size, 1e-12), -np.inf)
+                score = np.where(size > 1e-12, (res[at] @ delta.T) * u[at, p][:, None] / np.maximum(size, 1e-12), -np.inf)
                 best = np.argsort(-score, axis=1, kind="stable")[:, :tries]
-                rest = fits.without(at, f)
+                rest = fits.without(at, p)
                 rows = fits.S[at]
                 pick = V[best]
                 both = np.concatenate([x[at][:, None], pick], axis=1)
@@ -246,15 +253,16 @@ def greedy(X: np.ndarray, S: np.ndarray, library: dict[int, np.ndarray], thresho
                 trial = np.where(np.take_along_axis(size[None], best, 1) > 1e-12, np.abs(after).sum(2), np.inf)
                 v = trial.argmin(1)
                 better = trial[np.arange(len(at)), v] < err[at]
-                at, v, row = at[better], v[better], np.flatnonzero(better)
+                at, p, v, row = at[better], p[better], v[better], np.flatnonzero(better)
                 if len(at):
-                    new, ok = fits.replaced(at, f, pick[row, v])
-                    at, v, row, new = at[ok], v[ok], row[ok], new[ok]
-                    fits.H[at], fits.S[at, f] = new, pick[row, v]
+                    new, ok = fits.replaced(at, p, pick[row, v])
+                    at, p, v, row, new = at[ok], p[ok], v[ok], row[ok], new[ok]
+                    fits.H[at], fits.S[at, p] = new, pick[row, v]
                     res[at], err[at], changed[at] = after[row, v], trial[row, v], True
         at = np.flatnonzero(changed)
         if len(at):
-            now = fits.S[at]
+            now = np.broadcast_to(S, (len(at), *S.shape)).copy()
+            now[np.arange(len(at))[:, None], dyes[at]] = np.where(valid[at][..., None], fits.S[at], S[dyes[at]])
             U[at] = np.linalg.solve(np.matmul(now, now.transpose(0, 2, 1)), np.matmul(now, x[at][..., None]))[..., 0]
         return U
 
