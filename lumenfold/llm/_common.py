@@ -19,9 +19,11 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where unset) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or (only where unset, and only in a local session) one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", "local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         cache = sys.__dict__.setdefault("_lumenfold_cache", {})
         if "dir" not in cache:
             cache["dir"] = tempfile.mkdtemp(prefix="lumenfold-")
@@ -30,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._common import attach, lean, written
+from lumenfold.llm._common import lean, written
 
 # Fixed values of HTML and of common page templates.
 RAW = "script style noscript template textarea svg math iframe object canvas select option xmp noembed noframes".split()
@@ -329,24 +329,26 @@ def repeated_runs(parsed: DataFrame, least_pages: int, article_share: float, art
     some = parsed.where(F.size("blocks") > 0)
     # equal streams are one page
     first = some.groupBy("h", "page").agg(F.min("row").alias("row"), F.first("words").alias("words"))
-    hosts = first.groupBy("h").agg(F.count(F.lit(1)).alias("host_pages"), F.sum("words").alias("host_words"))
-    hosts = written(hosts.select("h", "host_pages", F.ceil(F.col("host_words") / group_words).cast("int").alias("groups")), "hosts")
+    hosts = first.groupBy("h").agg(F.count(F.lit(1)).alias("host_pages"), F.sum("words").alias("host_words")).where(F.col("host_words") > group_words)
+    hosts = written(hosts.select("h", "host_pages", F.ceil(F.col("host_words") / group_words).cast("int").alias("groups")), "large-hosts")
     again = written(some.select("row").join(first.select("row"), "row", "left_anti"), "again")
     pages = some.join(F.broadcast(again) if again.count() <= MANY else again, "row", "left_anti").select("h", "page", "blocks")
-    # a third of all pages may be one host's: such meet their numbers by broadcast
-    placed = attach(pages, hosts, "h", "host_pages", parsed.count())
-    spot = F.pmod(F.xxhash64("page"), F.col("groups")).cast("int")
-    dealt = placed.select("h", spot.alias("g"), "host_pages", "groups", "blocks").repartition("h", "g").sortWithinPartitions("h", "g")
+    # a host of one group knows its pages when they meet; only large hosts need their numbers before
+    placed = pages.join(F.broadcast(hosts) if hosts.count() <= MANY else hosts, "h", "left")
+    spot = F.pmod(F.xxhash64("page"), F.coalesce("groups", F.lit(1))).cast("int")
+    bundled = placed.select("h", spot.alias("g"), "host_pages", "blocks").mapInArrow(bundles, "h long, g int, host_pages long, size long, pages binary")
+    dealt = bundled.repartition("h", "g").sortWithinPartitions("h", "g")
 
     def grouped(batches):
         ids = Ids()
         held: list[tuple] = []
 
         def flush() -> list[tuple]:
-            h, _, host_pages, groups, _ = held[0]
+            h, _, host_pages, _, _ = held[0]
+            pages = [blocks for r in held for blocks in _unpacked(*r[3:])]
             # what a tenth of the host's pages have, a tenth of some group's pages have
-            least = max(least_pages, -(-host_pages // 10)) if groups == 1 else -(-len(held) // 10)
-            return [(h, key, n, host_pages, groups > 1) for key, n in group_keys([r[4] for r in held], ids, least)]
+            least = -(-len(pages) // 10) if host_pages else max(least_pages, -(-len(pages) // 10))
+            return [(h, key, n, host_pages or len(pages), host_pages is not None) for key, n in group_keys(pages, ids, least)]
 
         def batch(rows):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
@@ -392,7 +394,7 @@ def repeated_runs(parsed: DataFrame, least_pages: int, article_share: float, art
     opened = groups.where("open").select("h", "key", "host_pages", F.lit(False).alias("strong")).distinct()
     if not opened.isEmpty():
         opened = written(opened, "open-runs")
-        wide = by_host(pages.join(F.broadcast(hosts.where("groups > 1").select("h")), "h", "left_semi"), opened, small).select("h", "blocks", "keys")
+        wide = by_host(placed.where("groups IS NOT NULL").select("h", "blocks"), opened, small).select("h", "blocks", "keys")
         counted = wide.mapInArrow(met, "h long, key long").groupBy("h", "key").agg(F.count(F.lit(1)).alias("pages"))
         found = found.unionByName(counted.join(opened.drop("strong"), ["h", "key"]))
     strong = (F.col("pages") >= F.col("host_pages") * article_share) & (F.col("pages") >= article_pages)
@@ -404,11 +406,48 @@ def repeated_runs(parsed: DataFrame, least_pages: int, article_share: float, art
     return written(found.join(copies, ["h", "key"], "left").where(~kept).select("h", "key", "strong"), "boilerplate")
 
 
+#: Characters of text that a task bundles before it sends them on.
+BUNDLE = 8 << 20
+
+
+def _packed(pages: list[list[str]]) -> tuple[int, bytes]:
+    """(size, compressed) of pages of blocks. No block holds the separators: they are white space, which is one space there."""
+    data = "\x1e".join("\x1f".join(blocks) for blocks in pages).encode("utf-8", "surrogatepass")
+    return len(data), pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
+def _unpacked(size: int, data: bytes) -> list[list[str]]:
+    text = pa.decompress(data, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass")
+    return [page.split("\x1f") for page in text.split("\x1e")]
+
+
+def bundles(batches):
+    """Rows (h, g, host_pages, blocks) to bundles (h, g, host_pages, size, pages): a group's pages that a task meets go together,
+    so that what they share is sent once."""
+    held: dict[tuple, list[list[str]]] = {}
+    size = 0
+
+    def batch():
+        rows = [(*key, *_packed(pages)) for key, pages in held.items()]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["h", "g", "host_pages", "size", "pages"])
+
+    for part in lean(batches):
+        for h, g, host_pages, blocks in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+            held.setdefault((h, g, host_pages), []).append(blocks)
+            size += sum(map(len, blocks))
+            if size > BUNDLE:
+                yield batch()
+                held, size = {}, 0
+    yield batch()
+
+
 def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://([^/?#]*)", 1))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, article_share: float = 0.5, article_pages: int = 5, small: int = 20_000, group_words: int = 500_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, article_share: float = 0.5, article_pages: int = 5, small: int = 500_000, group_words: int = 250_000) -> DataFrame:
     """One row per page: id, url, text. Null or empty html: empty text. Null url: host "". Repeated rows: each its row.
 
     The boilerplate keys go by broadcast while they are at most `small` rows, else by a join on host. A suffix array is over
@@ -431,7 +470,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["page_id", "url", "h", "page", "words", "inside", "blocks"])
 
     parsed = p.mapInArrow(parse, f"page_id {key}, url string, h long, page long, words long, inside boolean, blocks array<string>")
-    parsed = written(parsed.withColumn("row", F.monotonically_increasing_id()), "blocks")
+    parsed = written(parsed.withColumn("row", F.monotonically_increasing_id()), "blocks", "zstd")
     found = repeated_runs(parsed, least_pages, article_share, article_pages, small, group_words)
 
     def texts(batches):
