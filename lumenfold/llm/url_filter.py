@@ -95,12 +95,13 @@ def best_threshold(scored: DataFrame) -> float | None:
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.partitionBy()
     bins = bins.withColumns({"lost": F.coalesce(F.sum("good").over(below), F.lit(0)), "stopped": F.coalesce(F.sum("bad").over(below), F.lit(0)), "n_good": F.sum("good").over(all_rows), "n_bad": F.sum("bad").over(all_rows)})
-    error = F.col("lost") / F.col("n_good") + 1 - F.col("stopped") / F.col("n_bad")
+    bins = bins.where("n_good > 0 AND n_bad > 0")  # without both verdicts no bin is left
+    error = F.try_divide(F.col("lost"), F.col("n_good")) + 1 - F.try_divide(F.col("stopped"), F.col("n_bad"))
     # all edges above the bin before, up to this one, part the scores alike
     nearest = F.least(F.col("bin"), F.lit(0))
     edge = F.greatest(F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, nearest), nearest)
     bins = bins.withColumns({"edge": edge, "error": error})
-    row = bins.where("n_good > 0 AND n_bad > 0").orderBy("error", F.abs("edge")).select("edge").first()
+    row = bins.orderBy("error", F.abs("edge")).select("edge").first()
     return row["edge"] * BIN if row else None
 
 
@@ -108,7 +109,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per input row: id, host, path, rule (null if none fits), verdict, score, threshold.
 
     The models are counted on four fifths of the URLs that a rule decides (by a hash, so equal URLs stay together), the
-    threshold is calibrated on the last fifth; on all of them, if that lacks a verdict. Null or odd URLs have empty host and
+    threshold is calibrated on the last fifth; on all of them, if that lacks a verdict (few URLs, or one verdict only). Null or odd URLs have empty host and
     path, fit no rule and are scored as what they are. Without URLs of both verdicts the score decides at 0, and equal models
     give 0: allow. Empty input: no rows.
     """

@@ -11,6 +11,7 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pytest
 
 from lumenfold.llm import fingerprints, html_text, secrets, toxicity, url_filter
 
@@ -286,6 +287,16 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(df.where("page_id < 3")).collect()} == {"allow"}  # no labels: equal models
 
 
+@pytest.mark.parametrize(("host", "verdict"), [("a.org/fr", "allow"), ("a.net", "block")])
+def test_urls_of_one_verdict(spark, host, verdict):
+    """No class to compare with: rules decide, and what they don't decide is scored against 0."""
+    df = spark.createDataFrame([(i, f"http://{host}/{i}") for i in range(20)] + [(20, "http://else.com/")], "page_id long, url string")
+    got = url_filter.filter_urls(df).collect()
+    assert len(got) == 21
+    assert {r["verdict"] for r in got if r["page_id"] < 20} == {verdict}
+    assert {r["threshold"] for r in got} == {0.0}
+
+
 def test_url_model_is_witten_bell(spark):
     """The score against the same model written plainly."""
     from collections import Counter
