@@ -47,7 +47,7 @@ LAYOUT = set("with without no not non has less layout hide hidden".split())
 #: With these words a header is that of the text itself.
 OWN_HEADER = set("post posts article articles entry story content".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
+TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(hidden)\b""")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -85,11 +85,42 @@ def _noisy(attributes: str, classes: bool = True) -> bool:
     return False
 
 
-def blocks(page: str, classes: bool = True) -> list[tuple[str, bool, float]]:
-    """(text, inside an article container, share of link text) of a page's blocks, in page order."""
-    out: list[tuple[str, bool, float]] = []
+LISTS = {"ul", "ol", "dl", "menu", "table"}
+FORM = re.compile(r"<(/?)form\b", re.I)
+
+
+def _own_header(attributes: str) -> bool:
+    """Is a header that of the text itself, by class or id?"""
+    names = (m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if (m[1] or "").lower() in ("class", "id"))
+    words = {w.lower() for name in names for w in WORDS.findall(name)}
+    return "header" in words and bool(words & OWN_HEADER)
+
+
+def _wrapping_forms(page: str) -> bool:
+    """Do forms hold over half of the page's source? Then they may wrap the page, not just ask for something."""
+    opened = held = 0
+    start = 0
+    for m in FORM.finditer(page):
+        if m[1]:
+            opened = max(0, opened - 1)
+            if not opened:
+                held, start = held + m.start() - start, m.start()
+        else:
+            if not opened:
+                start = m.start()
+            opened += 1
+    return 2 * (held + (len(page) - start if opened else 0)) > len(page)
+
+
+def blocks(page: str, classes: bool = True, forms: bool = False) -> list[tuple[str, bool, float, str]]:
+    """(text, inside an article container, share of link text, kind) of a page's blocks, in page order. The kind is the name of
+    the element that the block began in, or "li" for all that is in a list or table. With `forms`, forms and fieldsets are
+    plain containers (their labels and controls go all the same)."""
+    out: list[tuple[str, bool, float, str]] = []
     text: list[str] = []
     linked = total = 0
+    kind, lists = "", 0
+    dropped = DROPPED - {"form", "fieldset"} if forms else DROPPED
     inside = in_link = 0
     skip, depth = "", 0  # element that is being left out, and how many of its name are open
     nested = containers = 0  # articles opened inside it; article containers so far
@@ -102,7 +133,7 @@ def blocks(page: str, classes: bool = True) -> list[tuple[str, bool, float]]:
         if text:
             s = " ".join(html.unescape("".join(text)).split())
             if s:
-                out.append((s, inside > 0, linked / max(total, 1)))
+                out.append((s, inside > 0, linked / max(total, 1), "li" if lists else kind))
         text, linked, total = [], 0, 0
 
     def keep(s: str) -> None:
@@ -140,8 +171,11 @@ def blocks(page: str, classes: bool = True) -> list[tuple[str, bool, float]]:
                 continue
             else:
                 continue
-        if name in BLOCKS:
+        if name in BLOCKS or forms and name in ("form", "fieldset"):
             close()
+            kind = "" if end else name
+            if name in LISTS:
+                lists = max(0, lists + (-1 if end else 1))
         if end:
             if name in ("article", "main"):
                 inside = max(0, inside - 1)
@@ -158,10 +192,10 @@ def blocks(page: str, classes: bool = True) -> list[tuple[str, bool, float]]:
             continue
         if name in ("html", "body", "article", "main"):
             noisy = name == "article" and _noisy(attributes, classes)
-        elif name == "header" and inside:
+        elif name == "header" and (inside or _own_header(attributes)):
             header, noisy = header + 1, False
         else:
-            noisy = name in DROPPED or name == "header" or _noisy(attributes, classes)
+            noisy = name in dropped or name == "header" or _noisy(attributes, classes)
         if noisy:
             if not attributes.endswith("/"):
                 close()
@@ -178,19 +212,43 @@ def blocks(page: str, classes: bool = True) -> list[tuple[str, bool, float]]:
     return out
 
 
-#: Article containers that hold under this share of a page's running text are teasers.
-CONTAINED = 0.2
+#: Words of a paragraph that is all one link and still text, where no other links are about.
+SENTENCE = 6
 
 
 def candidates(page: str) -> list[tuple[str, bool]]:
-    """Blocks that may be main text: those of article containers, if they hold a fair share of the page's running text, else
-    those that are not mostly links. Where classes leave nothing, they are not looked at."""
-    found = blocks(page) or blocks(page, classes=False)
-    inside = sum(len(s) for s, article, _ in found if article)
-    running = sum(len(s) for s, article, links in found if not article and links <= 0.3 and len(s) >= 80)
-    if inside and inside >= CONTAINED * (inside + running):
-        return [(s, True) for s, article, _ in found if article]
-    return [(s, False) for s, _, links in found if links <= 0.6]
+    """Blocks that may be main text. Article containers, if they hold at least as much running text as all else: then their
+    blocks, and the title and leads before the first of them. Else all blocks that are no links; a paragraph that is one link
+    stays where no neighbour is mostly links. A form counts as a container if it wraps most of the page. Where classes leave
+    nothing, they are not looked at."""
+    found = blocks(page)
+    if _wrapping_forms(page):
+        wide = blocks(page, forms=True)
+        if running_text(wide) > 2 * running_text(found):
+            found = wide
+    found = found or blocks(page, classes=False) or blocks(page, classes=False, forms=True)
+    inside = sum(len(s) for s, article, _, _ in found if article)
+    running = sum(len(s) for s, article, links, _ in found if not article and links <= 0.3 and len(s) >= 80)
+    if inside and inside >= running:
+        return [(s, True) for s in lead(found)] + [(s, True) for s, article, _, _ in found if article]
+    mostly = [links > 0.6 for _, _, links, _ in found]
+    alone = [not any(mostly[max(0, i - 1) : i] + mostly[i + 1 : i + 2]) for i in range(len(found))]
+    return [(s, False) for (s, _, links, kind), link, one in zip(found, mostly, alone, strict=True) if not link or one and kind in ("p", "blockquote") and s.count(" ") >= SENTENCE - 1]
+
+
+def running_text(found: list[tuple[str, bool, float, str]]) -> int:
+    """Characters of blocks that are not mostly links and not in lists; headings and short ones count as well."""
+    return sum(len(s) for s, _, links, kind in found if links <= 0.6 and kind != "li")
+
+
+def lead(found: list[tuple[str, bool, float, str]]) -> list[str]:
+    """Title and leads: of what comes before the first block in a container, the last first-order heading and, after it, headings
+    and paragraphs without links; nothing without such a heading, or where the container has one."""
+    first = next(i for i, b in enumerate(found) if b[1])
+    start = next((i for i in range(first - 1, -1, -1) if found[i][3] == "h1"), None)
+    if start is None or any(article and kind == "h1" for _, article, _, kind in found):
+        return []
+    return [s for s, _, links, kind in found[start:first] if links <= 0.3 and (kind == "p" or re.fullmatch("h[1-6]", kind))]
 
 
 def digest(s: str) -> int:
@@ -448,7 +506,9 @@ def host_of(url) -> F.Column:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, article_share: float = 0.5, article_pages: int = 5, small: int = 500_000, group_words: int = 250_000) -> DataFrame:
-    """One row per page: id, url, text. Null or empty html: empty text. Null url: host "". Repeated rows: each its row.
+    """One row per page: id, url, text. Null or empty html: empty text. Null url: host "". Repeated rows: each its row. A page
+    without article containers gives all its blocks that are no boilerplate. Equal pages of a host count once when runs are
+    counted, and each gets the same text. Empty input: no rows.
 
     The boilerplate keys go by broadcast while they are at most `small` rows, else by a join on host. A suffix array is over
     about `group_words` words, at least a page's.

@@ -151,6 +151,30 @@ def test_html_blocks():
     assert text_of("<nav>x<p>y</nav><p>body text</p>") == "body text"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<form id="aspnetForm"><div>story</div></form>', "story"),
+        ('<form action="/"><input type=hidden><h1>T</h1><p>' + "a story " * 20 + '</p><label>q</label><select><option>x</select></form>', "T\n\n" + ("a story " * 20).strip()),
+        ("<p>" + "text " * 30 + "</p><form><p>Your name</p><input></form>", ("text " * 30).strip()),
+        ("<p>a</p><!--><p>story</p>", "a\n\nstory"),
+        ("<p>a</p><!---><p>story</p><!-- > <p>no</p> --!><p>b</p><!-- never closed <p>c</p>", "a\n\nstory\n\nb"),
+        ("<h1>Title</h1><article>story</article>", "Title\n\nstory"),
+        ('<p>off</p><h1>T</h1><p class="lead">lead</p><p><a>share</a></p><ul><li>x</ul><main>story</main>', "T\n\nlead\n\nstory"),
+        ("<h1>Site</h1><article><h1>Title</h1>story</article>", "Title\n\nstory"),
+        ("<article>" + "a" * 180 + '</article><div class="story">' + "b" * 600 + "</div>", "a" * 180 + "\n\n" + "b" * 600),
+        ('<header class="article-header"><h1>Big title</h1><p>by me</p></header><p>story</p>', "Big title\n\nstory"),
+        ('<header class="site-header"><h1>Site</h1></header><p>story</p>', "story"),
+        ("<p><a>a story paragraph that is all a link</a></p>", "a story paragraph that is all a link"),
+        ("<p>text</p><p><a>a story paragraph that is all a link</a></p><p>more</p>", "text\n\na story paragraph that is all a link\n\nmore"),
+        ("<p>text</p><p><a>first of the links of a menu</a></p><p><a>second of the links of a menu</a></p>", "text"),
+        ("<ul><li><p><a>a list entry that is all one link</a></p></ul><p>text</p>", "text"),
+    ],
+)
+def test_html_main_text_stays(page, want):
+    assert text_of(page) == want
+
+
 def test_html_classes_and_containers():
     story = "<p>" + "the main story of this page, told at some length, " * 4 + "</p>"
     for wrap in ('<div class="page with-sidebar">%s</div>', '<div id="header-less">%s</div>', '<article class="no-comments">%s</article>', '<div class="content-sidebar-wrap">%s</div>', '<div class="sidebar">%s</div>'):
