@@ -79,10 +79,9 @@ def repeated_words(words: Column) -> Column:
 def measured(text, words: Column, lines: Column, stop_words: str = STOP_WORDS) -> dict[str, Column]:
     """Base counts and the measures of the table's rules, as expressions over a document's words and lines."""
     n, whole = F.size(words).cast("long"), F.coalesce(text, F.lit(""))
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(stop_words.split())])
-    # as written or with a capital first, before a comma or a stop
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"[.,;:?]\z", ""))
-    found = F.filter(bare, lambda w: F.array_contains(stops, F.concat(F.lower(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))))
+    # as written or with a capital first, alone or before a comma or a stop: a set to look words up in
+    forms = [v + mark for w in dict.fromkeys(stop_words.split()) for v in dict.fromkeys((w, w[:1].upper() + w[1:])) for mark in ("", *".,;:?")]
+    found = F.filter(words, lambda w: w.isin(forms))
     n_lines = F.size(lines)
 
     def ratio(of, over):
@@ -104,9 +103,9 @@ def measured(text, words: Column, lines: Column, stop_words: str = STOP_WORDS) -
         "mean_word_chars": ratio(chars, n),
         "symbols_per_word": ratio(symbols, n),
         "stop_word_ratio": ratio(F.size(found), n),
-        "n_stop_words": F.size(F.array_distinct(F.transform(found, lambda w: F.lower(w)))).cast("double"),
+        "n_stop_words": F.size(F.array_distinct(F.transform(found, lambda w: F.regexp_replace(F.lower(w), r"[.,;:?]\z", "")))).cast("double"),
         "letter_word_ratio": share(words, r"\p{L}"),
-        "exclaimed_ratio": share(words, r"!\z"),
+        "exclaimed_ratio": ratio(F.size(F.filter(words, lambda w: w.endswith("!"))), n),
         # by length: of a few short lines one may well come twice
         "duplicate_line_chars": ratio(line_chars - F.length(F.array_join(F.array_distinct(lines), "")), line_chars),
         "bullet_line_ratio": share(lines, f"^[{SPACE}]*[-*•‣·]"),
