@@ -1,6 +1,6 @@
 """Secret scanning through nested encodings.
 
-A worklist holds layers of text. Each is scanned; then what it wraps (percent and Unicode escapes of the whole layer,
+A worklist holds layers of text, the deepest first. Each is scanned; then what it wraps (percent and Unicode escapes of the whole layer,
 base64 tokens, compressed data in them) is unwrapped into new layers, until no layer is new. Every character of a
 layer knows the span of the document it came from, so findings in any depth point into the document.
 """
@@ -14,6 +14,9 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +48,7 @@ SEPARATOR = re.compile(r"[/_-]+")
 #: First bytes of compressed streams.
 MAGIC = (b"\x1f", b"\x78", b"B", b"\xfd")
 #: Decompressed data are scanned in parts of about this size, cut where no secret and no encoding can run on.
-PART = 1 << 24
+PART = 1 << 22
 #: Bytes that end whatever a secret or an encoding is made of (a zero byte may be half a character).
 _BREAK = re.compile(rb"[^\x00A-Za-z0-9+/_.=:\"'\x20\t\r\n%\\&#;{}-]")
 #: Where a part has no such byte, neighbours share this many bytes.
@@ -114,30 +117,31 @@ def _readings(data: bytes) -> list[str]:
     return [t for t in found if t]
 
 
-def _unpacked(data: bytes) -> list[str]:
-    """The texts in what is compressed in data, in any depth; a layer that holds itself ends the search."""
-    found, work, seen = [], [data], set()
-    while work:
-        data = work.pop()
-        mark = hashlib.blake2b(data, digest_size=16).digest()
+def _unpacked(data: bytes) -> Iterator[str]:
+    """The texts in what is compressed in data, in any depth, one after the other; a layer that holds itself ends the search."""
+    seen = {hashlib.blake2b(data, digest_size=16).digest()}
+    opened = [_inflated(data)]  # one stream a depth
+    while opened:
+        part = next(opened[-1], None)
+        if part is None:
+            opened.pop()
+            continue
+        mark = hashlib.blake2b(part, digest_size=16).digest()
         if mark in seen:
             continue
         seen.add(mark)
-        for part in _inflated(data):
-            found += _readings(part)
-            work.append(part)
-    return found
+        yield from _readings(part)
+        opened.append(_inflated(part))
 
 
-def _decode64(token: str) -> list[str]:
+def _decode64(token: str) -> Iterator[str]:
     """The texts in a base64 token, and in what is compressed there. As / - and _ may also separate words, the token is
     read from every start modulo 4 that follows one of them, and compressed data may begin after any."""
     body = token.rstrip("=")
-    starts: dict[int, list[int]] = {0: [0]}
+    starts: dict[int, array] = {0: array("q", [0])}
     for m in SEPARATOR.finditer(body):
-        starts.setdefault(m.end() % 4, []).append(m.end())
+        starts.setdefault(m.end() % 4, array("q")).append(m.end())
     body = body.replace("-", "+").replace("_", "/")
-    found = []
     for first in (starts[k][0] for k in sorted(starts)):
         part = body[first:]
         if len(part) < 16:
@@ -150,36 +154,73 @@ def _decode64(token: str) -> list[str]:
             data = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        found += _readings(data)
+        yield from _readings(data)
         for at in starts[first % 4]:
             offset = (at - first) // 4 * 3
             if data[offset : offset + 1] in MAGIC:
-                found += _unpacked(data[offset:])
-    return found
+                yield from _unpacked(data[offset:])
+
+
+class Document:
+    """Where a layer's characters come from: here, the document itself."""
+
+    def origin(self, start: int, end: int) -> tuple[int, int]:
+        return start, end
+
+
+class Within(Document):
+    """All of the layer comes from one span."""
+
+    def __init__(self, start: int, end: int):
+        self.at = (start, end)
+
+    def origin(self, start: int, end: int) -> tuple[int, int]:
+        return self.at
+
 
+class Unescaped(Document):
+    """A layer of pieces of the one before: as they were, or replaced. Per piece: its place here, its span there, and the
+    characters there for one here (0: each comes from all)."""
 
-def _unescape(pattern: re.Pattern, decode, text: str, spans: list | None):
-    """The layer with all escapes of one sort replaced, and where each new character came from."""
-    out, where, last, changed = [], [], 0, False
-    here = (lambda i: (i, i + 1)) if spans is None else spans.__getitem__
+    def __init__(self, before: Document):
+        self.before, self.place, self.start, self.end, self.step = before, array("q"), array("q"), array("q"), array("b")
+
+    def add(self, place: int, start: int, end: int, step: int) -> None:
+        for column, value in zip((self.place, self.start, self.end, self.step), (place, start, end, step), strict=True):
+            column.append(value)
+
+    def _one(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.place, i) - 1
+        first = self.start[k] + (i - self.place[k]) * self.step[k]
+        return first, first + self.step[k] if self.step[k] else self.end[k]
+
+    def origin(self, start: int, end: int) -> tuple[int, int]:
+        return self.before.origin(self._one(start)[0], self._one(end - 1)[1])
+
+
+def _unescape(pattern: re.Pattern, decode, text: str, spans: Document) -> tuple[str, Document] | None:
+    """The layer with all escapes of one sort replaced, and where its characters came from; None if it has none."""
+    out, size, last, where = [], 0, 0, Unescaped(spans)
     for m in pattern.finditer(text):
         new = decode(m[0])
         if new is None:
             continue
-        changed = True
-        out.append(text[last : m.start()])
-        where.extend(here(i) for i in range(last, m.start()))
+        if m.start() > last:
+            out.append(text[last : m.start()])
+            where.add(size, last, m.start(), 1)
+            size += m.start() - last
         out.append(new)
-        if len(new) * 3 == len(m[0]) and new.isascii():  # one character for each %xx
-            where.extend((here(m.start() + 3 * i)[0], here(m.start() + 3 * i + 2)[1]) for i in range(len(new)))
-        else:
-            where.extend([(here(m.start())[0], here(m.end() - 1)[1])] * len(new))
+        each = len(new) * 3 == len(m[0]) and new.isascii()  # one character for each %xx
+        if new:
+            where.add(size, m.start(), m.end(), 3 if each else 0)
+        size += len(new)
         last = m.end()
-    if not changed:
+    if not last:
         return None
-    out.append(text[last:])
-    where.extend(here(i) for i in range(last, len(text)))
-    return "".join(out), where
+    if last < len(text):
+        out.append(text[last:])
+        where.add(size, last, len(text), 1)
+    return "".join(out), spans if isinstance(spans, Within) else where
 
 
 def _percent(s: str) -> str:
@@ -197,38 +238,49 @@ def _escape(s: str) -> str | None:
         return None
 
 
+def _layers(layer: str, spans: Document) -> Iterator[tuple[str, Document]]:
+    """What a layer wraps, one after the other."""
+    if "%" in layer and (one := _unescape(PERCENT, _percent, layer, spans)):
+        yield one
+    if ("\\" in layer or "&#" in layer) and (one := _unescape(ESCAPE, _escape, layer, spans)):
+        yield one
+    if b"b" * 16 in layer.encode("latin-1", "replace").translate(_B64_MASK):
+        for m in BASE64.finditer(layer):
+            for inner in _decode64(m[0]):
+                yield inner, Within(*spans.origin(m.start(), m.end()))
+        for m in WRAPPED.finditer(layer) if "\n" in layer else ():
+            lines = LINE_END.split(m[0])
+            if len({len(x) for x in lines[:-1]}) == 1 and len(lines[-1].rstrip("=")) <= len(lines[0]):
+                for inner in _decode64("".join(lines)):
+                    yield inner, Within(*spans.origin(m.start(), m.end()))
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base findings, all findings), each sorted (start, kind index, end) in code points of text."""
+    """(base findings, all findings), each sorted (start, kind index, end) in code points of text.
+
+    Layers are scanned as they are unwrapped and then dropped: at any time there is one a depth, and of inflated data one
+    part of some 2 * PART bytes a depth, however much a stream holds. Of layers met, 16 bytes stay.
+    """
     base = sorted(base_matches(text))
     found = set(base)
-    work: list[tuple[str, list | None]] = [(text, None)]
+    work = [_layers(text, Document())]
     seen: set[bytes] = set()
     while work:
-        layer, spans = work.pop()
-        if spans is not None:
-            for start, kind, end in base_matches(layer):
-                inside = spans[start:end]
-                found.add((min(a for a, _ in inside), kind, max(b for _, b in inside)))
-        layers = []
-        if "%" in layer:
-            layers.append(_unescape(PERCENT, _percent, layer, spans))
-        if "\\" in layer or "&#" in layer:
-            layers.append(_unescape(ESCAPE, _escape, layer, spans))
-        if b"b" * 16 in layer.encode("latin-1", "replace").translate(_B64_MASK):
-            for m in BASE64.finditer(layer):
-                at = (m.start(), m.end()) if spans is None else (spans[m.start()][0], spans[m.end() - 1][1])
-                layers += [(inner, [at] * len(inner)) for inner in _decode64(m[0])]
-            for m in WRAPPED.finditer(layer) if "\n" in layer else ():
-                lines = LINE_END.split(m[0])
-                if len({len(x) for x in lines[:-1]}) == 1 and len(lines[-1].rstrip("=")) <= len(lines[0]):
-                    at = (m.start(), m.end()) if spans is None else (spans[m.start()][0], spans[m.end() - 1][1])
-                    layers += [(inner, [at] * len(inner)) for inner in _decode64("".join(lines))]
-        for one in layers:
-            if one is not None:
-                mark = hashlib.blake2b(repr((one[0], one[1][0] if one[1] else None)).encode("utf-8", "replace"), digest_size=16).digest()
-                if mark not in seen:  # a layer met before ends a cycle
-                    seen.add(mark)
-                    work.append(one)
+        one = next(work[-1], None)
+        if one is None:
+            work.pop()
+            continue
+        layer, spans = one
+        if not layer:
+            continue
+        mark = hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16, key=repr(spans.origin(0, 1)).encode()).digest()
+        if mark in seen:  # a layer met before ends a cycle
+            continue
+        seen.add(mark)
+        for start, kind, end in base_matches(layer):
+            first, last = spans.origin(start, end)
+            found.add((first, kind, last))
+        work.append(_layers(layer, spans))
     return base, sorted(found)
 
 
@@ -238,7 +290,8 @@ def listed(found: list[tuple[int, int, int]]) -> str:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, counts of plain findings by kind, base (plain findings) and spans (all findings),
-    each "kind:start:end" joined by commas. Null and empty texts have none. Repeated rows each get their row."""
+    each "kind:start:end" joined by commas. Null and empty texts have none. Repeated rows each get their row. Empty input: no
+    rows. Compressed data are inflated and scanned whole, in parts: memory does not grow with what they hold, time does."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = rows.schema["doc_id"].dataType.simpleString()
 

@@ -5,6 +5,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import unicodedata
 import urllib.parse
@@ -129,6 +130,51 @@ def test_secrets_generated_nestings():
         assert not spans(clear)
 
 
+def test_secrets_inflated_in_bounded_memory():
+    """A gigabyte in 1.4 MB of text: the same span as in a short stream, in a process of its own with little memory."""
+    import subprocess
+    import sys
+
+    code = """
+import base64, resource, sys, zlib
+from lumenfold.llm import secrets
+def stream(n):
+    tool, out = zlib.compressobj(1, wbits=31), []
+    for k in range(n):
+        out.append(tool.compress((b"%08d some words, \\n" % k) * (1 << 16)))
+    return base64.b64encode(b"".join(out) + tool.compress(b" password=qwerty77 ") + tool.flush()).decode()
+text = "see " + stream(int(sys.argv[1])) + " there"
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = secrets.scan(text)[1]
+print(found == [(4, 0, len(text) - 6)], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    for n in (1, 950):
+        out = subprocess.run([sys.executable, "-c", code, str(n)], capture_output=True, text=True, check=True).stdout.split()
+        assert out[0] == "True" and int(out[1]) < 300_000, out
+
+
+def test_secrets_spans_through_layers():
+    """Spans of escapes in escapes, against a map of every character."""
+    rng = random.Random(8)
+    for _ in range(200):
+        plain = "".join(rng.choice("ab é%&\\x1") for _ in range(rng.randint(0, 9))) + "secret=abc123" + rng.choice(["", " ", "é"])
+        layer, at = plain, [(i, i + 1) for i in range(len(plain))]
+        for _ in range(rng.randint(1, 3)):  # each layer escapes some characters; `at` maps the innermost text to the layer
+            out, kind = [], rng.choice("%x")
+            for c in layer:
+                raw = c == "%" or c == "\\" or rng.random() < 0.3
+                out.append(c if not raw else "".join(f"%{b:02X}" for b in c.encode()) if kind == "%" else f"&#{ord(c)};")
+            ends = [0]
+            for piece in out:
+                ends.append(ends[-1] + len(piece))
+            at = [(ends[a], ends[b]) for a, b in at]
+            layer = "".join(out)
+        start = len(plain) - len(plain.rsplit("secret", 1)[1]) - 6
+        want = (at[start][0], 0, at[start + 12][1])
+        every = secrets.scan(layer)[1]
+        assert any(k == 0 and a <= want[0] and b >= want[2] and b - a <= want[2] - want[0] + 40 for a, k, b in every), (layer, every, want)
+
+
 # --- html
 
 
