@@ -81,7 +81,9 @@ def pct_above(df: DataFrame, keys: list[str], value: str, threshold: float) -> D
 
 
 def with_mad(df: DataFrame, keys: list[str], value: str, bracketed: bool | None = None) -> DataFrame:
-    """One row per key: median and scaled MAD of value (two passes, joined on the key)."""
+    """One row per key (one in all without keys): median and scaled MAD of value (two passes, joined on the key)."""
+    if not keys:
+        return with_mad(df.withColumn("_all", F.lit(1)), ["_all"], value, bracketed).drop("_all")
     med = quantiles(df, keys, value, 0.5, "median", bracketed)
     dev = df.join(med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     mad = quantiles(dev, keys, "_dev", 0.5, "mad", bracketed)

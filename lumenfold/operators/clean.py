@@ -76,33 +76,3 @@ def top_and_bottom(df: DataFrame, value: str, n_top: int, n_bottom: int, keys: l
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 1) -> DataFrame:
     """n rows in the order of a seeded hash of the id: uniform, and the same on every run."""
     return df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n)
-
-
-def nearest(queries: DataFrame, reference, k: int, q_id: str, axes: list[str], ids: list, blocks: int = 4096) -> DataFrame:
-    """(q_id, ref_id, rank, d2): the k nearest reference points of each query, ties by position in the reference.
-
-    reference: a NumPy matrix of a control's points, bounded by what a control keeps (ids: their ids); it is sent to
-    every executor. Distances are taken in blocks of queries.
-    """
-    import pyarrow as pa
-
-    R, ids = np.asarray(reference, dtype=float), np.asarray(ids)
-    kind = queries.schema[q_id].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            Q = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(axes))], 1)
-            for at in range(0, len(Q), blocks):
-                part = Q[at : at + blocks]
-                d2 = np.zeros((len(part), len(R)))
-                for j in range(R.shape[1]):
-                    d2 += (part[:, j : j + 1] - R[:, j][None]) ** 2
-                order = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                n = order.shape[1]
-                who = np.repeat(np.arange(at, at + len(part)), n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(who)), pa.array(ids[order].ravel()), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(part))), pa.array(np.take_along_axis(d2, order, 1).ravel())],
-                    [q_id, "ref_id", "rank", "d2"],
-                )
-
-    return queries.select(q_id, *axes).mapInArrow(run, f"{q_id} {kind}, ref_id long, rank int, d2 double")

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.arrays import peak
-from lumenfold.functions.stats import MAD_SCALE, quantiles
+from lumenfold.functions.stats import MAD_SCALE, quantiles, with_mad
 from lumenfold.operators import kernels, unmix
 from lumenfold.operators.clean import top
 from lumenfold.operators.events import WIDTH, class_spectra
+from lumenfold.operators.knn import knn_join
 from lumenfold.operators.unmix import Panel, apply_kernel
 
 
@@ -97,25 +98,32 @@ def compare_unmixing(ev: DataFrame, panels: dict[str, Panel], q: float = 0.95, a
     return out
 
 
-def scatter_match(test: DataFrame, reference: np.ndarray, ref_axes: np.ndarray, dyes: Panel, af: Panel | None, axes: list[str], array_col: str = "x", k: int = 5, scale: bool = True) -> DataFrame:
+def scatter_match(test: DataFrame, reference: DataFrame, dyes: Panel, af: Panel | None, axes: list[str], array_col: str = "x", k: int = 5, scale: bool = True, id_col: str = "vec_id") -> DataFrame:
     """Background by scatter: the mean spectrum of the k nearest reference events, optionally its nearest library row by
     cosine, as the background row of each event's own least squares. Adds cosine (clamped to 0..1), AF and the dyes.
 
-    reference, ref_axes: an unstained control's events (bounded), with scatter scaled by mean and MAD if asked.
+    reference: an unstained control's events, all of them, with the same columns; axes are scaled by its mean and MAD if
+    asked. Events without scatter, or with no reference at all, have no row.
     """
-    S, R, T = dyes.S, np.asarray(reference), np.asarray(ref_axes, dtype=float)
-    centre = T.mean(0) if scale else np.zeros(T.shape[1])
-    spread = 1.4826 * np.median(np.abs(T - np.median(T, axis=0)), axis=0) if scale else np.ones(T.shape[1])
-    spread = np.where(spread < 1e-9, 1.0, spread)
+    S = dyes.S
+    width = S.shape[1]
+    centre, spread = [0.0] * len(axes), [1.0] * len(axes)
+    if scale:
+        centre = [v or 0.0 for v in reference.agg(*[F.avg(a) for a in axes]).first()]
+        spread = [with_mad(reference, [], a).first()["mad"] or 0.0 for a in axes]
+        spread = [v if v >= 1e-9 else 1.0 for v in spread]
+
+    def placed(df):
+        return df.select(F.col(id_col), *[((F.col(a).cast("double") - c) / m).alias(f"_a{i}") for i, (a, c, m) in enumerate(zip(axes, centre, spread, strict=True))])
+
+    near = knn_join(placed(test), placed(reference), k, id_col, id_col, [f"_a{i}" for i in range(len(axes))])
+    spectra = near.join(reference.select(F.col(id_col).alias("ref_id"), F.col(array_col).alias("_r")), "ref_id")
+    mean = class_spectra(spectra, id_col, "_r", width).withColumnRenamed("spectrum", "_mean")
     A = None if af is None else af.S
     P = kernels.ols(S)
-    n_axes = len(axes)
 
     def run(M):
-        X, Q = M[:, n_axes:], (M[:, :n_axes] - centre) / spread
-        Z = (T - centre) / spread
-        near = ((Q[:, None] - Z[None]) ** 2).sum(-1).argsort(1, kind="stable")[:, :k]
-        mean = R[near].mean(1)
+        mean, X = M[:, :width], M[:, width:]
         if A is not None:
             mean = A[((mean @ A.T) / (np.linalg.norm(A, axis=1) + 1e-9)).argmax(1)]
         c = np.clip((X * mean).sum(1) / (np.linalg.norm(X, axis=1) * np.linalg.norm(mean, axis=1) + 1e-9), 0, 1)
@@ -125,6 +133,6 @@ def scatter_match(test: DataFrame, reference: np.ndarray, ref_axes: np.ndarray,
         u = X @ P.T - amount[:, None] * (a @ P.T)
         return [c, amount, *u.T]
 
-    rows = test.withColumn("_m", F.concat(F.array(*[F.col(a).cast("double") for a in axes]), F.col(array_col))).drop(array_col)
+    rows = test.join(mean, id_col).withColumn("_m", F.concat("_mean", array_col)).drop(array_col, "_mean")
     fields = [("cosine", "double"), ("AF", "double"), *[(f"u{i}", "double") for i in range(len(S))]]
-    return apply_kernel(rows, "_m", n_axes + S.shape[1], run, fields)
+    return apply_kernel(rows, "_m", 2 * width, run, fields)

@@ -103,10 +103,8 @@ def af_scatter_match(spark, sf):
     """Background from the five unstained events nearest in scatter, as an extra row of each event's own fit."""
     ev = events(spark, sf)
     dyes, _ = dyes_and_background(ev)
-    ref = ev.where("label = 0").orderBy("vec_id").select("x").collect()  # one control
-    R = np.array([r["x"] for r in ref])
-    test = ev.where("label > 0").select("vec_id", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"), "x")
-    out = evaluate.scatter_match(test, R, R[:, :2], dyes, None, ["a", "b"], "x", 5, scale=False)
+    two = ev.select("vec_id", "label", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"), "x")
+    out = evaluate.scatter_match(two.where("label > 0"), two.where("label = 0"), dyes, None, ["a", "b"], "x", 5, scale=False)
     return out.select("vec_id", r6(F.col("cosine")).alias("cosine"), r6(F.col("AF")).alias("af"), r6(F.col("u0")).alias("u0"))
 
 
@@ -322,13 +320,11 @@ def scatter_match_benchmark(spark, sf):
     """Background by scatter, with and without a library, against the rules on spectra: mean cosine of unstained events."""
     ev = events(spark, sf)
     dyes, af = dyes_and_background(ev)
-    ref = ev.where("label = 0 AND vec_id % 2 = 0").orderBy("vec_id").select("x").collect()  # half of one control is the reference
-    R = np.array([r["x"] for r in ref])
-    test = ev.where("label = 0 AND vec_id % 2 = 1")
-    two = test.select("vec_id", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"), "x")
+    test = ev.where("label = 0 AND vec_id % 2 = 1")  # the other half of the control is the reference
+    two, ref = (df.select("vec_id", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"), "x") for df in (test, ev.where("label = 0 AND vec_id % 2 = 0")))
     out = evaluate.background_accuracy(test, dyes, af, ["residuals", "fluorophores"]).select("rule", "mean_cosine")
     for name, lib in (("scatter", None), ("scatter_library", af)):
-        one = evaluate.scatter_match(two, R, R[:, :2], dyes, lib, ["a", "b"], "x").agg(F.avg("cosine").alias("mean_cosine"))
+        one = evaluate.scatter_match(two, ref, dyes, lib, ["a", "b"], "x").agg(F.avg("cosine").alias("mean_cosine"))
         out = out.unionByName(one.select(F.lit(name).alias("rule"), "mean_cosine"))
     return out.select("rule", r6(F.col("mean_cosine")).alias("mean_cosine"))
 

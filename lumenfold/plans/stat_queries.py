@@ -10,6 +10,7 @@ from lumenfold.functions import arrays as A
 from lumenfold.functions.stats import histogram, quantile, with_mad
 from lumenfold.operators import clean, gate
 from lumenfold.operators.events import class_spectra, events, lineitem, table
+from lumenfold.operators.knn import knn_join
 from lumenfold.plans.registry import query
 from lumenfold.plans.sql import BASE, EV
 
@@ -64,10 +65,10 @@ def _scatter(ev):
     return ev.select("vec_id", "label", "x", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"))
 
 
-def _reference(ev):
-    """Background events in the scatter plane: one control, which holds a bounded number of events."""
-    rows = _scatter(ev).where("label = 0").select("vec_id", "a", "b").orderBy("vec_id").collect()
-    return np.array([(r["a"], r["b"]) for r in rows]).reshape(-1, 2), [r["vec_id"] for r in rows]
+def _near(ev, k):
+    """The k nearest unstained events of each stained one in the scatter plane."""
+    at = _scatter(ev)
+    return knn_join(at.where("label > 0"), at.where("label = 0"), k, "vec_id", "vec_id", ["a", "b"])
 
 
 KNN = """kn AS (SELECT q.vec_id, r.vec_id AS ref_id, (q.x[1] - r.x[1]) ** 2 + (q.x[2] - r.x[2]) ** 2 AS d2,
@@ -77,9 +78,7 @@ KNN = """kn AS (SELECT q.vec_id, r.vec_id AS ref_id, (q.x[1] - r.x[1]) ** 2 + (q
 
 @query("knn_scatter", f"WITH {EV}, {KNN} SELECT vec_id, ref_id, rank::INT AS rank, round(d2, 9) + 0.0 AS d2 FROM kn WHERE rank <= 3")
 def knn_scatter(spark, sf):
-    ev = events(spark, sf)
-    R, ids = _reference(ev)
-    found = clean.nearest(_scatter(ev).where("label > 0"), R, 3, "vec_id", ["a", "b"], ids)
+    found = _near(events(spark, sf), 3)
     return found.select("vec_id", "ref_id", "rank", r6(F.col("d2"), 9).alias("d2"))
 
 
@@ -90,8 +89,7 @@ def knn_scatter(spark, sf):
 def knn_background(spark, sf):
     """Mean background spectrum of the three nearest unstained events, at two detectors."""
     ev = events(spark, sf)
-    R, ids = _reference(ev)
-    found = clean.nearest(_scatter(ev).where("label > 0"), R, 3, "vec_id", ["a", "b"], ids)
+    found = _near(ev, 3)
     ref = ev.where("label = 0").select(F.col("vec_id").alias("ref_id"), F.get("x", F.lit(5)).alias("d5"), F.get("x", F.lit(32)).alias("d32"))
     return found.join(ref, "ref_id").groupBy("vec_id").agg(r6(F.avg("d5")).alias("d5"), r6(F.avg("d32")).alias("d32"))
 
@@ -112,9 +110,8 @@ def knn_mad_scaled(spark, sf):
     med = ref.agg(quantile(F.col("a"), 0.5), quantile(F.col("b"), 0.5)).first()
     mad = ref.agg(*[1.4826 * quantile(F.abs(F.col(c) - med[i]), 0.5) for i, c in enumerate("ab")]).first()
     scale = [m if m >= 1e-9 else 1.0 for m in mad]
-    R, ids = _reference(ev)
-    q = _scatter(ev).where("label > 0").select("vec_id", *[((F.col(c) - mean[i]) / scale[i]).alias(c) for i, c in enumerate("ab")])
-    return clean.nearest(q, (R - np.array(mean)) / np.array(scale), 5, "vec_id", ["a", "b"], ids).select("vec_id", "ref_id", "rank")
+    at = _scatter(ev).select("vec_id", "label", *[((F.col(c) - mean[i]) / scale[i]).alias(c) for i, c in enumerate("ab")])
+    return knn_join(at.where("label > 0"), at.where("label = 0"), 5, "vec_id", "vec_id", ["a", "b"]).select("vec_id", "ref_id", "rank")
 
 
 PEAKS = "pk AS (SELECT label, min(pos) AS peak FROM mn JOIN (SELECT label, max(v) AS v FROM mn GROUP BY label) USING (label, v) GROUP BY label)"
@@ -134,8 +131,7 @@ def universal_negative(spark, sf):
     limits = ev.where("label = 0").select(F.posexplode("x").alias("peak", "v")).groupBy("peak").agg(quantile(F.col("v"), 0.95).alias("limit"))
     at = ev.join(F.broadcast(peaks.join(limits, "peak")), "label").withColumn("at_peak", F.get("x", F.col("peak"))).where("at_peak > limit")
     pos = clean.top(at, "at_peak", 20, ["label"], "vec_id").select("label", "vec_id", "x")
-    R, ids = _reference(ev)
-    near = clean.nearest(_scatter(pos), R, 2, "vec_id", ["a", "b"], ids)
+    near = knn_join(_scatter(pos), _scatter(ev.where("label = 0")), 2, "vec_id", "vec_id", ["a", "b"])
     neg = pos.select("label", "vec_id").join(near, "vec_id").select("label", F.col("ref_id").alias("vec_id")).distinct()
     return pos.select("label", "vec_id", F.lit("positive").alias("role")).unionByName(neg.withColumn("role", F.lit("negative")))
 

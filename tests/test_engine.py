@@ -299,8 +299,6 @@ def test_few_events(spark, n):
     both = clean.top_and_bottom(df, "v", 12, 12, ["sample"])
     assert both.count() == min(n, 24) and both.select("event_id").distinct().count() == both.count()
     assert clean.top(df, "v", 5, ["sample"]).count() == min(n, 5)
-    q = df.select("event_id", F.col("v").alias("a"))
-    assert clean.nearest(q, np.arange(3.0)[:, None], 5, "event_id", ["a"], [10, 11, 12]).count() == 3 * n
 
 
 def test_streams(spark, tmp_path, scene):
