@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.arrays import as_doubles, scaled
-from lumenfold.functions.stats import is_large, quantiles
+from lumenfold.functions.ranks import array_quantiles
 from lumenfold.operators.unmix import Panel
 
 WIDTH = 64
@@ -27,18 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def class_spectra(df: DataFrame, key: str = "label", array_col: str = "x", width: int = WIDTH, how=F.avg) -> DataFrame:
-    """(key, spectrum): one aggregate a detector, in one pass without exploding the events; medians of a large table by
-    bracketing, detector by detector."""
-    if how is median_of and is_large(df):
-        long = df.select(key, F.posexplode(array_col).alias("_pos", "_v"))
-        per = quantiles(long, [key, "_pos"], "_v", 0.5, "_m", True)
-        pairs = F.sort_array(F.collect_list(F.struct("_pos", "_m")))  # a key's detectors: a bounded list
-        return per.groupBy(key).agg(pairs.alias("_p")).select(key, F.col("_p._m").alias("spectrum"))
+    """(key, spectrum): one aggregate a detector, in one pass without exploding the events."""
     return df.groupBy(key).agg(F.array(*[how(F.get(array_col, F.lit(i))) for i in range(width)]).alias("spectrum"))
 
 
-def median_of(c):
-    return F.percentile(c, F.lit(0.5))
+def class_medians(df: DataFrame, key: str = "label", array_col: str = "x", width: int = WIDTH, q: float = 0.5) -> DataFrame:
+    """(key, spectrum): the exact median (or another quantile) of every detector, by bits: see array_quantiles(). Runs at once.
+    Elements without values are NaN; null keys are left out."""
+    keys, got = array_quantiles(df, key, array_col, width, [q])
+    kind = df.schema[key].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(k, v[0].tolist()) for k, v in zip(keys, got, strict=True)], f"{key} {kind}, spectrum array<double>")
 
 
 def all_classes(ev: DataFrame) -> Panel:

@@ -507,6 +507,45 @@ def huber_line(x: np.ndarray, y: np.ndarray, iterations: int = 100, k: float = 1
     return float(b[0]), float(b[1]), False
 
 
+def two_by_two(w, wx, wy, wxx, wxy):
+    """(intercept, slope) of weighted least squares from its sums; slope 0 where x has no spread."""
+    det = w * wxx - wx * wx
+    flat = det <= 1e-12 * np.maximum(w * wxx, 1e-300)
+    slope = np.where(flat, 0.0, (w * wxy - wx * wy) / np.where(flat, 1.0, det))
+    return (wy - slope * wx) / np.maximum(w, 1e-300), slope
+
+
+def huber_weights(r: np.ndarray, scale: np.ndarray, k: float = 1.345) -> np.ndarray:
+    return np.minimum(1.0, k * scale / np.maximum(np.abs(r), 1e-300))
+
+
+def huber_lines(x: np.ndarray, Y: np.ndarray, iterations: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(slopes, converged) of every column of Y against x: huber_line() for all columns at once; columns leave as they converge."""
+    n, width = Y.shape
+    x = x - x.mean() if n else x
+
+    def fit(W, Y):
+        return two_by_two(W.sum(0), (W * x[:, None]).sum(0), (W * Y).sum(0), (W * (x * x)[:, None]).sum(0), (W * x[:, None] * Y).sum(0))
+
+    if n < 2 or np.ptp(x) == 0:
+        return np.zeros(width), np.ones(width, bool)
+    first = np.stack(fit(np.ones((n, 1)), Y))
+    b, done = first.copy(), np.zeros(width, bool)
+    for _ in range(iterations):
+        live = np.flatnonzero(~done)
+        if not len(live):
+            break
+        r = Y[:, live] - b[0, live] - x[:, None] * b[1, live]
+        s = np.median(np.abs(r), axis=0) * 1.4826
+        done[live[s < 1e-14]] = True
+        live, r, s = live[s >= 1e-14], r[:, s >= 1e-14], s[s >= 1e-14]
+        new = np.stack(fit(huber_weights(r, s), Y[:, live]))
+        step = np.abs(new - b[:, live]).max(0) <= tol * np.maximum(1.0, np.abs(b[:, live]).max(0))
+        b[:, live] = new
+        done[live[step]] = True
+    return np.where(done, b[1], first[1]), done
+
+
 def som(X: np.ndarray, dim: int, epochs: int = 20, seed: int = 1) -> np.ndarray:
     """Batch self-organising map: dim x dim codebook, Gaussian neighbourhood that shrinks to one node."""
     n, dim = len(X), som_size(len(X), dim)

@@ -3,37 +3,112 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.arrays import EPS
+from lumenfold.functions.ranks import array_quantiles, matrix
+from lumenfold.functions.tables import written
 from lumenfold.operators import kernels
-from lumenfold.operators.events import class_spectra
 
 
-def robust_spectra(df: DataFrame, key: str, array_col: str, width: int, fallback_zero: bool = False) -> DataFrame:
+#: Events of a control that one task may hold as a matrix (51 MB at 64 detectors); larger controls are fitted in rounds.
+GROUP = 100_000
+
+
+def robust_spectra(df: DataFrame, key: str, array_col: str, width: int, fallback_zero: bool = False, group: int = GROUP) -> DataFrame:
     """(key, spectrum): Huber slope of every detector against the sample's peak detector, divided by the largest.
 
-    A group is one sample and one detector: (value, value at peak) pairs of one control, which controls keep to some
-    hundred thousand events. Without convergence: ordinary least squares, or zero with fallback_zero.
+    Controls of up to `group` events are fitted in one task each, all detectors at once; larger ones in rounds of distributed
+    sums, whatever their size. A control without spread at its peak has null elements. Without convergence: ordinary least squares, or zero with fallback_zero. Null keys and null
+    arrays are left out.
+    """
+    df = df.where(F.col(key).isNotNull() & F.col(array_col).isNotNull())
+    means = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.get(array_col, F.lit(i))) for i in range(width)]).alias("mean")).collect()  # a row a control
+    peak = {r[key]: int(np.argmax(r["mean"])) for r in means}
+    large = sorted(r[key] for r in means if r["n"] > group)
+    kind, spark = df.schema[key].dataType.simpleString(), df.sparkSession
+    peaks = F.broadcast(spark.createDataFrame([(k, p) for k, p in peak.items() if k not in set(large)], f"{key} {kind}, peak int"))
+
+    def fit(rows: pa.Table) -> pa.Table:
+        Y, at = matrix(rows.column("y").combine_chunks(), width), rows.column("peak")[0].as_py()
+        slopes, ok = kernels.huber_lines(Y[:, at].copy(), Y)
+        return pa.table({key: rows.column(key)[:1], "raw": [np.where(ok | (not fallback_zero), slopes, 0.0)]})
+
+    out = df.join(peaks, key).select(key, "peak", F.col(array_col).alias("y")).groupBy(key).applyInArrow(fit, f"{key} {kind}, raw array<double>")
+    if large:
+        slopes, ok = robust_rounds(df, key, array_col, width, large, [peak[k] for k in large])
+        raw = np.where(ok | (not fallback_zero), slopes, 0.0)
+        out = out.unionByName(spark.createDataFrame([(k, r.tolist()) for k, r in zip(large, raw, strict=True)], f"{key} {kind}, raw array<double>"))
+    return out.select(key, F.transform("raw", lambda v: F.try_divide(v, F.array_max("raw"))).alias("spectrum"))
+
+
+def robust_rounds(df: DataFrame, key: str, array_col: str, width: int, keys: list, peaks: list[int], iterations: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(slopes, converged), keys x width: huber_line() of every detector against its key's peak, by distributed rounds.
+
+    A round takes the exact scale of the residuals (array_quantiles) and then, in one pass, the weighted sums of each key and
+    detector; a few numbers for each pass the driver. Keys leave once all their detectors have converged.
     """
-    peaks = class_spectra(df, key, array_col, width).select(key, (F.array_position("spectrum", F.array_max("spectrum")) - 1).cast("int").alias("peak"))
-    long = df.join(F.broadcast(peaks), key).select(key, F.get(array_col, F.col("peak")).alias("at_peak"), F.posexplode(array_col).alias("pos", "v"))
-    kind = df.schema[key].dataType.simpleString()
-
-    def fit(keys, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["at_peak"].to_numpy(), pdf["v"].to_numpy()
-        slope = 0.0
-        if len(x) >= 2 and np.ptp(x) > 0:
-            _, slope, ok = kernels.huber_line(x, y)
-            slope = 0.0 if fallback_zero and not ok else slope
-        return pd.DataFrame({key: [keys[0]], "pos": [int(keys[1])], "slope": [slope]})
-
-    slopes = long.groupBy(key, "pos").applyInPandas(fit, f"{key} {kind}, pos int, slope double")
-    spectrum = F.transform(F.sort_array(F.collect_list(F.struct("pos", "slope"))), lambda s: s["slope"])  # one entry a detector
-    out = slopes.groupBy(key).agg(spectrum.alias("raw"))
-    return out.select(key, F.transform("raw", lambda v: v / F.array_max("raw")).alias("spectrum"))
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    number = {k: i for i, k in enumerate(keys)}
+    numbered = df.join(F.broadcast(spark.createDataFrame(list(number.items()), f"{key} {kind}, _k int")), key).select("_k", F.col(array_col).alias("_y"))
+    rows = written(numbered, "robust-rows")
+    at = np.array(peaks)
+    middle = np.zeros(len(keys))
+
+    def x_of(k, Y):
+        return Y[np.arange(len(k)), at[k]] - middle[k]
+
+    def sums(live: list[int], weight=None) -> np.ndarray:
+        def run(batches):
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                every, Z = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), width)
+                for k in np.unique(every).tolist():
+                    own = every == k
+                    Y = Z[own]
+                    x = x_of(every[own], Y)[:, None]
+                    W = np.ones((len(Y), 1)) if weight is None else weight(k, x, Y)
+                    part = np.stack([np.broadcast_to(v.sum(0), width) for v in (W, W * x, W * Y, W * x * x, W * x * Y)])
+                    total[k] = total.get(k, 0) + part
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.ravel().tolist() for v in total.values()], pa.list_(pa.float64()))], ["k", "s"])
+
+        got = rows.where(F.col("_k").isin(live)).mapInArrow(run, "k int, s array<double>").groupBy("k").agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(5 * width)]).collect()  # a row a key
+        out = np.zeros((len(keys), 5, width))
+        for r in got:
+            out[r["k"]] = np.array(r[1:]).reshape(5, width)
+        return out
+
+    first = sums(list(range(len(keys))))
+    middle = first[:, 1, 0] / np.maximum(first[:, 0, 0], 1)  # centred: the sums of squares keep their digits
+    first = sums(list(range(len(keys))))
+    b = np.stack(kernels.two_by_two(*np.moveaxis(first, 1, 0)), 1)
+    least = b.copy()
+    done = np.zeros((len(keys), width), bool)
+    for _ in range(iterations):
+        live = np.flatnonzero(~done.all(1)).tolist()
+        if not live:
+            break
+
+        def residuals(k, Y, b=b, live=np.array(live)):
+            k = live[k]
+            return np.abs(Y - b[k, 0] - x_of(k, Y)[:, None] * b[k, 1])
+
+        _, q = array_quantiles(rows.where(F.col("_k").isin(live)).withColumnRenamed("_k", "_key"), "_key", "_y", width, [0.5], residuals, live)
+        scale = np.zeros((len(keys), width))
+        scale[live] = q[:, 0] * 1.4826
+        done[live] |= scale[live] < 1e-14
+
+        def weight(k, x, Y, b=b, scale=scale):
+            return kernels.huber_weights(Y - b[k, 0] - x * b[k, 1], np.maximum(scale[k], 1e-300))
+
+        new = np.stack(kernels.two_by_two(*np.moveaxis(sums(live, weight), 1, 0)), 1)
+        step = np.abs(new - b).max(1) <= tol * np.maximum(1.0, np.abs(b).max(1))
+        moving = ~done & np.isin(np.arange(len(keys)), live)[:, None]
+        b = np.where(moving[:, None], new, b)
+        done |= moving & step
+    return np.where(done, b[:, 1], least[:, 1]), done
 
 
 def cosine_matrix(S: np.ndarray) -> np.ndarray:

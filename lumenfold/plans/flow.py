@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.functions.arrays import cosine_rows, lit_array, peak
+from lumenfold.functions.ranks import array_quantiles
 from lumenfold.functions.stats import quantiles
+from lumenfold.functions.tables import written
 from lumenfold.operators import af_removal, clean, control, gate, kernels, spectra, unmix
-from lumenfold.operators.events import class_spectra
+from lumenfold.operators.events import class_medians, class_spectra
+from lumenfold.operators.knn import knn_join
 from lumenfold.operators.unmix import Panel
 from lumenfold.params import Parameters
 from lumenfold.sources import fcs
@@ -94,50 +97,132 @@ def reload_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: P
     return FlowControl(table, detectors, p)
 
 
-#: Unstained events that represent the background, as the method has it: a hash sample of one control.
+#: Unstained events that the search for background regions looks at, as that method has it: a hash sample of one control.
 BACKGROUND_EVENTS = 10_000
+#: Nearest events of the negative that each positive event takes.
+NEIGHBOURS = 3
+
+
+def with_negatives(events: DataFrame, unstained: str = "AF") -> DataFrame:
+    """Events with the columns negative_sample and control_type: without a control table's, every stained sample has the
+    unstained one, and all are cells."""
+    columns = [c.lower() for c in events.columns]
+    if "negative_sample" not in columns:
+        events = events.withColumn("negative_sample", F.when(F.col("fluorophore") != unstained, F.lit(unstained)))
+    return events if "control_type" in columns else events.withColumn("control_type", F.lit("cells"))
+
+
+def is_bare(name) -> F.Column:
+    """Unstained controls by name."""
+    return F.coalesce(name.rlike(r"(?i)\bAF\b|negative|unstained"), F.lit(False))
 
 
 def without_background(events: DataFrame, unstained: str = "AF", seed: int = 1) -> DataFrame:
-    """Stained cell samples without the events that lie in the unstained control's background region; the others (beads, the
-    unstained control itself) as they are. control_type tells cells; without that column all samples are."""
-    stained = F.col("fluorophore") != unstained
-    if "control_type" in events.columns:
-        stained = stained & F.coalesce(F.col("control_type") == "cells", F.lit(False))
-    neg = clean.sample_rows(events.where(F.col("fluorophore") == unstained), BACKGROUND_EVENTS, "event_id", seed).select("spectral").collect()
-    if not neg:
+    """Stained cell samples without the events that lie in the background region of their own negative, if that is a control of
+    cells; the others (beads, samples without such a negative, the negatives themselves) as they are."""
+    columns, events = events.columns, with_negatives(events, unstained)
+    width = _width(events)
+    samples = events.groupBy("sample", "negative_sample", "control_type").agg(F.max(F.col("fluorophore")).alias("fluorophore")).collect()  # a row a sample
+    cells = {r["sample"] for r in samples if r["control_type"] == "cells"}
+    serving = {r["negative_sample"] for r in samples if r["negative_sample"]}
+    stained: dict[str, list[str]] = {}
+    for r in samples:
+        if r["sample"] in cells and r["negative_sample"] in cells and r["sample"] not in serving:
+            stained.setdefault(r["negative_sample"], []).append(r["sample"])
+    if not stained:
         warnings.warn("no unstained cells: background events stay", stacklevel=2)
-        return events
-    means = class_spectra(events.where(stained), "sample", "spectral", width=len(neg[0][0]))
+        return events.select(*[F.col(f"`{c}`") for c in columns])
+    every = [name for names in stained.values() for name in names]
+    out = events.where(~F.coalesce(F.col("sample").isin(every), F.lit(False)))
+    means = class_spectra(events.where(F.col("sample").isin(every)), "sample", "spectral", width=width)
     peaks = {r["sample"]: r["peak"] for r in means.select("sample", peak(F.col("spectrum")).alias("peak")).collect()}  # a row a sample
-    kept = af_removal.remove_background(events.where(stained), np.array([r[0] for r in neg], dtype=float), peaks)
-    return events.where(~stained).unionByName(kept)
+    for negative, names in sorted(stained.items()):  # a few negatives
+        rows = events.where(F.col("sample").isin(names))
+        near = clean.sample_rows(events.where(F.col("sample") == negative), BACKGROUND_EVENTS, "event_id", seed).select("spectral").collect()
+        kept = af_removal.remove_background(rows, np.array([r[0] for r in near], dtype=float), {n: peaks[n] for n in names}) if near else rows
+        out = out.unionByName(kept)
+    return out.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def clean_controls(events: DataFrame, p: Parameters, unstained: str = "AF", universal: bool = True, seed: int = 1, remove_af: bool = True) -> DataFrame:
-    """Stained cells without background events first; then the positive events of each dye at its peak, beside unstained
-    events near them in scatter (role positive/negative); without a universal negative, the brightest and dimmest events of
-    each sample instead."""
+    """The events of each control that its spectrum is to be taken from, and their part in it (role).
+
+    Stained cells lose their background events first. Then each stained sample meets its own negative (negative_sample, as
+    the control table has it): positive are events above the negative's quantile at the sample's peak (p.positivity;
+    p.positivity_af for an unstained sample that has a negative of its own), the brightest p.positive_n of them; negative are
+    the events of the negative nearest to them in scatter, each once, as rows of the stained sample. With under
+    p.min_cells_stop positives a sample keeps all its events, and its whole negative; with under p.min_cells_stop matched
+    negatives, it takes p.negative_n of its negative by hash. Samples without a negative keep all events (role "all"),
+    unstained ones too (role "unstained"), of which the one named `unstained` gives p.negative_n by hash.
+
+    Beads never lose background events. Without universal negatives, each stained sample gives its brightest and dimmest events.
+    (sample, event_id) names an event; null scatter matches nothing. Fewer than p.min_cells_warning positives, or half as many
+    negatives, are a warning.
+    """
+    columns = events.columns
+    events = with_negatives(events, unstained)
     if remove_af and universal:
         events = without_background(events, unstained, seed)
-    peaks = class_spectra(events.where(F.col("fluorophore") != unstained), "fluorophore", "spectral", width=_width(events)).select("fluorophore", peak(F.col("spectrum")).alias("peak"))
-    at = events.join(F.broadcast(peaks), "fluorophore").withColumn("at_peak", F.get("spectral", F.col("peak")))
+    width = _width(events)
+    names = [F.col(f"`{c}`") for c in columns]
+    bare = is_bare(F.col("fluorophore"))
+    peaks = class_spectra(events, "sample", "spectral", width=width).select("sample", peak(F.col("spectrum")).alias("peak"))
     if not universal:
-        return clean.top_and_bottom(at, "at_peak", p.positive_n, p.negative_n, ["sample"])
-    neg = events.where(F.col("fluorophore") == unstained)
-    limits = quantiles(neg.select(F.posexplode("spectral").alias("peak", "v")), ["peak"], "v", p.positivity, "limit")
-    bright = clean.top(at.join(F.broadcast(limits), "peak").where("at_peak > limit"), "at_peak", p.positive_n, ["sample"])
+        at = events.where(~bare).join(F.broadcast(peaks), "sample").withColumn("at_peak", F.get("spectral", F.col("peak")))
+        return clean.top_and_bottom(at, "at_peak", p.positive_n, p.negative_n, ["sample"]).select(*names, "role")
+
+    info = events.groupBy("sample", "negative_sample").agg(F.first("fluorophore").alias("fluorophore")).join(peaks, "sample").collect()  # a row a sample
+    have = {r["sample"] for r in info}
+    pairs = [(r["sample"], r["negative_sample"], r["fluorophore"], r["peak"]) for r in info if r["negative_sample"] in have and r["negative_sample"] != r["sample"]]
+    paired = {s for s, *_ in pairs}
+    table = F.broadcast(events.sparkSession.createDataFrame(pairs, "_stained string, _negative string, _dye string, _peak int"))
+    negatives = events.join(table, F.col("sample") == F.col("_negative"))  # once for each sample that it serves
+    shown = negatives.withColumn("_v", F.get("spectral", F.col("_peak")))
+    own = is_bare(F.col("_dye"))
+    limits = quantiles(shown.where(~own), ["_stained"], "_v", p.positivity, "_limit").unionByName(quantiles(shown.where(own), ["_stained"], "_v", p.positivity_af, "_limit"))
+    at = events.join(table, F.col("sample") == F.col("_stained")).withColumn("_v", F.get("spectral", F.col("_peak")))
+    above = at.join(F.broadcast(limits), "_stained").where("_v > _limit")  # a row a sample
+    n_above = dict.fromkeys(paired, 0) | {r[0]: r[1] for r in above.groupBy("sample").count().collect()}
+    few = sorted(s for s, n in n_above.items() if n < p.min_cells_stop)
+    low = sorted(s for s, n in n_above.items() if n < p.min_cells_warning)
+    if low:
+        warnings.warn(f"fewer than {p.min_cells_warning} positive events: {', '.join(low)}" + (f"; with all their events, for fewer than {p.min_cells_stop}: {', '.join(few)}" if few else ""), stacklevel=2)
+    bright = written(clean.top(above.where(~F.col("sample").isin(few)), "_v", p.positive_n, ["sample"]).select(*names, "_negative"), "positives")
+
     axes = [f"`{c}`" for c in p.scatter]
-    sample = clean.sample_rows(neg, BACKGROUND_EVENTS, "event_id", seed)
-    rows = sample.select("event_id", *[F.col(a) for a in axes]).collect()
-    R, ids = np.array([(r[1], r[2]) for r in rows], dtype=float).reshape(-1, 2), [r[0] for r in rows]
-    q = bright.select(F.monotonically_increasing_id().alias("q"), "fluorophore", *[F.col(a).alias(f"a{i}") for i, a in enumerate(axes)])
-    near = clean.nearest(q.select("q", "a0", "a1"), R, 3, "q", ["a0", "a1"], ids)
-    wanted = near.join(q.select("q", "fluorophore"), "q").select("fluorophore", F.col("ref_id").alias("event_id")).distinct()
-    w = Window.partitionBy("fluorophore").orderBy("event_id")
-    wanted = wanted.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= p.negative_n).drop("_n")
-    negatives = neg.drop("fluorophore").join(wanted, "event_id").select(*[F.col(f"`{c}`") for c in events.columns])
-    return bright.select(*[F.col(f"`{c}`") for c in events.columns]).withColumn("role", F.lit("positive")).unionByName(negatives.withColumn("role", F.lit("negative")))
+    event = F.struct("sample", "event_id").alias("q")
+    near = knn_join(bright.select(event, "_negative", *axes), events.where(F.col("sample").isin(sorted({n for _, n, *_ in pairs}))).select(F.col("sample").alias("_negative"), "event_id", *axes), NEIGHBOURS, "q", "event_id", axes, key="_negative")
+    wanted = written(near.select(F.col("q.sample").alias("_stained"), F.col("ref_id").alias("event_id")).distinct(), "matched")
+    n_near = dict.fromkeys(paired - set(few), 0) | {r[0]: r[1] for r in wanted.groupBy("_stained").count().collect()}
+    unmatched = sorted(s for s, n in n_near.items() if n < p.min_cells_stop)
+    low = sorted(s for s, n in n_near.items() if n < -(-p.min_cells_warning // 2))
+    if low:
+        warnings.warn(f"fewer than {-(-p.min_cells_warning // 2)} negatives near in scatter: {', '.join(low)}" + (f"; with a sample of their negative, for fewer than {p.min_cells_stop}: {', '.join(unmatched)}" if unmatched else ""), stacklevel=2)
+
+    def as_negative(rows: DataFrame) -> DataFrame:
+        """Events of negatives as rows of the samples they serve."""
+        swapped = {"sample": F.col("_stained"), "fluorophore": F.col("_dye")}
+        return rows.select(*[swapped[c].alias(c) if c in swapped else F.col(f"`{c}`") for c in columns], F.lit("negative").alias("role"))
+
+    matched = negatives.where(~F.col("_stained").isin(few + unmatched)).join(wanted, ["_stained", "event_id"], "left_semi")
+    turn = Window.partitionBy("_stained").orderBy(F.xxhash64(F.lit(seed), "event_id"), "event_id")
+    sampled = negatives.where(F.col("_stained").isin(unmatched)).withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= p.negative_n)
+    parts = [
+        bright.select(*names, F.lit("positive").alias("role")),
+        events.where(F.col("sample").isin(few)).select(*names, F.lit("positive").alias("role")),
+        as_negative(matched),
+        as_negative(sampled),
+        as_negative(negatives.where(F.col("_stained").isin(few))),
+        events.where(~F.col("sample").isin(sorted(paired)) & ~bare).select(*names, F.lit("all").alias("role")),
+    ]
+    rest = events.where(~F.col("sample").isin(sorted(paired)) & bare)
+    turn = Window.partitionBy("sample").orderBy(F.xxhash64(F.lit(seed), "event_id"), "event_id")
+    rest = rest.withColumn("_n", F.row_number().over(turn)).where((F.col("fluorophore") != unstained) | (F.col("_n") <= p.negative_n))
+    parts.append(rest.select(*names, F.lit("unstained").alias("role")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _width(events: DataFrame) -> int:

@@ -182,11 +182,11 @@ def _spill(panel: str, dyes: str) -> str:
 )
 def compare_unmix(spark, sf):
     """Spill and stain index of means against medians as the mixing matrix."""
-    from lumenfold.operators.events import median_of
+    from lumenfold.operators.events import class_medians
 
     ev = events(spark, sf)
     mean = Panel.collect(class_spectra(ev), "label", "spectrum")
-    median = Panel.collect(class_spectra(ev, how=median_of), "label", "spectrum")
+    median = Panel.collect(class_medians(ev), "label", "spectrum")
     out = evaluate.compare_unmixing(ev, {"mean": mean, "median": median})
     return out.select("panel", "label", "pos", r6(F.col("spill")).alias("spill"), r6(F.col("ssi")).alias("ssi"))
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lumenfold.functions import arrays as A
 from lumenfold.functions.stats import histogram, quantile, with_mad
 from lumenfold.operators import clean, gate
-from lumenfold.operators.events import class_spectra, events, lineitem, table
+from lumenfold.operators.events import class_medians, class_spectra, events, lineitem, table
 from lumenfold.operators.knn import knn_join
 from lumenfold.plans.registry import query
 from lumenfold.plans.sql import BASE, EV
@@ -437,7 +437,7 @@ def spectrum_difference(spark, sf):
 def reference_status(spark, sf):
     """Similarity of each spectrum with its library spectrum (here the class median), graded; dyes without one say so."""
     ev = events(spark, sf)
-    library = class_spectra(ev.where("label < 8"), how=lambda c: F.percentile(c, F.lit(0.5))).withColumnRenamed("spectrum", "ref")
+    library = class_medians(ev.where("label < 8")).withColumnRenamed("spectrum", "ref")
     s = class_spectra(ev).join(F.broadcast(library), "label", "left").withColumn("c", A.cosine_rows(F.col("spectrum"), F.col("ref")))
     status = F.when(F.col("c").isNull(), "No Reference Available").when(F.col("c") < 0.98, "FAIL").when(F.col("c") < 0.99, "WARNING").otherwise("PASS")
     return s.select("label", r6(F.col("c")).alias("similarity"), status.alias("status"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.functions import arrays as A
+from lumenfold.functions.ranks import array_quantiles
 from lumenfold.functions.stats import weights_of
 from lumenfold.operators import kernels, unmix
-from lumenfold.operators.events import WIDTH, all_classes, class_spectra, dyes_and_background, events, median_of
+from lumenfold.operators.events import WIDTH, all_classes, class_medians, class_spectra, dyes_and_background, events
 from lumenfold.plans import sql
 from lumenfold.plans.registry import query
 from lumenfold.plans.sql import AF, BASE, DYES, DYES9, pinv, wide
@@ -29,7 +30,7 @@ def class_spectra_mean(spark, sf):
 
 @query("class_spectra_median", f"{BASE} SELECT label, pos::INT AS pos, round(median(v), 6) + 0.0 AS v FROM lg GROUP BY ALL")
 def class_spectra_median(spark, sf):
-    return _long(class_spectra(events(spark, sf), how=median_of), "label")
+    return _long(class_medians(events(spark, sf)), "label")
 
 
 @query("linf_normalise", f"{BASE} SELECT label, pos::INT AS pos, round(v / max(v) OVER (PARTITION BY label), 6) + 0.0 AS v FROM mn")
@@ -387,8 +388,8 @@ def _library(ev):
     parts = class_spectra(ev.where("label > 0").withColumn("j", F.col("label") * 4 + F.col("vec_id") % 4), "j").orderBy("j").collect()
     library = {f: np.array([r["spectrum"] for r in parts if r["j"] // 4 == f + 1]) for f in range(len(dyes.S))}
     neg = unmix.unmix_ols(ev.where("label = 0"), dyes, "x", U9)
-    row = neg.agg(*[F.percentile(u, F.lit(0.9)).alias(u) for u in U9]).first()
-    return dyes, af, library, np.array([row[u] for u in U9])
+    limits = array_quantiles(neg.select(F.lit(0).alias("k"), F.array(*U9).alias("x")), "k", "x", len(U9), [0.9])[1]
+    return dyes, af, library, limits[0, 0]
 
 
 @query("unmix_greedy")
