@@ -63,9 +63,10 @@ def define_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: P
     table = control.blank_to_null(table)
     control.check(table, strict=strict)
     events, detectors = read_events(spark, folder, p)
-    grouped = control.gate_groups(table)
-    stem = F.regexp_replace("filename", r"(?i)\.fcs$", "")
-    events = events.join(F.broadcast(grouped.select(stem.alias("sample"), "fluorophore", "control_type", "gate_name", "negative_sample").where("sample IS NOT NULL")), "sample")
+    grouped = sample_names(control.gate_groups(table))
+    facts = grouped.where("stem IS NOT NULL").select("stem", F.col("file_sample").alias("sample"), "fluorophore", "control_type", "gate_name", F.col("file_negative").alias("negative_sample"))
+    events = events.withColumnRenamed("sample", "stem").join(F.broadcast(facts), "stem").drop("stem")
+    grouped = grouped.drop("stem", "file_sample", "file_negative")
     gates = {}
     if find:
         names = [r[0] for r in grouped.select("gate_name").distinct().collect()]  # a few gates
@@ -81,6 +82,19 @@ def define_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: P
     return FlowControl(grouped, detectors, p, gates, gated_events(events, gates, p))
 
 
+def sample_names(grouped: DataFrame) -> DataFrame:
+    """A gated control table with the file's stem, the name of each row's events (file_sample: the stem, and the gate's name where
+    a file is cut by several gates), and that of its negative's, cut by the same gate if there is one (file_negative)."""
+    stem = F.regexp_replace("filename", r"(?i)\.fcs$", "")
+    gates = F.size(F.collect_set(F.coalesce("gate_name", F.lit(""))).over(Window.partitionBy("filename")))
+    t = grouped.withColumn("stem", stem).withColumn("file_sample", F.when(gates > 1, F.format_string("%s [%s]", "stem", "gate_name")).otherwise(F.col("stem")))
+    files = t.select(F.col("filename").alias("universal_negative"), "gate_name", "file_sample")
+    exact = files.groupBy("universal_negative", "gate_name").agg(F.min("file_sample").alias("_same"))
+    loose = files.groupBy("universal_negative").agg(F.min("file_sample").alias("_any"))
+    t = t.join(exact, ["universal_negative", "gate_name"], "left").join(loose, "universal_negative", "left")
+    return t.withColumn("file_negative", F.coalesce("_same", "_any")).drop("_same", "_any")
+
+
 def reload_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: Parameters) -> FlowControl:
     """Metadata alone, for unmixing with saved spectra; a warning where detector voltages differ between files."""
     fcs.register(spark)

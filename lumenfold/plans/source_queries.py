@@ -212,20 +212,28 @@ def background_quality(spark, sf):
 
 @query(
     "clean_controls",
-    f"""WITH {EV}, pk AS (SELECT label, arg_max(pos, v) AS peak FROM (SELECT label, pos, avg(v) AS v FROM (SELECT label, unnest(range(64)) AS pos, unnest(x) AS v FROM ev WHERE label > 0) GROUP BY ALL) GROUP BY label),
-    th AS (SELECT pos, quantile_cont(v, 0.9) AS q FROM (SELECT unnest(range(64)) AS pos, unnest(x) AS v FROM ev WHERE label = 0) GROUP BY pos),
-    po AS (SELECT ev.label, vec_id, x, row_number() OVER (PARTITION BY ev.label ORDER BY x[peak + 1] DESC, vec_id) AS rn FROM ev JOIN pk USING (label) JOIN th ON pos = peak WHERE x[peak + 1] > q),
-    br AS (SELECT * FROM po WHERE rn <= 500),
-    kn AS (SELECT br.label, r.vec_id, row_number() OVER (PARTITION BY br.vec_id ORDER BY (br.x[1] - r.x[1]) ** 2 + (br.x[2] - r.x[2]) ** 2, r.vec_id) AS rank FROM br, ev r WHERE r.label = 0),
-    ng AS (SELECT DISTINCT label, vec_id FROM kn WHERE rank <= 3)
-    SELECT 'dye' || label AS fluorophore, 'positive' AS role, count(*) AS n FROM br GROUP BY label UNION ALL SELECT 'dye' || label, 'negative', count(*) FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM ng) WHERE r <= 1000 GROUP BY label""",
+    f"""WITH {EV}, ct AS (SELECT *, CASE WHEN label BETWEEN 1 AND 5 THEN 0 WHEN label IN (6, 8) THEN 9 END AS neg FROM ev WHERE label <> 8 OR vec_id % 3 = 0),
+    pk AS (SELECT label, neg, arg_max(pos, v) AS peak FROM (SELECT label, neg, pos, avg(v) AS v FROM (SELECT label, neg, unnest(range(64)) AS pos, unnest(x) AS v FROM ct) GROUP BY ALL) GROUP BY label, neg),
+    th AS (SELECT pk.label, quantile_cont(n.x[peak + 1], 0.9) AS q FROM pk JOIN ct n ON n.label = pk.neg GROUP BY pk.label),
+    po AS (SELECT ct.label, ct.neg, vec_id, x, row_number() OVER (PARTITION BY ct.label ORDER BY x[peak + 1] DESC, vec_id) AS rn, count(*) OVER (PARTITION BY ct.label) AS n FROM ct JOIN pk USING (label) JOIN th USING (label) WHERE x[peak + 1] > q),
+    br AS (SELECT * FROM po WHERE n >= 20 AND rn <= 500),
+    few AS (SELECT label, neg FROM pk WHERE neg IS NOT NULL AND label NOT IN (SELECT label FROM br)),
+    kn AS (SELECT br.label, r.vec_id, row_number() OVER (PARTITION BY br.vec_id ORDER BY (br.x[1] - r.x[1]) ** 2 + (br.x[2] - r.x[2]) ** 2, r.vec_id) AS rank FROM br JOIN ct r ON r.label = br.neg),
+    ng AS (SELECT DISTINCT label, vec_id FROM kn WHERE rank <= 3),
+    un AS (SELECT DISTINCT label, neg FROM br WHERE label NOT IN (SELECT label FROM ng GROUP BY label HAVING count(*) >= 20)),
+    rs AS (SELECT label, vec_id, 'positive' AS role FROM br UNION ALL SELECT label, vec_id, 'negative' FROM ng WHERE label NOT IN (SELECT label FROM un)
+        UNION ALL SELECT few.label, vec_id, 'positive' FROM few JOIN ct ON ct.label = few.label UNION ALL SELECT w.label, vec_id, 'negative' FROM (FROM few UNION ALL FROM un) w JOIN ct ON ct.label = w.neg
+        UNION ALL SELECT label, vec_id, 'all' FROM ct WHERE label = 7 UNION ALL SELECT label, vec_id, 'unstained' FROM ct WHERE label IN (0, 9))
+    SELECT CASE label WHEN 0 THEN 'AF' WHEN 9 THEN 'Negative' ELSE 'dye' || label END AS fluorophore, role, vec_id AS event_id FROM rs""",
 )
 def clean_controls(spark, sf):
-    """Positives and their matched negatives of every control, counted; background stays (see remove_background)."""
+    """The events that each control's spectrum is taken from: two negatives, a dye without one, a dye with few positives. The
+    controls are beads, so none has background events to lose."""
     from lumenfold.params import Parameters
     from lumenfold.plans.flow import clean_controls as run
 
-    ev = events(spark, sf)
-    name = F.when(F.col("label") == 0, "AF").otherwise(F.concat(F.lit("dye"), F.col("label")))
-    e = ev.select(F.col("vec_id").alias("event_id"), name.alias("sample"), name.alias("fluorophore"), F.get("x", F.lit(0)).alias("FSC-A"), F.get("x", F.lit(1)).alias("SSC-A"), F.col("x").alias("spectral"))
-    return run(e, Parameters(positivity=0.9), remove_af=False).groupBy("fluorophore", "role").agg(F.count(F.lit(1)).alias("n"))
+    ev = events(spark, sf).where("label <> 8 OR vec_id % 3 = 0")
+    name = F.when(F.col("label") == 0, "AF").when(F.col("label") == 9, "Negative").otherwise(F.concat(F.lit("dye"), F.col("label")))
+    negative = F.when(F.col("label").between(1, 5), "AF").when(F.col("label").isin(6, 8), "Negative")
+    e = ev.select(F.col("vec_id").alias("event_id"), name.alias("sample"), name.alias("fluorophore"), negative.alias("negative_sample"), F.lit("beads").alias("control_type"), F.get("x", F.lit(0)).alias("FSC-A"), F.get("x", F.lit(1)).alias("SSC-A"), F.col("x").alias("spectral"))
+    return run(e, Parameters(positivity=0.9, negative_n=1_000_000_000)).select("fluorophore", "role", "event_id")

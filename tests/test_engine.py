@@ -257,6 +257,59 @@ def test_cleaning_removes_background_first(spark):
     assert kept[:500].mean() > 0.95 and kept[500:1000].mean() > 0.9 and kept[1000:].mean() < 0.3
 
 
+def cleaned_plainly(rows, p, stop):
+    """clean_controls without background removal, one sample at a time: (sample, event, role)."""
+    out, by = [], {}
+    for r in rows:
+        by.setdefault(r["sample"], []).append(r)
+    for name, own in by.items():
+        neg = by.get(own[0]["negative"])
+        bare = own[0]["dye"] in ("AF", "Negative")
+        if neg is None or own[0]["negative"] == name:
+            out += [(name, r["id"], "unstained" if bare else "all") for r in own]
+            continue
+        peak = int(np.mean([r["x"] for r in own], axis=0).argmax())
+        limit = np.quantile([r["x"][peak] for r in neg], p.positivity_af if bare else p.positivity)
+        above = sorted((r for r in own if r["x"][peak] > limit), key=lambda r: (-r["x"][peak], r["id"]))
+        if len(above) < stop:
+            out += [(name, r["id"], "positive") for r in own] + [(name, r["id"], "negative") for r in neg]
+            continue
+        above = above[: p.positive_n]
+        near = {s["id"] for r in above for s in sorted(neg, key=lambda s: ((r["s"][0] - s["s"][0]) ** 2 + (r["s"][1] - s["s"][1]) ** 2, s["id"]))[:3]}
+        out += [(name, r["id"], "positive") for r in above] + [(name, i, "negative") for i in (near if len(near) >= stop else [r["id"] for r in neg])]
+    return sorted(out)
+
+
+def test_each_control_meets_its_own_negative(spark):
+    """Two negatives, an unstained sample with a negative of its own, few positives, few matches, no negative."""
+    rng = np.random.default_rng(6)
+    rows = []
+
+    def add(sample, dye, negative, n, bright=0.0, share=0.5, at=None):
+        for i in range(n):
+            x = rng.normal(0, 5, 4)
+            x[1] += bright * rng.lognormal(0, 0.3) * (rng.random() < share)
+            rows.append({"id": len(rows), "sample": sample, "dye": dye, "negative": negative, "s": (at or tuple(rng.normal(1e4, 2e3, 2))), "x": x.tolist()})
+
+    add("cells", "AF", "blank", 150)
+    add("blank", "Negative", None, 120)
+    add("one", "D1", "cells", 200, 500)
+    add("two", "D2", "blank", 200, 500)
+    add("dim", "D3", "cells", 90, 3, 0.02)
+    add("spot", "D4", "blank", 120, 500, 0.9, (1e4, 1e4))  # all in one place: three matches
+    add("alone", "D5", None, 40, 500)
+    add("lost", "D6", "no such file", 30, 500)
+    df = spark.createDataFrame([(r["id"], r["sample"], r["dye"], r["negative"], "beads", *map(float, r["s"]), r["x"]) for r in rows], "event_id long, sample string, fluorophore string, negative_sample string, control_type string, `FSC-A` double, `SSC-A` double, spectral array<double>").repartition(3)
+    p = params.Parameters(positive_n=60, negative_n=10_000, positivity=0.98, positivity_af=0.5)
+    with pytest.warns(UserWarning, match="fewer than"):
+        got = flow.clean_controls(df, p)
+        assert sorted((r["sample"], r["event_id"], r["role"]) for r in got.collect()) == cleaned_plainly(rows, p, p.min_cells_stop)
+    assert {r[0] for r in got.where("sample = 'two' AND role = 'negative'").select("fluorophore").distinct().collect()} == {"D2"}
+    some = flow.clean_controls(df, params.Parameters(positive_n=60, negative_n=15, positivity=0.98)).groupBy("sample", "role").count().collect()
+    n = {(r["sample"], r["role"]): r["count"] for r in some}
+    assert n["spot", "negative"] == 15 and n["blank", "unstained"] == 120
+
+
 def test_whole_single_events(spark):
     rng = np.random.default_rng(4)
     n = 400
