@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.functions.arrays import cosine_rows, lit_array, peak
+from lumenfold.functions.arrays import cosine_rows, peak
 from lumenfold.functions.ranks import array_quantiles
 from lumenfold.functions.stats import quantiles
 from lumenfold.functions.tables import written
@@ -264,41 +264,116 @@ def whole_single_events(events: DataFrame, p: Parameters, singlets: tuple[float,
     return rows
 
 
-def automated_spectra(events: DataFrame, p: Parameters, library: Panel | None = None, unstained: str = "AF", candidates: int = 1000, keep: int = 200, k: int = 2) -> tuple[Panel, list[tuple[str, str, float]]]:
-    """Spectra without gates: peak once the background direction is projected out, brightest candidates at it, of those the
-    least background-like, less the mean of their nearest unstained events in scatter; column medians, scaled, not
-    negative. Also (dye, status, similarity to the library): dyes below the threshold are marked for the gated route."""
-    width = _width(events)
-    neg = events.where(F.col("fluorophore") == unstained)
-    middle = quantiles(neg.select(F.posexplode("spectral").alias("pos", "v")), ["pos"], "v", 0.5, "m")
-    background = np.array([r["m"] for r in middle.orderBy("pos").collect()])
-    unit = background / max(np.linalg.norm(background), 1e-12)
-    means = Panel.collect(class_spectra(events.where(F.col("fluorophore") != unstained), "fluorophore", "spectral", width), "fluorophore", "spectrum")
-    peaks = {n: int((s - (s @ unit) * unit).argmax()) for n, s in zip(means.names, means.S, strict=True)}
-    at = F.element_at(F.create_map(*[F.lit(v) for kv in peaks.items() for v in kv]), F.col("fluorophore"))
-    rows = events.where(F.col("fluorophore") != unstained).withColumn("at_peak", F.get("spectral", at))
-    rows = clean.top(rows, "at_peak", candidates, ["fluorophore"])
-    rows = rows.withColumn("unlike", -cosine_rows(F.col("spectral"), lit_array(background)))
-    rows = clean.top(rows, "unlike", keep, ["fluorophore"])
+#: Of a control without a negative: its brightest events, and the share of its dimmest that stands for one.
+INTERNAL_TOP, INTERNAL_SHARE = 100, 0.1
+
+
+def automated_spectra(
+    events: DataFrame, p: Parameters, library: Panel | None = None, unstained: str = "AF", candidates: int = 1000, keep: int = 200, k: int = 2, refine: bool = True, gates: dict[str, list[tuple[float, float]]] | None = None,
+) -> tuple[Panel, list[tuple[str, str, float]]]:
+    """Spectra straight from controls, and (dye, status, similarity to the library) of each.
+
+    First route, without gates: the peak once the direction of the sample's own background is projected out, the brightest
+    candidates at it, of those the least background-like, less the mean of their k nearest events of the negative in scatter;
+    column medians, divided by the largest, not negative. A control without a negative takes the mean of its brightest
+    events less that of its dimmest.
+
+    Dyes whose similarity is under p.cosine_fail, or whose spectrum has no positive value, are LEGACY_REFINEMENT. With `refine`
+    they go the second route together: gated (where `gates` has their gate_name), cleaned against their negatives, robust
+    slopes; the spectrum more like the library's is kept (LEGACY_USED, LEGACY_REJECTED), a dye that no library knows
+    keeps its first one (LEGACY_REJECTED), and one without any finite spectrum is QC_FAIL. All others are OK.
+    """
+    if "sample" not in events.columns:
+        events = events.withColumn("sample", F.col("fluorophore"))
+    events = with_negatives(events, unstained)
+    width, spark = _width(events), events.sparkSession
+    every = events.groupBy("sample", "negative_sample").agg(F.first("fluorophore").alias("dye"), F.first(is_bare(F.col("fluorophore"))).alias("bare"), F.count(F.lit(1)).alias("n")).collect()  # a row a sample
+    have = {r["sample"] for r in every}
+    stained = {r["sample"]: r for r in every if not r["bare"]}
+    external = {s: r["negative_sample"] for s, r in stained.items() if r["negative_sample"] in have - {s}}
+    internal = sorted(stained.keys() - external.keys())
+    of = {s: r["dye"] for s, r in stained.items()}
+    means = Panel.collect(class_spectra(events.where(F.col("sample").isin(sorted(stained))), "sample", "spectral", width), "sample", "spectrum")
+    mean = dict(zip(means.names, means.S, strict=True))
+    raw: dict[str, np.ndarray] = {}
+    if external:
+        raw |= _against_negatives(events, p, external, mean, candidates, keep, k)
+    if internal:
+        raw |= _against_themselves(events, {s: int(mean[s].argmax()) for s in internal}, {s: stained[s]["n"] for s in internal}, width)
+
+    found = {}
+    for sample in sorted(raw, key=lambda s: of[s]):
+        top = raw[sample].max()
+        found[of[sample]] = np.maximum(raw[sample] / top, 0) if np.isfinite(top) and top > 0 else np.zeros(width)
+
+    def likeness(dye: str, s: np.ndarray) -> float:
+        if library is None or dye not in library.names:
+            return float("nan")
+        return float(spectra.cosine_cross(s[None], library.S[[library.names.index(dye)]])[0, 0])
+
+    log = {}
+    for dye, s in found.items():
+        c = likeness(dye, s)
+        log[dye] = ["LEGACY_REFINEMENT" if c < p.cosine_fail or not s.any() else "OK", c]
+    flagged = [dye for dye, (status, _) in log.items() if status != "OK"]
+    if refine and flagged:
+        samples = [s for s, dye in of.items() if dye in flagged]
+        part = events.where(F.col("sample").isin(samples + sorted({external[s] for s in samples if s in external})))
+        if gates:
+            part = gated_events(part, gates, p)
+        cleaned = clean_controls(part, p, unstained).where(F.col("fluorophore").isin(flagged))
+        second = Panel.collect(spectra.robust_spectra(cleaned, "fluorophore", "spectral", width), "fluorophore", "spectrum")
+        slopes = {dye: s for dye, s in zip(second.names, second.S, strict=True) if np.isfinite(s).all()}
+        for dye in flagged:
+            first, c = log[dye][1], likeness(dye, slopes[dye]) if dye in slopes else float("nan")
+            better = not np.isnan(c) and not c <= first
+            if better:
+                found[dye] = slopes[dye]
+            log[dye] = ["LEGACY_USED" if better else "LEGACY_REJECTED" if dye in slopes or found[dye].any() else "QC_FAIL", c if better else first]
+        warnings.warn("low similarity to the library, second route taken: " + ", ".join(f"{d} {log[d][0]}" for d in flagged), stacklevel=2)
+    return Panel(list(found), np.array(list(found.values())).reshape(len(found), width)), [(dye, *log[dye]) for dye in found]
+
+
+def _against_negatives(events: DataFrame, p: Parameters, negative: dict[str, str], mean: dict[str, np.ndarray], candidates: int, keep: int, k: int) -> dict[str, np.ndarray]:
+    """Medians of each sample's bright, least background-like events, each less its nearest events of the negative."""
+    spark, width = events.sparkSession, len(next(iter(mean.values())))
+    negatives = events.where(F.col("sample").isin(sorted(set(negative.values()))))
+    middle = Panel.collect(class_medians(negatives, "sample", "spectral", width), "sample", "spectrum")
+    background = dict(zip(middle.names, middle.S, strict=True))
+    rows = []
+    for s, n in negative.items():
+        unit = background[n] / max(np.linalg.norm(background[n]), 1e-12)
+        rows.append((s, n, int((mean[s] - (mean[s] @ unit) * unit).argmax()), background[n].tolist()))
+    facts = F.broadcast(spark.createDataFrame(rows, "sample string, _negative string, _peak int, _background array<double>"))  # a row a sample
+    at = events.drop("negative_sample").join(facts, "sample").withColumn("_v", F.get("spectral", F.col("_peak")))
+    best = clean.top(at, "_v", candidates, ["sample"]).withColumn("_unlike", -cosine_rows(F.col("spectral"), F.col("_background")))
     axes = [f"`{c}`" for c in p.scatter]
-    ref = clean.sample_rows(neg, BACKGROUND_EVENTS, "event_id").select("event_id", *[F.col(a).alias(f"a{i}") for i, a in enumerate(axes)], "spectral").collect()
-    R, T = np.array([r["spectral"] for r in ref]), np.array([(r["a0"], r["a1"]) for r in ref], dtype=float)
-
-    def subtract(M):
-        near = ((M[:, None, :2] - T[None]) ** 2).sum(-1).argsort(1, kind="stable")[:, :k]
-        return list((M[:, 2:] - R[near].mean(1)).T)
-
-    packed = rows.select("fluorophore", F.concat(F.array(*[F.col(a) for a in axes]), F.col("spectral")).alias("m"))
-    left = unmix.apply_kernel(packed, "m", width + 2, subtract, [(f"d{i}", "double") for i in range(width)])
-    med = left.groupBy("fluorophore").agg(*[F.percentile(f"d{i}", F.lit(0.5)).alias(f"d{i}") for i in range(width)]).orderBy("fluorophore").collect()
-    S = np.array([[r[f"d{i}"] for i in range(width)] for r in med])
-    S = np.maximum(S / np.maximum(S.max(1, keepdims=True), 1e-12), 0)
-    panel = Panel([r["fluorophore"] for r in med], S)
-    log = []
-    for n, s in zip(panel.names, panel.S, strict=True):
-        c = float(spectra.cosine_cross(s[None], library.S[[library.names.index(n)]])[0, 0]) if library and n in library.names else float("nan")
-        log.append((n, "LEGACY_REFINEMENT" if c < 0.9 or not np.isfinite(s).all() else "OK", c))
-    return panel, log
+    best = written(clean.top(best, "_unlike", keep, ["sample"]).select(F.struct("sample", "event_id").alias("q"), "_negative", "spectral", *axes), "candidates")
+    near = knn_join(best, negatives.select(F.col("sample").alias("_negative"), "event_id", *axes), k, "q", "event_id", axes, key="_negative")
+    matched = near.join(best.select("q", "_negative"), "q").join(negatives.select(F.col("sample").alias("_negative"), F.col("event_id").alias("ref_id"), F.col("spectral").alias("_b")), ["_negative", "ref_id"])
+    under = class_spectra(matched, "q", "_b", width)
+    left = best.join(under, "q", "left")  # events without scatter have no neighbours: nothing is taken off
+    left = left.select("q.sample", F.when(F.col("spectrum").isNull(), F.col("spectral")).otherwise(F.zip_with("spectral", "spectrum", lambda a, b: a - b)).alias("x"))
+    got = Panel.collect(class_medians(left, "sample", "x", width), "sample", "spectrum")
+    return dict(zip(got.names, got.S, strict=True))
+
+
+def _against_themselves(events: DataFrame, peaks: dict[str, int], n: dict[str, int], width: int) -> dict[str, np.ndarray]:
+    """Mean of each sample's brightest events less that of its dimmest tenth (at least two; equal values at its edge count)."""
+    spark = events.sparkSession
+    facts = F.broadcast(spark.createDataFrame(list(peaks.items()), "sample string, _peak int"))
+    at = events.join(facts, "sample").select("sample", "event_id", "spectral", F.get("spectral", F.col("_peak")).alias("_v"))
+    high = class_spectra(clean.top(at, "_v", INTERNAL_TOP, ["sample"]), "sample", "spectral", width)
+    edges = []
+    for s in peaks:  # a few controls, one value each
+        last = min(n[s], max(2, int(n[s] * INTERNAL_SHARE))) - 1
+        _, q = array_quantiles(at.where(F.col("sample") == s).select("sample", F.array("_v").alias("v")), "sample", "v", 1, [last / max(1, n[s] - 1)])
+        edges.append((s, float(q[0, 0, 0])))
+    edge = F.broadcast(spark.createDataFrame(edges, "sample string, _edge double"))
+    low = class_spectra(at.join(edge, "sample").where(F.col("_v") <= F.col("_edge") + F.abs("_edge") * 1e-12), "sample", "spectral", width)
+    got = [Panel.collect(df, "sample", "spectrum") for df in (high, low)]
+    below = dict(zip(got[1].names, got[1].S, strict=True))
+    return {s: np.maximum(v - below[s], 0) for s, v in zip(got[0].names, got[0].S, strict=True)}
 
 
 def checked(p: Panel, method: str, af: Panel | None) -> Panel:

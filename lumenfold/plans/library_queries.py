@@ -269,20 +269,47 @@ def unmix_poisson_counts(spark, sf):
     cb AS (SELECT label, vec_id, x FROM ca, nb QUALIFY row_number() OVER (PARTITION BY label ORDER BY list_dot_product(y, b) / (sqrt(list_dot_product(y, y)) * sqrt(list_dot_product(b, b)) + 1e-9), vec_id) <= 200),
     kn AS (SELECT cb.vec_id, r.vec_id AS ref, row_number() OVER (PARTITION BY cb.vec_id ORDER BY (cb.x[1] - r.x[1]) ** 2 + (cb.x[2] - r.x[2]) ** 2) AS rank FROM cb, ev r WHERE r.label = 0),
     bk AS (SELECT kn.vec_id, pos, avg(v) AS b FROM kn JOIN lg ON lg.vec_id = ref WHERE rank <= 2 GROUP BY kn.vec_id, pos),
-    md AS (SELECT cb.label, bk.pos, median(x[bk.pos + 1] - b) AS m FROM cb JOIN bk USING (vec_id) GROUP BY cb.label, bk.pos)
-    SELECT 'dye' || label AS fluorophore, arg_max(pos, m)::INT AS peak, 'OK' AS status FROM md GROUP BY label""",
+    md AS (SELECT cb.label, bk.pos, median(x[bk.pos + 1] - b) AS m FROM cb JOIN bk USING (vec_id) GROUP BY cb.label, bk.pos),
+    mx AS (SELECT label, max(m) AS t FROM md GROUP BY label),
+    fs AS (SELECT label, list(greatest(m / t, 0.0) ORDER BY pos) AS s FROM md JOIN mx USING (label) GROUP BY label),
+    lr AS (SELECT a.label, list_transform(list_zip(a.s, b.s), lambda z: greatest(z[1] - z[2], 0.0)) AS r FROM sp a, sp b WHERE b.label = 0 AND a.label > 0),
+    lb AS (SELECT k.label, list_transform(r, lambda z: z / list_max(r)) AS r FROM (SELECT label, CASE label WHEN 3 THEN 4 WHEN 7 THEN 8 ELSE label END AS src FROM sp WHERE label > 0) k JOIN lr ON lr.label = k.src),
+    cs AS (SELECT label, s, list_dot_product(s, r) / (sqrt(list_dot_product(s, s) + 1e-9) * sqrt(list_dot_product(r, r) + 1e-9)) AS c FROM fs JOIN lb USING (label))
+    SELECT 'dye' || label AS fluorophore, CASE WHEN c < 0.6 THEN 'LEGACY_REFINEMENT' ELSE 'OK' END AS status, round(c, 6) + 0.0 AS similarity, pos::INT AS pos, round(s[pos + 1], 6) + 0.0 AS v
+    FROM cs, (SELECT unnest(range(64)) AS pos)""",
 )
 def automated_spectra(spark, sf):
-    """Spectra straight from controls, with the first two detectors as scatter."""
+    """Spectra straight from controls, with the first two detectors as scatter; the library has wrong spectra of two dyes."""
+    return _automated(spark, sf, False)
+
+
+@query("refined_spectra")
+def refined_spectra(spark, sf):
+    """The same, and a second route for the dyes that are little like the library."""
+    return _automated(spark, sf, True)
+
+
+def _automated(spark, sf, refine):
     from lumenfold.params import Parameters
     from lumenfold.plans.flow import automated_spectra as run
 
+    e, library = controls_and_library(spark, sf)
+    panel, log = run(e, Parameters(cosine_fail=0.6), library, refine=refine)
+    of = {n: (s, c) for n, s, c in log}
+    rows = [(n, of[n][0], round(of[n][1], 6) + 0.0, i, round(float(v), 6) + 0.0) for n, s in zip(panel.names, panel.S, strict=True) for i, v in enumerate(s)]
+    return spark.createDataFrame(rows, "fluorophore string, status string, similarity double, pos int, v double")
+
+
+def controls_and_library(spark, sf):
+    """The classes as controls, class 0 unstained; and a library of their means less its mean, those of dyes 3 and 7 mistaken
+    for their neighbours'."""
     ev = events(spark, sf)
     name = F.when(F.col("label") == 0, "AF").otherwise(F.concat(F.lit("dye"), F.col("label")))
     e = ev.select(F.col("vec_id").alias("event_id"), name.alias("fluorophore"), F.get("x", F.lit(0)).alias("FSC-A"), F.get("x", F.lit(1)).alias("SSC-A"), F.transform("x", lambda v: v + 1).alias("spectral"))
-    panel, log = run(e, Parameters())
-    status = {n: s for n, s, _ in log}
-    return spark.createDataFrame([(n, int(s.argmax()), status[n]) for n, s in zip(panel.names, panel.S, strict=True)], "fluorophore string, peak int, status string")
+    means = Panel.collect(class_spectra(ev), "label", "spectrum")
+    raw = np.maximum(means.S[1:] - means.S[0], 0)
+    scaled = raw / raw.max(1, keepdims=True)
+    return e, Panel([f"dye{k}" for k in range(1, 10)], scaled[[{3: 4, 7: 8}.get(k, k) - 1 for k in range(1, 10)]])
 
 
 @query("worst_channels", f"{BASE} SELECT label, pos::INT AS pos, round(sd, 6) + 0.0 AS sd FROM (SELECT label, pos, stddev_samp(v) AS sd, row_number() OVER (PARTITION BY label ORDER BY round(stddev_samp(v), 9) DESC, pos) AS r FROM lg GROUP BY label, pos) WHERE r <= 2")

@@ -310,6 +310,65 @@ def test_each_control_meets_its_own_negative(spark):
     assert n["spot", "negative"] == 15 and n["blank", "unstained"] == 120
 
 
+def test_second_route_for_unlike_dyes(spark):
+    """Two dyes that a library does not know by their first spectra: refined together; statuses, similarities and spectra by
+    plain rules. Internal controls by theirs."""
+    rng = np.random.default_rng(12)
+    S = np.array([[1, 0.4, 0.1, 0.0, 0.05], [0.1, 1, 0.5, 0.1, 0.0], [0.0, 0.2, 1, 0.6, 0.1], [0.3, 0.0, 0.1, 1, 0.4]])
+    af = np.array([0.5, 0.7, 1.0, 0.8, 0.6])
+    rows = []
+    for k, (name, neg) in enumerate((("AF", None), ("D0", "AF"), ("D1", "AF"), ("D2", "AF"), ("D3", None))):
+        n = 400
+        u = np.zeros(n) if name == "AF" else rng.lognormal(6, 1, n) * (rng.random(n) < 0.5)
+        X = np.outer(u, S[k - 1]) + np.outer(rng.normal(60, 6, n), af) + rng.normal(0, 4, (n, 5))
+        if name == "D1":  # a crowd of bright debris that the first route takes for the dye
+            X[:220] = np.outer(rng.lognormal(7.5, 0.2, 220), [0.6, 1.0, 0.0, 0.0, 0.9]) + rng.normal(0, 4, (220, 5))
+        rows += [(1000 * k + i, name, neg, "beads", *map(float, rng.normal(1e4, 1e3, 2)), x.tolist()) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "event_id long, fluorophore string, negative_sample string, control_type string, `FSC-A` double, `SSC-A` double, spectral array<double>").repartition(3)
+    library = Panel(["D0", "D1", "D2"], np.vstack([S[0], S[1], S[2][::-1]]))
+    p = params.Parameters(positivity=0.95)
+    first, log = flow.automated_spectra(df, p, library, refine=False)
+    status = {n: s for n, s, _ in log}
+    assert status == {"D0": "OK", "D1": "LEGACY_REFINEMENT", "D2": "LEGACY_REFINEMENT", "D3": "OK"}
+    with pytest.warns(UserWarning, match="second route"):
+        panel, log = flow.automated_spectra(df, p, library)
+
+    by = {name: [r for r in rows if r[1] == name] for name in ("AF", "D0", "D1", "D2", "D3")}
+    neg = np.array([r[6] for r in by["AF"]])
+    where = np.array([r[4:6] for r in by["AF"]])
+    b = np.median(neg, axis=0)
+    for name in ("D0", "D1", "D2"):
+        X, at = np.array([r[6] for r in by[name]]), np.array([r[4:6] for r in by[name]])
+        unit = b / np.linalg.norm(b)
+        m = X.mean(0)
+        peak = int((m - (m @ unit) * unit).argmax())
+        order = np.argsort(-X[:, peak], kind="stable")[:1000]
+        cos = (X[order] @ b) / (np.linalg.norm(X[order], axis=1) * np.linalg.norm(b) + 1e-9)
+        order = order[np.argsort(cos, kind="stable")[:200]]
+        near = ((at[order][:, None] - where[None]) ** 2).sum(-1).argsort(1, kind="stable")[:, :2]
+        want = np.median(X[order] - neg[near].mean(1), axis=0)
+        assert np.allclose(first.S[first.names.index(name)], np.maximum(want / want.max(), 0), atol=1e-9)
+    X = np.array([r[6] for r in by["D3"]])
+    v = X[:, int(X.mean(0).argmax())]
+    order = np.argsort(v, kind="stable")
+    want = np.maximum(X[order[-100:]].mean(0) - X[order[:40]].mean(0), 0)
+    assert np.allclose(first.S[first.names.index("D3")], want / want.max(), atol=1e-9)
+
+    cleaned = cleaned_plainly([{"id": r[0], "sample": r[1], "dye": r[1], "negative": r[2], "s": r[4:6], "x": r[6]} for r in rows], p, p.min_cells_stop)
+    of = {r[0]: np.array(r[6]) for r in rows}
+    for name, s, c in log:
+        if name in ("D1", "D2"):
+            Y = np.array([of[i] for n, i, _ in cleaned if n == name])
+            at = int(Y.mean(0).argmax())
+            slopes = np.array([kernels.huber_line(Y[:, at], y)[1] for y in Y.T])
+            second = slopes / slopes.max()
+            known, one = library.S[library.names.index(name)], first.S[first.names.index(name)]
+            likeness = [float(a @ known / np.linalg.norm(a) / np.linalg.norm(known)) for a in (one, second)]
+            better = likeness[1] > likeness[0]
+            assert s == ("LEGACY_USED" if better else "LEGACY_REJECTED") and abs(c - max(likeness)) < 1e-6
+            assert np.allclose(panel.S[panel.names.index(name)], second if better else one, atol=1e-6)
+
+
 def test_whole_single_events(spark):
     rng = np.random.default_rng(4)
     n = 400
@@ -504,7 +563,7 @@ def test_queries_take_the_operators_own_parameters(spark, sf, monkeypatch):
     seen, tried = {}, set()
     run, greedy = flow.automated_spectra, kernels.greedy
     monkeypatch.setattr(flow, "automated_spectra", lambda *a, **k: seen.update(k) or run(*a, **k))
-    assert library_queries.automated_spectra(spark, sf).count() == 9 and not {"candidates", "keep", "k"} & set(seen)
+    assert library_queries.automated_spectra(spark, sf).count() == 9 * 64 and not {"candidates", "keep", "k"} & set(seen)
     own = unmix.unmix_per_cell_af
     monkeypatch.setattr(unmix, "unmix_per_cell_af", lambda *a, **k: tried.update(k) or own(*a, **k))
     assert unmix_queries.unmix_greedy(spark, sf).count() > 0 and "tries" not in tried and greedy.__defaults__ == (10,)
