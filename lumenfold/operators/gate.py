@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 from pyspark.sql.window import Window
 
-from lumenfold.functions.stats import quantiles
+from lumenfold.functions.ranks import array_quantiles
+from lumenfold.functions.stats import MAD_SCALE
+from lumenfold.operators import contours
+
+#: Fixed value: the factor that takes the lower bound in forward scatter out to dead cells.
+VIABILITY = 0.67
 
 
 def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
@@ -99,24 +105,77 @@ def mass_threshold(z: np.ndarray, share: float) -> float:
 
 
 def density_hull(z: np.ndarray, gx: np.ndarray, gy: np.ndarray, share: float = 0.7) -> list[tuple[float, float]]:
-    """Hull of the largest connected region of cells that hold `share` of the mass."""
-    keep = z >= mass_threshold(z, share)
-    label, best = np.zeros(z.shape, dtype=int), []
-    n = 0
-    for i, j in zip(*np.nonzero(keep), strict=True):
-        if label[i, j]:
-            continue
-        n += 1
-        label[i, j], stack, cells = n, [(i, j)], []
-        while stack:
-            a, b = stack.pop()
-            cells.append((a, b))
-            for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
-                if 0 <= c < z.shape[0] and 0 <= d < z.shape[1] and keep[c, d] and not label[c, d]:
-                    label[c, d] = n
-                    stack.append((c, d))
-        best = max(best, cells, key=len)
-    return hull(np.array([(gx[i], gy[j]) for i, j in best]))
+    """Hull of the longest contour line at the density above which `share` of the mass lies."""
+    return hull(contours.longest(gx, gy, z, mass_threshold(z, share)))
+
+
+def spreads(df: DataFrame, x: str, y: str) -> dict[str, float]:
+    """Extent, deviation and quartiles of both axes, and the number of events: what grids and bandwidths need, in one pass for
+    the sums and three for the exact quartiles."""
+    sums = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{a}") for a, c in (("x", x), ("y", y)) for k, f in (("min", F.min), ("max", F.max), ("sd", F.stddev_samp))]).first()
+    out = {k: (0.0 if v is None else float(v)) for k, v in sums.asDict().items()}
+    _, q = array_quantiles(df.select(F.lit(0).alias("k"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("v")), "k", "v", 2, [0.25, 0.75])
+    for i, a in enumerate("xy"):
+        out[f"q1_{a}"], out[f"q3_{a}"] = (float(q[0, j, i]) if len(q) else 0.0 for j in (0, 1))
+    return out
+
+
+def normal_reference(s: dict[str, float], factor: float = 1.0, least: float = 0.1) -> tuple[float, float]:
+    """Standard deviations of the kernel on both axes by the normal reference rule: 1.06 times the lesser of deviation and
+    quartile distance over 1.34, times the fifth root of 1 / n. Where that is nothing, a fourth of `least`."""
+    n = max(s["n"], 1.0)
+    raw = [1.06 * min(s[f"sd_{a}"], (s[f"q3_{a}"] - s[f"q1_{a}"]) / 1.34) * n**-0.2 for a in "xy"]
+    return tuple(factor * (h or least / 4) for h in raw)
+
+
+def density(df: DataFrame, x: str, y: str, n: int, factor: float = 1.0, bandwidth: tuple[float, float] | None = None, lo=None, hi=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grid x, grid y, density) over the events' extent (or lo to hi), with the reference bandwidth (or the given one)."""
+    s = spreads(df, x, y)
+    if not s["n"]:
+        raise ValueError("no event in range")
+    lo, hi = lo or (s["min_x"], s["min_y"]), hi or (s["max_x"], s["max_y"])
+    hi = tuple(h if h > l else l + 1.0 for l, h in zip(lo, hi, strict=True))  # all in one place
+    z = np.zeros((n, n))
+    for r in kde(df, x, y, lo, hi, n, bandwidth or normal_reference(s, factor)).collect():
+        z[r["i"], r["j"]] = r["density"]
+    return np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n), z
+
+
+def hull_of_events(df: DataFrame, x: str, y: str) -> list[tuple[float, float]]:
+    """Convex hull of all events: tasks send the corners of their own."""
+
+    def corners(batches):
+        held = np.empty((0, 2))
+        for batch in batches:
+            own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+            held = np.array(hull(np.concatenate([held, own])), dtype=float).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["x", "y"])
+
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).mapInArrow(corners, "x double, y double").collect()
+    return hull(np.array([(r["x"], r["y"]) for r in rows]).reshape(-1, 2))
+
+
+def with_density(df: DataFrame, x: str, y: str, gx: np.ndarray, gy: np.ndarray, z: np.ndarray) -> DataFrame:
+    """(x, y, d): each event with the density at the lower corner of its cell of the grid."""
+
+    def look(batches):
+        for batch in batches:
+            at = [np.clip(np.searchsorted(g, batch.column(i).to_numpy(zero_copy_only=False), side="right") - 1, 0, len(g) - 2) for i, g in enumerate((gx, gy))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z[at[0], at[1]])], ["x", "y", "d"])
+
+    return df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).mapInArrow(look, "x double, y double, d double")
+
+
+def enlarged(polygon: list[tuple[float, float]], quantile: float, by: tuple[float, float]) -> list[tuple[float, float]]:
+    """For large cells: what lies beyond a quantile of the corners in x is moved out in x, and what lies beyond both in y."""
+    c = np.array(polygon)
+    edge = np.quantile(c, quantile, axis=0)
+    right = c[:, 0] > edge[0]
+    up = right & (c[:, 1] > edge[1])
+    out = c.copy()
+    out[right, 0] += (c[right, 0] - edge[0]) * (by[0] - 1)
+    out[up, 1] += (c[up, 1] - edge[1]) * (by[1] - 1)
+    return hull(out)
 
 
 def stretched(polygon: list[tuple[float, float]], by: float, x_max: float, y_max: float) -> list[tuple[float, float]]:
@@ -125,53 +184,73 @@ def stretched(polygon: list[tuple[float, float]], by: float, x_max: float, y_max
     return [tuple(map(float, np.clip(c + by * (np.array(p) - c), 0, (x_max, y_max)))) for p in polygon]
 
 
-def find_gate(df: DataFrame, x: str, y: str, lo, hi, n: int = 100, share: float = 0.7, target: int = 0, exclude=(0.1, 0.05), f_mad: float = 3.0, viability: bool = False, large: float | None = None) -> list[tuple[float, float]]:
-    """A cell gate: density peaks, those in the low corner left out; the region nearest the target peak; a box of median and
-    MAD in it; the density's hull there. Only grids and quantiles reach the driver."""
-    span = [hi[a] - lo[a] for a in (0, 1)]
-    width = (span[0] / 30, span[1] / 30)
-    gx, gy = np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n)
-
-    def grid(part, a, b):
-        z = np.zeros((n, n))
-        for r in kde(part, x, y, a, b, n, width).collect():
-            z[r["i"], r["j"]] = r["density"]
-        return z
-
-    inside = df.where(in_rectangle(F.col(x), F.col(y), lo[0], hi[0], lo[1], hi[1]))
-    peaks = [(gx[i], gy[j]) for i, j in local_maxima(grid(inside, lo, hi), 2)]
-    kept = [p for p in peaks if not (p[0] < lo[0] + exclude[0] * span[0] and p[1] < lo[1] + exclude[1] * span[1])] or peaks
-    if not kept:
-        raise ValueError("no density peak in range")
-    aim = kept[min(target, len(kept) - 1)]
-    near = voronoi(inside, x, y, peaks).where(F.col("peak") == peaks.index(aim))
-    middle = lambda c: quantiles(near.select(c.alias("_c")), [], "_c", 0.5, "_m").first()["_m"]
-    q = [middle(F.col(c)) for c in (x, y)]
-    mad = [middle(F.abs(F.col(c) - q[a])) for a, c in enumerate((x, y))]
-    box = [(max(lo[a], q[a] - f_mad * 1.4826 * mad[a] * (0.67 if viability and a == 0 else 1)), min(hi[a], q[a] + f_mad * 1.4826 * mad[a])) for a in (0, 1)]
-    boxed = near.where(in_rectangle(F.col(x), F.col(y), *box[0], *box[1]))
-    gate = density_hull(grid(boxed, lo, hi), gx, gy, share)
-    return gate if large is None else stretched(gate, large, hi[0], hi[1])
-
-
-def landmark_gate(stained: DataFrame, value: str, x: str, y: str, lo, hi, n_events: int = 2000, share: float = 0.7, n: int = 100, sample: str = "sample", id_col: str = "event_id") -> list[tuple[float, float]]:
-    """Where the brightest stained events lie: the hull of the density region with `share` of the mass of the n_events
-    brightest of every control."""
-    from lumenfold.operators.clean import top
+def find_gate(
+    df: DataFrame, x: str, y: str, lo, hi, n: int = 100, threshold: float = 0.05, target: int = 0, exclude=(0.1, 0.05), f_mad: float = 3.0, viability: bool = False, large: tuple[float, tuple[float, float]] | None = None,
+    trim: tuple[float, float, float, float] = (0.0, 1.0, 0.0, 1.0), factors: tuple[float, float] = (1.0, 1.0), reach: int = 2,
+) -> list[tuple[float, float]]:
+    """A cell gate around the events of one density peak.
 
-    bright = top(stained, value, n_events, [sample], id_col)
-    z = np.zeros((n, n))
-    for r in kde(bright, x, y, lo, hi, n, ((hi[0] - lo[0]) / 30, (hi[1] - lo[1]) / 30)).collect():
-        z[r["i"], r["j"]] = r["density"]
-    if z.sum() <= 0:
+    Events inside lo to hi, and inside their own extent, give a density with the reference bandwidth (times factors[0]); its
+    peaks, the highest first, leave out those in the low corner of the trimmed extent (within `exclude` of both axes) up to
+    the first that is not, from which `target` counts. Events nearest to the target among all peaks, within f_mad scaled MADs of
+    their median on both axes, give a second density (times factors[1]); the gate is the hull of those whose density is more
+    than `threshold` of the way from the least to the greatest. `viability` moves the lower bound in x by 0.67; `large`
+    (quantile, factors) moves the upper corners out. Grids, quantiles and corners reach the driver, never events.
+    """
+    s = spreads(df, x, y)
+    if not s["n"]:
         raise ValueError("no event in range")
-    return density_hull(z, np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n), share)
+    low, high = (max(lo[0], s["min_x"]), max(lo[1], s["min_y"])), (min(hi[0], s["max_x"]), min(hi[1], s["max_y"]))
+    inside = df.where(in_rectangle(F.col(x), F.col(y), low[0], high[0], low[1], high[1]))
+    gx, gy, z = density(inside, x, y, n, factors[0])
+    peaks = [(gx[i], gy[j]) for i, j in local_maxima(z, reach)]
+    begin = [(1 - trim[2 * a]) * low[a] + trim[2 * a] * high[a] for a in (0, 1)]
+    end = [(1 - trim[2 * a + 1]) * low[a] + trim[2 * a + 1] * high[a] for a in (0, 1)]
+    first = next((i for i, p in enumerate(peaks) if any((p[a] - begin[a]) / (end[a] - begin[a]) > exclude[a] for a in (0, 1))), None)
+    if first is None or first + target >= len(peaks):
+        raise ValueError("no density peak in range" if first is None else "no such density peak in range")
+    near = voronoi(inside, x, y, peaks).where(F.col("peak") == first + target)
+    _, q = array_quantiles(near.select(F.lit(0).alias("k"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("v")), "k", "v", 2, [0.5])
+    if not len(q):
+        raise ValueError("no event near the density peak")
+    middle = q[0, 0]
+    _, m = array_quantiles(near.select(F.lit(0).alias("k"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("v")), "k", "v", 2, [0.5], lambda k, v: np.abs(v - middle))
+    reach_of = f_mad * MAD_SCALE * m[0, 0]
+    box = [(max(low[a], middle[a] - reach_of[a]), min(high[a], middle[a] + reach_of[a])) for a in (0, 1)]
+    if viability:
+        box[0] = (box[0][0] * VIABILITY, box[0][1])
+    boxed = near.where(in_rectangle(F.col(x), F.col(y), *map(float, (*box[0], *box[1]))))
+    rows = with_density(boxed, x, y, *density(boxed, x, y, n, factors[1]))
+    ends = rows.agg(F.min("d"), F.max("d")).first()
+    gate = hull_of_events(rows.where(F.col("d") > (1 - threshold) * ends[0] + threshold * ends[1]), "x", "y")
+    if len(gate) < 3:
+        raise ValueError("the dense region has no extent")
+    return gate if large is None else enlarged(gate, *large)
+
+
+def pooled_gate(df: DataFrame, x: str, y: str, lo, hi, n: int, share: float, factor: float, bandwidth: tuple[float, float] | None) -> list[tuple[float, float]]:
+    inside = df.where(F.col(x).between(lo[0], hi[0]) & F.col(y).between(lo[1], hi[1]))
+    gx, gy, z = density(inside, x, y, n, factor, bandwidth)
+    return density_hull(z, gx, gy, share)
+
+
+def landmark_gate(stained: DataFrame, value: str, x: str, y: str, lo, hi, n_events: int = 2000, share: float = 0.7, n: int = 100, sample: str = "sample", id_col: str = "event_id", factor: float = 1.0, bandwidth: tuple[float, float] | None = None) -> list[tuple[float, float]]:
+    """Where the brightest stained events lie: of the n_events brightest of every control, those inside lo to hi; the hull of the
+    longest contour line of their density (reference bandwidth times `factor`, over their extent) that holds `share` of the mass."""
+    from lumenfold.operators.clean import top
+
+    return pooled_gate(top(stained, value, n_events, [sample], id_col), x, y, lo, hi, n, share, factor, bandwidth)
+
+
+def scatter_gate(df: DataFrame, x: str, y: str, share: float = 0.5, n: int = 10, factor: float = 1.0) -> list[tuple[float, float]]:
+    """The same of all events, over their extent: where matched events lie."""
+    gx, gy, z = density(df, x, y, n, factor)
+    return density_hull(z, gx, gy, share)
 
 
-def tune_gate(df: DataFrame, value: str, x: str, y: str, lo, hi, n_events=(100, 500, 2000), shares=(0.3, 0.5, 0.7), n: int = 100, bandwidth: tuple[float, float] | None = None, ties: list[str] = (), sample: str | None = None) -> list[tuple[int, float, list[tuple[float, float]]]]:
-    """(n_events, share, gate) for a grid of settings: the hull of the region that holds `share` of the density of the n_events
-    brightest events (of every sample, if one is named)."""
-    width = bandwidth or tuple((hi[a] - lo[a]) / 30 for a in (0, 1))
+def tune_gate(df: DataFrame, value: str, x: str, y: str, lo, hi, n_events=(100, 500, 2000), shares=(0.3, 0.5, 0.7), n: int = 100, bandwidth: tuple[float, float] | None = None, ties: list[str] = (), sample: str | None = None, factor: float = 1.0) -> list[tuple[int, float, list[tuple[float, float]]]]:
+    """(n_events, share, gate) for a grid of settings of landmark_gate(): n_events brightest events (of every sample, if one is
+    named), one density a number, one contour a share."""
     out = []
     for m in n_events:
         order = [F.col(value).desc(), *ties]
@@ -180,10 +259,9 @@ def tune_gate(df: DataFrame, value: str, x: str, y: str, lo, hi, n_events=(100,
             part = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= m)
         else:
             part = df.orderBy(*order).limit(m)
-        z = np.zeros((n, n))
-        for r in kde(part, x, y, lo, hi, n, width).collect():
-            z[r["i"], r["j"]] = r["density"]
-        out += [(m, s, density_hull(z, np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n), s)) for s in shares]
+        inside = part.where(F.col(x).between(lo[0], hi[0]) & F.col(y).between(lo[1], hi[1]))
+        gx, gy, z = density(inside, x, y, n, factor, bandwidth)
+        out += [(m, s, density_hull(z, gx, gy, s)) for s in shares]
     return out
 
 

@@ -114,10 +114,10 @@ def unmix_wls_per_cell(df, panel: Panel, array_col="spectral", **options):
     return apply_kernel(df, array_col, panel.S.shape[1], *wls_per_cell_kernel(panel, **options))
 
 
-def poisson_kernel(panel: Panel, weights, names=None, iterations=100, **options):
+def poisson_kernel(panel: Panel, weights, names=None, iterations=100, solver=kernels.poisson, **options):
     S = panel.S
     P = kernels.wls(S, np.asarray(weights))
-    return lambda X: list(kernels.poisson(X, S, X @ P.T, iterations, **options).T), [(str(n), "double") for n in names or panel.names]
+    return lambda X: list(solver(X, S, X @ P.T, iterations, **options).T), [(str(n), "double") for n in names or panel.names]
 
 
 def unmix_poisson(df, panel: Panel, array_col="spectral", weights=None, **options):
@@ -198,12 +198,12 @@ def unmix_joint(df, panel: Panel, af: Panel, library=None, thresholds=None, arra
     return apply_kernel(df, array_col, panel.S.shape[1], *joint_kernel(panel, af, library, thresholds, **known, **options))
 
 
-#: The fast Poisson method guards against divergence.
-GUARDED = {"divergence": 1e4, "handling": "Balance", "balance": 0.5}
+#: The fast Poisson method has a solver of its own, and guards against divergence.
+GUARDED = {"solver": kernels.poisson_fast, "divergence": 1e4, "handling": "Balance", "balance": 0.5}
 
 
 def unmix_fast_poisson(df, panel: Panel, array_col="spectral", **options):
-    """The same kernel with a guard against divergence, as the accelerated variant has."""
+    """The same fits by chords, one matrix inversion an event, with a guard against divergence."""
     return unmix_poisson(df, panel, array_col, **GUARDED | options)
 
 

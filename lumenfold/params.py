@@ -31,10 +31,16 @@ class Parameters:
     cosine_fail: float = 0.90
     cosine_warn: float = 0.95
     # fixed values: gates
-    gate_downsample: int = 100_000
+    gate_threshold: float = 0.05
     gate_share: float = 0.70
     gate_exclude: tuple[float, float] = (0.10, 0.05)
-    viability_stretch: float = 0.67
+    gate_trim: tuple[float, float, float, float] = (0.01, 0.99, 0.01, 0.99)
+    gate_grid: int = 100
+    gate_reach: int = 3
+    # fixed values: MADs around the median, bandwidth factors of both densities, for cells and beads
+    gate_mads: tuple[float, float] = (2.0, 6.0)
+    gate_bandwidths: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 1.0), (6.0, 1.0))
+    large_gate: tuple[float, tuple[float, float]] = (0.25, (3.0, 6.0))
     # fixed values: background and variants
     som_dim: int = 10
     problem_quantile: float = 0.99
@@ -60,6 +66,8 @@ _INSTRUMENTS = {
     "mosaic": (("FSC-A", "BSSC-A"), 16777215.0, "V8-A"),
     "xenith": (("FSC51-A", "SSC52-A"), 100000.0, "FL13-A"),
 }
+# How far gates of large cells reach beyond the others, where it differs from the default.
+_LARGE = {"aurora": (1.5, 4.5), "auroraNL": (1.5, 4.5), "a5se": (2.0, 6.0), "a8": (2.5, 6.0)}
 #: Similarity to the library that fails or warns, where it differs from the default.
 _SIMILARITY = {"id7000": (0.70, 0.85)}
 
@@ -71,7 +79,8 @@ def parameters(cytometer: str, figures: bool = True) -> Parameters:
     scatter, top, af = _INSTRUMENTS[cytometer]
     fail, warn = _SIMILARITY.get(cytometer, (0.90, 0.95))
     include = r"^(UV|V|B|YG|R|IR)\d" if cytometer in ("a8", "s8") else None
-    p = replace(Parameters(), cytometer=cytometer, figures=figures, scatter=scatter, saturation=top, af_channel=af, spectral=include, cosine_fail=fail, cosine_warn=warn)
+    large = (0.25, _LARGE.get(cytometer, (3.0, 6.0)))
+    p = replace(Parameters(), cytometer=cytometer, large_gate=large, figures=figures, scatter=scatter, saturation=top, af_channel=af, spectral=include, cosine_fail=fail, cosine_warn=warn)
     if cytometer == "id7000":
         import warnings
 

@@ -69,11 +69,13 @@ def define_flow_control(spark: SparkSession, folder: str, table: DataFrame, p: P
     grouped = grouped.drop("stem", "file_sample", "file_negative")
     gates = {}
     if find:
-        names = [r[0] for r in grouped.select("gate_name").distinct().collect()]  # a few gates
-        for name in names:
+        kinds = grouped.groupBy("gate_name").agg(*[f.alias(k) for k, f in (("beads", F.every(F.coalesce(F.col("control_type") == "beads", F.lit(False)))), ("dead", F.max("is_viability")), ("large", F.max("large_gate")))])
+        for name, beads, dead, large in (tuple(r) for r in kinds.orderBy("gate_name").collect()):  # a few gates
             part = events.where(F.col("gate_name") == name)
+            options = {"threshold": p.gate_threshold, "exclude": p.gate_exclude, "trim": p.gate_trim, "n": p.gate_grid, "reach": p.gate_reach}
+            options |= {"f_mad": p.gate_mads[beads], "factors": p.gate_bandwidths[beads], "viability": bool(dead), "large": p.large_gate if large else None}
             try:
-                gates[name] = gate.find_gate(part, *[f"`{c}`" for c in p.scatter], (0.0, 0.0), (p.scatter_max, p.scatter_max), share=p.gate_share, exclude=p.gate_exclude)
+                gates[name] = gate.find_gate(part, *[f"`{c}`" for c in p.scatter], (0.0, 0.0), (p.scatter_max, p.scatter_max), **options)
             except ValueError as e:
                 samples = sorted(r[0] for r in part.select("sample").distinct().collect())
                 if failing == "raise":

@@ -37,8 +37,7 @@ def _file(spark, ev, path: str) -> str:
     """Events as an event file of label and four detectors."""
     fcs.register(spark)
     wide = ev.select(F.col("label").cast("double").alias("label"), *[F.get("x", F.lit(i)).alias(f"D{i}") for i in range(4)])
-    wide.write.format("fcs").mode("overwrite").save(path)
-    return path
+    return fcs.save(wide, path)
 
 
 @query("fcs_round_trip", f"{BASE} SELECT label, count(*) AS n, round(avg(x[1]), 5) + 0.0 AS d0 FROM ev GROUP BY label")
@@ -62,7 +61,7 @@ def fcs_concatenated(spark, sf):
     """Three event files of one layout (the first classes twice) as one."""
     at, ev = folder(spark), events(spark, sf)
     low, high = _file(spark, ev.where("label < 5"), f"{at}/low.fcs"), _file(spark, ev.where("label >= 5"), f"{at}/high.fcs")
-    back = spark.read.format("fcs").load(fcs.concatenate([low, high, low], f"{at}/all.fcs", rows=100))
+    back = spark.read.format("fcs").load(fcs.concatenate([low, high, low], f"{at}/all.fcs", rows=100, spark=spark))
     return back.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("D1"), 5).alias("d1"))
 
 

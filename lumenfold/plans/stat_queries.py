@@ -290,9 +290,31 @@ def _polygon_rows(spark, points):
     return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "ord int, x double, y double")
 
 
+@query("mass_threshold", f"WITH {KDE}, cu AS (SELECT z, sum(z) OVER (ORDER BY z DESC, i, j ROWS UNBOUNDED PRECEDING) / sum(z) OVER () AS share FROM k) SELECT round(z, 9) + 0.0 AS threshold FROM cu ORDER BY abs(share - 0.7), z DESC LIMIT 1")
+def mass_threshold(spark, sf):
+    """The density above which 70 % of the mass lies."""
+    z = [r["density"] for r in _kde(spark, sf).collect()]
+    return spark.createDataFrame([(round(gate.mass_threshold(np.array(z), 0.7), 9),)], "threshold double")
+
+
+@query(
+    "gate_bandwidth",
+    """SELECT l_returnflag, round(1.06 * least(stddev_samp(q), (quantile_cont(q, 0.75) - quantile_cont(q, 0.25)) / 1.34) * count(*) ** -0.2, 6) + 0.0 AS h_x,
+    round(1.06 * least(stddev_samp(p), (quantile_cont(p, 0.75) - quantile_cont(p, 0.25)) / 1.34) * count(*) ** -0.2, 6) + 0.0 AS h_y
+    FROM (SELECT l_returnflag, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p FROM lineitem) GROUP BY l_returnflag""",
+)
+def gate_bandwidth(spark, sf):
+    """Reference bandwidths of each flag's events on both axes."""
+    li = lineitem(spark, sf, "l_returnflag", "l_quantity", "l_extendedprice")
+    rows = []
+    for flag in sorted(r[0] for r in li.select("l_returnflag").distinct().collect()):  # three flags
+        rows.append((flag, *(round(h, 6) for h in gate.normal_reference(gate.spreads(li.where(F.col("l_returnflag") == flag), "l_quantity", "l_extendedprice")))))
+    return spark.createDataFrame(rows, "l_returnflag string, h_x double, h_y double")
+
+
 @query("density_hull")
 def density_hull(spark, sf):
-    """Hull of the region with 70 % of the mass."""
+    """Hull of the longest contour line around 70 % of the mass."""
     z = np.zeros((GRID, GRID))
     for r in _kde(spark, sf).collect():
         z[r["i"], r["j"]] = r["density"]

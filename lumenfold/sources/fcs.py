@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 
 def parse_text(raw: bytes) -> dict[str, str]:
@@ -125,19 +125,64 @@ def place(path: str, begin: int, row: int, data: np.ndarray) -> None:
         f.write(np.ascontiguousarray(data, dtype="<f4").tobytes())
 
 
-def concatenate(paths: list[str], path: str, rows: int = 100_000) -> str:
-    """One file of all rows: equal ordered channels, or an error; keywords of the first file. Some rows at a time."""
+def concatenate(paths: list[str], path: str, rows: int = 100_000, spark: SparkSession | None = None) -> str:
+    """One file of all rows: equal ordered channels, or an error; keywords of the first file. Headers alone are read here; with
+    a session, tasks copy some rows each, else this process does. The files must lie where all executors see them."""
     layouts = [Layout.of(header(p)) for p in paths]
     for p, lay in zip(paths, layouts, strict=True):
         if lay.channels != layouts[0].channels:
             raise ValueError(f"{p}: channels differ from those of {paths[0]}")
     begin = prepare(path, layouts[0].channels, sum(lay.total for lay in layouts), header(paths[0]))
-    at = 0
+    jobs, at = [], 0
     for p, lay in zip(paths, layouts, strict=True):
-        for start in range(0, lay.total, rows):
-            data = read_rows(p, start, start + rows)[1]
-            place(path, begin, at, data)
-            at += len(data)
+        jobs += [(p, start, min(start + rows, lay.total), at + start) for start in range(0, lay.total, rows)]
+        at += lay.total
+    if spark is None:
+        for p, start, end, to in jobs:
+            place(path, begin, to, read_rows(p, start, end)[1])
+        return path
+
+    def copy(batches):
+        for batch in batches:
+            for p, start, end, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place(path, begin, to, read_rows(p, start, end)[1])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    if jobs:
+        parts = min(len(jobs), max(spark.sparkContext.defaultParallelism, len(jobs) // 8))
+        spark.createDataFrame(jobs, "path string, first long, last long, target long").repartition(parts, "target").mapInArrow(copy, "n long").agg({"n": "sum"}).collect()
+    return path
+
+
+def save(df: DataFrame, path: str, keys: dict[str, str] | None = None) -> str:
+    """df's numeric columns as an event file, rows in the order of its partitions, nulls and NaN as 0.
+
+    Rows are numbered and counted first, the header is written with the file's full size, and then every task puts its rows in
+    their place: nothing passes the driver but the counts, and a task that runs again writes the same bytes.
+    """
+    from pyspark.sql import functions as F
+
+    from lumenfold.functions.tables import written
+
+    channels = df.columns
+    columns = [F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(channels)]
+    rows = written(df.select(*columns).withColumn("_row", F.monotonically_increasing_id()), "event-rows")
+    counts = rows.groupBy(F.shiftright("_row", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row a partition
+    parts = np.array([r["part"] for r in counts], np.int64)
+    first = np.concatenate([[0], np.cumsum([r["n"] for r in counts])]).astype(np.int64)
+    begin = prepare(path, channels, int(first[-1]), keys or {})
+
+    def put(batches):
+        for batch in batches:
+            number = batch.column(len(channels)).to_numpy(zero_copy_only=False)
+            at = first[np.searchsorted(parts, number >> 33)] + (number & ((1 << 33) - 1))
+            data = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(channels))]) if len(at) else np.zeros((0, len(channels)))
+            for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                if len(run):
+                    place(path, begin, int(at[run[0]]), data[run])
+            yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], ["n"])
+
+    rows.mapInArrow(put, "n long").agg(F.sum("n")).collect()
     return path
 
 
@@ -154,33 +199,83 @@ class Rows(InputPartition):
     end: int
 
 
+#: Rows that a task reads at a time.
+READ = 65_536
+
+
 class _Reader(DataSourceReader):
+    """Filters on sample choose files, those on event_id rows; both reach no file or byte that they leave out."""
+
     def __init__(self, schema, options):
         self.schema, self.options = schema, options
+        self.samples: set[str] | None = None
+        self.first, self.last = 0, (1 << 62) - 1  # event ids, both included
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self._taken(f):
+                yield f
+
+    def _taken(self, f) -> bool:
+        """Does the source see to the filter? Lists of event ids bound the rows and stay filters."""
+        column = f.attribute if len(getattr(f, "attribute", ())) == 1 else ("",)
+        value = getattr(f, "value", None)
+        if column == ("sample",):
+            if isinstance(f, IsNotNull):
+                return True
+            if isinstance(f, (EqualTo, In)) and value is not None:
+                own = {value} if isinstance(f, EqualTo) else set(value) - {None}
+                self.samples = own if self.samples is None else self.samples & own
+                return True
+        elif column == ("event_id",):
+            if isinstance(f, IsNotNull):
+                return True
+            if isinstance(f, In):
+                own = [v for v in value if v is not None]
+                self._between(min(own, default=1), max(own, default=0))
+                return False
+            if isinstance(value, int):
+                if isinstance(f, EqualTo):
+                    self._between(value, value)
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self._between(value + isinstance(f, GreaterThan), self.last)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self._between(self.first, value - isinstance(f, LessThan))
+                else:
+                    return False
+                return True
+        return False
+
+    def _between(self, first: int, last: int) -> None:
+        self.first, self.last = max(self.first, first), min(self.last, last)
 
     def partitions(self):
         step = int(self.options.get("rows", 500_000))
-        start, stop = int(self.options.get("startrow", 0)), int(self.options.get("endrow", 1 << 62))
+        start, stop = max(int(self.options.get("startrow", 0)), self.first), min(int(self.options.get("endrow", 1 << 62)), self.last + 1)
         out = []
         for p in _files(self.options["path"]):
-            end = min(Layout.of(header(p)).total, stop)
-            out += [Rows(p, s, min(s + step, end)) for s in range(start, end, step)]
+            if self.samples is None or _sample(p) in self.samples:
+                end = min(Layout.of(header(p)).total, stop)
+                out += [Rows(p, s, min(s + step, end)) for s in range(start, end, step)]
         return out or [Rows("", 0, 0)]
 
     def read(self, part):
-        if not part.path:
-            return
-        channels, data = read_rows(part.path, part.start, part.end)
-        n = len(data)
-        columns = []
-        for f in self.schema.fields:
-            if f.name == "sample":
-                columns.append(pa.array([os.path.splitext(os.path.basename(part.path))[0]] * n, pa.string()))
-            elif f.name == "event_id":
-                columns.append(pa.array(np.arange(part.start, part.start + n), pa.int64()))
-            else:
-                columns.append(pa.array(data[:, channels.index(f.name)], pa.float64()))
-        yield pa.RecordBatch.from_arrays(columns, [f.name for f in self.schema.fields])
+        for start in range(part.start, part.end, READ) if part.path else ():
+            channels, data = read_rows(part.path, start, min(start + READ, part.end))
+            n = len(data)
+            columns = []
+            for f in self.schema.fields:
+                if f.name == "sample":
+                    columns.append(pa.array([_sample(part.path)] * n, pa.string()))
+                elif f.name == "event_id":
+                    columns.append(pa.array(np.arange(start, start + n), pa.int64()))
+                else:
+                    columns.append(pa.array(data[:, channels.index(f.name)], pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in self.schema.fields])
+
+
+def _sample(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
 
 
 class _HeaderReader(DataSourceReader):
@@ -285,6 +380,8 @@ class FcsHeaderSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Both sources, in a session that hands them its filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FcsSource)
     spark.dataSource.register(FcsHeaderSource)
 
@@ -297,4 +394,4 @@ def pack(df: DataFrame, detectors: list[str], out: str = "spectral") -> DataFram
     return df.select(*rest, F.array(*[F.col(f"`{d}`") for d in detectors]).alias(out))
 
 
-__all__ = ["FcsHeaderSource", "FcsSource", "concatenate", "encode", "header", "pack", "parse_text", "place", "prepare", "read_rows", "register", "write"]
+__all__ = ["FcsHeaderSource", "FcsSource", "concatenate", "encode", "header", "pack", "parse_text", "place", "prepare", "read_rows", "register", "save", "write"]

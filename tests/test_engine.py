@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold import params
-from lumenfold.operators import clean, control, gate, kernels, unmix
+from lumenfold.operators import af_removal, clean, control, gate, kernels, unmix
 from lumenfold.operators.simulate import simulate
 from lumenfold.operators.unmix import Panel
 from lumenfold.plans import flow
@@ -68,6 +68,44 @@ def test_fcs_source(spark, tmp_path, scene):
     assert sorted(os.listdir(tmp_path)) == ["one.fcs", "out.fcs", "two.FCS"]
 
 
+def test_fcs_filters_reach_the_source(spark, tmp_path, monkeypatch):
+    fcs.register(spark)
+    for name in "abc":
+        fcs.write(str(tmp_path / f"{name}.fcs"), ["x", "y"], np.column_stack([np.arange(1000), np.full(1000, ord(name))]))
+    df = spark.read.format("fcs").option("rows", 100).load(str(tmp_path))
+    cases = {
+        "sample = 'b'": 10, "sample IN ('a', 'c')": 20, "event_id >= 950": 3, "event_id > 99 AND event_id < 200 AND sample = 'a'": 1, "event_id = 500": 3, "event_id IN (5, 250)": 9,
+        "sample = 'none'": 0, "event_id BETWEEN 10 AND 20 AND x > 15": 3, "x < 10": None, "sample <> 'a'": None, "sample IS NULL": None,
+    }
+    rows = [(n, i, float(i), float(ord(n))) for n in "abc" for i in range(1000)]
+    whole = spark.createDataFrame(rows, "sample string, event_id long, x double, y double")
+    for condition, parts in cases.items():
+        got = df.where(condition)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.where(condition).collect())), condition
+        assert parts is None or got.rdd.getNumPartitions() == max(1, parts), condition
+    plan = df.where("sample = 'b' AND event_id > 5")._jdf.queryExecution().executedPlan().toString()
+    assert " Filter (" not in plan
+    # only the rows asked for are read
+    read = []
+    monkeypatch.setattr(fcs, "read_rows", lambda path, start, end, own=fcs.read_rows: read.append((path, start, end)) or own(path, start, end))
+    reader = fcs._Reader(df.schema, {"path": str(tmp_path), "rows": "400"})
+    assert list(reader.pushFilters([fcs.EqualTo(("sample",), "c"), fcs.GreaterThanOrEqual(("event_id",), 700), fcs.EqualTo(("x",), 1.0)])) == [fcs.EqualTo(("x",), 1.0)]
+    n = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert n == 300 and {r[0][-5:] for r in read} == {"c.fcs"} and min(r[1] for r in read) == 700
+
+
+def test_fcs_saved_in_place(spark, tmp_path):
+    fcs.register(spark)
+    df = spark.range(0, 5000, 1, 7).select("id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") * 2.5).alias("v"))
+    channels, data = fcs.read_rows(fcs.save(df, str(tmp_path / "s.fcs"), {"$CYT": "Aurora"}))
+    want = np.array([(i, 0 if i % 3 == 0 else i * 2.5) for i in range(5000)])
+    assert channels == ["id", "v"] and np.array_equal(data, want) and fcs.header(str(tmp_path / "s.fcs"))["$CYT"] == "Aurora"
+    assert len(fcs.read_rows(fcs.save(df.limit(0), str(tmp_path / "e.fcs")))[1]) == 0
+    files = [str(tmp_path / n) for n in ("s.fcs", "e.fcs", "s.fcs")]
+    both = [fcs.read_rows(fcs.concatenate(files, str(tmp_path / f"c{k}.fcs"), 700, s))[1] for k, s in enumerate((None, spark))]
+    assert np.array_equal(both[0], both[1]) and np.array_equal(both[1], np.vstack([want, want]))
+
+
 def test_unmixed_files(spark, tmp_path, scene):
     S, U, raw = scene
     panel = Panel(["d1", "d2", "d3"], S, DETECTORS)
@@ -389,6 +427,37 @@ def test_whole_single_events(spark):
     assert flow.whole_single_events(ev.drop("FSC-H", "SSC-H"), p).count() == n - 8 - 1
 
 
+def test_gates_hold_their_population(spark):
+    """Cells beside debris and a small crowd of doublets: the gate is around the cells, larger or further left if asked."""
+    rng = np.random.default_rng(9)
+    cells, debris, pairs = rng.normal((50, 40), (5, 4), (3000, 2)), rng.normal((4, 2), (1, 0.7), (1500, 2)), rng.normal((90, 75), (3, 3), (400, 2))
+    rows = [(i, float(x), float(y), float(i % 7 if k else 100 + i % 5), "s") for k, (i, (x, y)) in enumerate(enumerate(np.vstack([cells, debris, pairs])))]
+    df = spark.createDataFrame(rows, "event_id long, x double, y double, v double, sample string").repartition(3)
+
+    def within(polygon, points):
+        return af_removal.inside(points, polygon).mean()
+
+    g = gate.find_gate(df, "x", "y", (0.0, 0.0), (120.0, 120.0), f_mad=2.0, reach=3, trim=(0.01, 0.99, 0.01, 0.99))
+    assert within(g, cells) > 0.7 and within(g, debris) == 0 and within(g, pairs) == 0
+    wide = gate.find_gate(df, "x", "y", (0.0, 0.0), (120.0, 120.0), f_mad=2.0, reach=3, large=(0.25, (3.0, 6.0)))
+    assert max(p[0] for p in wide) > max(p[0] for p in g) and max(p[1] for p in wide) > max(p[1] for p in g)
+    dead = gate.find_gate(df, "x", "y", (0.0, 0.0), (120.0, 120.0), f_mad=1.0, reach=3, viability=True)
+    assert min(p[0] for p in dead) < min(p[0] for p in gate.find_gate(df, "x", "y", (0.0, 0.0), (120.0, 120.0), f_mad=1.0, reach=3))
+    second = gate.find_gate(df, "x", "y", (0.0, 0.0), (120.0, 120.0), target=1, reach=3)
+    assert within(second, cells) < 0.5
+    with pytest.raises(ValueError, match="peak"):
+        gate.find_gate(df, "x", "y", (0.0, 0.0), (120.0, 120.0), target=50)
+    with pytest.raises(ValueError, match="no event"):
+        gate.find_gate(df.limit(0), "x", "y", (0.0, 0.0), (120.0, 120.0))
+    corners = {tuple(np.round(p, 9)) for p in gate.hull_of_events(df, "x", "y")}
+    assert corners == {tuple(np.round(p, 9)) for p in gate.hull(np.array([(r[1], r[2]) for r in rows]))}
+    s = gate.spreads(df, "x", "y")
+    x = np.array([r[1] for r in rows])
+    assert np.isclose(gate.normal_reference(s)[0], 1.06 * min(x.std(ddof=1), np.subtract(*np.quantile(x, [0.75, 0.25])) / 1.34) * len(x) ** -0.2)
+    assert within(gate.landmark_gate(df.where("event_id < 3000"), "v", "x", "y", (0, 0), (120, 120)), cells) > 0.5
+    assert len(gate.scatter_gate(df.where("event_id < 3000"), "x", "y")) >= 3
+
+
 def test_gate_groups(spark):
     rows = [dict(r, gate_name=None) for r in GOOD]
     rows[2]["large_gate"] = False
