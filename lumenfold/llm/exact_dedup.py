@@ -26,7 +26,7 @@ class DigestIndex:
     `buckets` is fixed when the table is made; take about one per 2 million expected digests.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 8):
         self.spark, self.table, self.buckets = spark, table, buckets
 
     def create(self) -> DigestIndex:
@@ -104,7 +104,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = rows.count()
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []
     turn = sum((F.coalesce(F.col("doc_id") > c, F.lit(True)).cast("int") for c in dict.fromkeys(cuts)), F.lit(0))
-    index = DigestIndex(docs.sparkSession, f"lumenfold_digests_{uuid.uuid4().hex}", max(32, n // 2_000_000))
+    index = DigestIndex(docs.sparkSession, f"lumenfold_digests_{uuid.uuid4().hex}", max(8, n // 2_000_000))
     try:
         for k in range(len(dict.fromkeys(cuts)) + 1):
             index.append_new(rows.where(turn == k), f"{k:06d}")
