@@ -44,7 +44,8 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int)
     """Inner join of rows with one fact row per key, where `count` is the number of rows of the key.
 
     Keys holding over 1/HOT_SHARE of all rows (so at most HOT_SHARE of them) go by broadcast, the others by a
-    shuffled join, in which then no key is large. Both inputs should be written tables: they are read twice.
+    shuffled join, in which then no key is large. Both inputs should be written tables: they are read twice. Rows with a
+    null key, and keys without facts, are left out.
     """
     bound = max(1, total // HOT_SHARE)
     hot = facts.where(F.col(count) > bound)

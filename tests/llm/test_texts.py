@@ -481,6 +481,44 @@ def test_isotonic_is_monotone_and_means_agree():
     assert abs(np.interp(s, x, v).mean() - y.mean()) < 0.03
 
 
+def plain_margins(x, y, trees, depth, rate, bins, least, l2):
+    """Boosted trees row by row and cut by cut."""
+    n, p = len(y), min(max(sum(y) / len(y), 1e-3), 1 - 1e-3)
+    f = [float(np.log(p / (1 - p)))] * n
+    edges = [sorted(set(np.quantile([r[j] for r in x], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(len(x[0]))]
+    for _ in range(trees):
+        prob = [1 / (1 + np.exp(-v)) for v in f]
+        g, h = [a - b for a, b in zip(y, prob, strict=True)], [b * (1 - b) for b in prob]
+
+        def grow(rows, level, g=g, h=h):
+            G, H = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            best = (1e-6, None)
+            for j, cuts in enumerate(edges if level < depth else []):
+                for cut in cuts:
+                    left = [i for i in rows if x[i][j] <= cut]
+                    gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                    if hl >= least / 4 and H - hl >= least / 4:
+                        gain = gl**2 / (hl + l2) + (G - gl) ** 2 / (H - hl + l2) - G**2 / (H + l2)
+                        if gain > best[0] * (1 + 1e-12):
+                            best = (gain, (left, [i for i in rows if x[i][j] > cut]))
+            if best[1] is None:
+                return {i: rate * G / (H + l2) for i in rows}
+            return grow(best[1][0], level + 1) | grow(best[1][1], level + 1)
+
+        step = grow(list(range(n)), 0)
+        f = [v + step[i] for i, v in enumerate(f)]
+    return f
+
+
+def test_boosted_trees_by_plain_cuts():
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.normal(size=90), rng.integers(0, 4, 90), rng.lognormal(size=90)], 1)
+    y = ((x[:, 0] + (x[:, 1] == 2) + rng.normal(0, 0.5, 90)) > 0.4).astype(float)
+    options = {"trees": 4, "depth": 3, "rate": 0.3, "bins": 8, "least": 2.0, "l2": 1.0}
+    got = toxicity.Boosted(**options).fit(x, y).margin(x)
+    assert np.allclose(got, plain_margins(x.tolist(), y.tolist(), **options), atol=1e-9)
+
+
 def test_toxicity_held_out_accuracy(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
