@@ -18,7 +18,7 @@ SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "unmix_ols unmix_wls unmix_wls_per_cell unmix_poisson unmix_af_grouped unmix_greedy unmix_joint af_residuals af_fluorophores af_joint_cov class_spectra_mean rlm_spectra "
-    "singlets knn_background universal_negative polygon_gate kde_grid voronoi_assign median_mad_box ssi quantile_bin_median issue_summary match_longest gate_groups"
+    "singlets knn_background universal_negative clean_controls find_gate unmix_fast_poisson polygon_gate kde_grid voronoi_assign median_mad_box ssi quantile_bin_median issue_summary match_longest gate_groups"
 ).split()
 #: Copies of every vector in the event tables of the throughput queries.
 COPIES = 250

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from lumenfold.functions.tables import written
 
 #: Reference points of a cell, sampled points of a cell that its cuts are medians of, and queries that meet a cell in one task.
-LEAF, SAMPLED, CROWD = 2_000, 64, 50_000
+LEAF, SAMPLED, CROWD = 4_000, 64, 50_000
 
 
 class Cells:
@@ -197,15 +197,7 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, q_id: str, r_id:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
     columns = ", ".join(f"{x} double" for x in xs)
-    ref = written(ref.select("key", "id", *xs).mapInArrow(housed, f"key int, id long, {columns}, cell long"), "knn-cells")
-    box = ref.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{f.__name__}_{x}") for x in xs for f in (F.min, F.max)]).collect()  # a row a cell
-    low, high, count = np.full((trees.n, len(xs)), np.inf), np.full((trees.n, len(xs)), -np.inf), np.zeros(trees.n, np.int64)
-    for r in box:
-        low[r["cell"]], high[r["cell"]], count[r["cell"]] = [r[f"min_{x}"] for x in xs], [r[f"max_{x}"] for x in xs], r["n"]
-    trees.boxed(low, high, count)
-
     points_q = f"key int, id {q_type}, {columns}"
-    at_home = written(wanted.select("key", "id", *xs).mapInArrow(housed, f"{points_q}, cell long"), "knn-queries")
 
     def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Queries with a part of their cell, and a copy of each cell for each of its parts."""
@@ -227,6 +219,26 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, q_id: str, r_id:
         left, right = dealt(rows)
         return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(meet, found)
 
+    def ranked_neighbours(every: DataFrame) -> DataFrame:
+        """A row a query and cell met, k candidates each, to the k best of each query."""
+        pairs = every.groupBy("id", *xs).agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d2", "refs")))), 1, k).alias("near")) if split else every.select("id", F.arrays_zip("d2", "refs").alias("near"))
+        out = pairs.select("id", F.posexplode("near").alias("rank", "n"))
+        return out.select(F.col("id").alias(q_id), F.col("n.refs").alias("ref_id"), (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.d2").alias("d2"))
+
+    if not split:  # a cell a key, its number the key's: nothing to widen to
+        own = F.element_at(F.create_map(*[F.lit(v) for i in cells for v in (i, int(trees.nodes[trees.roots[i]][2]))] or [F.lit(0), F.lit(0)]), F.col("key")).cast("long")
+        ref = ref.select("key", "id", *xs, own.alias("cell"))
+        return ranked_neighbours(met(written(wanted.select("key", "id", *xs, own.alias("cell")), "knn-queries")))
+
+    ref = written(ref.select("key", "id", *xs).mapInArrow(housed, f"key int, id long, {columns}, cell long"), "knn-cells")
+    box = ref.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{f.__name__}_{x}") for x in xs for f in (F.min, F.max)]).collect()  # a row a cell
+    low, high, count = np.full((trees.n, len(xs)), np.inf), np.full((trees.n, len(xs)), -np.inf), np.zeros(trees.n, np.int64)
+    for r in box:
+        low[r["cell"]], high[r["cell"]], count[r["cell"]] = [r[f"min_{x}"] for x in xs], [r[f"max_{x}"] for x in xs], r["n"]
+    trees.boxed(low, high, count)
+
+    at_home = written(wanted.select("key", "id", *xs).mapInArrow(housed, f"{points_q}, cell long"), "knn-queries")
+
     first = written(met(at_home), "knn-home")
 
     def widened(batches):
@@ -242,8 +254,4 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, q_id: str, r_id:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("key", "id", *xs)), pa.array(cell)], ["key", "id", *xs, "cell"])
 
     more = written(first.mapInArrow(widened, f"{points_q}, cell long"), "knn-wider")
-    every = first.unionByName(met(more))
-    # a row a query and cell met, k candidates each
-    pairs = every.groupBy("id", *xs).agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d2", "refs")))), 1, k).alias("near"))
-    out = pairs.select("id", F.posexplode("near").alias("rank", "n"))
-    return out.select(F.col("id").alias(q_id), F.col("n.refs").alias("ref_id"), (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.d2").alias("d2"))
+    return ranked_neighbours(first.unionByName(met(more)))

@@ -112,16 +112,28 @@ def spectral_channels(spark, sf):
 
 @query(
     "defined_keywords",
-    "SELECT * FROM (VALUES ('$P1N', 'Time'), ('$P1B', '32'), ('$P1E', '0,0'), ('$P1R', '100'), ('$P2N', 'dye1-A'), ('$P2S', 'CD4'), ('$P2R', '4194304.0'), ('$P3N', 'AF-A'), ('$P3S', 'Autofluorescence'), ('$P4N', 'AF Index'), ('$P4S', 'Autofluorescence Index'), ('$P4R', '2'), ('$CYT', 'Aurora'), ('UNMIXINGMETHOD', 'PerCellAF'), ('$FIL', 'out.fcs'), ('WEIGHTS', '0.5,0.25')) t(keyword, value)",
+    f"""{BASE}, dy AS (SELECT label, row_number() OVER (ORDER BY label) AS i FROM sp WHERE label > 0), n AS (SELECT count(*) AS n FROM dy),
+    wt AS (SELECT string_agg(w::VARCHAR, ',' ORDER BY pos) AS w FROM (SELECT pos, round(v * 1000)::BIGINT AS w FROM mn WHERE label = 0))
+    SELECT '$P' || (i + 1) || 'N' AS keyword, 'dye' || label || '-A' AS value FROM dy UNION ALL SELECT '$P' || (i + 1) || 'R', '4194304.0' FROM dy
+    UNION ALL SELECT 'FLUOROCHROMES', string_agg('dye' || label, ',' ORDER BY label) FROM dy UNION ALL SELECT '$P' || (n + 2) || 'S', 'Autofluorescence' FROM n UNION ALL SELECT '$P' || (n + 3) || 'N', 'AF Index' FROM n
+    UNION ALL SELECT 'WEIGHTS', '64,' || (SELECT string_agg('D' || i, ',' ORDER BY i) FROM (SELECT unnest(range(64)) AS i)) || ',' || w FROM wt
+    UNION ALL SELECT * FROM (VALUES ('$P1N', 'Time'), ('$P1B', '32'), ('$P1E', '0,0'), ('$P1R', '100'), ('$P2S', 'CD4'), ('$CYT', 'Aurora'), ('UNMIXINGMETHOD', 'PerCellAF'), ('$FIL', 'out.fcs'), ('$LAST_MODIFIED', '07-MAR-2026 05:06:07.89'), ('$ORIGINALITY', 'DataModified'))""",
 )
 def defined_keywords(spark, sf):
-    """Keywords of an unmixed file: each column by its class, the method, weights; what described old columns is gone."""
+    """Keywords of a file unmixed with the classes' spectra: each column by its class, the method, dyes, weights, time; what
+    described old columns is gone."""
+    from datetime import datetime
+
     import numpy as np
 
     old = {"$P1N": "Time", "$P1R": "100", "$P1B": "32", "$P2N": "V1-A", "$P2V": "400", "$CYT": "Aurora", "$BEGINDATA": "1"}
-    keys = spectra_files.define_keywords(old, ["Time", "dye1-A", "AF-A", "AF Index"], Panel(["dye1"], np.ones((1, 2)), ["V1-A", "V2-A"]), Panel(["AF1", "AF2"], np.eye(2)), "PerCellAF", "out.fcs", ["Time"], np.array([0.5, 0.25]), {"dye1": "CD4"})
-    wanted = "$P1N $P1B $P1E $P1R $P2N $P2S $P2R $P2V $P3N $P3S $P4N $P4S $P4R $CYT UNMIXINGMETHOD $FIL WEIGHTS $BEGINDATA".split()
-    return spark.createDataFrame([(k, keys[k]) for k in wanted + ["AF Index"] if k in keys], "keyword string, value string")
+    every = all_classes(events(spark, sf))
+    dyes = Panel([f"dye{n}" for n in every.names[1:]], every.S[1:], [f"D{i}" for i in range(every.S.shape[1])])
+    columns = ["Time", *[f"{n}-A" for n in dyes.names], "AF-A", "AF Index"]
+    keys = spectra_files.define_keywords(old, columns, dyes, Panel(["AF1", "AF2"], every.S[:2]), "PerCellAF", "out.fcs", ["Time"], np.round(every.S[0] * 1000).astype(int) + 0.0, {"dye1": "CD4"}, when=datetime(2026, 3, 7, 5, 6, 7, 891_000))
+    n = len(dyes.names)
+    wanted = [*[f"$P{i}{k}" for i in range(2, n + 2) for k in "NR"], f"$P{n + 2}S", f"$P{n + 3}N", *"$P1N $P1B $P1E $P1R $P2S $P2V $CYT UNMIXINGMETHOD FLUOROCHROMES $FIL WEIGHTS $LAST_MODIFIED $ORIGINALITY $BEGINDATA".split()]
+    return spark.createDataFrame([(k, keys[k]) for k in wanted if k in keys], "keyword string, value string")
 
 
 @query("clamp", "SELECT event_id, greatest(10.0::DOUBLE, least(200.0::DOUBLE, value)) AS value FROM events")

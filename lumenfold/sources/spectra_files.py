@@ -6,7 +6,9 @@ import csv
 import json
 import os
 import re
+import warnings
 import xml.etree.ElementTree as ET
+from datetime import datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -114,16 +116,28 @@ def save_library(spark: SparkSession, path: str, variants: dict[str, np.ndarray]
     spark.createDataFrame(rows, "fluorophore string, threshold double, score double, recommended boolean").write.mode("overwrite").parquet(f"{path}/dyes")
 
 
+def usable_dyes(wanted: list[str], variants: dict[str, object], distances: dict[str, object], least: float = 1e-12) -> list[str]:
+    """Of the wanted dyes, in their order, those that variants can improve: dyes with variants, one of them at some distance from
+    the dye's own spectrum. Those without any distance are a warning; unknown ones go silently."""
+    out, still = [], []
+    for dye in wanted:
+        if dye in variants:
+            far = distances.get(dye)
+            (out if far is not None and np.size(far) and np.max(far) >= least else still).append(dye)
+    if still:
+        warnings.warn(f"no variation in the spectra of {', '.join(still)}", stacklevel=2)
+    return out
+
+
 def load_library(spark: SparkSession, path: str):
-    """(variants by dye, thresholds, scores, recommended); dyes without a variant of some size are left out."""
+    """(variants by dye, thresholds, scores, recommended) of the dyes that variants can improve."""
     variants: dict[str, list] = {}
-    moving = set()
+    distances: dict[str, list] = {}
     for r in spark.read.parquet(f"{path}/variants").orderBy("fluorophore", "variant_idx").collect():
         variants.setdefault(r["fluorophore"], []).append(r["spectrum"])
-        if r["delta_norm"] >= 1e-12:
-            moving.add(r["fluorophore"])
+        distances.setdefault(r["fluorophore"], []).append(r["delta_norm"])
     dyes = spark.read.parquet(f"{path}/dyes").collect()
-    kept = {d: np.array(v) for d, v in variants.items() if d in moving}
+    kept = {d: np.array(variants[d]) for d in usable_dyes(list(variants), variants, distances)}
     return kept, {r["fluorophore"]: r["threshold"] for r in dyes}, {r["fluorophore"]: r["score"] for r in dyes}, {r["fluorophore"]: r["recommended"] for r in dyes}
 
 
@@ -138,12 +152,16 @@ def load_gates(path: str) -> dict[str, list[tuple[float, float]]]:
         return {n: list(zip(g["x"], g["y"], strict=True)) for n, g in json.load(f).items()}
 
 
+# Months in time stamps, whatever the locale.
+MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
+
 # --- keywords of unmixed files ----------------------------------------------------------------------------
 
 
-def define_keywords(keys: dict[str, str], columns: list[str], p: Panel, af: Panel | None, method: str, file_name: str, carried: list[str], weights=None, markers: dict[str, str] | None = None, top: float = 4194304.0) -> dict[str, str]:
+def define_keywords(keys: dict[str, str], columns: list[str], p: Panel, af: Panel | None, method: str, file_name: str, carried: list[str], weights=None, markers: dict[str, str] | None = None, top: float = 4194304.0, when: datetime | None = None) -> dict[str, str]:
     """Keywords of an unmixed file: what describes no parameter stays; each column is described by its class (background
-    index, background amount, carried channel, dye); spectra, background and weights are embedded as text."""
+    index, background amount, carried channel, dye); spectra, background and weights are embedded as text, each after its size
+    and names. `when` is the time of the change (else now), in days, months and hundredths of a second."""
     out = {k: v for k, v in keys.items() if not re.match(r"\$?P\d+", k) and k not in ("$BEGINDATA", "$ENDDATA")}
     old = {}
     for k, name in keys.items():
@@ -166,11 +184,14 @@ def define_keywords(keys: dict[str, str], columns: list[str], p: Panel, af: Pane
     def listed(q: Panel) -> str:
         return ",".join([str(len(q.names)), str(q.S.shape[1]), *map(str, q.names), *(q.detectors or []), *[f"{v:.8g}" for v in q.S.ravel()]])
 
-    out |= {"UNMIXINGMETHOD": method, "$FIL": file_name, "SPECTRA": listed(p)}
+    when = when or datetime.now()
+    stamp = f"{when.day:02d}-{MONTHS[when.month - 1]}-{when.year:04d} {when:%H:%M:%S}.{when.microsecond // 10_000:02d}"
+    out |= {"UNMIXINGMETHOD": method, "$FIL": file_name, "SPECTRA": listed(p), "FLUOROCHROMES": ",".join(map(str, p.names))}
+    out |= {"$LAST_MODIFIED": stamp, "$LAST_MODIFIER": "lumenfold", "$ORIGINALITY": "DataModified"}
     if af is not None:
         out["AUTOFLUORESCENCE"] = listed(af)
     if weights is not None:
-        out["WEIGHTS"] = ",".join(f"{v:.8g}" for v in weights)
+        out["WEIGHTS"] = ",".join([str(len(weights)), *(p.detectors or []), *(f"{v:.8g}" for v in weights)])
     return out
 
 

@@ -522,6 +522,8 @@ def test_spectra_files(spark, tmp_path):
     assert spectra_files.carried_channels(["Time", "V1-A", "V1-H", "FSC-H", "V2-W"], ["V1-A", "V2-A"]) == ["Time", "FSC-H"]
     lib = {"A": np.array([[1.0, 0.0], [1.0, 0.5]]), "B": np.array([[0.0, 1.0]])}
     spectra_files.save_library(spark, str(tmp_path / "lib"), lib, {"A": 1, "B": 2}, {"A": 0.5, "B": 0}, {"A": True, "B": False}, {"A": lib["A"][0], "B": lib["B"][0]})
+    with pytest.warns(UserWarning, match="no variation in the spectra of still"):
+        assert spectra_files.usable_dyes(["b", "gone", "still", "a"], {"a": 1, "b": 1, "still": 1}, {"a": [0.0, 0.5], "b": [1e-3], "still": [0.0]}) == ["b", "a"]
     kept, thresholds, _, rec = spectra_files.load_library(spark, str(tmp_path / "lib"))
     assert list(kept) == ["A"] and thresholds["B"] == 2 and rec == {"A": True, "B": False}
     g = {"g": [(0.0, 1.0), (2.0, 3.0), (4.0, 0.0)]}
