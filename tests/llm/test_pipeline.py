@@ -75,7 +75,7 @@ def test_run_is_registered(spark, sf):
     assert P.run(spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("op")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("op") and not n.startswith("op11_")])  # op11's rows are pairs and terms
 def test_queries_cover_their_table(spark, sf, name):
     out = QUERIES[name](spark, sf)
     table, key = ("pages", "page_id") if "page_id" in out.columns else ("documents", "doc_id")
