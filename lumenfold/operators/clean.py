@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.functions.arrays import EPS
-from lumenfold.functions.stats import quantiles
+from lumenfold.functions.stats import is_large, quantiles, settled
 from lumenfold.operators.unmix import apply_kernel
 
 
@@ -24,10 +24,12 @@ def below_ceiling(df: DataFrame, x: str, y: str, max_x: float | None, max_y: flo
 
 
 def ratio_filter(df: DataFrame, keys: list[str], area: str, height: str, q: float) -> DataFrame:
-    """Events whose area/height ratio is strictly below its exact quantile in the sample."""
+    """Events whose area/height ratio is strictly below its exact quantile in the sample. Large tables: the limits (a row a
+    sample) are settled at once, so that what follows does not find them again."""
+    large = is_large(df)
     df = df.withColumn("_ratio", F.col(area) / (F.col(height) + EPS))
-    limits = quantiles(df, keys, "_ratio", q, "_limit")
-    return df.join(limits, keys).where("_ratio < _limit").drop("_ratio", "_limit")
+    limits = quantiles(df, keys, "_ratio", q, "_limit", large)
+    return df.join(F.broadcast(settled(limits)) if large else limits, keys).where("_ratio < _limit").drop("_ratio", "_limit")
 
 
 def singlets(df: DataFrame, keys: list[str], pairs: list[tuple[str, str, float]]) -> DataFrame:
