@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.functions import arrays as A
-from lumenfold.functions.stats import histogram, quantile, with_mad
+from lumenfold.functions.stats import column_quantiles, histogram, quantile, with_mad
 from lumenfold.operators import clean, gate
 from lumenfold.operators.events import class_medians, class_spectra, events, lineitem, table
 from lumenfold.operators.knn import knn_join
@@ -386,9 +386,12 @@ def consistency(spark, sf):
 )
 def quantile_bin_median(spark, sf):
     li = lineitem(spark, sf, "l_extendedprice", "l_quantity", "l_tax")
-    breaks = li.agg(F.percentile("l_extendedprice", F.array(*[F.lit(v) for v in (0.2, 0.4, 0.6, 0.8)]))).first()[0]
-    b = sum(((F.col("l_extendedprice") > v).cast("int") for v in breaks), F.lit(1))
-    return li.groupBy(b.alias("bin")).agg(r6(quantile(F.col("l_quantity"), 0.5)).alias("quantity"), r6(quantile(F.col("l_tax"), 0.5)).alias("tax"), F.count(F.lit(1)).alias("n"))
+    breaks = column_quantiles(li, [], ["l_extendedprice"], [0.2, 0.4, 0.6, 0.8]).first()[0] or []
+    b = sum((F.coalesce((F.col("l_extendedprice") > v).cast("int"), F.lit(0)) for v in breaks), F.lit(1))
+    binned = li.select(b.alias("bin"), "l_quantity", "l_tax")
+    medians = column_quantiles(binned, ["bin"], ["l_quantity", "l_tax"], [0.5])
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return medians.join(F.broadcast(counts), "bin").select("bin", r6(F.get("q0", F.lit(0))).alias("quantity"), r6(F.get("q1", F.lit(0))).alias("tax"), "n")
 
 
 @query(
