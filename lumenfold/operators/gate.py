@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 from pyspark.sql.window import Window
 
-from lumenfold.functions.ranks import array_quantiles
-from lumenfold.functions.stats import MAD_SCALE
+from lumenfold.functions.stats import MAD_SCALE, column_quantiles, is_large
 from lumenfold.operators import contours
 
 #: Fixed value: the factor that takes the lower bound in forward scatter out to dead cells.
@@ -32,6 +34,16 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Colu
     return edge | (inside % 2 == 1)
 
 
+def inside(df: DataFrame, x: str, y: str, polygon: list[tuple[float, float]]) -> DataFrame:
+    """The events that in_polygon() finds inside. Nulls and what lies beyond the corners go first: without null checks the test
+    of a polygon of many edges stays small enough for the JVM to compile."""
+    at = F.col(x), F.col(y)
+    df = df.where(at[0].isNotNull() & at[1].isNotNull())
+    for c, v in zip(at, zip(*polygon, strict=True), strict=True):
+        df = df.where(c.between(float(min(v)), float(max(v))))
+    return df.where(in_polygon(*at, polygon))
+
+
 def in_rectangle(x: Column, y: Column, x_lo: float, x_hi: float, y_lo: float, y_hi: float) -> Column:
     return (x > x_lo) & (x < x_hi) & (y > y_lo) & (y < y_hi)
 
@@ -109,14 +121,23 @@ def density_hull(z: np.ndarray, gx: np.ndarray, gy: np.ndarray, share: float = 0
     return hull(contours.longest(gx, gy, z, mass_threshold(z, share)))
 
 
+def _settled(x: str, y: str) -> list[Column]:
+    """Both axes as doubles without NaN, for quantiles."""
+    at = [F.col(c).cast("double") for c in (x, y)]
+    return [F.when(~F.isnan(c), c) for c in at]
+
+
 def spreads(df: DataFrame, x: str, y: str) -> dict[str, float]:
-    """Extent, deviation and quartiles of both axes, and the number of events: what grids and bandwidths need, in one pass for
-    the sums and three for the exact quartiles."""
-    sums = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{a}") for a, c in (("x", x), ("y", y)) for k, f in (("min", F.min), ("max", F.max), ("sd", F.stddev_samp))]).first()
-    out = {k: (0.0 if v is None else float(v)) for k, v in sums.asDict().items()}
-    _, q = array_quantiles(df.select(F.lit(0).alias("k"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("v")), "k", "v", 2, [0.25, 0.75])
+    """Extent, deviation and exact quartiles of both axes, and the number of events: what grids and bandwidths need. One pass for
+    the sums, and for the quartiles two on large tables, none on small ones."""
+    large = is_large(df)
+    sums = [F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{a}") for a, c in (("x", x), ("y", y)) for k, f in (("min", F.min), ("max", F.max), ("sd", F.stddev_samp))]]
+    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(_settled(x, y))]
+    row = df.agg(*sums, *([] if large else quartiles)).first().asDict()
+    found = column_quantiles(df, [], _settled(x, y), [0.25, 0.75], True).first().asDict() if large and row["n"] else row
+    out = {k: (0.0 if v is None else float(v)) for k, v in row.items() if k not in ("q0", "q1")}
     for i, a in enumerate("xy"):
-        out[f"q1_{a}"], out[f"q3_{a}"] = (float(q[0, j, i]) if len(q) else 0.0 for j in (0, 1))
+        out[f"q1_{a}"], out[f"q3_{a}"] = found.get(f"q{i}") or (0.0, 0.0)
     return out
 
 
@@ -141,29 +162,66 @@ def density(df: DataFrame, x: str, y: str, n: int, factor: float = 1.0, bandwidt
     return np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n), z
 
 
-def hull_of_events(df: DataFrame, x: str, y: str) -> list[tuple[float, float]]:
-    """Convex hull of all events: tasks send the corners of their own."""
+def outermost(points: np.ndarray) -> np.ndarray:
+    """The points that may be corners of the hull: those well inside the hull of the outermost points in sixteen directions are
+    left out, all at once."""
+    points = points[np.isfinite(points).all(1)]
+    if len(points) < 64:
+        return points
+    low, high = points.min(0), points.max(0)
+    unit = (points - low) / np.where(high > low, high - low, 1.0)
+    turn = np.arange(16) * np.pi / 8
+    ring = np.array(hull(unit[np.unique((unit @ np.stack([np.cos(turn), np.sin(turn)])).argmax(0))]))
+    if len(ring) < 3:
+        return points
+    keep = np.zeros(len(points), bool)
+    for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, 0), strict=True):
+        keep |= (bx - ax) * (unit[:, 1] - ay) - (by - ay) * (unit[:, 0] - ax) <= 1e-9
+    return points[keep]
+
+
+def _xy(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+
+
+def hull_of_events(df: DataFrame, x: str, y: str, keep=None) -> list[tuple[float, float]]:
+    """Convex hull of all events (of those that keep(array of x and y) leaves in the task, if given): tasks send the corners of their own."""
 
     def corners(batches):
         held = np.empty((0, 2))
         for batch in batches:
-            own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
-            held = np.array(hull(np.concatenate([held, own])), dtype=float).reshape(-1, 2)
+            own = _xy(batch)
+            own = own if keep is None else own[keep(own)]
+            held = np.array(hull(outermost(np.concatenate([held, own]))), dtype=float).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["x", "y"])
 
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).mapInArrow(corners, "x double, y double").collect()
     return hull(np.array([(r["x"], r["y"]) for r in rows]).reshape(-1, 2))
 
 
-def with_density(df: DataFrame, x: str, y: str, gx: np.ndarray, gy: np.ndarray, z: np.ndarray) -> DataFrame:
-    """(x, y, d): each event with the density at the lower corner of its cell of the grid."""
+def cell_density(at: np.ndarray, gx: np.ndarray, gy: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The density at the lower corner of each point's cell of the grid."""
+    i, j = (np.clip(np.searchsorted(g, at[:, a], side="right") - 1, 0, len(g) - 2) for a, g in enumerate((gx, gy)))
+    return z[i, j]
+
+
+def dense_hull(df: DataFrame, x: str, y: str, gx: np.ndarray, gy: np.ndarray, z: np.ndarray, threshold: float) -> list[tuple[float, float]]:
+    """Hull of the events whose density is more than `threshold` of the way from the least to the greatest among all events: one
+    pass for the ends and one for the corners; tasks send two numbers and their own corners, never events."""
 
-    def look(batches):
+    def ends(batches):
+        low, high = np.inf, -np.inf
         for batch in batches:
-            at = [np.clip(np.searchsorted(g, batch.column(i).to_numpy(zero_copy_only=False), side="right") - 1, 0, len(g) - 2) for i, g in enumerate((gx, gy))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z[at[0], at[1]])], ["x", "y", "d"])
+            d = cell_density(_xy(batch), gx, gy, z)
+            if len(d):
+                low, high = min(low, d.min()), max(high, d.max())
+        if low <= high:
+            yield pa.RecordBatch.from_arrays([pa.array([float(low)]), pa.array([float(high)])], ["low", "high"])
 
-    return df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).mapInArrow(look, "x double, y double, d double")
+    at = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    low, high = at.mapInArrow(ends, "low double, high double").agg(F.min("low"), F.max("high")).first()
+    limit = (1 - threshold) * low + threshold * high
+    return hull_of_events(at, "x", "y", lambda own: cell_density(own, gx, gy, z) > limit)
 
 
 def enlarged(polygon: list[tuple[float, float]], quantile: float, by: tuple[float, float]) -> list[tuple[float, float]]:
@@ -197,32 +255,30 @@ def find_gate(
     than `threshold` of the way from the least to the greatest. `viability` moves the lower bound in x by 0.67; `large`
     (quantile, factors) moves the upper corners out. Grids, quantiles and corners reach the driver, never events.
     """
-    s = spreads(df, x, y)
+    s = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).cast("double").alias(f"{k}_{a}") for a, c in (("x", x), ("y", y)) for k, f in (("min", F.min), ("max", F.max))]).first()
     if not s["n"]:
         raise ValueError("no event in range")
     low, high = (max(lo[0], s["min_x"]), max(lo[1], s["min_y"])), (min(hi[0], s["max_x"]), min(hi[1], s["max_y"]))
-    inside = df.where(in_rectangle(F.col(x), F.col(y), low[0], high[0], low[1], high[1]))
-    gx, gy, z = density(inside, x, y, n, factors[0])
+    within = df.where(in_rectangle(F.col(x), F.col(y), low[0], high[0], low[1], high[1]))
+    gx, gy, z = density(within, x, y, n, factors[0])
     peaks = [(gx[i], gy[j]) for i, j in local_maxima(z, reach)]
     begin = [(1 - trim[2 * a]) * low[a] + trim[2 * a] * high[a] for a in (0, 1)]
     end = [(1 - trim[2 * a + 1]) * low[a] + trim[2 * a + 1] * high[a] for a in (0, 1)]
     first = next((i for i, p in enumerate(peaks) if any((p[a] - begin[a]) / (end[a] - begin[a]) > exclude[a] for a in (0, 1))), None)
     if first is None or first + target >= len(peaks):
         raise ValueError("no density peak in range" if first is None else "no such density peak in range")
-    near = voronoi(inside, x, y, peaks).where(F.col("peak") == first + target)
-    _, q = array_quantiles(near.select(F.lit(0).alias("k"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("v")), "k", "v", 2, [0.5])
-    if not len(q):
+    near = nearest_to(within, x, y, peaks, first + target, low, high)
+    middle = [q and q[0] for q in column_quantiles(near, [], _settled(x, y), [0.5]).first() or (None, None)]
+    if None in middle:
         raise ValueError("no event near the density peak")
-    middle = q[0, 0]
-    _, m = array_quantiles(near.select(F.lit(0).alias("k"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("v")), "k", "v", 2, [0.5], lambda k, v: np.abs(v - middle))
-    reach_of = f_mad * MAD_SCALE * m[0, 0]
+    off = near.select(*[F.abs(F.col(c).cast("double") - float(m)).alias(a) for a, c, m in zip("xy", (x, y), middle, strict=True)])
+    m = [q[0] for q in column_quantiles(off, [], ["x", "y"], [0.5]).first()]
+    reach_of = [f_mad * MAD_SCALE * v for v in m]
     box = [(max(low[a], middle[a] - reach_of[a]), min(high[a], middle[a] + reach_of[a])) for a in (0, 1)]
     if viability:
         box[0] = (box[0][0] * VIABILITY, box[0][1])
     boxed = near.where(in_rectangle(F.col(x), F.col(y), *map(float, (*box[0], *box[1]))))
-    rows = with_density(boxed, x, y, *density(boxed, x, y, n, factors[1]))
-    ends = rows.agg(F.min("d"), F.max("d")).first()
-    gate = hull_of_events(rows.where(F.col("d") > (1 - threshold) * ends[0] + threshold * ends[1]), "x", "y")
+    gate = dense_hull(boxed, x, y, *density(boxed, x, y, n, factors[1]), threshold)
     if len(gate) < 3:
         raise ValueError("the dense region has no extent")
     return gate if large is None else enlarged(gate, *large)
@@ -271,6 +327,36 @@ def palette(density, low: float, high: float, colours: int = 12) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(colours - 1), F.floor((density - low) / step).cast("int")))
 
 
+def rivals(peaks: list[tuple[float, float]], which: int, lo: tuple[float, float], hi: tuple[float, float]) -> list[int]:
+    """The peaks that any point of the rectangle may be nearer to than to that one, among those nearer to it than to the rest:
+    what bounds its Voronoi cell. The rectangle is cut along the line half way to each peak, the nearest first; a peak counts
+    unless it is clearly further off at every corner of what is left."""
+    p = np.array(peaks, dtype=float)
+    cell = [np.array(c, dtype=float) for c in ((lo[0], lo[1]), (hi[0], lo[1]), (hi[0], hi[1]), (lo[0], hi[1]))]
+    ahead = lambda j, v: float(((v - p[j]) ** 2).sum() - ((v - p[which]) ** 2).sum())  # noqa: E731 by how much the peak is nearer than j
+    for j in np.argsort((((p - p[which]) / (np.array(hi) - np.array(lo))) ** 2).sum(1), kind="stable"):
+        if j != which and cell:
+            at, cut = [ahead(j, v) for v in cell], []
+            for k, v in enumerate(cell):
+                u, du, dv = cell[k - 1], at[k - 1], at[k]
+                if (du < 0) != (dv < 0):
+                    cut.append(u + (v - u) * (du / (du - dv)))
+                if dv >= 0:
+                    cut.append(v)
+            cell = cut
+    margin = 1e-6 * float(((np.array(hi) - np.array(lo)) ** 2).sum())
+    return [j for j in range(len(peaks)) if j != which and (not cell or min(ahead(j, v) for v in cell) <= margin)]
+
+
+def nearest_to(df: DataFrame, x: str, y: str, peaks: list[tuple[float, float]], which: int, lo: tuple[float, float], hi: tuple[float, float]) -> DataFrame:
+    """The events, all inside lo to hi, whose nearest peak (lowest of equals) is that one: the rule of voronoi(), asked only of
+    the peaks that bound its cell."""
+    d = {j: (F.col(x) - float(peaks[j][0])) ** 2 + (F.col(y) - float(peaks[j][1])) ** 2 for j in [which, *rivals(peaks, which, lo, hi)]}
+    own = d.pop(which)
+    conditions = [own < other if j < which else own <= other for j, other in d.items()]
+    return df.where(reduce(and_, conditions)) if conditions else df
+
+
 def voronoi(df: DataFrame, x: str, y: str, peaks: list[tuple[float, float]]) -> DataFrame:
     """Each event with its nearest peak (index from 0, lowest of equals): expressions over a handful of constants."""
     d = [F.struct(((F.col(x) - float(px)) ** 2 + (F.col(y) - float(py)) ** 2).alias("d"), F.lit(i).alias("i")) for i, (px, py) in enumerate(peaks)]

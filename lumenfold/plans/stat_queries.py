@@ -209,7 +209,7 @@ def _polygon_sql(x: str, y: str, polygon) -> str:
 @query("polygon_gate", f"SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) WHERE {_polygon_sql('x', 'y', POLYGON)}")
 def polygon_gate(spark, sf):
     li = lineitem(spark, sf, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return li.where(gate.in_polygon(F.col("l_quantity"), F.col("l_extendedprice"), POLYGON)).select("l_orderkey", "l_linenumber")
+    return gate.inside(li, "l_quantity", "l_extendedprice", POLYGON).select("l_orderkey", "l_linenumber")
 
 
 @query("polygon_outside", f"SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) WHERE NOT {_polygon_sql('x', 'y', POLYGON)}")
@@ -327,7 +327,7 @@ def find_gate(spark, sf):
     """Peaks, region, box, hull: a whole gate found, then how many events it holds."""
     li = lineitem(spark, sf, "l_quantity", "l_extendedprice")
     g = gate.find_gate(li, "l_quantity", "l_extendedprice", (0.0, 0.0), (51.0, 110000.0), 40)
-    n = li.where(gate.in_polygon(F.col("l_quantity"), F.col("l_extendedprice"), g)).agg(F.count(F.lit(1)).alias("inside"))
+    n = gate.inside(li, "l_quantity", "l_extendedprice", g).agg(F.count(F.lit(1)).alias("inside"))
     return _polygon_rows(spark, g).crossJoin(n)  # one row
 
 
