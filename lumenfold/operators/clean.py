@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.functions.arrays import EPS
-from lumenfold.functions.stats import is_large, quantiles, settled
+from lumenfold.functions.stats import is_large, quantiles, settled, with_row_of
 from lumenfold.operators.unmix import apply_kernel
 
 
@@ -58,12 +58,42 @@ def positives(df: DataFrame, value: str, negatives: DataFrame, q: float = 0.99,
     return df if most is None else df.orderBy(F.col(value).desc(), id_col).limit(most)
 
 
-def top(df: DataFrame, value: str, n: int, keys: list[str] = (), id_col: str = "event_id") -> DataFrame:
-    """The n rows with the largest value (by key if keys are given), ties by id: planned as a group limit before the shuffle."""
+def candidates(df: DataFrame, value: str, n: int, keys: list[str]) -> DataFrame:
+    """Without the rows that cannot be among the n largest of their key: a sketch gives a value that n rows surely reach (by
+    at least twice its error), and all rows from it on stay, some in a thousand of a large key."""
+    accuracy, slack = 10_000, 3e-4
+    shares = [2.0**-k for k in range(1, 12)]
+    sketch = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(1 - s) for s in shares]), F.lit(accuracy))
+    found = df.groupBy(*keys).agg(sketch.alias("_b"), F.count(value).alias("_n"))
+    least = F.coalesce(*[F.when(F.col("_n") * (s - slack) > n, F.get("_b", F.lit(i))) for i, s in reversed(list(enumerate(shares)))])
+    rows = with_row_of(df, found.select(*keys, least.alias("_least")), keys)
+    return rows.where(F.col("_least").isNull() | (F.col(value).cast("double") >= F.col("_least"))).drop("_least")
+
+
+#: Up to this number Spark limits the groups of a window before the shuffle.
+GROUP_LIMIT = 1000
+#: Parts that a key's candidates are ranked in first.
+PARTS = 64
+
+
+def top(df: DataFrame, value: str, n: int, keys: list[str] = (), id_col: str | list[str] = "event_id") -> DataFrame:
+    """The n rows with the largest value (by key if keys are given), ties by id (a column or several).
+
+    Small n is planned as a group limit before the shuffle. For more rows of a large table, those that cannot be among them
+    are left out first, and the rest is ranked in parts by a hash of the id, then as a whole, so that no task sorts a key's
+    rows, though all be equal.
+    """
+    order = [F.col(value).desc(), *([id_col] if isinstance(id_col, str) else id_col)]
     if not keys:
-        return df.orderBy(F.col(value).desc(), id_col).limit(n)
-    w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), id_col)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+        return df.orderBy(*order).limit(n)
+
+    def first(df, *by):
+        return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+
+    if n > GROUP_LIMIT and is_large(df):
+        df = candidates(df, value, n, list(keys)).withColumn("_of", F.pmod(F.xxhash64(*order[1:]) if order[1:] else F.monotonically_increasing_id(), F.lit(PARTS)))
+        df = first(df, *keys, "_of").drop("_of")
+    return first(df, *keys)
 
 
 def top_and_bottom(df: DataFrame, value: str, n_top: int, n_bottom: int, keys: list[str], id_col: str = "event_id") -> DataFrame:

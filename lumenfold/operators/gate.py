@@ -13,6 +13,7 @@ from pyspark.sql.column import Column
 from pyspark.sql.window import Window
 
 from lumenfold.functions.stats import MAD_SCALE, column_quantiles, is_large
+from lumenfold.functions.tables import written
 from lumenfold.operators import contours
 
 #: Fixed value: the factor that takes the lower bound in forward scatter out to dead cells.
@@ -290,12 +291,13 @@ def pooled_gate(df: DataFrame, x: str, y: str, lo, hi, n: int, share: float, fac
     return density_hull(z, gx, gy, share)
 
 
-def landmark_gate(stained: DataFrame, value: str, x: str, y: str, lo, hi, n_events: int = 2000, share: float = 0.7, n: int = 100, sample: str = "sample", id_col: str = "event_id", factor: float = 1.0, bandwidth: tuple[float, float] | None = None) -> list[tuple[float, float]]:
+def landmark_gate(stained: DataFrame, value: str, x: str, y: str, lo, hi, n_events: int = 2000, share: float = 0.7, n: int = 100, sample: str = "sample", id_col: str | list[str] = "event_id", factor: float = 1.0, bandwidth: tuple[float, float] | None = None) -> list[tuple[float, float]]:
     """Where the brightest stained events lie: of the n_events brightest of every control, those inside lo to hi; the hull of the
     longest contour line of their density (reference bandwidth times `factor`, over their extent) that holds `share` of the mass."""
     from lumenfold.operators.clean import top
 
-    return pooled_gate(top(stained, value, n_events, [sample], id_col), x, y, lo, hi, n, share, factor, bandwidth)
+    best = written(top(stained, value, n_events, [sample], id_col).select(F.col(x).alias("x"), F.col(y).alias("y")), "brightest")  # n_events a control, found once
+    return pooled_gate(best, "x", "y", lo, hi, n, share, factor, bandwidth)
 
 
 def scatter_gate(df: DataFrame, x: str, y: str, share: float = 0.5, n: int = 10, factor: float = 1.0) -> list[tuple[float, float]]:
@@ -307,16 +309,13 @@ def scatter_gate(df: DataFrame, x: str, y: str, share: float = 0.5, n: int = 10,
 def tune_gate(df: DataFrame, value: str, x: str, y: str, lo, hi, n_events=(100, 500, 2000), shares=(0.3, 0.5, 0.7), n: int = 100, bandwidth: tuple[float, float] | None = None, ties: list[str] = (), sample: str | None = None, factor: float = 1.0) -> list[tuple[int, float, list[tuple[float, float]]]]:
     """(n_events, share, gate) for a grid of settings of landmark_gate(): n_events brightest events (of every sample, if one is
     named), one density a number, one contour a share."""
+    from lumenfold.operators.clean import top
+
     out = []
     for m in n_events:
-        order = [F.col(value).desc(), *ties]
-        if sample:
-            w = Window.partitionBy(sample).orderBy(*order)
-            part = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= m)
-        else:
-            part = df.orderBy(*order).limit(m)
-        inside = part.where(F.col(x).between(lo[0], hi[0]) & F.col(y).between(lo[1], hi[1]))
-        gx, gy, z = density(inside, x, y, n, factor, bandwidth)
+        part = written(top(df, value, m, [sample] if sample else [], list(ties)).select(F.col(x).alias("x"), F.col(y).alias("y")), "brightest")
+        inside = part.where(F.col("x").between(lo[0], hi[0]) & F.col("y").between(lo[1], hi[1]))
+        gx, gy, z = density(inside, "x", "y", n, factor, bandwidth)
         out += [(m, s, density_hull(z, gx, gy, s)) for s in shares]
     return out
 

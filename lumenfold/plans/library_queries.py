@@ -373,8 +373,8 @@ def landmark_gate(spark, sf):
     from lumenfold.operators import gate
     from lumenfold.operators.events import lineitem
 
-    li = lineitem(spark, sf, "l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice")
-    g = gate.landmark_gate(li, "l_extendedprice", "l_quantity", "l_extendedprice", (0.0, 0.0), (51.0, 110000.0), sample="l_returnflag", id_col="l_orderkey", n=40)
+    li = lineitem(spark, sf, "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
+    g = gate.landmark_gate(li, "l_extendedprice", "l_quantity", "l_extendedprice", (0.0, 0.0), (51.0, 110000.0), sample="l_returnflag", id_col=["l_orderkey", "l_linenumber"], n=40)
     return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(g)], "ord int, x double, y double")
 
 
