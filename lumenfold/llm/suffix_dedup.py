@@ -23,66 +23,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm._bytes import Prefix, mix
+from lumenfold.llm._bytes import Prefix, intervals, mix, pieces
 from lumenfold.llm._common import attach, lean, written
+from lumenfold.llm.passages import shared_ranges
 
 #: Bytes of an anchor; starts in a run.
 K, CELL = 48, 44
-#: Starts handled at a time.
-PIECE = 1 << 18
 ROW = "k long, r long"
 
 
-def _pieces(texts: list[bytes], length: int):
-    """(owner, offset) and bytes of pieces with at most PIECE starts together: short texts joined, long ones cut, overlapping."""
-    owners, parts, size = [], [], 0
-    for i, t in enumerate(texts):
-        if len(t) < length:
-            continue
-        for at in range(0, len(t) - length + 1, PIECE):
-            part = t[at : at + PIECE + length - 1]
-            if size + len(part) > PIECE and parts:
-                yield owners, parts
-                owners, parts, size = [], [], 0
-            owners.append((i, at))
-            parts.append(part)
-            size += len(part)
-    if parts:
-        yield owners, parts
-
-
 def anchors(texts: list[bytes], length: int):
     """Arrays (text index, first start, last start, anchor position, anchor hash) and 128-bit context hashes (bytes) of all intervals of starts."""
-    width = length - K + 1
-    for owners, parts in _pieces(texts, length):
+    for owners, parts in pieces(texts, length):
         raw = b"".join(parts)
-        data = np.frombuffer(raw, dtype=np.uint8)
-        g = Prefix(data).windows(K)
-        rows = -(-len(g) // width)
-        grid = np.full(rows * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-        grid[: len(g)] = g
-        grid = grid.reshape(rows, width)
-        where = np.arange(rows * width).reshape(rows, width)
-        # leftmost least hash from the start of each row, and to the end of each row; a window is the end of one row and the start of the next
-        ahead = np.minimum.accumulate(grid, axis=1)
-        new = np.ones(grid.shape, dtype=bool)
-        new[:, 1:] = grid[:, 1:] < ahead[:, :-1]
-        ahead_at = np.maximum.accumulate(np.where(new, where, 0), axis=1).ravel()
-        ahead = ahead.ravel()
-        back = np.minimum.accumulate(grid[:, ::-1], axis=1)
-        new[:, 1:] = grid[:, ::-1][:, 1:] <= back[:, :-1]
-        back_at = np.minimum.accumulate(np.where(new, where[:, ::-1], np.iinfo(np.int64).max), axis=1)[:, ::-1].ravel()
-        back = back[:, ::-1].ravel()
+        g = Prefix(np.frombuffer(raw, dtype=np.uint8)).windows(K)
         sizes = np.array([len(p) for p in parts])
-        ends = np.cumsum(sizes)
-        first = ends - sizes
-        p = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(first, ends, strict=True)])
-        own = np.repeat(np.arange(len(parts)), sizes - length + 1)
-        q = p + width - 1
-        at = np.where(back[p] <= ahead[q], back_at[p], ahead_at[q])
-        cut = np.flatnonzero((at[1:] != at[:-1]) | (own[1:] != own[:-1])) + 1
-        lo, hi = p[np.concatenate([[0], cut])], p[np.concatenate([cut - 1, [len(p) - 1]])]
-        a, own = at[np.concatenate([[0], cut])], own[np.concatenate([[0], cut])]
+        first = np.cumsum(sizes) - sizes
+        lo, hi, a, own = intervals(g, sizes, length, K)
         context = [blake2b(raw[x : y + length], digest_size=16, salt=d.to_bytes(8, "little")).digest() for x, y, d in zip(lo.tolist(), hi.tolist(), (a - lo).tolist(), strict=True)]
         shift = np.array([off for _, off in owners])[own] - first[own]
         yield np.array([i for i, _ in owners])[own], lo + shift, hi + shift, a + shift, g[a].view(np.int64), context
@@ -316,8 +273,22 @@ def _hot_ranges(many: DataFrame, length: int) -> DataFrame | None:
     return ranges[0].unionByName(ranges[1]).unionByName(ranges[2])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, spans (array of removed byte ranges, maximal), kept (binary).
+def joined_ranges(ranges) -> list[list[int]]:
+    """Maximal ranges, sorted, from ranges (start, end) that may overlap or touch."""
+    out: list[list[int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int = 50) -> DataFrame:
+    """One row per input row: id, n_bytes, n_removed, spans (array of removed byte ranges, maximal), kept (binary), n_shared_words.
+
+    n_shared_words counts the words in runs of `words` words and more that another document has too (see passages.py).
+    It reports passages, of any number of bytes; nothing goes by it. Rows with the same id and text are one document there.
 
     Null counts as empty; texts shorter than `length` lose nothing. Repeated rows are repeated texts: both lose what
     they share. Matches never cross documents. Empty input: no rows.
@@ -325,8 +296,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)))
     rows = docs.select(key.alias("k"), F.xxhash64(text, F.col(id_col)).alias("r"), text.alias("text"), F.col(id_col).alias("id"))
-    ranges = repeated_ranges(rows.select("k", "r", "text"), length)
-    ranges = ranges.groupBy("k", "r").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    texts = rows.select("k", "r", "text")
+    ranges = repeated_ranges(texts, length).withColumn("of_words", F.lit(False))
+    ranges = ranges.unionByName(shared_ranges(texts, words).withColumn("of_words", F.lit(True)))
+    ranges = ranges.groupBy("k", "r").agg(F.collect_list(F.struct("s", "e", "of_words")).alias("ranges"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def cut(batches):
@@ -334,27 +307,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode("utf-8")
-                spans: list[list[int]] = []
-                for s, e in sorted((x["s"], x["e"]) for x in ranges or ()):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
+                spans, shared = (joined_ranges((x["s"], x["e"]) for x in ranges or () if x["of_words"] == of_words) for of_words in (False, True))
                 kept, at = [], 0
                 for s, e in spans:
                     kept.append(data[at:s])
                     at = e
                 kept.append(data[at:])
-                out.append((len(data), sum(e - s for s, e in spans), [{"start": s, "end": e} for s, e in spans], b"".join(kept)))
+                out.append((len(data), sum(e - s for s, e in spans), [{"start": s, "end": e} for s, e in spans], b"".join(kept), sum(e - s for s, e in shared)))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            rest = _batch(out, ["n_bytes", "n_removed", "spans", "kept"], [pa.int64(), pa.int64(), span, pa.binary()])
+            rest = _batch(out, ["n_bytes", "n_removed", "spans", "kept", "n_shared_words"], [pa.int64(), pa.int64(), span, pa.binary(), pa.int64()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *rest.columns], ["id", *rest.schema.names])
 
     joined = rows.join(ranges, ["k", "r"], "left").select("id", "text", "ranges")
-    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, n_shared_words long")
     return out.withColumnRenamed("id", id_col)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared_words")

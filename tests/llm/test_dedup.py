@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lumenfold.llm import near_dedup, suffix_dedup
+from lumenfold.llm import near_dedup, passages, suffix_dedup
 from lumenfold.llm._bytes import Prefix
 from lumenfold.llm.components import components
 from lumenfold.llm.exact_dedup import DigestIndex, dedup_exact
@@ -201,6 +201,45 @@ def test_substrings_repeated_rows_and_empty(spark, texts):
     assert suffix_dedup.dedup_substrings(make(spark, same).limit(0)).count() == 0
 
 
+def brute_passages(texts, length):
+    split = [(t or "").encode().split() for t in texts]
+    docs = defaultdict(set)
+    for i, w in enumerate(split):
+        for p in range(len(w) - length + 1):
+            docs[tuple(w[p : p + length])].add(i)
+    return [len({q for p in range(len(w) - length + 1) if len(docs[tuple(w[p : p + length])]) > 1 for q in range(p, p + length)}) for w in split]
+
+
+@pytest.mark.parametrize("most", [500, 2])
+def test_shared_passages(spark, texts, words, most, monkeypatch):
+    """Words of passages that documents share, also under 400 bytes; with a bound so small that windows are counted, not gathered."""
+    short = " ".join("ab" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(55))
+    more = [words(40, 910 + i) + " " + short + " " + words(40, 930 + i) for i in range(12)]
+    more += [words(30, 960) + "\t" + short.replace(" ", "\n ") + "\n", words(30, 961) + " " + " ".join(short.split()[:49]), short.replace("abaa", "x"), words(200, 970) * 2, None, " \n"]
+    more += [" ".join(short.split()[i : i + 50] + [f"end{i}"]) for i in range(6)] + ["x" * 300 + " " + short, "same " * 120, "same " * 120 + "end", "own " * 200]
+    df = make(spark, [*[t for t in texts if not isinstance(t, tuple) and len(t or "") < 60_000], *more])
+    rows = df.select("doc_id", "text").collect()
+    full = suffix_dedup.shared_ranges
+    monkeypatch.setattr(suffix_dedup, "shared_ranges", lambda r, n: full(r, n, most))
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup_substrings(df).collect()}
+    assert [got[r["doc_id"]]["n_shared_words"] for r in rows] == brute_passages([r["text"] for r in rows], 50)
+    planted = [got[r["doc_id"]] for r in rows if r["text"] and r["text"].count(short) and not r["text"].startswith("xxx")]
+    assert len(short.encode()) < 400 and len(planted) >= 12 and all(g["n_shared_words"] == 55 and g["n_removed"] == 0 for g in planted)
+
+
+def test_words_of_any_size(monkeypatch):
+    """Hashes of words don't depend on the pieces in which they are read."""
+    texts = [b"", b" a  bc\t" + b"d" * 100 + b" e", b"x" * 16, b"\n", b"y" * 15 + b" " + b"x" * 16 + b" a"]
+    monkeypatch.setattr(passages._bytes, "PIECE", 16)
+    got = passages.word_hashes(texts)
+    assert [len(g) for g in got] == [len(t.split()) for t in texts] == [0, 4, 1, 0, 3]
+    back = {}
+    for t, g in zip(texts, got, strict=True):
+        for w, h in zip(t.split(), g.tolist(), strict=True):
+            assert back.setdefault(w, h) == h
+    assert len(set(back.values())) == len(back) == 6
+
+
 def test_two_stage_sort_of_one_group():
     """The sort alone: contexts of one anchor, with windows that repeat in part."""
     rng = np.random.default_rng(4)
